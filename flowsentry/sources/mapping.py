@@ -16,8 +16,14 @@ T0_US = 1_704_067_200_000_000
 SQUEEZE = 100
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    e = spark.read.parquet(f"{folder}/events.parquet")
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    if stream:
+        e = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    else:
+        e = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int"))
 
@@ -54,10 +60,10 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     return _packets(_events(spark, folder), F.col("ts"))
 
 
-def packets_fast(spark: SparkSession, folder: str) -> DataFrame:
+def packets_fast(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """The same packets squeezed into 7.2 hours, for detectors, flows and features."""
     since = F.unix_micros("ts") - T0_US
-    return _packets(_events(spark, folder), from_us(F.floor(since / SQUEEZE) + T0_US))
+    return _packets(_events(spark, folder, stream), from_us(F.floor(since / SQUEEZE) + T0_US))
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:

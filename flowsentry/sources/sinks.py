@@ -12,17 +12,15 @@ from ..operators.search import active_connections, alert_listing, newest, stacke
 from ..operators.traffic import last_hours
 from ..plans.reports import flat_summary
 from ..schema import ALERTS, CONNECTIONS, PACKETS
+from ..session import cut
 
 EXPORT_LIMIT = 10_000
 FORMATS = ("json", "csv")
 
-# What a packet, alert or connection lacks on arrival.
-DEFAULTS = {
-    "payload_size": F.lit(0), "resolved": F.lit(False), "bytes_sent": F.lit(0), "bytes_received": F.lit(0),
-    "packet_count": F.lit(1), "state": F.lit("ACTIVE"), "avg_packet_size": F.lit(0.0),
-    "connection_duration": F.lit(0.0), "timestamp": F.current_timestamp(), "first_seen": F.current_timestamp(),
-    "last_seen": F.current_timestamp(),
-}
+# What a packet, alert or connection lacks on arrival; a missing time is the time of writing.
+DEFAULTS = {"payload_size": 0, "resolved": False, "bytes_sent": 0, "bytes_received": 0, "packet_count": 1,
+            "state": "ACTIVE", "avg_packet_size": 0.0, "connection_duration": 0.0}
+ARRIVAL = ("timestamp", "first_seen", "last_seen")
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -31,7 +29,9 @@ def conform(df: DataFrame, schema) -> DataFrame:
     for f in schema:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in DEFAULTS:
-            value = F.coalesce(value, DEFAULTS[f.name])
+            value = F.coalesce(value, F.lit(DEFAULTS[f.name]))
+        elif f.name in ARRIVAL:
+            value = F.coalesce(value, F.current_timestamp())
         out.append(value.cast(f.dataType).alias(f.name))
     return df.select(*out)
 
@@ -60,8 +60,6 @@ def rewrite_kept(kept: DataFrame, dropped_days: DataFrame, path: str) -> None:
 
     `kept` must not read `path` lazily while it is overwritten, so it is cut first.
     """
-    from ..session import cut
-
     touched = dropped_days.select(F.to_date("timestamp").alias("date")).distinct()
     rows = cut(kept.withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi"))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
