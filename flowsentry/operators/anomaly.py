@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from ..params import Thresholds
 from ..schema import NETWORK_ANOMALY
+from ..session import cut
 from . import alerts
 from .baseline import Baseline, compare
-from .features import VECTOR, feature_columns, feature_vector
+from .features import VECTOR, feature_vector
 from .traffic import side_by_side
 
 TREES = 100
@@ -86,24 +87,32 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
 
-def scaling(features: DataFrame) -> DataFrame:
-    """One row: mean and population deviation of each vector entry (zero deviation becomes 1)."""
-    cols = feature_columns()
+def vectors(features: DataFrame) -> DataFrame:
+    """(id, v): the feature vector of every row."""
+    return features.select("id", feature_vector().alias("v"))
+
+
+def scaling(rows: DataFrame) -> DataFrame:
+    """One row: number of rows, mean and population deviation of each vector entry."""
     aggregates = []
-    for name, col in cols.items():
-        value = col.cast("double")
+    for i, name in enumerate(VECTOR):
+        value = F.get("v", F.lit(i)).cast("double")
         aggregates += [F.avg(value).alias(f"m_{name}"), F.stddev_pop(value).alias(f"s_{name}")]
-    return features.agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    return rows.agg(F.count(F.lit(1)).alias("n"), *aggregates)
+
 
+def _stable(x: float | None) -> float:
+    """Twelve significant digits, so that the order in which partial sums meet leaves no trace."""
+    return float(f"{x or 0.0:.12g}")
 
-def tree_samples(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+
+def tree_samples(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """`sample` distinct rows per tree.
 
     A uniform pool of trees × sample rows is taken first (the smallest seeded hashes), then every
     tree draws from the pool, so the cost does not depend on the number of rows.
     """
-    pool = features.select("id", feature_vector().alias("v")).orderBy(
-        F.xxhash64(F.lit(seed), "id"), "id").limit(trees * sample)
+    pool = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * sample)
     dealt = pool.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "id"), "id")
     return dealt.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
@@ -112,35 +121,34 @@ def tree_samples(features: DataFrame, trees: int = TREES, sample: int = SAMPLE,
 def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
         sample: int = SAMPLE, seed: int = SEED) -> Forest | None:
     """Grow the forest; None when there are too few rows to train on."""
-    s = scaling(features).first()
+    training = cut(vectors(features))
+    s = scaling(training).first()
     if s["n"] < p.min_baseline_samples:
         return None
-    mean = tuple(float(s[f"m_{v}"]) for v in VECTOR)
-    scale = tuple(float(s[f"s_{v}"]) or 1.0 for v in VECTOR)
+    mean = tuple(_stable(s[f"m_{v}"]) for v in VECTOR)
+    scale = tuple(_stable(s[f"s_{v}"]) or 1.0 for v in VECTOR)
     size = min(sample, s["n"])
     scaled = F.transform(F.arrays_zip("v", F.array(*map(F.lit, mean)).alias("m"),
                                       F.array(*map(F.lit, scale)).alias("s")),
                          lambda z: (z["v"] - z["m"]) / z["s"])
-    rows = tree_samples(features, trees, sample, seed).withColumn("scaled", scaled).select(
+    rows = tree_samples(training, trees, sample, seed).withColumn("scaled", scaled).select(
         "tree", "rank", "scaled")
     # at most 2 × sample − 1 nodes per tree, whatever the number of training rows
     nodes = rows.groupBy("tree").applyInPandas(_grow, NODES).toPandas()
     grown = Forest(nodes, mean, scale, size, 0.0, p.anomaly_contamination)
-    return recontaminate(grown, features, p.anomaly_contamination)
+    return _with_offset(grown, training, p.anomaly_contamination)
 
 
 def recontaminate(forest: Forest, features: DataFrame, contamination: float) -> Forest:
     """The same trees with the offset taken at another quantile of the training scores."""
-    base = replace(forest, offset=0.0)
-    offset = score(features.select("id", *_needed(features)), base).agg(
-        F.percentile_approx("score", contamination, QUANTILE_ACCURACY).alias("q")).first()["q"]
-    return replace(forest, offset=float(offset), contamination=contamination)
+    return _with_offset(forest, vectors(features), contamination)
 
 
-def _needed(features: DataFrame) -> list[str]:
-    used = {"packet_size", "payload_size", "src_port", "dst_port", "hour_of_day", "is_weekend",
-            "packets_per_second", "bytes_per_second", "unique_ports_accessed", "protocol", "tcp_flags"}
-    return [c for c in features.columns if c in used]
+def _with_offset(forest: Forest, training: DataFrame, contamination: float) -> Forest:
+    # a sketch of fixed size: its rank is off by at most rows / QUANTILE_ACCURACY
+    raw = training.select(_score_udf(replace(forest, offset=0.0))("v").alias("score"))
+    offset = raw.agg(F.percentile_approx("score", contamination, QUANTILE_ACCURACY).alias("q")).first()["q"]
+    return replace(forest, offset=float(offset), contamination=contamination)
 
 
 def _scorer(forest: Forest):
@@ -166,8 +174,7 @@ def _scorer(forest: Forest):
     return batch_scores
 
 
-def score(features: DataFrame, forest: Forest) -> DataFrame:
-    """The features with `score`: lower is more anomalous, below 0 counts as an anomaly."""
+def _score_udf(forest: Forest):
     batch_scores = _scorer(forest)
 
     @F.pandas_udf("double")
@@ -175,7 +182,12 @@ def score(features: DataFrame, forest: Forest) -> DataFrame:
         for vectors in batches:
             yield pd.Series(batch_scores(vectors)) if len(vectors) else pd.Series([], dtype=float)
 
-    return features.withColumn("score", score_udf(feature_vector()))
+    return score_udf
+
+
+def score(features: DataFrame, forest: Forest) -> DataFrame:
+    """The features with `score`: lower is more anomalous, below 0 counts as an anomaly."""
+    return features.withColumn("score", _score_udf(forest)(feature_vector()))
 
 
 def severity(score: Column) -> Column:
