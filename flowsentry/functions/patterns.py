@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ PATTERNS = {
     )),
 }
 
+# `.` stops at a line feed only, classes and letter case go by Unicode.
+DIALECT = "(?dU)"
+
 # The text assumed for a packet whose payload was not captured.
 HTTP_TEXT = "GET /index.php?id=1' OR 1=1-- HTTP/1.1"
 SSH_TEXT = "SSH-2.0-OpenSSH_7.4 admin:password123"
@@ -52,17 +57,28 @@ def payload_text(columns: list[str]) -> Column:
     return F.coalesce(F.col("payload"), assumed) if "payload" in columns else assumed
 
 
-def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The first of `patterns` found in `text`, null when none is."""
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(p)) for p in patterns])
+def any_match(text: Column, patterns: dict = PATTERNS) -> Column:
+    """Whether any pattern of any category occurs; the first hit ends the search."""
+    return reduce(lambda a, b: a | b, [
+        text.rlike(DIALECT + p) for _, regexes in patterns.values() for p in regexes])
 
 
 def matched_patterns(text: Column, patterns: dict = PATTERNS) -> Column:
-    """Array of (category, severity, pattern), one entry per category found, in category order."""
-    entries = []
-    for category, (severity, regexes) in patterns.items():
-        found = first_match(text, regexes)
-        entries.append(F.when(found.isNotNull(), F.struct(
-            F.lit(category).alias("category"), F.lit(severity).alias("severity"),
-            found.alias("pattern"))))
-    return F.array_compact(F.array(*entries))
+    """Array of (category, severity, pattern), one entry per category found, in category order.
+
+    Every pattern is written once in the expression, so it runs once per row. Filter rows by
+    `any_match` first and do not filter on the result: Spark would push that filter below the
+    projection and run all patterns again.
+    """
+    hits = F.array_compact(F.array(*[
+        F.when(text.rlike(DIALECT + p), F.struct(
+            F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(p).alias("pattern")))
+        for category, (severity, regexes) in patterns.items() for p in regexes]))
+
+    def keep_first(found, hit):
+        known = F.exists(found, lambda f: f["category"] == hit["category"])
+        return F.when(known, found).otherwise(F.concat(found, F.array(hit)))
+
+    none = F.filter(F.array(F.struct(F.lit("").alias("category"), F.lit("").alias("severity"),
+                                     F.lit("").alias("pattern"))), lambda _: F.lit(False))
+    return F.aggregate(hits, none, keep_first)

@@ -1,6 +1,6 @@
 """Isolation-forest anomaly scores over traffic features.
 
-Trees are grown in parallel, one group of 256 sampled rows each, and scored over Arrow batches.
+Trees are grown in parallel tasks from one small sample, and rows are scored over Arrow batches.
 The model is two tables (tree nodes, scaling) and a few numbers; its size is fixed by the number of
 trees, so it travels with the scoring tasks.
 """
@@ -17,7 +17,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import Thresholds
@@ -59,12 +59,10 @@ def _expected_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One isolation tree from its sampled rows; leaves hold depth + expected remaining path."""
-    tree = int(pdf["tree"].iloc[0])
-    pdf = pdf.sort_values("rank")
-    x = np.array(pdf["scaled"].tolist(), dtype=float)
-    rng = np.random.default_rng([SEED, tree])
+def _grow(x: np.ndarray, tree: int, sample: int, seed: int) -> list[tuple]:
+    """One isolation tree over `sample` rows drawn from the pool; leaves hold the mean path length."""
+    rng = np.random.default_rng([seed, tree])
+    x = x[rng.choice(len(x), size=min(sample, len(x)), replace=False)]
     limit = math.ceil(math.log2(max(len(x), 2)))
     rows, todo = [], [(np.arange(len(x)), 0, 0)]
     next_node = 1
@@ -84,7 +82,7 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rows.append((tree, node, feature, threshold, left, right, 0.0))
         todo.append((members[below], left, depth + 1))
         todo.append((members[~below], right, depth + 1))
-    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    return rows
 
 
 def vectors(features: DataFrame) -> DataFrame:
@@ -106,16 +104,12 @@ def _stable(x: float | None) -> float:
     return float(f"{x or 0.0:.12g}")
 
 
-def tree_samples(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """`sample` distinct rows per tree.
+def sample_pool(rows: DataFrame, size: int, seed: int = SEED) -> DataFrame:
+    """A uniform sample of `size` distinct rows: those with the smallest seeded hashes.
 
-    A uniform pool of trees × sample rows is taken first (the smallest seeded hashes), then every
-    tree draws from the pool, so the cost does not depend on the number of rows.
+    Each task keeps its own smallest `size`, so neither sorting nor moving the rows is needed.
     """
-    pool = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * sample)
-    dealt = pool.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "id"), "id")
-    return dealt.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
+    return rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)
 
 
 def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
@@ -127,15 +121,18 @@ def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
         return None
     mean = tuple(_stable(s[f"m_{v}"]) for v in VECTOR)
     scale = tuple(_stable(s[f"s_{v}"]) or 1.0 for v in VECTOR)
-    size = min(sample, s["n"])
-    scaled = F.transform(F.arrays_zip("v", F.array(*map(F.lit, mean)).alias("m"),
-                                      F.array(*map(F.lit, scale)).alias("s")),
-                         lambda z: (z["v"] - z["m"]) / z["s"])
-    rows = tree_samples(training, trees, sample, seed).withColumn("scaled", scaled).select(
-        "tree", "rank", "scaled")
-    # at most 2 × sample − 1 nodes per tree, whatever the number of training rows
-    nodes = rows.groupBy("tree").applyInPandas(_grow, NODES).toPandas()
-    grown = Forest(nodes, mean, scale, size, 0.0, p.anomaly_contamination)
+    # trees × sample rows at most, whatever the number of training rows; every tree draws from them
+    pool = np.stack(sample_pool(training, trees * sample, seed).select("v").toPandas()["v"].to_numpy())
+    scaled = training.sparkSession.sparkContext.broadcast((pool.astype(float) - mean) / scale)
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for tree in batch["id"] for r in _grow(scaled.value, int(tree), sample, seed)]
+            yield pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+
+    # at most 2 × sample − 1 nodes per tree
+    nodes = training.sparkSession.range(trees).mapInPandas(grow, NODES).toPandas()
+    grown = Forest(nodes, mean, scale, min(sample, s["n"]), 0.0, p.anomaly_contamination)
     return _with_offset(grown, training, p.anomaly_contamination)
 
 

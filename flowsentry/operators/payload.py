@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PATTERNS, matched_patterns, payload_text
+from ..functions.patterns import PATTERNS, any_match, matched_patterns, payload_text
 from ..functions.scalars import us, words
 from ..params import Thresholds
 from ..schema import SUSPICIOUS_PAYLOAD
@@ -19,17 +19,17 @@ MIN_PAYLOAD = 10
 def payload_matches(packets: DataFrame, patterns: dict = PATTERNS) -> DataFrame:
     """Packets whose payload matches, with all matched categories in category order."""
     text = payload_text(packets.columns)
-    return packets.filter(F.col("payload_size") >= MIN_PAYLOAD).withColumn("_text", text).filter(
-        F.col("_text").isNotNull() & (F.col("_text") != "")).select(
+    rows = packets.filter(F.col("payload_size") >= MIN_PAYLOAD).withColumn("_text", text)
+    return rows.filter(F.col("_text").isNotNull() & any_match(F.col("_text"), patterns)).select(
         "id", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port", "protocol",
-        "payload_size", matched_patterns(F.col("_text"), patterns).alias("matches")
-    ).filter(F.size("matches") > 0)
+        "payload_size", matched_patterns(F.col("_text"), patterns).alias("matches"))
 
 
 def text_matches(table: DataFrame, key: str, text: str, patterns: dict = PATTERNS) -> DataFrame:
     """The same categories over any text column: one row per (key, category) found."""
-    found = table.select(key, matched_patterns(F.col(text), patterns).alias("m"))
-    return found.select(key, F.inline("m"))
+    found = table.filter(any_match(F.col(text), patterns)).select(
+        key, matched_patterns(F.col(text), patterns).alias("m"))
+    return found.select(key, F.inline_outer("m"))
 
 
 def payload_alerts(packets: DataFrame, p: Thresholds = Thresholds(), patterns: dict = PATTERNS,

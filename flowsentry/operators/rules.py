@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import payload_text
+from ..functions.patterns import DIALECT, payload_text
 from ..functions.scalars import us
 from ..params import CustomRule, Thresholds, validate_rules
 from ..schema import CUSTOM_RULE_PREFIX, RULE_PATTERN_TYPES, RULE_PROTOCOLS, SEVERITIES
@@ -20,7 +20,7 @@ RULES_PER_PASS = 200
 
 def _pattern_found(rule: CustomRule, text: Column) -> Column:
     if rule.pattern_type == "regex":
-        return text.rlike("(?i)" + rule.pattern)
+        return text.rlike(DIALECT + "(?i)" + rule.pattern)
     if rule.pattern_type == "string":
         return F.lower(text).contains(rule.pattern.lower())
     if rule.pattern_type == "bytes":

@@ -82,10 +82,14 @@ def scan_progress(packets: DataFrame, p: Thresholds = Thresholds(), *,
     With `min_ports`, only sessions that reach that many distinct ports in the end are followed;
     the others cannot yield a candidate, and skipping them avoids sorting their rows.
     """
+    # sessions, thresholds and first occurrences all read this small table
+    grouped = cut(_grouped(scan_attempts(packets), p.scan_time_window))
+    return _progress(packets, grouped, p, min_ports)
+
+
+def _progress(packets: DataFrame, grouped: DataFrame, p: Thresholds, min_ports: int | None) -> DataFrame:
     c = F.col
     attempts = scan_attempts(packets)
-    # sessions, thresholds and first occurrences all read this small table
-    grouped = cut(_grouped(attempts, p.scan_time_window))
     sessions = _sessions(grouped, p.scan_time_window)
     in_session = grouped.join(sessions, ["src_ip", "slice"])
     key = ["src_ip", "session_us"]
@@ -124,6 +128,10 @@ def scan_candidates(packets: DataFrame, p: Thresholds = Thresholds()) -> DataFra
         F.col("ports") >= p.port_scan_threshold)
 
 
+def _first_rows(in_session: DataFrame, fired: DataFrame) -> DataFrame:
+    return in_session.join(fired.select("src_ip", "session_us").distinct(), ["src_ip", "session_us"], "left_semi")
+
+
 def _shown(in_session: DataFrame, value: str, n: int) -> DataFrame:
     """(src_ip, session_us, <value>s): the first `n` distinct values of a session with their moment."""
     key = ["src_ip", "session_us"]
@@ -139,11 +147,12 @@ def scan_alerts(packets: DataFrame, p: Thresholds = Thresholds(), **kw) -> DataF
     The details list the first 20 ports and the first 10 targets seen so far, sorted.
     """
     c = F.col
-    fired = cut(thin(scan_candidates(packets, p), ["src_ip"], p.alert_cooldown, **kw))
     key = ["src_ip", "session_us"]
     grouped = cut(_grouped(scan_attempts(packets), p.scan_time_window))
-    in_session = grouped.join(_sessions(grouped, p.scan_time_window), ["src_ip", "slice"]).join(
-        fired.select(*key).distinct(), key, "left_semi")
+    candidates = _progress(packets, grouped, p, p.port_scan_threshold).filter(
+        c("ports") >= p.port_scan_threshold)
+    fired = cut(thin(candidates, ["src_ip"], p.alert_cooldown, **kw))
+    in_session = _first_rows(grouped.join(_sessions(grouped, p.scan_time_window), ["src_ip", "slice"]), fired)
     fired = fired.join(_shown(in_session, "dst_port", PORTS_SHOWN), key).join(
         _shown(in_session, "dst_ip", TARGETS_SHOWN), key)
 

@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "flowsentry", **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call-site capture costs more than the plan of a short query
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **{k: str(v) for k, v in conf.items()},
     }
