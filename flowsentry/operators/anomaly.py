@@ -104,12 +104,16 @@ def _stable(x: float | None) -> float:
     return float(f"{x or 0.0:.12g}")
 
 
-def sample_pool(rows: DataFrame, size: int, seed: int = SEED) -> DataFrame:
-    """A uniform sample of `size` distinct rows: those with the smallest seeded hashes.
+def sample_pool(rows: DataFrame, total: int, size: int, seed: int = SEED) -> DataFrame:
+    """A uniform sample of `size` out of `total` rows: those with the smallest seeded hashes.
 
-    Each task keeps its own smallest `size`, so neither sorting nor moving the rows is needed.
+    A threshold on the hash leaves half as many again as are needed, wherever the rows lie, so that
+    the final ordering sees a fixed number of rows and not `size` of every task.
     """
-    return rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)
+    buckets = 1 << 40
+    share = min(1.0, (1.5 * size + 1000) / max(total, 1))
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets))
+    return rows.filter(hashed < int(share * buckets)).orderBy(hashed, "id").limit(size)
 
 
 def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
@@ -122,7 +126,7 @@ def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
     mean = tuple(_stable(s[f"m_{v}"]) for v in VECTOR)
     scale = tuple(_stable(s[f"s_{v}"]) or 1.0 for v in VECTOR)
     # trees × sample rows at most, whatever the number of training rows; every tree draws from them
-    pool = np.stack(sample_pool(training, trees * sample, seed).select("v").toPandas()["v"].to_numpy())
+    pool = np.stack(sample_pool(training, s["n"], trees * sample, seed).select("v").toPandas()["v"].to_numpy())
     scaled = training.sparkSession.sparkContext.broadcast((pool.astype(float) - mean) / scale)
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

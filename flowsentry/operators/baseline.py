@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hour_of_day, is_weekend
+from ..session import cut
 
 TOP_PORTS = 20
 
@@ -34,10 +35,14 @@ def _summary(packets: DataFrame) -> DataFrame:
 
 
 def baseline_scalars(packets: DataFrame) -> DataFrame:
+    return _scalars(_summary(packets))
+
+
+def _scalars(summary: DataFrame) -> DataFrame:
     """Rows, mean and population deviation of the size, mean packets per weekday and weekend day."""
     c = F.col
     n, mean = c("n"), c("bytes") / c("n")
-    per_day = _summary(packets).groupBy("day", "weekend").agg(
+    per_day = summary.groupBy("day", "weekend").agg(
         F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("squares").alias("squares"))
     total = per_day.agg(
         F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("squares").alias("squares"),
@@ -54,29 +59,35 @@ def baseline_scalars(packets: DataFrame) -> DataFrame:
         F.coalesce("weekend_avg_traffic", zero).alias("weekend_avg_traffic"))
 
 
-def _shares(packets: DataFrame, value: str) -> DataFrame:
-    counts = _summary(packets).groupBy(value).agg(F.sum("n").alias("n"))
+def _shares(summary: DataFrame, value: str) -> DataFrame:
+    counts = summary.groupBy(value).agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.select(value, (F.col("n") / total).alias("frequency"))
 
 
 def baseline_protocols(packets: DataFrame) -> DataFrame:
-    return _shares(packets, "protocol")
+    return _shares(_summary(packets), "protocol")
 
 
 def baseline_ports(packets: DataFrame, limit: int = TOP_PORTS) -> DataFrame:
     """The most used destination ports above 0, as a share of all packets."""
-    return _shares(packets, "dst_port").filter(F.col("dst_port") > 0).orderBy(
+    return _top_ports(_summary(packets), limit)
+
+
+def _top_ports(summary: DataFrame, limit: int) -> DataFrame:
+    return _shares(summary, "dst_port").filter(F.col("dst_port") > 0).orderBy(
         F.desc("frequency"), "dst_port").limit(limit)
 
 
 def baseline_hours(packets: DataFrame) -> DataFrame:
-    return _shares(packets, "hour")
+    return _shares(_summary(packets), "hour")
 
 
 def learn(packets: DataFrame) -> Baseline:
-    return Baseline(baseline_scalars(packets), baseline_protocols(packets),
-                    baseline_ports(packets), baseline_hours(packets))
+    """All parts from one pass over the packets."""
+    summary = cut(_summary(packets))
+    return Baseline(_scalars(summary), _shares(summary, "protocol"),
+                    _top_ports(summary, TOP_PORTS), _shares(summary, "hour"))
 
 
 def compare(features: DataFrame, baseline: Baseline) -> DataFrame:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hour_of_day, is_weekend, us
 from ..schema import SECOND_US
-from .ordered import number_sessions, running, slice_start
+from .ordered import SLICE_US, number_sessions, running, slice_start
 
 WINDOW_S = 60
-SLICE_US = 10 * SECOND_US
 
 VECTOR = ("packet_size", "payload_size", "src_port", "dst_port", "hour_of_day", "is_weekend",
           "packets_per_second", "bytes_per_second", "unique_ports_accessed",

@@ -12,11 +12,10 @@ from ..params import Thresholds
 from ..schema import DDOS, SECOND_US
 from ..session import cut
 from . import alerts
-from .ordered import first_occurrences, running, slice_start
+from .ordered import SLICE_US, first_occurrences, running, slice_start
 from .suppress import thin
 
 TARGETS_SHOWN = 10
-SLICE_US = 10 * SECOND_US
 MEASURES = {"in_window": F.sum, "packets": F.sum, "bytes": F.sum, "targets": F.sum, "first_us": F.min}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_us, us
 from ..schema import SECOND_US
-from .ordered import number_sessions, slice_start
+from .ordered import SLICE_US, number_sessions, slice_start
 
 # State numbers used while folding; the order is ours, the names are fixed.
 STATES = ("UNKNOWN", "SYN_SENT", "SYN_RECEIVED", "ESTABLISHED", "FIN_WAIT", "RESET")
@@ -17,7 +17,7 @@ UNKNOWN, SYN_SENT, SYN_RECEIVED, ESTABLISHED, FIN_WAIT, RESET = range(6)
 KEEP = -1
 
 FLOW = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
-FLOW_SLICE_US = 10 * SECOND_US
+FLOW_SLICE_US = SLICE_US
 
 
 def _has(flag: str) -> Column:

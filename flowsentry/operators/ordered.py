@@ -19,6 +19,14 @@ from ..schema import SECOND_US
 Fold = Callable[[Column], Column]
 
 
+SLICE_US = 10 * SECOND_US
+
+
+def slice_width(gap_us: int) -> int:
+    """Slice width for sessions: never wider than the gap that ends one."""
+    return min(SLICE_US, gap_us)
+
+
 def slice_start(us: str | Column, width_us: int) -> Column:
     """Start of the fixed-width time slice that holds `us` (epoch microseconds)."""
     us = F.col(us) if isinstance(us, str) else us
@@ -46,16 +54,17 @@ def session_slices(rows: DataFrame, keys: list[str], us: str, gap_us: int, **kw)
     """(keys, slice, first_us, last_us, n, session_us): sessions found on pre-aggregated slices.
 
     The aggregation combines on the map side, so a hot key costs one small row per map task and
-    slice; raw rows are neither sorted nor collected.
+    slice; raw rows are neither sorted nor collected. Rows find their session again by
+    (key, `slice_start(us, slice_width(gap_us))`); narrow slices keep that join even for a hot key.
     """
-    slices = (rows.groupBy(*keys, slice_start(us, gap_us).alias("slice"))
+    slices = (rows.groupBy(*keys, slice_start(us, slice_width(gap_us)).alias("slice"))
               .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"),
                    F.count(F.lit(1)).alias("n")))
     return number_sessions(slices, keys, gap_us, **kw)
 
 
 def running(events: DataFrame, keys: list[str], order: list[str],
-            measures: dict[str, Fold], slice_us: int = 10 * SECOND_US) -> DataFrame:
+            measures: dict[str, Fold], slice_us: int = SLICE_US) -> DataFrame:
     """Running value of each measure per key in `order`, the current row included.
 
     `order[0]` holds microseconds. `measures` maps a column to a fold that may be applied again to

@@ -12,7 +12,7 @@ from ..params import Thresholds
 from ..schema import COMMON_PORTS, PORT_SCAN, SECOND_US
 from ..session import cut
 from . import alerts
-from .ordered import number_sessions, running, slice_start
+from .ordered import number_sessions, running, slice_start, slice_width
 from .suppress import thin
 
 PORTS_SHOWN = 20
@@ -29,13 +29,16 @@ def scan_attempts(packets: DataFrame) -> DataFrame:
              flags.contains("RST").cast("long").alias("failed"))
 
 
+def _slice(window_s: int) -> Column:
+    return slice_start("us", slice_width(window_s * SECOND_US))
+
+
 def _grouped(attempts: DataFrame, window_s: int) -> DataFrame:
     """One row per (source, slice, port, target); sessions and first occurrences come from these.
 
-    Slices are as wide as the idle gap, so no session ends inside one.
+    Slices are no wider than the idle gap, so no session ends inside one.
     """
-    return attempts.groupBy(
-        "src_ip", slice_start("us", window_s * SECOND_US).alias("slice"), "dst_port", "dst_ip").agg(
+    return attempts.groupBy("src_ip", _slice(window_s).alias("slice"), "dst_port", "dst_ip").agg(
         F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed"),
         F.max("us").alias("last_us"), F.min(F.struct("us", "id")).alias("at"))
 
@@ -98,7 +101,7 @@ def _progress(packets: DataFrame, grouped: DataFrame, p: Thresholds, min_ports:
             c("ports") >= min_ports).select(*key)
         in_session = in_session.join(wide, key, "left_semi")
         sessions = sessions.join(wide, key, "left_semi")
-    rows = attempts.withColumn("slice", slice_start("us", p.scan_time_window * SECOND_US)).join(
+    rows = attempts.withColumn("slice", _slice(p.scan_time_window)).join(
         sessions, ["src_ip", "slice"]).drop("slice")
 
     zero = F.lit(0).cast("long")

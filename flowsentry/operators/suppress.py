@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SECOND_US
 from ..session import cut
-from .ordered import running, session_slices
+from .ordered import running, session_slices, slice_start, slice_width
 
 FOLD_LIMIT = 20_000
 
@@ -74,7 +74,7 @@ def passing_moments(candidates, keys, window_us, *, us, row_id, inclusive, fold_
 def _place(moments, islands, names, window_us):
     of_slice = islands.select(*[F.col(n).alias(f"s{n}") for n in names],
                               F.col("slice").alias("s_slice"), "session_us")
-    start = moments["_us"] - F.pmod(moments["_us"], F.lit(window_us))
+    start = slice_start(moments["_us"], slice_width(window_us))
     on = [moments[n].eqNullSafe(of_slice[f"s{n}"]) for n in names] + [start == of_slice["s_slice"]]
     return moments.join(of_slice, on).select(*names, "_us", "_id", "session_us")
 

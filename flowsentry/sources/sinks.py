@@ -38,9 +38,8 @@ def conform(df: DataFrame, schema) -> DataFrame:
 
 def _append(df: DataFrame, path: str, schema, day_of: str) -> None:
     rows = conform(df, schema).withColumn("date", F.to_date(day_of))
-    # spread each day over several writers, so that one heavy day is not one task
-    (rows.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16)))
-     .write.mode("append").partitionBy("date").parquet(path))
+    # days are brought together in files of the advisory size; a heavy day is split over many tasks
+    rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 def append_packets(df: DataFrame, path: str) -> None:
@@ -62,7 +61,8 @@ def rewrite_kept(kept: DataFrame, dropped_days: DataFrame, path: str) -> None:
     """
     touched = dropped_days.select(F.to_date("timestamp").alias("date")).distinct()
     rows = cut(kept.withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi"))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+    (rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date").parquet(path))
 
 
 def write_alert_log(alerts: DataFrame, path: str, mode: str = "append") -> None:
