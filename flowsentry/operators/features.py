@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hour_of_day, is_weekend, us
 from ..schema import SECOND_US
+from ..session import cut
 from .ordered import SLICE_US, number_sessions, running, slice_start
 
 WINDOW_S = 60
@@ -59,7 +60,8 @@ def features(packets: DataFrame) -> DataFrame:
     events = rows.select("id", "src_ip", *carried, F.explode(F.array(read, add, leave)).alias("e")).select(
         "id", "src_ip", *[F.when(c("e.step") == 0, c(x)).alias(x) for x in carried], "e.*",
         zero.alias("ports"))
-    spells = _port_spells(rows.select("id", "us", "src_ip", c("dst_port").alias("port")))
+    # one row per spell, read twice below
+    spells = cut(_port_spells(rows.select("id", "us", "src_ip", c("dst_port").alias("port"))))
     marks = F.explode(F.array(
         F.struct(c("at.us").alias("at_us"), F.lit(1).alias("turn"), c("at.id").alias("id"), one.alias("ports")),
         F.struct((c("last_us") + width + 1).alias("at_us"), F.lit(0).alias("turn"),

@@ -43,7 +43,6 @@ def flood_progress(packets: DataFrame, p: Thresholds = Thresholds(), *,
     slices = rows.groupBy("src_ip", slice_start("us", SLICE_US).alias("slice")).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"), F.min("us").alias("first_us"))
 
-    targets = first_occurrences(rows, ["src_ip"], "dst_ip", "us", "id")
     if only_over is None:
         followed, opening = rows, None
     else:
@@ -56,7 +55,6 @@ def flood_progress(packets: DataFrame, p: Thresholds = Thresholds(), *,
             c("hot") - reach * SLICE_US, c("hot"), F.lit(SLICE_US))).alias("slice")).distinct()
         rows = rows.withColumn("slice", slice_start("us", SLICE_US))
         followed = rows.join(needed, ["src_ip", "slice"], "left_semi").drop("slice")
-        targets = targets.join(hot.select("src_ip").distinct(), "src_ip", "left_semi")
         # totals of the rows left out still count: one event per skipped slice, at its end
         skipped = slices.join(needed, ["src_ip", "slice"], "left_anti").join(
             hot.select("src_ip").distinct(), "src_ip", "left_semi")
@@ -65,6 +63,9 @@ def flood_progress(packets: DataFrame, p: Thresholds = Thresholds(), *,
             F.lit(0).alias("step"), zero.alias("in_window"), "packets", "bytes", zero.alias("targets"),
             "first_us")
 
+    # one row per host pair, read twice below
+    seen = rows if only_over is None else rows.join(hot.select("src_ip").distinct(), "src_ip", "left_semi")
+    targets = cut(first_occurrences(seen, ["src_ip"], "dst_ip", "us", "id"))
     no_time = F.lit(None).cast("long")
     event = F.explode(F.array(
         F.struct(c("us").alias("us"), F.lit(1).alias("step"), one.alias("in_window"),

@@ -23,7 +23,7 @@ from ..schema import SECOND_US
 from ..session import cut
 from .ordered import running, session_slices, slice_start, slice_width
 
-FOLD_LIMIT = 20_000
+FOLD_LIMIT = 100_000
 
 
 def thin(candidates: DataFrame, keys: list[str], window_seconds: float, *, us: str = "us",

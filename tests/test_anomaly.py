@@ -94,3 +94,11 @@ def test_training_rows_window(spark, fitted):
     f = fitted[0]
     kept = anomaly.update_training_rows(f, f.limit(0), datetime(2024, 1, 2, 0, 5), 24)
     assert kept.count() == f.filter(F.col("us") >= 1704067200000000 + 300 * S).count()
+
+
+def test_pool_is_a_sample_of_the_asked_size(spark):
+    rows = spark.range(200_000)
+    pool = anomaly.sample_pool(rows, 200_000, 1000)
+    assert pool.count() == 1000 and pool.distinct().count() == 1000
+    assert 80_000 < pool.agg(F.avg("id")).first()[0] < 120_000
+    assert anomaly.sample_pool(spark.range(50), 50, 1000).count() == 50

@@ -195,3 +195,12 @@ def test_defaults_fill_missing_columns(spark):
     df = sinks.conform(spark.createDataFrame([("a", "b")], "src_ip string, dst_ip string"), CONNECTIONS)
     r = df.first()
     assert (r.state, r.packet_count, r.bytes_sent) == ("ACTIVE", 1, 0) and r.first_seen is not None
+
+
+def test_large_limits_cut_by_minute(spark, monkeypatch):
+    monkeypatch.setattr(search, "DIRECT_LIMIT", 1)
+    df = frame(spark, brute.random_packets(300, 4, 3000))
+    want = [r.id for r in df.orderBy(F.desc("timestamp"), F.desc("id")).limit(40).collect()]
+    assert [r.id for r in search.newest(df, 40).collect()] == want
+    assert search.newest(df, 10_000).count() == 300
+    assert search.newest(df.filter("id < 0"), 5).count() == 0
