@@ -258,19 +258,21 @@ def severity_columns() -> str:
     return ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("Low", "Medium", "High", "Critical"))
 
 
-def trimmed(x: str, digits: int) -> str:
-    return f"regexp_replace(printf('%.{digits}f', round({x}, {digits})), '\\.?0+$', '')"
+def half_up(n: str, unit: int, digits: int) -> str:
+    """n / unit with fixed decimals; printf rounds a true half to the even digit, here it goes up."""
+    tie = f"CASE WHEN {n} * {10 ** digits} % {unit} * 2 = {unit} THEN {0.1 ** (digits + 1):.4f} ELSE 0 END"
+    return f"printf('%.{digits}f', {n} / {float(unit)}::DOUBLE + {tie})"
 
 
 def human(b: str, digits: int, units: tuple[str, ...]) -> str:
-    cases = "".join(f" WHEN {b} >= {1024 ** i} THEN {trimmed(f'{b} / {float(1024 ** i)}', digits)} || ' {units[i]}'"
-                    for i in range(len(units) - 1, 0, -1))
+    cases = "".join(f" WHEN {b} >= {1024 ** i} THEN regexp_replace({half_up(b, 1024 ** i, digits)}, '\\.?0+$', '') "
+                    f"|| ' {units[i]}'" for i in range(len(units) - 1, 0, -1))
     return f"CASE{cases} ELSE {b} || ' B' END"
 
 
 def short(n: str) -> str:
-    return (f"CASE WHEN {n} >= 1000000 THEN printf('%.1f', {n} / 1e6) || 'M' "
-            f"WHEN {n} >= 1000 THEN printf('%.1f', {n} / 1e3) || 'K' ELSE CAST({n} AS VARCHAR) END")
+    return (f"CASE WHEN {n} >= 1000000 THEN {half_up(n, 1000000, 1)} || 'M' "
+            f"WHEN {n} >= 1000 THEN {half_up(n, 1000, 1)} || 'K' ELSE CAST({n} AS VARCHAR) END")
 
 
 TOTALS = ("count(*) AS total_packets, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes, "

@@ -90,8 +90,34 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
+def fixed(x: Column, digits: int, half_up: bool = False) -> Column:
+    """`x` as text with 1 to 3 decimals, rounded from its exact binary value.
+
+    0.15 is a little less than it looks and becomes 0.1; a true half such as 0.25 goes to the even
+    digit, or up with `half_up`. Spark's own rounding works on the shortest decimal text instead.
+    """
+    power = 10 ** digits
+    size = F.abs(x)
+    whole = F.floor(size)
+    # the fraction in units of 2^-61, and its product with the power in two halves of 31 and 30 bits
+    units = ((size - whole) * F.lit(float(1 << 61))).cast("long")
+    low = units.bitwiseAND(F.lit((1 << 30) - 1)) * power
+    high = F.shiftright(units, 30) * power + F.shiftright(low, 30)
+    rest = high.bitwiseAND(F.lit((1 << 31) - 1))
+    tail = low.bitwiseAND(F.lit((1 << 30) - 1))
+    digit = F.shiftright(high, 31)
+    at_half = (rest == (1 << 30)) & (tail == 0)
+    up = (rest >= (1 << 30)) & ~at_half
+    up = up | at_half if half_up else up | (at_half & (digit % 2 == 1))
+    n = whole * power + digit + up.cast("long")
+    body = F.concat(F.floor(n / power).cast("string"), F.lit("."),
+                    F.lpad((n % power).cast("string"), digits, "0"))
+    return F.when(x < 0, F.concat(F.lit("-"), body)).otherwise(body)
+
+
 def round2(x: Column) -> Column:
-    return F.round(x, 2)
+    """Two decimals, rounded from the exact binary value."""
+    return fixed(x, 2).cast("double")
 
 
 def words(category: Column) -> Column:
@@ -101,7 +127,7 @@ def words(category: Column) -> Column:
 
 def _trimmed(x: Column, digits: int) -> Column:
     # fixed decimals, then the trailing zeros (and a bare point) removed
-    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.?0+$", "")
+    return F.regexp_replace(fixed(x, digits, half_up=True), r"\.?0+$", "")
 
 
 def human_bytes(n: Column, digits: int = 2, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> Column:
@@ -117,8 +143,8 @@ def human_bytes(n: Column, digits: int = 2, units: tuple[str, ...] = ("B", "KB",
 
 def short_number(n: Column) -> Column:
     """1.2M / 3.4K / plain digits."""
-    return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M"))) \
-        .when(n >= 1_000, F.concat(F.format_string("%.1f", n / 1e3), F.lit("K"))) \
+    return F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 1, half_up=True), F.lit("M"))) \
+        .when(n >= 1_000, F.concat(fixed(n / 1e3, 1, half_up=True), F.lit("K"))) \
         .otherwise(n.cast("long").cast("string"))
 
 

@@ -20,6 +20,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed
 from ..params import Thresholds
 from ..schema import NETWORK_ANOMALY
 from ..session import cut
@@ -202,6 +203,11 @@ def anomalies(scored: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
         "severity", severity(F.col("score")))
 
 
+def _description() -> Column:
+    return F.format_string("Anomalous network behavior detected from %s. Anomaly score: %s",
+                           F.col("src_ip"), fixed(F.col("score"), 3))
+
+
 def anomaly_alerts(scored: DataFrame, baseline: Baseline, p: Thresholds = Thresholds()) -> DataFrame:
     c = F.col
     found = anomalies(scored, p)
@@ -211,8 +217,7 @@ def anomaly_alerts(scored: DataFrame, baseline: Baseline, p: Thresholds = Thresh
         "packets_per_second", "bytes_per_second", "unique_ports_accessed", "hour_of_day", "is_weekend",
         F.struct("packet_size_deviation", "protocol_frequency", "is_rare_protocol", "port_frequency",
                  "is_rare_port", "hourly_frequency", "is_unusual_time").alias("baseline_comparison"))
-    text = F.format_string("Anomalous network behavior detected from %s. Anomaly score: %.3f",
-                           c("src_ip"), c("score"))
+    text = _description()
     return alerts.alert_rows(compared, alerts.ANOMALY, F.lit(NETWORK_ANOMALY), c("severity"),
                              c("src_ip"), c("dst_ip"), text, details)
 
@@ -238,8 +243,7 @@ def recent_anomalies(found: DataFrame, limit: int = 10) -> DataFrame:
     return found.select(
         "timestamp", c("src_ip").alias("source_ip"), c("dst_ip").alias("destination_ip"),
         c("score").alias("anomaly_score"), "severity", "packet_size", "protocol", "id",
-        F.format_string("Anomalous network behavior detected from %s. Anomaly score: %.3f",
-                        c("src_ip"), c("score")).alias("description"),
+        _description().alias("description"),
     ).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio_guarded, us
+from ..functions.scalars import fixed, ratio_guarded, us
 from ..params import Thresholds
 from ..schema import DDOS, SECOND_US
 from ..session import cut
@@ -120,8 +120,8 @@ def flood_alerts(packets: DataFrame, p: Thresholds = Thresholds(), **kw) -> Data
         F.array_sort(F.transform(so_far, lambda x: x["dst_ip"])).alias("target_ips"),
         c("duration").alias("attack_duration"))
     text = F.format_string(
-        "Potential DDoS attack detected from %s. Connection rate: %.1f connections/second.",
-        c("src_ip"), c("rate"))
+        "Potential DDoS attack detected from %s. Connection rate: %s connections/second.",
+        c("src_ip"), fixed(c("rate"), 1))
     return alerts.alert_rows(fired, alerts.FLOOD, F.lit(DDOS), c("severity"), c("src_ip"),
                              F.lit(""), text, details)
 

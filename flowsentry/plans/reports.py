@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hours_between, percent_of, period_label, time_bucket
+from ..functions.scalars import hours_between, percent_of, period_label, round2, time_bucket
 from ..operators.traffic import in_range, last_hours, protocol_distribution, side_by_side, traffic_totals
 from ..schema import NETWORK_ANOMALY, SEVERITIES
 
@@ -88,7 +88,7 @@ def risk_score(packets: DataFrame, alerts: DataFrame) -> DataFrame:
         F.count_if(c("severity") == s).alias(s.lower()) for s in SEVERITIES])
     totals = packets.agg(F.count(F.lit(1)).alias("total_packets"))
     score = risk(c("total_packets"), c("total"), c("critical"), c("high"), c("medium"))
-    return side_by_side(totals, counts).select(F.round(score, 2).alias("risk_score"))
+    return side_by_side(totals, counts).select(round2(score).alias("risk_score"))
 
 
 def security_summary(packets: DataFrame, alerts: DataFrame, connections: DataFrame,
@@ -210,7 +210,7 @@ def trend_summary(traffic: DataFrame, alerts: DataFrame) -> DataFrame:
         F.when(ready, c("t_avg").cast("long")).alias("average_packets_per_period"),
         F.when(ready, c("t_max")).alias("peak_traffic_packets"),
         text(c("t_max") > c("t_avg") * 2, "high", "normal").alias("traffic_variance"),
-        F.when(ready, F.round("a_avg", 2)).alias("average_alerts_per_period"),
+        F.when(ready, round2(c("a_avg"))).alias("average_alerts_per_period"),
         F.when(ready, c("a_max")).alias("peak_alerts"),
         text(c("a_last") > c("a_avg"), "increasing", "stable").alias("alert_trend"))
 
@@ -260,7 +260,7 @@ def security_audit(alerts: DataFrame) -> DataFrame:
         "total_critical_high_alerts", "resolved_count", "unresolved_count",
         percent_of(c("resolved_count"), c("total_critical_high_alerts")).alias("resolution_rate"),
         c("avg_hours").alias("average_response_hours_exact"),
-        F.round("avg_hours", 2).alias("average_response_time_hours"),
+        round2(c("avg_hours")).alias("average_response_time_hours"),
         "fastest_response_hours", "slowest_response_hours",
         F.when(c("unresolved_count") == 0, F.lit("compliant")).otherwise(F.lit("non_compliant"))
         .alias("compliance_status"),
@@ -289,7 +289,7 @@ def network_activity(packets: DataFrame, connections: DataFrame) -> dict[str, Da
     k = connection_statistics(connections).select(
         "total_connections", F.col("total_bytes_transferred").alias("total_bandwidth_bytes"),
         F.col("avg_duration_seconds").alias("average_duration_exact"),
-        F.round("avg_duration_seconds", 2).alias("average_connection_duration"))
+        round2(F.col("avg_duration_seconds")).alias("average_connection_duration"))
     return {"traffic_summary": totals, "protocol_distribution": protocol_distribution(packets),
             "connection_analysis": k}
 

@@ -63,3 +63,21 @@ def test_ratios(spark):
     assert one(spark, scalars.percent_of(F.lit(1), F.lit(0))) == 0.0
     assert one(spark, scalars.severity_rank(F.lit("Critical"))) == 4
     assert one(spark, scalars.words(F.lit("sql_injection"))) == "sql injection"
+
+
+def test_fixed_rounds_the_binary_value_like_python(spark):
+    import random
+    rng = random.Random(7)
+    values = [n / 60 for n in range(1, 700)] + [0.05, 0.25, 0.75, 2.675, 1.005, 0.125, 0.375, 0.0, 12345.6785, -0.0004, 0.9996]
+    values += [rng.uniform(-2, 2) for _ in range(500)] + [rng.uniform(0, 1e6) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", *[scalars.fixed(F.col("v"), d).alias(f"d{d}") for d in (1, 2, 3)],
+                     scalars.round2(F.col("v")).alias("r")).collect()
+    for r in rows:
+        assert (r.d1, r.d2, r.d3) == (f"{r.v:.1f}", f"{r.v:.2f}", f"{r.v:.3f}"), r.v
+        assert r.r == round(r.v, 2)
+
+
+def test_true_halves_go_up_in_short_texts(spark):
+    assert one(spark, scalars.short_number(F.lit(1250))) == "1.3K"
+    assert one(spark, scalars.short_number(F.lit(1150))) == "1.1K"
