@@ -106,8 +106,7 @@ def alerts_scan(spark, d):
 
 @query
 def connections_scan(spark, d):
-    out = connection_rows(C(spark, d).withColumn("avg_packet_size", F.round("avg_packet_size", 6)))
-    return out
+    return connection_rows(C(spark, d))
 
 
 @query
@@ -801,11 +800,7 @@ def stream_rate(spark, d):
 
 @query
 def stream_flows(spark, d):
-    return connection_like(live.run_to_end(windows.stream_flows(_stream(spark, d))))
-
-
-def connection_like(df):
-    return micros(df, "first_seen", "last_seen")
+    return micros(live.run_to_end(windows.stream_flows(_stream(spark, d))), "first_seen", "last_seen")
 
 
 @query

@@ -131,5 +131,4 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    out = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
-    return out
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
