@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import exact_dedup, simhash
-from flowsentry.llm.common import table
+from flowsentry.llm import exact_dedup, simhash, token_files
+from flowsentry.llm.common import shared_folder, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_text_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder,
+                                  public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = token_files.read_token_files(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=3, distance=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -20,6 +29,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
 }
 
