@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, exact_dedup, simhash, token_files
+from flowsentry.llm import byte_bpe, exact_dedup, quality, simhash, token_files
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -33,11 +33,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    return (documents.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                             quality.score(model, F.col("text")).alias("score"))
+            .withColumn("predicted", (F.col("score") >= quality.KEEP_FROM).cast("int")))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
