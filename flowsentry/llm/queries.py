@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, exact_dedup, quality, simhash, token_files
+from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash, token_files
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -33,6 +33,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.fit(documents, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
 
