@@ -68,14 +68,19 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(df: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint (as signed long) of every row."""
+    return whole_texts(df, id_col, text_col).mapInArrow(
+        _printer(words_in_shingle, ["doc_id"]), "doc_id long, fingerprint long")
+
+
+def _printer(words_in_shingle: int, carried: list[str]):
     def run(batches):
         for batch in batches:
             prints = [fingerprint(t, words_in_shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())],
-                names=["doc_id", "fingerprint"])
+                [*(batch.column(c) for c in carried), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())],
+                names=[*carried, "fingerprint"])
 
-    return whole_texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint long")
+    return run
 
 
 def _masks(bits: int, blocks: int, kept: int) -> list[int]:
@@ -152,6 +157,26 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def keep_one(df: DataFrame, words_in_shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of `df` that stay, with all their columns: of each group the smallest id (null last), of rows
+    with that id the smallest text hash. Rows that repeat both are one document, which stays as it is."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                      F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    prints = written(
+        keyed.select("doc_id", "hash", "text").mapInArrow(_printer(words_in_shingle, ["doc_id", "hash"]),
+                                                          "doc_id long, hash long, fingerprint long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
+    nodes = prints.groupBy("fingerprint").agg(first)
+    member = components(links(nodes.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
+    stay = (nodes.join(member, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root"))
+            .agg(F.min("first").alias("first")).select("first.doc_id", "first.hash"))
+    stay = written(stay.select(F.col("doc_id").alias("stay_id"), F.col("hash").alias("stay_hash")), "stay")
+    return keyed.join(stay, (keyed["hash"] == stay["stay_hash"]) & keyed["doc_id"].eqNullSafe(stay["stay_id"]),
+                      "left_semi").select("row.*")
+
+
 def near_duplicates(df: DataFrame, words_in_shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (signed long), component_id: one row per row of `df`."""
