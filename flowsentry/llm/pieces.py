@@ -9,19 +9,26 @@ from pyspark.cloudpickle import register_pickle_by_value
 
 register_pickle_by_value(sys.modules[__name__])
 
-_SPACED = re.compile(r"\s ")
+_TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def pieces(text: str) -> list[str]:
-    """`text` cut before each space that follows something other than white space.
+    """`text` cut before each space that follows something other than white space, and around line ends that
+    stand alone.
 
     No match of the pattern holds a space after another kind of character, and what a match looks ahead at is
-    never beyond such a place, so encoding the pieces one by one gives the ids of the whole text.
+    never beyond such a place, so encoding the pieces one by one gives the ids of the whole text. A line end
+    between two other characters is a match by itself.
     """
-    if not text:
-        return []
-    if _SPACED.search(text):
+    if _TWO_SPACES.search(text):
         return _CUT.split(text)
-    head, *rest = text.split(" ")
-    return ([head] if head else []) + [" " + x for x in rest]
+    out = []
+    for line in text.split("\n"):
+        head, *rest = line.split(" ")
+        if head:
+            out.append(head)
+        out += [" " + x for x in rest]
+        out.append("\n")
+    out.pop()
+    return out

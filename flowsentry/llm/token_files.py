@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+from array import array
 from itertools import chain
 from string import punctuation
 
@@ -77,6 +78,8 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
 class Encoder:
     """Ids of texts as bytes; every distinct word goes to the tokenizers library once.
 
+    The bytes are in the machine's order, which is little-endian wherever Spark runs its JVM and Arrow.
+
     A piece that ends in punctuation after a letter is cut once more, since no match goes on from a letter to
     something else. What is then letters with at most a space in front is one match of the pattern and goes
     straight to the library's BPE model; all else goes through its whole pipeline.
@@ -88,7 +91,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(tokenizer)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype, self.known = dtype, {}
+        self.dtype, self.known = {2: "H", 4: "I"}[np.dtype(dtype).itemsize], {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [cutting.pieces(t) for t in texts]
@@ -106,8 +109,7 @@ class Encoder:
         self._learn(list(stems))
         for p, stem in tails.items():
             known[p] = known[stem] + known[p[len(stem):]]
-        get = known.__getitem__
-        out = [b"".join([get(p) for p in row]) for row in cut]
+        out = [b"".join(map(known.__getitem__, row)) for row in cut]
         if len(known) > REMEMBERED:
             known.clear()
         return out
@@ -118,11 +120,11 @@ class Encoder:
             word = p[1:] if p[0] == " " else p
             if word.isalpha():  # one match of the pattern: the library's model takes it as it is
                 text = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)
-                known[p] = np.array([t.id for t in tokenize(text)], dtype).tobytes()
+                known[p] = array(dtype, [t.id for t in tokenize(text)]).tobytes()
             else:
                 mixed.append(p)
         for p, e in zip(mixed, self.model.encode_batch(mixed, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype).tobytes()
+            known[p] = array(dtype, e.ids).tobytes()
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
