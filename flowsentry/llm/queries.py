@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, simhash, token_files
+from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, token_files
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -20,6 +20,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, ranks))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return secret_scan.digests(secret_scan.scan(documents, secret_scan.learn(documents)))
@@ -53,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_html_text": op5_html_text,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
