@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, token_files
+from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, token_files
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -20,6 +20,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, ranks))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html_text": op5_html_text,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
