@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, token_files
+from flowsentry.llm import byte_bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, suffix_tree_lm, token_files
 from flowsentry.llm.common import shared_folder, table
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = suffix_tree_lm.held_out(F.col("doc_id"))
+    found = suffix_tree_lm.score_texts(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_text_groups(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
