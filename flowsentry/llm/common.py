@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark.broadcast import Broadcast
+from pyspark.cloudpickle import dumps, loads, register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.session import ensure_checkpoint_dir
 
+register_pickle_by_value(sys.modules[__name__])
+
 #: The characters of [\x20\x09-\x0D] and the ASCII letters.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,3 +53,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_bytes(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+class Shipped:
+    """An object that travels to the executors once, with its class, so that they need no installation."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent: Broadcast = spark.sparkContext.broadcast(dumps(value))
+        self.got = None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "got": None}
+
+    @property
+    def value(self):
+        if self.got is None:
+            self.got = loads(self.sent.value)
+        return self.got

@@ -32,7 +32,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import whole_texts
+from flowsentry.llm.common import Shipped, whole_texts
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -258,7 +258,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = whole_texts(df, id_col, text_col)
     found = None
     for index in build_indexes(benchmark, item_col, item_text):
-        part = texts.mapInArrow(_searcher(df.sparkSession.sparkContext.broadcast(index)), f"doc_id long, {_SCHEMA}")
+        part = texts.mapInArrow(_searcher(Shipped(df.sparkSession, index)), f"doc_id long, {_SCHEMA}")
         found = part if found is None else found.unionByName(part)
     return found if found is not None else df.sparkSession.createDataFrame([], f"doc_id long, {_SCHEMA}")
 
@@ -282,7 +282,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     """The rows of `df` in which no item is found, with all their columns."""
     kept = df
     for index in build_indexes(benchmark):
-        shipped = df.sparkSession.sparkContext.broadcast(index)
+        shipped = Shipped(df.sparkSession, index)
 
         kept = kept.filter(_cleared(shipped)(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     return kept
