@@ -622,7 +622,7 @@ def alerts_cooled(spark, d):
 def alerts_cooled_hot(spark, d):
     """The same over every packet as one key, by pointer jumping."""
     p = PF(spark, d).select("id", F.unix_micros("timestamp").alias("us"), F.lit("all").alias("key"))
-    return suppress.thin(p, ["key"], 60, fold_limit=100)
+    return suppress.thin(p, ["key"], 60)
 
 
 @query

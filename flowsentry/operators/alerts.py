@@ -31,9 +31,10 @@ def alert_rows(rows: DataFrame, detector: int, alert_type: Column, severity: Col
 
 
 def union_alerts(*parts: DataFrame) -> DataFrame:
-    """Alerts of all detectors; `seq` orders them by packet and then by detector."""
+    """Alerts of all detectors; `seq` orders them by packet, then by detector, then by type (a rule's name is
+    part of it), and no two alerts share it."""
     both = reduce(lambda a, b: a.unionByName(b), [p.select(*COLUMNS) for p in parts])
-    return both.withColumn("seq", F.col("packet_id") * 8 + F.col("detector"))
+    return both.withColumn("seq", F.struct("packet_id", "detector", "alert_type"))
 
 
 def deduplicate(alerts: DataFrame, window_seconds: int = 600, **kw) -> DataFrame:
@@ -43,10 +44,10 @@ def deduplicate(alerts: DataFrame, window_seconds: int = 600, **kw) -> DataFrame
 
 
 def to_table(alerts: DataFrame) -> DataFrame:
-    """Alerts in the stored table's columns, open."""
+    """Alerts in the stored table's columns, open; the id is a 64-bit hash of `seq`."""
     names = [f.name for f in ALERTS]
     return alerts.select(
-        F.col("seq").alias("id"), from_us(F.col("us")).alias("timestamp"), "alert_type", "severity",
+        F.xxhash64("seq").alias("id"), from_us(F.col("us")).alias("timestamp"), "alert_type", "severity",
         "source_ip", "destination_ip", "description", "details",
         F.lit(False).alias("resolved"), F.lit(None).cast("timestamp").alias("resolved_at"),
         F.lit(None).cast("string").alias("resolved_by")).select(*names)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DIALECT, payload_text
@@ -14,8 +15,7 @@ from ..schema import CUSTOM_RULE_PREFIX, RULE_PATTERN_TYPES, RULE_PROTOCOLS, SEV
 from . import alerts
 from .suppress import thin
 
-# Rules are evaluated as literal expressions, this many in one pass over the packets.
-RULES_PER_PASS = 200
+BAD_REGEX = "regex does not compile"
 
 
 def _pattern_found(rule: CustomRule, text: Column) -> Column:
@@ -41,37 +41,50 @@ def _applies(rule: CustomRule, text: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will run a regex rule accepts its pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(DIALECT + "(?i)" + pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def faulty(spark: SparkSession, rules: list[CustomRule]) -> dict[str, list[str]]:
+    """Errors by rule name, regexes that do not compile included."""
+    bad = validate_rules(rules)
+    for r in rules:
+        if r.pattern_type == "regex" and r.pattern and not compiles(spark, r.pattern):
+            bad.setdefault(r.name, []).append(BAD_REGEX)
+    return bad
+
+
 def rule_matches(packets: DataFrame, rules: list[CustomRule]) -> DataFrame:
     """One row per packet and enabled rule that applies to it.
 
-    Each rule becomes a literal condition, so its pattern is compiled once and the packets are
-    neither joined nor shuffled. Long rule lists are split into passes of RULES_PER_PASS.
+    Each rule becomes a literal condition, so its pattern is compiled once and the packets are neither joined
+    nor shuffled, and read once for any number of rules. A rule whose regex does not compile matches nothing
+    (`rule_errors` reports it); other faults are refused.
     """
+    spark = packets.sparkSession
     bad = validate_rules(rules)
     if bad:
         raise ValueError(f"invalid rules: {bad}")
-    enabled = [(i, r) for i, r in enumerate(rules) if r.enabled]
+    usable = [(i, r) for i, r in enumerate(rules) if r.enabled and (
+        r.pattern_type != "regex" or compiles(spark, r.pattern))]
     text = payload_text(packets.columns)
     rows = packets.withColumn("_text", text).filter(F.col("_text").isNotNull() & (F.col("_text") != "")).select(
         "id", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port", "protocol",
         "payload_size", "_text")
-    passes = [enabled[i:i + RULES_PER_PASS] for i in range(0, len(enabled), RULES_PER_PASS)] or [[]]
-    return reduce(lambda a, b: a.unionByName(b), [_one_pass(rows, part) for part in passes])
-
-
-def _one_pass(rows: DataFrame, rules: list[tuple[int, CustomRule]]) -> DataFrame:
-    hits = [F.when(_applies(r, F.col("_text")), F.struct(
-        F.lit(i).alias("rule_no"), F.lit(r.name).alias("rule_name"),
-        F.lit(r.description).alias("rule_description"), F.lit(r.pattern_type).alias("pattern_type"),
-        F.lit(r.pattern).alias("pattern"), F.lit(r.severity).alias("severity"))) for i, r in rules]
-    if not hits:
-        none = CustomRule("none", "", "none", "string")
-        hits = [F.when(F.lit(False), F.struct(
-            F.lit(0).alias("rule_no"), F.lit(none.name).alias("rule_name"),
-            F.lit("").alias("rule_description"), F.lit("").alias("pattern_type"),
-            F.lit("").alias("pattern"), F.lit("").alias("severity")))]
-    return rows.select(*[c for c in rows.columns if c != "_text"],
-                       F.inline(F.array_compact(F.array(*hits))))
+    hits = [F.when(_applies(r, F.col("_text")), F.lit(i)) for i, r in usable] or [F.lit(None).cast("int")]
+    fired = rows.select(*[c for c in rows.columns if c != "_text"],
+                        F.explode(F.array_compact(F.array(*hits))).alias("rule_no"))
+    # as many rows as there are rules in the list
+    named = spark.createDataFrame(
+        [(i, r.name, r.description, r.pattern_type, r.pattern, r.severity) for i, r in usable],
+        "rule_no int, rule_name string, rule_description string, pattern_type string, pattern string, severity string")
+    return fired.join(F.broadcast(named), "rule_no").select(
+        *[c for c in rows.columns if c != "_text"], *named.columns)
 
 
 def rule_alerts(packets: DataFrame, rules: list[CustomRule], p: Thresholds = Thresholds(),
@@ -91,9 +104,11 @@ def rule_alerts(packets: DataFrame, rules: list[CustomRule], p: Thresholds = Thr
 def rule_errors(rules: DataFrame) -> DataFrame:
     """Column checks over a rules table: name and an `errors` array, empty for a usable rule.
 
-    Whether a regex compiles is checked by `params.validate_rules` when the rules are loaded.
+    Regexes are compiled by the engine that runs them; their patterns, part of the configuration, are read for it.
     """
     c = F.col
+    regexes = rules.filter("pattern_type = 'regex' and length(pattern) > 0").select("pattern").distinct().collect()
+    broken = [r["pattern"] for r in regexes if not compiles(rules.sparkSession, r["pattern"])]
     empty = lambda x: F.coalesce(F.length(c(x)) == 0, F.lit(True))
     known = lambda x, values: F.coalesce(x.isin(*values), F.lit(False))
     copies = rules.groupBy("name").agg(F.count(F.lit(1)).alias("copies"))
@@ -105,6 +120,7 @@ def rule_errors(rules: DataFrame) -> DataFrame:
         F.when(empty("pattern"), F.lit("pattern is empty")),
         F.when(F.length("pattern") > 1000, F.lit("pattern is longer than 1000")),
         F.when(~known(c("pattern_type"), RULE_PATTERN_TYPES), F.lit("unknown pattern type")),
+        F.when((c("pattern_type") == "regex") & c("pattern").isin(broken), F.lit(BAD_REGEX)),
         F.when(~known(c("severity"), SEVERITIES), F.lit("unknown severity")),
         F.when(~known(F.lower("protocol"), RULE_PROTOCOLS), F.lit("unknown protocol")),
         F.when(c("copies") > 1, F.lit("duplicate name")))).alias("errors"))

@@ -56,6 +56,11 @@ def _first_seen(in_session: DataFrame, value: str) -> DataFrame:
     return first.select("src_ip", "session_us", value, "at.us", "at.id")
 
 
+def _distinct_ports() -> Column:
+    """A missing port is one of the distinct values, as it is for the running count."""
+    return F.count_distinct("dst_port") + F.max(F.col("dst_port").isNull().cast("long"))
+
+
 def scan_severity(ports: Column, targets: Column, rate: Column) -> Column:
     return F.when((rate > 10) | (targets > 5) | (ports > 100), F.lit("Critical")) \
         .when((rate > 5) | (targets > 2) | (ports > 50), F.lit("High")) \
@@ -70,7 +75,7 @@ def scan_sessions(packets: DataFrame, p: Thresholds = Thresholds()) -> DataFrame
     grouped = _grouped(attempts, p.scan_time_window)
     out = grouped.join(_sessions(grouped, p.scan_time_window), ["src_ip", "slice"]).groupBy(
         "src_ip", "session_us").agg(
-        F.count_distinct("dst_port").alias("ports"), F.count_distinct("dst_ip").alias("targets"),
+        _distinct_ports().alias("ports"), F.count_distinct("dst_ip").alias("targets"),
         F.sum("n").alias("attempts"), F.sum("failed").alias("failed"),
         F.min("at.us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.withColumn("duration", (c("last_us") - c("first_us")) / F.lit(1e6))
@@ -97,7 +102,7 @@ def _progress(packets: DataFrame, grouped: DataFrame, p: Thresholds, min_ports:
     in_session = grouped.join(sessions, ["src_ip", "slice"])
     key = ["src_ip", "session_us"]
     if min_ports is not None:
-        wide = in_session.groupBy(*key).agg(F.count_distinct("dst_port").alias("ports")).filter(
+        wide = in_session.groupBy(*key).agg(_distinct_ports().alias("ports")).filter(
             c("ports") >= min_ports).select(*key)
         in_session = in_session.join(wide, key, "left_semi")
         sessions = sessions.join(wide, key, "left_semi")

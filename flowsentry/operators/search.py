@@ -12,8 +12,6 @@ from ..functions.scalars import severity_rank
 from ..params import AlertCriteria, ConnectionCriteria, PacketCriteria
 from .traffic import last_hours, since
 
-# up to here the rows every task hands over are few
-DIRECT_LIMIT = 1000
 SORT_FIELDS = ("severity", "alert_type", "source_ip", "timestamp")
 
 
@@ -33,25 +31,26 @@ def _ranged(df: DataFrame, criteria, ts: str) -> DataFrame:
                                        F.lit(criteria.end_time).cast("timestamp")))
 
 
-def _cutoff(df: DataFrame, limit: int, ts: str) -> Column:
-    """The minute in which the newest `limit` rows begin, from the number of rows per minute.
+def _edge(df: DataFrame, limit: int, ts: str) -> tuple[Column, Column]:
+    """The minute in which the newest `limit` rows begin, and whether rows without a time are among them.
 
+    Taken from the number of rows per minute: one small row per minute of the time span, whatever the traffic.
     Without it every task would hand `limit` rows to the one that merges them.
     """
     minutes = df.groupBy(F.date_trunc("minute", ts).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per minute of the time span, whatever the traffic
-    newer = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = Window.orderBy(F.desc_nulls_last("m")).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(newer), F.lit(0))
-    return minutes.select("m", before.alias("before")).filter(F.col("before") < limit).agg(F.min("m")).scalar()
+    within = minutes.select("m", before.alias("before")).filter(F.col("before") < limit)
+    return within.agg(F.min("m")).scalar(), within.agg(F.max(F.col("m").isNull())).scalar()
 
 
 def newest(df: DataFrame, limit: int | None, ts: str = "timestamp") -> DataFrame:
-    """Newest first; ties by the larger id."""
+    """Newest first, rows without a time last; ties by the larger id."""
+    order = [F.desc_nulls_last(ts), F.desc("id")]
     if limit is None:
-        return df
-    if limit > DIRECT_LIMIT:
-        df = df.filter(F.date_trunc("minute", ts) >= _cutoff(df, limit, ts))
-    return df.orderBy(F.desc(ts), F.desc("id")).limit(limit)
+        return df.orderBy(*order)
+    begin, timeless = _edge(df, limit, ts)
+    return df.filter((F.col(ts) >= begin) | (F.col(ts).isNull() & timeless)).orderBy(*order).limit(limit)
 
 
 def packet_search(packets: DataFrame, c: PacketCriteria, limit: int | None = 1000) -> DataFrame:
@@ -129,10 +128,9 @@ def alert_view(alerts: DataFrame, text: str = "", severity: str | None = None,
             F.col("source_ip").contains(text)]))
     if severity is not None:
         df = df.filter(F.col("severity") == severity)
-    if limit is None:
-        return df
     key = severity_rank(F.col("severity")) if sort == "severity" else F.col(sort)
-    return df.orderBy(key.desc() if descending else key.asc(), F.desc("id") if descending else F.asc("id")).limit(limit)
+    df = df.orderBy(key.desc() if descending else key.asc(), F.desc("id") if descending else F.asc("id"))
+    return df if limit is None else df.limit(limit)
 
 
 def forensic_search(packets: DataFrame, connections: DataFrame, alerts: DataFrame, *,

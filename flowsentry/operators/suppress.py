@@ -1,21 +1,16 @@
 """Greedy alert suppression: cooldown and deduplication.
 
 An alert passes when no earlier *passed* alert of its key lies within the window. Which alerts pass
-depends on the order, so this is no plain window function. It is computed exactly in two ways:
-
-* Islands. A gap between neighbouring candidates that exceeds the window always lets the next one
-  pass, so every key falls into independent islands. An island of at most `fold_limit` moments is
-  folded as one sorted array.
-* Pointer jumping. In a larger island every candidate points to the one that would pass after it;
-  the chain from the island's first candidate is marked by doubling the pointers. That takes
-  log2(chain length) equi-joins on unique (key, moment) pairs, so a key that never falls silent is
-  still spread over all tasks.
+depends on the order, so this is no plain window function. It is computed exactly by pointers: gaps
+between neighbouring candidates that exceed the window cut every key into independent islands, the
+first candidate of an island passes, and every candidate points to the one that would pass after it.
+The chain from the first candidate is marked by doubling the pointers, which takes log2(longest chain)
+equi-joins on unique (key, moment) pairs and ends when no pointer is left. A key that never falls
+silent is spread over all tasks like any other.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +18,9 @@ from ..schema import SECOND_US
 from ..session import cut
 from .ordered import running, session_slices, slice_start, slice_width
 
-FOLD_LIMIT = 100_000
-
 
 def thin(candidates: DataFrame, keys: list[str], window_seconds: float, *, us: str = "us",
-         row_id: str = "id", inclusive: bool = False, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+         row_id: str = "id", inclusive: bool = False) -> DataFrame:
     """Rows of `candidates` that pass the suppression, all columns kept.
 
     inclusive=False passes when the elapsed time is longer than the window (cooldown),
@@ -36,39 +29,22 @@ def thin(candidates: DataFrame, keys: list[str], window_seconds: float, *, us: s
     window_us = int(round(window_seconds * SECOND_US))
     # read several times below, and the detectors that make the candidates are costly
     candidates = cut(candidates)
-    passed = passing_moments(candidates, keys, window_us, us=us, row_id=row_id,
-                             inclusive=inclusive, fold_limit=fold_limit)
+    passed = passing_moments(candidates, keys, window_us, us=us, row_id=row_id, inclusive=inclusive)
     same = [candidates[k].eqNullSafe(passed[f"_{k}"]) for k in keys]
     return candidates.join(
         passed, on=same + [candidates[us] == passed["_us"], candidates[row_id] == passed["_id"]],
         how="left_semi")
 
 
-def passing_moments(candidates, keys, window_us, *, us, row_id, inclusive, fold_limit) -> DataFrame:
+def passing_moments(candidates, keys, window_us, *, us, row_id, inclusive) -> DataFrame:
     """(_key…, _us, _id) of the rows that pass."""
     names = [f"_{k}" for k in keys]
     moments = (candidates.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)],
                                   F.col(us).alias("_us"))
                .agg(F.min(row_id).alias("_id")))
     islands = session_slices(moments, names, "_us", window_us, split_at_gap=inclusive)
-    sizes = islands.groupBy(*names, "session_us").agg(
-        F.sum("n").alias("size"), F.max("last_us").alias("end_us"))
-    longest = sizes.filter(F.col("size") > fold_limit).agg(
-        F.max(F.col("end_us") - F.col("session_us")).alias("span")).first()["span"]
-
     # (key, slice) -> island; a slice lies in one island, so this is one row per slice
-    placed = _place(moments, islands, names, window_us)
-    if longest is None:
-        return _fold_islands(placed, names, window_us, inclusive)
-    large = sizes.filter(F.col("size") > fold_limit).select(
-        *[F.col(n).alias(f"l{n}") for n in names], F.col("session_us").alias("l_session"))
-    on = [placed[n].eqNullSafe(large[f"l{n}"]) for n in names] + [
-        placed["session_us"] == large["l_session"]]
-    small_part = placed.join(large, on, "left_anti")
-    large_part = placed.join(large, on, "left_semi")
-    chain = longest // window_us + 2
-    return _fold_islands(small_part, names, window_us, inclusive).unionByName(
-        _jump(large_part, names, window_us, inclusive, chain))
+    return _jump(_place(moments, islands, names, window_us), names, window_us, inclusive)
 
 
 def _place(moments, islands, names, window_us):
@@ -79,36 +55,28 @@ def _place(moments, islands, names, window_us):
     return moments.join(of_slice, on).select(*names, "_us", "_id", "session_us")
 
 
-def _fold_islands(placed, names, window_us, inclusive):
-    moment = F.struct("_us", "_id")
-    sorted_moments = F.array_sort(F.collect_list(moment))
-
-    def step(acc, m):
-        last = F.element_at(acc, -1)["_us"]
-        free = (m["_us"] - last >= window_us) if inclusive else (m["_us"] - last > window_us)
-        return F.when(free, F.concat(acc, F.array(m))).otherwise(acc)
-
-    folded = placed.groupBy(*names, "session_us").agg(sorted_moments.alias("m"))
-    passed = F.aggregate(F.slice("m", 2, F.size("m")), F.slice("m", 1, 1), step)
-    return folded.select(*names, F.inline(passed))
-
-
-def _jump(placed, names, window_us, inclusive, chain):
-    """Mark the chain of every island by doubling pointers."""
-    nxt = cut(_next_pointers(placed, names, window_us, inclusive))
-    marked = nxt.filter(F.col("_us") == F.col("session_us")).select(*names, "session_us", "_us", "_id")
-    jump = nxt.select(*names, "_us", "_id", "next_us", "next_id").filter("next_us is not null")
-    for _ in range(max(1, math.ceil(math.log2(chain)))):
+def _jump(placed, names, window_us, inclusive):
+    """Mark the chain of every island by doubling pointers; marks and pointers of a round are one table."""
+    nxt = _next_pointers(placed, names, window_us, inclusive)
+    first = F.col("_us") == F.col("session_us")
+    state = cut(nxt.select(*names, "session_us", "_us", "_id", "next_us", "next_id", first.alias("marked")))
+    while True:
+        marked = state.filter("marked").select(*names, "session_us", "_us", "_id")
+        jump = state.filter("next_us is not null")
+        if jump.isEmpty():
+            return marked.select(*names, "_us", "_id")
         hop = _renamed(jump, names)
         on = [marked[n].eqNullSafe(hop[f"h{n}"]) for n in names] + [marked["_us"] == hop["h_us"]]
-        reached = marked.join(hop, on).select(
-            *names, "session_us", F.col("h_next_us").alias("_us"), F.col("h_next_id").alias("_id"))
-        on = [jump[n].eqNullSafe(hop[f"h{n}"]) for n in names] + [jump["next_us"] == hop["h_us"]]
-        doubled = jump.join(hop, on).select(
-            *names, "_us", "_id", F.col("h_next_us").alias("next_us"),
-            F.col("h_next_id").alias("next_id"))
-        marked, jump = cut(marked.unionByName(reached)), cut(doubled)
-    return marked.select(*names, "_us", "_id")
+        reached = marked.join(hop, on).select(*names, F.col("h_next_us").alias("r_us"))
+        reached = reached.select(*[F.col(n).alias(f"r{n}") for n in names], "r_us")
+        on = [state[n].eqNullSafe(hop[f"h{n}"]) for n in names] + [state["next_us"] == hop["h_us"]]
+        doubled = state.join(hop, on, "left").select(
+            *names, "session_us", "_us", "_id", F.col("h_next_us").alias("next_us"),
+            F.col("h_next_id").alias("next_id"), "marked")
+        on = [doubled[n].eqNullSafe(reached[f"r{n}"]) for n in names] + [doubled["_us"] == reached["r_us"]]
+        state = cut(doubled.join(reached, on, "left").select(
+            *names, "session_us", "_us", "_id", "next_us", "next_id",
+            (F.col("marked") | F.col("r_us").isNotNull()).alias("marked")))
 
 
 def _renamed(jump, names):

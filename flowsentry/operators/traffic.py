@@ -23,12 +23,22 @@ def since(as_of: datetime, hours: float) -> Column:
 
 
 def last_hours(df: DataFrame, as_of: datetime, hours: float, ts: str = "timestamp") -> DataFrame:
-    return df.filter(F.col(ts) >= since(as_of, hours))
+    begin = since(as_of, hours)
+    return _on_days(df, ts, begin).filter(F.col(ts) >= begin)
 
 
 def in_range(df: DataFrame, start: datetime, end: datetime, ts: str = "timestamp") -> DataFrame:
     """Closed range."""
-    return df.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    return _on_days(df, ts, first, last).filter(F.col(ts).between(first, last))
+
+
+def _on_days(df: DataFrame, ts: str, first: Column, last: Column | None = None) -> DataFrame:
+    """The date partitions that a time range can touch, where `df` has the day of `ts` as a column."""
+    if "date" not in df.columns or ts != "timestamp":
+        return df
+    df = df.filter(F.col("date") >= F.to_date(first))
+    return df if last is None else df.filter(F.col("date") <= F.to_date(last))
 
 
 def traffic_totals(packets: DataFrame, approximate: bool = False) -> DataFrame:

@@ -18,6 +18,7 @@ def build_session(master: str | None = None, app: str = "flowsentry", **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call-site capture costs more than the plan of a short query
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -29,12 +30,14 @@ def build_session(master: str | None = None, app: str = "flowsentry", **conf) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a scratch one where none is set."""
+    """The shared folder the cluster names, or a scratch one in local mode where none is set."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowsentry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

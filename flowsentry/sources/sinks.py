@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
@@ -14,7 +14,6 @@ from ..plans.reports import flat_summary
 from ..schema import ALERTS, CONNECTIONS, PACKETS
 from ..session import cut
 
-EXPORT_LIMIT = 10_000
 FORMATS = ("json", "csv")
 
 # What a packet, alert or connection lacks on arrival; a missing time is the time of writing.
@@ -55,14 +54,26 @@ def append_connections(df: DataFrame, path: str) -> None:
 
 
 def rewrite_kept(kept: DataFrame, dropped_days: DataFrame, path: str) -> None:
-    """Rewrite only the date partitions a retention rule touched.
+    """Rewrite only the date partitions a retention rule touched, and delete those that keep no row.
 
     `kept` must not read `path` lazily while it is overwritten, so it is cut first.
     """
-    touched = dropped_days.select(F.to_date("timestamp").alias("date")).distinct()
-    rows = cut(kept.withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi"))
+    day = F.to_date("timestamp").alias("date")
+    touched = cut(dropped_days.select(day).distinct())
+    rows = cut(kept.drop("date").withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi"))
+    # a dynamic overwrite leaves partitions alone that get no row; one small row per day
+    empty = [r["date"] for r in touched.join(rows, "date", "left_anti").collect()]
     (rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(path))
+    _drop_days(kept.sparkSession, path, empty)
+
+
+def _drop_days(spark: SparkSession, path: str, days: list) -> None:
+    jvm = spark._jvm
+    for d in days:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={'__HIVE_DEFAULT_PARTITION__' if d is None else d}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_alert_log(alerts: DataFrame, path: str, mode: str = "append") -> None:
@@ -115,7 +126,8 @@ def export_rows(df: DataFrame, path: str, exported_at: datetime, file_format: st
         df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def raw_export(kind: str, df: DataFrame, as_of: datetime, hours: float = 24, limit: int = EXPORT_LIMIT) -> DataFrame:
+def raw_export(kind: str, df: DataFrame, as_of: datetime, hours: float = 24,
+               limit: int | None = None) -> DataFrame:
     """Rows of one table for an export, newest first; `hours` counts for all three tables."""
     if kind == "packets":
         return newest(last_hours(df, as_of, hours), limit)

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from ..params import CustomRule
 from ..schema import ALERTS, CONNECTIONS, PACKETS, RULES
 
-MAX_RULES = 10_000
-
 
 def read_table(spark: SparkSession, path: str, schema, start: datetime | None = None,
                end: datetime | None = None) -> DataFrame:
-    """A stored table; `start` and `end` prune its date partitions where it has any."""
+    """A stored table; `start` and `end` prune its date partitions where it has any, and so do the time
+    filters of the operators: the partition column stays, behind the table's own."""
     df = spark.read.parquet(path)
     if "date" in df.columns:
         if start is not None:
             df = df.filter(F.col("date") >= F.lit(start).cast("date"))
         if end is not None:
             df = df.filter(F.col("date") <= F.lit(end).cast("date"))
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    day = ["date"] if "date" in df.columns and "date" not in schema.names else []
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *day)
 
 
 def read_packets(spark: SparkSession, path: str, **span) -> DataFrame:
@@ -44,11 +44,11 @@ def read_rules_table(spark: SparkSession, path: str) -> DataFrame:
     return config.select(F.explode("rules.custom_rules").alias("r")).select("r.*")
 
 
-def rules_from_table(table: DataFrame) -> list[CustomRule]:
-    """The rules as parameters. They are configuration, so their number is checked, not assumed."""
-    rows = table.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+def rules_from_table(table: DataFrame, most: int | None = None) -> list[CustomRule]:
+    """The rules as parameters: configuration, one small row each. With `most`, more rows are an error."""
+    rows = (table if most is None else table.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} rules")
     return [CustomRule(
         name=r["name"], description=r["description"] or "", pattern=r["pattern"],
         pattern_type=r["pattern_type"], severity=r["severity"] or "Medium",

@@ -8,6 +8,7 @@ import pytest
 from brute import S, T0, frame, packet
 from pyspark.sql import functions as F
 
+from flowsentry import session
 from flowsentry.operators import maintenance, search, traffic
 from flowsentry.params import AlertCriteria, CaptureFilter, CustomRule, PacketCriteria
 from flowsentry.plans import dashboard, reports
@@ -197,10 +198,59 @@ def test_defaults_fill_missing_columns(spark):
     assert (r.state, r.packet_count, r.bytes_sent) == ("ACTIVE", 1, 0) and r.first_seen is not None
 
 
-def test_large_limits_cut_by_minute(spark, monkeypatch):
-    monkeypatch.setattr(search, "DIRECT_LIMIT", 1)
+def test_newest_is_the_same_for_every_limit(spark):
     df = frame(spark, brute.random_packets(300, 4, 3000))
-    want = [r.id for r in df.orderBy(F.desc("timestamp"), F.desc("id")).limit(40).collect()]
-    assert [r.id for r in search.newest(df, 40).collect()] == want
-    assert search.newest(df, 10_000).count() == 300
+    df = df.withColumn("timestamp", F.when(F.col("id") % 7 != 0, F.col("timestamp")))  # some rows have no time
+    want = [r.id for r in df.orderBy(F.desc_nulls_last("timestamp"), F.desc("id")).collect()]
+    for limit in (1, 40, 256, 258, 280, 10_000):
+        assert [r.id for r in search.newest(df, limit).collect()] == want[:limit]
+    assert [r.id for r in search.newest(df, None).collect()] == want
     assert search.newest(df.filter("id < 0"), 5).count() == 0
+
+
+def test_alert_view_sorts_without_a_limit(spark):
+    a = spark.createDataFrame([(i, "t", "d", f"10.0.0.{i}", "High") for i in (3, 1, 2)],
+                              "id int, alert_type string, description string, source_ip string, severity string")
+    got = [r.id for r in search.alert_view(a, sort="source_ip", descending=False).collect()]
+    assert got == [1, 2, 3]
+
+
+def test_retention_deletes_days_that_expire_completely(spark, tmp_path):
+    path = f"{tmp_path}/packets"
+    day = datetime(2024, 1, 10)
+    rows = [(i, day - timedelta(days=i), "1.1.1.1", "2.2.2.2") for i in range(4)]
+    sinks.append_packets(spark.createDataFrame(rows, "id long, timestamp timestamp, src_ip string, dst_ip string"), path)
+    stored = tables.read_packets(spark, path)
+    old = maintenance.split(stored, maintenance.old_packets(day, 1))
+    assert old.counts().first().asDict() == {"kept": 2, "dropped": 2}
+    sinks.rewrite_kept(old.kept, old.dropped, path)
+    assert sorted(r.id for r in tables.read_packets(spark, path).collect()) == [0, 1]
+
+
+def test_time_filters_prune_days(spark, tmp_path):
+    path = f"{tmp_path}/packets"
+    rows = [(i, datetime(2024, 1, 1) + timedelta(days=i), "1.1.1.1", "2.2.2.2") for i in range(5)]
+    sinks.append_packets(spark.createDataFrame(rows, "id long, timestamp timestamp, src_ip string, dst_ip string"), path)
+    found = traffic.last_hours(tables.read_packets(spark, path), datetime(2024, 1, 5), 24)
+    assert sorted(r.id for r in found.collect()) == [3, 4]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            class sc:
+                class getCheckpointDir:
+                    isDefined = staticmethod(lambda: False)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session)
