@@ -21,23 +21,25 @@ from flowsentry.llm.common import SPACES, whole_texts, written
 
 #: Salted groups for one digest; the rows of the last combine are at most this many for a content.
 SALTS = 16
-_WIDTH = F.lit(str(2**65)).cast("decimal(38,0)")
-_TOP = F.lit(str(2**63)).cast("decimal(38,0)")
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
+def _big(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def _rank(n_points: Column, doc_id: Column) -> Column:
     """Length and id as one number whose maximum is the row that stays: longest, then smallest id, null last."""
-    id_part = F.coalesce(_TOP - doc_id.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    return (n_points.cast("decimal(38,0)") * _WIDTH + id_part).cast("decimal(38,0)")
+    id_part = F.coalesce(_big(2**63) - doc_id.cast("decimal(38,0)"), _big(0))
+    return (n_points.cast("decimal(38,0)") * _big(2**65) + id_part).cast("decimal(38,0)")
 
 
 def _id_of(rank: Column) -> Column:
-    id_part = rank % _WIDTH
-    return F.when(id_part != 0, (_TOP - id_part).cast("long"))
+    id_part = rank % _big(2**65)
+    return F.when(id_part != 0, (_big(2**63) - id_part).cast("long"))
 
 
 def _fingerprinted(texts: DataFrame) -> DataFrame:
