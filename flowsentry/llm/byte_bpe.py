@@ -1,13 +1,16 @@
 """Byte-level BPE: encoding by folding ranked merges, decoding by concatenating binary pieces.
 
-Documents are packed into blocks of bounded size, one row each: the block's distinct words as byte arrays,
-and for every document which words it is made of. Spark's higher-order functions then fold the merges over
-each distinct word once, `aggregate` doing one merge a step, and put the documents' ids together by position.
-No row is shuffled, and what a task holds is one block.
-
-The rank map is a literal: a cuckoo hash table in one array, built from the vocabulary alone, so that a
-lookup is two positions and not a search. A pair is in the map if joining it is how its token is built from
-the lower ranks; as all merges of lower rank come first, no other split of a token's bytes is ever the best.
+Documents are packed into blocks of bounded size, one row each: the block's distinct words as arrays of their
+bytes' ids, each with the rank of joining it to the next, and for every document which words it is made of.
+Spark's higher-order functions then fold the merges over each distinct word once, `aggregate` doing one merge
+a step, and put the documents' ids together by position. No text is shuffled, and a task holds one block.
+Words that are frequent in a bounded sample of the documents are folded first, once for all blocks, and their
+ids go to every task; this saves time only, as every other word is folded in its block.
+
+The rank map is a literal: the pairs of each left id as a row, and all rows laid over one another in one
+array, built from the vocabulary alone, so that a lookup is two positions and not a search. A pair is in the
+map if joining it is how its token is built from the lower ranks; as all merges of lower rank come first, no
+other split of a token's bytes is ever the best.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; null ids, repeated rows and other
 columns do not matter to a text's ids; a text longer than a block is a block by itself; an empty table gives
@@ -17,8 +20,8 @@ an empty result.
 from __future__ import annotations
 
 import base64
-import hashlib
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm import pieces as cutting
-from flowsentry.llm.common import whole_texts
+from flowsentry.llm.common import Shipped, whole_texts
 
 register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of text in a block, unless one text is longer.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
+#: Documents in the sample whose words are folded first, and how many of its words are remembered.
+SAMPLE_DOCS, KNOWN_WORDS = 24_000, 400_000
 _BITS = 17  # of an id
 _ID = (1 << _BITS) - 1
+_ALL = 2**30  # more parts than a string can have words or bytes in one block
 _NONE = 1 << 2 * _BITS + 1  # above every rank << _BITS | id
 
 
@@ -67,26 +73,22 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return found
 
 
-def cuckoo(pairs: dict[tuple[int, int], int]) -> tuple[list[int], int, int]:
-    """A table in two halves of sizes m and n: a pair's entry is at key % m or at m + key % n."""
-    m = max(len(pairs), 8) | 1
-    while True:
-        n = m + 2
-        slots = [0] * (m + n)
-        for (left, right), merged in pairs.items():
-            entry, side = (left << _BITS | right) << _BITS | merged, 0
-            for _ in range(500):
-                key = entry >> _BITS
-                at = key % m if side == 0 else m + key % n
-                entry, slots[at] = slots[at], entry
-                if not entry:
-                    break
-                side = 1 if at < m else 0
-            if entry:
-                break
-        else:
-            return slots, m, n
-        m += 1000
+def displaced(pairs: dict[tuple[int, int], int], width: int) -> tuple[list[int], list[int]]:
+    """The pairs as rows laid over one another: the entry of (left, right) is at shift[left] + right and holds
+    merged << _BITS | left, so that an entry of another row shows by its left id. `width` ids and one more,
+    which is no part of any pair, can be looked up."""
+    rows: dict[int, list[int]] = {}
+    for left, right in pairs:
+        rows.setdefault(left, []).append(right)
+    room = max(3 * len(pairs), 64) | 1
+    table, shift = np.full(room + width, -1, np.int64), np.zeros(width + 1, np.int64)
+    for left, rights in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        right, at = np.array(rights), left
+        while (table[at + right] >= 0).any():  # the long rows come first, while there is most room
+            at = (at + 8192) % room  # a power of two and an odd room: every place in turn
+        shift[left] = at
+        table[at + right] = [pairs[left, r] << _BITS | left for r in rights]
+    return shift.tolist(), table.tolist()
 
 
 def _once(value: Column, then) -> Column:
@@ -94,54 +96,51 @@ def _once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _either(condition: Column, then: Column, otherwise: Column) -> Column:
+    return F.call_function("if", condition, then, otherwise)
+
+
 def _numbers(values: list[int]) -> Column:
     """A literal array; as text, as one literal per number would make a plan of as many nodes."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def fold_word(word: Column, table: Column, m: int, n: int) -> Column:
-    """The ids of a word given as ids of its bytes. The fold's state holds, for each part, the rank of joining
-    it with the next one above the part's id, so the least entry is the next merge, the leftmost of equals."""
+def fold_word(word: Column, shift: Column, table: Column) -> Column:
+    """The ids of a word. The state has, for each part, the rank of joining it with the next one above the
+    part's id, so that its least entry is the next merge, the leftmost of equals; in front of them is an entry
+    that never merges, so that there is always a part before."""
     def joined(left: Column, right: Column) -> Column:
-        """rank << _BITS | left, or _NONE | left where the pair is no merge or there is no right part."""
-        key = F.shiftleft(left, _BITS).bitwiseOR(right)
-
-        def pick(k):
-            a, b = F.get(table, (k % m).cast("int")), F.get(table, (k % n).cast("int") + m)
-            return (F.when(F.shiftright(a, _BITS) == k, F.shiftleft(a.bitwiseAND(_ID), _BITS))
-                    .when(F.shiftright(b, _BITS) == k, F.shiftleft(b.bitwiseAND(_ID), _BITS))
-                    .otherwise(F.lit(_NONE))).bitwiseOR(left)
-
-        return F.when(right.isNull(), left.bitwiseOR(F.lit(_NONE))).otherwise(_once(key, pick))
-
-    start = F.transform(word, lambda x, i: joined(x, F.get(word, i + 1)))
+        entry = F.get(table, (F.get(shift, left.cast("int")) + right).cast("int"))
+        return _either(entry.bitwiseAND(_ID) == left, entry, left.bitwiseOR(F.lit(_NONE)))
 
     def step(state, _):
-        def merge(best):
-            def at(p):
-                new = F.shiftright(best, _BITS)
-                before = F.get(state, p - 2).bitwiseAND(_ID)
-                after = F.get(state, p + 1).bitwiseAND(_ID)
-                return F.concat(
-                    F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), F.array(joined(before, new))))
-                    .otherwise(F.array().cast("array<bigint>")),
-                    F.array(joined(new, after)),
-                    F.slice(state, p + 2, F.size(state)))
-
-            return F.when(best >= _NONE, state).otherwise(
-                _once(F.array_position(state, best).cast("int"), at))
+        def merge(p):
+            best = F.get(state, p - 1)
+            new = F.shiftright(best, _BITS)
+            # flatten puts arrays together faster than concat does
+            return _either(best >= _NONE, state, F.flatten(F.array(
+                F.slice(state, F.lit(1), p - 2),
+                F.array(joined(F.get(state, p - 2).bitwiseAND(_ID), new),
+                        joined(new, F.get(state, p + 1).bitwiseAND(_ID))),
+                F.slice(state, p + 2, F.lit(_ALL)))))
 
-        return _once(F.array_min(state), merge)
+        return _once(F.array_position(state, F.array_min(state)).cast("int"), merge)
 
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step)
-    return F.when(F.size(word) < 2, word).otherwise(F.transform(folded, lambda x: x.bitwiseAND(_ID)))
+    folded = _either(F.size(word) < 3, word, F.aggregate(F.sequence(F.lit(3), F.size(word)), word, step))
+    return F.transform(F.slice(folded, F.lit(2), F.lit(_ALL)), lambda x: x.bitwiseAND(_ID))
 
 
 class Packer:
     """Rows of (words, docs) from batches of documents."""
 
-    def __init__(self, pattern: str, byte_ids: list[int], block_chars: int):
-        self.pattern, self.byte_ids, self.block_chars = regex.compile(pattern), np.array(byte_ids, np.int64), block_chars
+    def __init__(self, pattern: str, ranks: dict[bytes, int], block_chars: int, known=None):
+        self.known = known  # a broadcast of words and their ids
+        self.pattern, self.block_chars, self.edge = regex.compile(pattern), block_chars, max(ranks.values()) + 1
+        ids = [ranks[bytes([b])] for b in range(256)]
+        #: the state's entry of a byte before another one, and at a word's end
+        self.pairs = np.array([[ranks.get(bytes([a, b]), _NONE >> _BITS) << _BITS | ids[a] for b in range(256)]
+                               for a in range(256)], np.int64)
+        self.last = np.array(ids, np.int64) | _NONE
 
     def blocks(self, batches):
         ids, texts, size = [], [], 0
@@ -159,11 +158,14 @@ class Packer:
     def pack(self, ids: list, texts: list[str]) -> pa.RecordBatch:
         rows = [cutting.pieces(t) for t in texts]
         flat = pa.array([p for r in rows for p in r], pa.string()).dictionary_encode()
-        words, spans = {}, []
-        for p in flat.dictionary.to_pylist():  # each distinct piece: the numbers of its words
-            spans.append([words.setdefault(w, len(words)) for w in self.pattern.findall(p)])
+        known = self.known.value if self.known else {}
+        words, seen, spans = {}, {}, []
+        for p in flat.dictionary.to_pylist():  # each distinct piece: the numbers of its words, known ones below 0
+            spans.append([-1 - seen.setdefault(w, len(seen)) if w in known else words.setdefault(w, len(words))
+                          for w in self.pattern.findall(p)])
         length = np.fromiter(map(len, spans), np.int64, len(spans))
         numbers = np.fromiter((w for s in spans for w in s), np.int32, int(length.sum()))
+        numbers = np.where(numbers < 0, -1 - numbers, numbers + len(seen)).astype(np.int32)
         first = np.cumsum(length) - length
         piece = flat.indices.to_numpy(zero_copy_only=False)
         count = length[piece] if len(piece) else np.empty(0, np.int64)
@@ -172,60 +174,119 @@ class Packer:
             if len(piece) else np.empty(0, np.int32)
         row_ends = np.cumsum([0, *map(len, rows)])
         offsets = np.concatenate([[0], ends])[row_ends].astype(np.int32)
-        raw = [w.encode() for w in words]
-        word_ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-        letters = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        starts, state = self.states([w.encode() for w in words])
         docs = pa.StructArray.from_arrays(
             [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32)))],
             names=["doc_id", "at"])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays(
-            [one(pa.ListArray.from_arrays(word_ends, pa.array(letters))), one(docs)], names=["words", "docs"])
+            [one(_lists([known[w] for w in seen])),
+             one(pa.ListArray.from_arrays(starts, pa.array(state))), one(docs)], names=["known", "words", "docs"])
+
+    def counted(self, batches):
+        """word, n of a batch."""
+        for batch in batches:
+            found = Counter()
+            for text in batch.column("text").to_pylist():
+                found.update(self.pattern.findall(text))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
+                                             names=["word", "n"])
+
+    def stated(self, batches):
+        """One row for a batch of words: the words and their first states."""
+        for batch in batches:
+            starts, state = self.states([w.encode() for w in batch.column("word").to_pylist()])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [one(batch.column("word")), one(pa.ListArray.from_arrays(starts, pa.array(state)))],
+                names=["names", "words"])
+
+    def states(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The folds' first states, one after another: an edge and an entry for each byte."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = np.cumsum(np.r_[0, sizes + 1]).astype(np.int32)
+        entry = self.pairs[data, np.r_[data[1:], np.uint8(0)]] if len(data) else self.last[:0]
+        ends = np.cumsum(sizes) - 1
+        entry[ends] = self.last[data[ends]]
+        state = np.full(int(starts[-1]), self.edge | _NONE, np.int64)
+        inner = np.ones(len(state), bool)
+        inner[starts[:-1]] = False
+        state[inner] = entry
+        return starts, state
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id and ids (array of long) of every row."""
-    packer = Packer(pattern, [ranks[bytes([b])] for b in range(256)], block_chars)
-    slots, m, n = cuckoo(merges(ranks))
-    blocks = whole_texts(df, id_col, text_col).mapInArrow(
-        lambda batches: packer.blocks(batches),
-        "words array<array<bigint>>, docs array<struct<doc_id: bigint, at: array<int>>>")
-    encoded = _once(_numbers(slots), lambda table: F.transform("words", lambda w: fold_word(w, table, m, n)))
-    return blocks.select(F.inline(_once(encoded, lambda ids: F.transform("docs", lambda d: F.struct(
+    texts = whole_texts(df, id_col, text_col)
+    shift, table = displaced(merges(ranks), max(ranks.values()) + 1)
+    folded = _once(_numbers(shift), lambda shifts: _once(_numbers(table), lambda entries: F.transform(
+        "words", lambda w: fold_word(w, shifts, entries))))
+    packer = Packer(pattern, ranks, block_chars)
+    known = Shipped(df.sparkSession, _known_words(texts, packer, folded))
+    packer = Packer(pattern, ranks, block_chars, known)
+    blocks = texts.mapInArrow(
+        lambda batches: packer.blocks(batches), "known array<array<bigint>>, words array<array<bigint>>, "
+                                                "docs array<struct<doc_id: bigint, at: array<int>>>")
+    return blocks.select(F.inline(_once(F.concat("known", folded), lambda ids: F.transform("docs", lambda d: F.struct(
         d["doc_id"].alias("doc_id"),
         F.flatten(F.transform(d["at"], lambda i: F.get(ids, i))).alias("ids"))))))
 
 
+def _known_words(texts: DataFrame, packer: Packer, folded: Column) -> dict[str, bytes]:
+    """The ids of the most frequent words in the sample, packed: `KNOWN_WORDS` at most."""
+    share = max(1, texts.count() // SAMPLE_DOCS)
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * SAMPLE_DOCS)
+    top = (sample.mapInArrow(lambda batches: packer.counted(batches), "word string, n long")
+           .groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS))
+    found = (top.select("word").repartition("word")
+             .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
+             .select("names", folded.alias("ids")).toArrow())
+    known = {}
+    for names, ids in zip(found.column("names"), found.column("ids")):
+        ends = ids.values.offsets.to_numpy()
+        flat = ids.values.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        for i, name in enumerate(names.values.to_pylist()):
+            known[name] = flat[4 * ends[i]:4 * ends[i + 1]]
+    return known
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their little-endian 32-bit forms."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4").astype(np.int64)))
+
+
+def _pieces_of(ids: Column, every: bytes, start, size) -> Column:
+    """The pieces of one long binary for each id, one after another."""
+    whole = F.lit(bytearray(every))
+    # the string type only carries the bytes: neither this cast nor the join looks at them
+    return F.array_join(F.transform(ids, lambda i: F.substr(whole, start(i), size(i)).cast("string")), "").cast("binary")
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
     """`df` with a binary column: the ids' pieces one after another. An id outside the vocabulary gives no
     bytes; null ids give null."""
     by_rank = {r: t for t, r in ranks.items()}
     tokens = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
     starts = _numbers([1, *(1 + np.cumsum([len(t) for t in tokens])).tolist()])
-    every = F.lit(bytearray(b"".join(tokens)))
 
-    def piece(i):
-        at = i.cast("int")
-        # the string type only carries the bytes: neither this cast nor the join looks at them
-        return F.substr(every, F.get(starts, at).cast("int"),
-                        (F.get(starts, at + 1) - F.get(starts, at)).cast("int")).cast("string")
+    def start(i):
+        return F.get(starts, i.cast("int")).cast("int")
+
+    return df.withColumn(out, _pieces_of(F.col(ids_col), b"".join(tokens), start, lambda i: start(i + 1) - start(i)))
 
-    return df.withColumn(out, F.array_join(F.transform(F.col(ids_col), piece), "").cast("binary"))
 
+def little_endian(ids: Column, width: int) -> Column:
+    """Ids below `width` as little-endian unsigned 32-bit integers."""
+    every = np.arange(width, dtype="<u4").tobytes()
+    return _pieces_of(ids, every, lambda i: (i * 4 + 1).cast("int"), lambda i: F.lit(4))
 
-def digests(df: DataFrame) -> DataFrame:
+
+def digests(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 of encoded and
     decoded rows."""
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids")
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)),
-                pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()),
-                batch.column("decoded_sha256")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select("doc_id", "ids", F.sha2("bytes", 256).alias("decoded_sha256")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                     F.sha2(little_endian(F.col("ids"), max(ranks.values()) + 1), 256).alias("ids_sha256"),
+                     F.sha2("bytes", 256).alias("decoded_sha256"))
