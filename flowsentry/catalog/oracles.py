@@ -336,6 +336,15 @@ ORACLES: dict[str, str] = {
     "alert_view": sql(f"SELECT {ALERT} FROM a WHERE contains(lower(alert_type), 'scan') "
                       f"OR contains(lower(description), 'scan') OR contains(source_ip, 'SCAN') "
                       f"ORDER BY {RANK} DESC, id DESC LIMIT 50"),
+    "resolved_alerts_large": sql(f"SELECT {ALERT} FROM (SELECT * REPLACE (CASE WHEN id % 10 <> 0 THEN resolved_us END "
+                                 "AS resolved_us) FROM a) WHERE resolved ORDER BY resolved_us DESC NULLS LAST, id DESC LIMIT 1500"),
+    "alert_view_all": sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS sort, {down} AS descending, id, row_number() OVER (ORDER BY {key} {way}, id {way}) AS n FROM a"
+        for name, key in (("severity", RANK), ("alert_type", "alert_type"), ("source_ip", "source_ip"), ("timestamp", "us"))
+        for down, way in ((True, "DESC"), (False, "ASC")))),
+    "raw_export_packets": sql(f"SELECT {PACKET} FROM p WHERE us >= {AS_OF} - {120 * HOUR}"),
+    "raw_export_connections": sql(f"""SELECT protocol, state, count(*) AS n, CAST(sum(packet_count) AS BIGINT) AS packets
+FROM c WHERE last_seen_us >= {FAST_AS_OF} - {5 * MINUTE} AND state = 'ACTIVE' GROUP BY 1, 2""", "flows"),
     "alerts_by_source": sql(f"SELECT {ALERT} FROM a WHERE source_ip = '203.0.113.3' AND us >= {AS_OF} - {240 * HOUR}"),
     "alert_listing": sql(f"SELECT {ALERT} FROM a WHERE severity = 'Critical' AND resolved "
                          f"AND us >= {AS_OF} - {480 * HOUR} ORDER BY us DESC, id DESC LIMIT 50"),
@@ -599,14 +608,17 @@ FROM rule_hits k JOIN rule_g g ON g.gk = k.rule_name || '|' || k.src_ip AND g.us
                               "payload", RULE_HITS, RULE_FIRED),
     "rule_errors": """WITH t AS (SELECT *, count(*) OVER (PARTITION BY name) AS copies FROM (
   SELECT CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'twin' ELSE 'rule ' || item_id END AS name, text AS description,
-    CASE WHEN item_id % 7 <> 0 THEN text END AS pattern, item_id FROM benchmark))
+    CASE WHEN item_id % 8 = 0 THEN '(?P<x>a)' WHEN item_id % 7 <> 0 THEN text END AS pattern, item_id FROM benchmark))
 SELECT name, errors, count(*) AS n FROM (SELECT name, concat_ws('; ', CASE WHEN name = '' THEN 'name is empty' END,
   CASE WHEN length(description) > 500 THEN 'description is longer than 500' END,
   CASE WHEN coalesce(pattern, '') = '' THEN 'pattern is empty' END,
   CASE WHEN length(pattern) > 1000 THEN 'pattern is longer than 1000' END,
-  CASE WHEN item_id % 3 = 0 THEN 'unknown pattern type' END, CASE WHEN item_id % 4 = 0 THEN 'unknown severity' END,
+  CASE WHEN item_id % 3 = 0 AND item_id % 8 <> 0 THEN 'unknown pattern type' END,
+  CASE WHEN item_id % 8 = 0 THEN 'regex does not compile' END, CASE WHEN item_id % 4 = 0 THEN 'unknown severity' END,
   CASE WHEN item_id % 6 = 0 THEN 'unknown protocol' END, CASE WHEN copies > 1 THEN 'duplicate name' END) AS errors FROM t)
 GROUP BY ALL""",
+    "custom_rules_many": sql("""SELECT 'rule ' || r AS rule_name, count(*) AS n, count(DISTINCT src_ip) AS sources
+FROM texts, (SELECT unnest(range(300)) AS r) WHERE r <> 7 AND contains(lower(body), CAST(r AS VARCHAR)) GROUP BY r""", "payload"),
     "alerts_cooled": sql("SELECT id, us, gk AS src_ip FROM cooled", greedy("cooled", "pf", "src_ip", COOL)),
     "alerts_cooled_hot": sql("SELECT id, us, gk AS key FROM cooled", greedy("cooled", "pf", "'all'", "> g.us + 60000000")),
     "alerts_deduped": sql("""SELECT k.id AS seq, k.us, k.alert_type, k.source_ip, k.destination_ip FROM ka k
@@ -615,6 +627,7 @@ JOIN kept g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", """
                           greedy("kept", "ka", "ak", f">= g.us + {12 * HOUR}")),
     "pipeline_alerts": sql("""SELECT k.packet_id, k.us, k.detector, k.alert_type, k.severity, k.source_ip, k.destination_ip,
   k.description FROM keyed_alerts k JOIN stored_g g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", *PIPELINE),
+    "pipeline_alert_ids": 'SELECT true AS "unique", true AS "any"',
     "pipeline_statistics": sql("""SELECT n AS packets_processed, t AS threats_detected, r AS alerts_processed, s AS alerts_stored,
   r - s AS alerts_suppressed, round(t / n * 100, 6) AS detection_rate FROM (SELECT (SELECT count(*) FROM pf) AS n,
   (SELECT count(DISTINCT packet_id) FROM keyed_alerts) AS t, (SELECT count(*) FROM keyed_alerts) AS r,
@@ -652,6 +665,8 @@ UNION ALL SELECT 'alerts', count(*) FILTER (us >= {AS_OF} - {10 * DAY} OR NOT re
 UNION ALL SELECT 'all_alerts', count(*) FILTER (us >= {AS_OF} - {10 * DAY}), count(*) FILTER (us < {AS_OF} - {10 * DAY}) FROM a
 UNION ALL SELECT 'connections', count(*) FILTER (state <> 'ACTIVE'), count(*) FILTER (state = 'ACTIVE') FROM c""", "flows"),
     "retention_kept": sql(f"SELECT {ALERT} FROM a WHERE us >= {AS_OF} - {10 * DAY} OR NOT resolved"),
+    "retention_applied": sql(f"""SELECT strftime(make_timestamp(us), '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids
+FROM p WHERE us >= {AS_OF} - {10 * DAY} GROUP BY 1"""),
     "timeout_connections": sql(f"""SELECT CASE WHEN state = 'ACTIVE' AND last_seen_us < {FAST_AS_OF} - {2 * HOUR} THEN 'TIMEOUT'
   ELSE state END AS state, count(*) AS connections FROM c GROUP BY 1""", "flows"),
     "resolve_alerts": sql(f"""SELECT id, us AS timestamp_us, alert_type, severity, source_ip, destination_ip, description,

@@ -5,11 +5,12 @@ Moments come out as epoch microseconds and doubles rounded, so that results comp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode, scalars
@@ -18,7 +19,8 @@ from ..operators import (alerts as al, anomaly, baseline, features, flood, flows
                          scan, search, suppress, traffic)
 from ..params import (AlertCriteria, CaptureFilter, ConnectionCriteria, CustomRule, PacketCriteria, Thresholds)
 from ..plans import dashboard, pipeline, reports
-from ..sources import mapping, sinks
+from ..session import ensure_checkpoint_dir
+from ..sources import mapping, sinks, tables
 from ..streaming import live, stateful, windows
 
 AS_OF = datetime(2024, 1, 31)
@@ -143,6 +145,35 @@ def alert_search(spark, d):
     return alert_rows(search.alert_search(A(spark, d), AlertCriteria(severity="High", resolved=False), 100))
 
 
+@query
+def resolved_alerts_large(spark, d):
+    """A limit above a thousand, with resolved alerts that have no time of resolution."""
+    a = A(spark, d)
+    a = a.withColumn("resolved_at", F.when(F.col("id") % 10 != 0, F.col("resolved_at")))
+    return alert_rows(search.resolved_alerts(a, 1500))
+
+
+@query
+def alert_view_all(spark, d):
+    """Every sort in both directions without a limit; `n` is the place in it."""
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    return reduce(lambda a, b: a.unionByName(b), [
+        search.alert_view(A(spark, d), sort=sort, descending=down).select("id").withColumn("n", place).select(
+            F.lit(sort).alias("sort"), F.lit(down).alias("descending"), "id", "n")
+        for sort in search.SORT_FIELDS for down in (True, False)])
+
+
+@query
+def raw_export_packets(spark, d):
+    return micros(sinks.raw_export("packets", P(spark, d), AS_OF, 120), "timestamp").select(*PACKET_COLUMNS)
+
+
+@query
+def raw_export_connections(spark, d):
+    found = sinks.raw_export("connections", C(spark, d), FAST_AS_OF, 1)
+    return found.groupBy("protocol", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_count").alias("packets"))
+
+
 @query
 def alert_view(spark, d):
     return alert_rows(search.alert_view(A(spark, d), "SCAN", sort="severity", limit=50))
@@ -603,14 +634,28 @@ def rule_errors(spark, d):
     t = spark.read.parquet(f"{d}/benchmark.parquet").select(
         F.when(c("item_id") % 5 == 0, "").when(c("item_id") % 5 == 1, "twin").otherwise(
             F.concat(F.lit("rule "), c("item_id").cast("string"))).alias("name"),
-        c("text").alias("description"), F.when(c("item_id") % 7 != 0, c("text")).alias("pattern"),
-        F.when(c("item_id") % 3 == 0, "glob").otherwise("string").alias("pattern_type"),
+        c("text").alias("description"), F.when(c("item_id") % 8 == 0, "(?P<x>a)").when(
+            c("item_id") % 7 != 0, c("text")).alias("pattern"),
+        F.when(c("item_id") % 8 == 0, "regex").when(c("item_id") % 3 == 0, "glob").otherwise("string").alias(
+            "pattern_type"),
         F.when(c("item_id") % 4 == 0, "severe").otherwise("High").alias("severity"),
         F.when(c("item_id") % 6 == 0, "sctp").otherwise("TCP").alias("protocol"))
     return rules.rule_errors(t).groupBy("name", F.array_join("errors", "; ").alias("errors")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
+@query
+def custom_rules_many(spark, d):
+    """Three hundred rules made from a table, and one whose regex does not compile."""
+    t = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 300").select(
+        F.concat(F.lit("rule "), F.col("event_id").cast("string")).alias("name"), F.lit("a number").alias("description"),
+        F.when(F.col("event_id") == 7, "(?P<x>7)").otherwise(F.col("event_id").cast("string")).alias("pattern"),
+        F.when(F.col("event_id") == 7, "regex").otherwise("string").alias("pattern_type"), F.lit("Low").alias("severity"),
+        F.lit(True).alias("enabled"), F.lit("any").alias("protocol"), F.lit(None).cast("array<int>").alias("ports"))
+    found = rules.rule_matches(PF(spark, d), tables.rules_from_table(t))
+    return found.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_ip").alias("sources"))
+
+
 @query
 def alerts_cooled(spark, d):
     """A five-minute cooldown per source over all squeezed packets."""
@@ -640,6 +685,14 @@ def pipeline_alerts(spark, d):
                            "description")
 
 
+@query
+def pipeline_alert_ids(spark, d):
+    """Stored alerts and their ids, with two rules that fire on the same packets."""
+    twice = [*RULES, CustomRule("get again", "request line", "get", "string", "Low", True, "any", ())]
+    stored = al.to_table(pipeline.run(PF(spark, d), TEST, twice).stored)
+    return stored.agg((F.count_distinct("id") == F.count(F.lit(1))).alias("unique"), (F.count(F.lit(1)) > 0).alias("any"))
+
+
 @query
 def pipeline_statistics(spark, d):
     return pipeline.statistics(pipeline.run(PF(spark, d), TEST, RULES)).withColumns(r6("detection_rate"))
@@ -731,12 +784,12 @@ def anomaly_statistics(spark, d):
 @query
 def retention(spark, d):
     cut_at = AS_OF
-    tables = {"packets": (P(spark, d), maintenance.old_packets(cut_at, 10)),
+    rules_by_table = {"packets": (P(spark, d), maintenance.old_packets(cut_at, 10)),
               "alerts": (A(spark, d), maintenance.old_resolved_alerts(cut_at, 10)),
               "all_alerts": (A(spark, d), maintenance.old_alerts(cut_at, 10)),
               "connections": (maintenance.time_out_connections(C(spark, d), cut_at, 24),
                               maintenance.old_closed_connections(cut_at, 10))}
-    return maintenance.deletion_counts(tables)
+    return maintenance.deletion_counts(rules_by_table)
 
 
 @query
@@ -744,6 +797,17 @@ def retention_kept(spark, d):
     return alert_rows(maintenance.split(A(spark, d), maintenance.old_resolved_alerts(AS_OF, 10)).kept)
 
 
+@query
+def retention_applied(spark, d):
+    """Packets written by day, ten days kept, read back; most days expire completely."""
+    path = f"{ensure_checkpoint_dir(spark)}/retention/{uuid.uuid4().hex}"
+    sinks.append_packets(P(spark, d), path)
+    old = maintenance.split(tables.read_packets(spark, path), maintenance.old_packets(AS_OF, 10))
+    sinks.rewrite_kept(old.kept, old.dropped, path)
+    return tables.read_packets(spark, path).groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query
 def timeout_connections(spark, d):
     t = maintenance.time_out_connections(C(spark, d), FAST_AS_OF, 2)
@@ -772,7 +836,7 @@ def purge_like(spark, d):
     tables = {"alerts": (a, maintenance.sample_alert()),
               "alert_hosts": (a, maintenance.sample_address("source_ip", "destination_ip")),
               "packets": (P(spark, d), maintenance.sample_address())}
-    return maintenance.deletion_counts(tables)
+    return maintenance.deletion_counts(rules_by_table)
 
 
 @query
