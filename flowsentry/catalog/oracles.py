@@ -692,14 +692,23 @@ HAVING max(us) + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM sy
     "stream_flows": sql("""SELECT * EXCLUDE (state, connection_duration, closed) FROM c
 WHERE last_seen_us + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM pf)""", "flows"),
     "stream_flow_states": sql("""SELECT first_seen_us AS first_us, last_seen_us AS last_us, * EXCLUDE (first_seen_us, last_seen_us,
-  connection_duration, closed) FROM c
-WHERE closed OR (last_seen_us + 300001000 + 999) // 1000 <= (SELECT max(us) // 1000 - 600000 FROM pf)""", "flows"),
+  connection_duration, closed) FROM c""", "flows"),
     "stream_dedup": sql("SELECT us, id, gk AS src_ip FROM kept", "payload", PAYLOAD_HITS,
                         greedy("kept", "payload_hits", "src_ip", ">= g.us + 600000000")),
     "stream_scan_alerts": sql("""SELECT k.us, k.id, k.session_us, k.ports, k.targets, k.attempts, k.failures, k.src_ip, k.dst_ip
 FROM scan_cand k JOIN scan_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "scan", SCAN_FIRED),
-    "stream_features": sql("SELECT id, us, src_ip, round(packets_per_second, 6) AS packets_per_second, "
+    "stream_features": sql("SELECT * EXCLUDE (timestamp_us) REPLACE (round(packets_per_second, 6) AS packets_per_second, "
                            "round(bytes_per_second, 6) AS bytes_per_second, CAST(unique_ports_accessed AS BIGINT) "
-                           "AS unique_ports_accessed FROM feat", PORT_SPELLS),
+                           "AS unique_ports_accessed) FROM (SELECT *, 0 AS timestamp_us FROM feat)", PORT_SPELLS),
+    "stream_flood_alerts": sql("""SELECT k.id AS packet_id, k.us, k.severity, k.src_ip AS source_ip,
+  format('Potential DDoS attack detected from {}. Connection rate: {:.1f} connections/second.', k.src_ip, k.rate) AS description
+FROM flood_cand k JOIN flood_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "flood", FLOOD_CAND, FLOOD_FIRED),
+    "stream_payload_alerts": sql(r"""SELECT k.id AS packet_id, k.us, 'Suspicious Payload' AS alert_type, 'High' AS severity,
+  k.src_ip AS source_ip, k.dst_ip AS destination_ip,
+  'Suspicious sql injection pattern detected in traffic from ' || k.src_ip || '.' AS description,
+  '{"pattern_category":"sql_injection","target_port":' || k.dst_port || ',"protocol":"' || k.protocol
+  || '","payload_size":' || k.payload_size
+  || ',"matched_pattern":"(?i)(\\''\\s*or\\s+\\d+\\s*=\\s*\\d+|\\''\\s*or\\s+\\''.*\\''=\\'')"}' AS details
+FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "payload", PAYLOAD_HITS, PAYLOAD_FIRED),
     "stream_rule_matches": sql("SELECT id, src_ip, rule_name FROM rule_hits", "payload", RULE_HITS),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PATTERNS, any_match, matched_patterns, payload_text
@@ -16,13 +16,21 @@ from .suppress import thin
 MIN_PAYLOAD = 10
 
 
+def is_suspicious(columns: list[str], patterns: dict = PATTERNS) -> Column:
+    """Whether a packet's payload is long enough and matches any pattern."""
+    text = payload_text(columns)
+    return (F.col("payload_size") >= MIN_PAYLOAD) & text.isNotNull() & any_match(text, patterns)
+
+
+def match_columns(columns: list[str], patterns: dict = PATTERNS) -> list[Column]:
+    return [F.col("id"), us(F.col("timestamp")).alias("us"),
+            *map(F.col, ("src_ip", "dst_ip", "dst_port", "protocol", "payload_size")),
+            matched_patterns(payload_text(columns), patterns).alias("matches")]
+
+
 def payload_matches(packets: DataFrame, patterns: dict = PATTERNS) -> DataFrame:
     """Packets whose payload matches, with all matched categories in category order."""
-    text = payload_text(packets.columns)
-    rows = packets.filter(F.col("payload_size") >= MIN_PAYLOAD).withColumn("_text", text)
-    return rows.filter(F.col("_text").isNotNull() & any_match(F.col("_text"), patterns)).select(
-        "id", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port", "protocol",
-        "payload_size", matched_patterns(F.col("_text"), patterns).alias("matches"))
+    return packets.filter(is_suspicious(packets.columns, patterns)).select(*match_columns(packets.columns, patterns))
 
 
 def text_matches(table: DataFrame, key: str, text: str, patterns: dict = PATTERNS) -> DataFrame:
@@ -43,9 +51,8 @@ def payload_alerts(packets: DataFrame, p: Thresholds = Thresholds(), patterns: d
     """
     c = F.col
     matches = cut(payload_matches(packets, patterns))
-    found = {r[0] for r in matches.select(F.explode("matches.category")).distinct().collect()}
     fired = None
-    for category in [name for name in patterns if name in found] or list(patterns)[:1]:
+    for category in patterns:
         offered = matches.withColumn("m", F.get(F.filter(
             "matches", lambda m: m["category"] == category), F.lit(0))).filter(c("m").isNotNull())
         if fired is not None:

@@ -19,14 +19,20 @@ PORTS_SHOWN = 20
 TARGETS_SHOWN = 10
 
 
-def scan_attempts(packets: DataFrame) -> DataFrame:
+def is_attempt() -> Column:
     """TCP packets with SYN towards a port that is not a common service."""
     flags = F.coalesce(F.col("tcp_flags"), F.lit(""))
-    return packets.filter(
-        (F.col("protocol") == "TCP") & flags.contains("SYN")
-        & ~F.coalesce(F.col("dst_port").isin(*COMMON_PORTS), F.lit(False))
-    ).select("id", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port",
-             flags.contains("RST").cast("long").alias("failed"))
+    return ((F.col("protocol") == "TCP") & flags.contains("SYN")
+            & ~F.coalesce(F.col("dst_port").isin(*COMMON_PORTS), F.lit(False)))
+
+
+def attempt_columns() -> list[Column]:
+    failed = F.coalesce(F.col("tcp_flags"), F.lit("")).contains("RST").cast("long").alias("failed")
+    return [F.col("id"), us(F.col("timestamp")).alias("us"), *map(F.col, ("src_ip", "dst_ip", "dst_port")), failed]
+
+
+def scan_attempts(packets: DataFrame) -> DataFrame:
+    return packets.filter(is_attempt()).select(*attempt_columns())
 
 
 def _slice(window_s: int) -> Column:

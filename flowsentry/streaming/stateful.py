@@ -1,32 +1,39 @@
-"""Keyed state for what windows cannot express: suppression, early scan alerts, TCP state, features.
+"""Keyed state for what windows cannot express: suppression, early alerts, TCP state, features.
 
-Each processor sees the rows of one key in one micro-batch, in any order, and sorts them; how many
-there can be is set by the source's rate limit. State per key is small and is dropped by an
-event-time timer once it can no longer matter.
+Rows may arrive in any order within the lateness. Each processor therefore holds the rows of its key until the
+watermark has passed them (later ones are dropped by then) and takes them in the order of (us, id), as the
+batch operators do. So results come one lateness after the event and do not depend on how the rows were split
+into micro-batches. An event-time timer takes rows that no later row of the key pushes on, and drops
+what can no longer matter.
 """
 
 from __future__ import annotations
 
+import json
 import sys
+from bisect import bisect_right
 from collections import Counter, deque
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..functions.scalars import from_us
+from ..functions.patterns import PATTERNS
+from ..functions.scalars import fixed, from_us, hour_of_day, is_weekend, ratio_guarded, words
+from ..operators import alerts
+from ..operators.anomaly import Forest, score
 from ..operators.features import WINDOW_S
+from ..operators.flood import TARGETS_SHOWN, flood_severity
 from ..operators.flows import (ESTABLISHED, FIN_WAIT, FLOW, RESET, STATES, SYN_RECEIVED, SYN_SENT, UNKNOWN,
                                canonical)
-from ..operators.scan import scan_attempts
+from ..operators.payload import is_suspicious, match_columns
+from ..operators.scan import attempt_columns, is_attempt
 from ..params import Thresholds
-from ..schema import SECOND_US
-from .windows import LATENESS, on_time
+from ..schema import DDOS, SECOND_US, SUSPICIOUS_PAYLOAD
+from .windows import LATENESS, on_time, only
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -37,74 +44,122 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable", ignore_index=True)
+class InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them and hands them to `take` in (us, id) order."""
 
+    row: str          # schema of a held row, beginning with `us long, id long`
+    out: T.StructType
 
-def _keep_until(handle: StatefulProcessorHandle, us: int) -> None:
-    """Replace the key's timer by one at `us` (rounded up to milliseconds)."""
-    for timer in list(handle.listTimers()):
-        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-    handle.registerTimer(int(-(-us // 1000)))
-
+    def init(self, handle):
+        self.handle = handle
+        self.names = [c.split()[0] for c in self.row.split(", ")]
+        self.held = handle.getListState("held", self.row)
+        self.open(handle)
 
-class Suppress(StatefulProcessor):
-    """Cooldown or deduplication per key."""
+    def open(self, handle):
+        """Declare the processor's own state."""
 
-    def __init__(self, window_us: int, inclusive: bool):
-        self.window_us, self.inclusive = window_us, inclusive
+    def take(self, key, rows: list[tuple], passed: int) -> list[tuple]:
+        """Rows to emit after `rows`; no row up to the moment `passed` will follow."""
+        raise NotImplementedError
 
-    def init(self, handle):
-        self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+    def due(self) -> int | None:
+        """The moment at which `take` wants to be called again, rows or not."""
+        return None
 
     def handleInputRows(self, key, rows, timerValues):
-        df = _sorted(rows)
-        times = df["us"].to_numpy()
-        side = "left" if self.inclusive else "right"
-        at = 0
-        if self.last.exists():
-            at = int(np.searchsorted(times, self.last.get()[0] + self.window_us, side))
-        passed = []
-        while at < len(times):
-            passed.append(at)
-            at = int(np.searchsorted(times, times[at] + self.window_us, side))
-        if passed:
-            last = int(times[passed[-1]])
-            self.last.update((last,))
-            _keep_until(self.handle, last + 2 * self.window_us)
-        yield df.iloc[passed]
+        new = [r for df in rows for r in df[self.names].itertuples(index=False, name=None)]
+        yield self._advance(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
-        return iter([])
+        yield self._advance(key, [], timerValues)
+
+    def _advance(self, key, new, timerValues) -> pd.DataFrame:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        old = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        rows = sorted(old + new, key=lambda r: r[:2])
+        cut = bisect_right(rows, passed, key=lambda r: r[0])
+        if rows[cut:]:
+            self.held.put(rows[cut:])
+        elif old:
+            self.held.clear()
+        found = self.take(key, rows[:cut], passed)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        wanted = [us for us in (rows[cut][0] if rows[cut:] else None, self.due()) if us is not None]
+        if wanted:
+            self.handle.registerTimer(max(-(-min(wanted) // 1000), passed // 1000 + 1))
+        frame = pd.DataFrame(found, columns=self.out.names)
+        return frame.astype({f.name: "Int32" for f in self.out if f.dataType == T.IntegerType()})
 
     def close(self):
         pass
 
 
+class Suppress(InOrder):
+    """Cooldown or deduplication per key."""
+
+    def __init__(self, window_us: int, inclusive: bool, row: str, out: T.StructType):
+        self.window_us, self.inclusive, self.row, self.out = window_us, inclusive, row, out
+
+    def open(self, handle):
+        self.last = handle.getValueState("last", "us long")
+
+    def take(self, key, rows, passed):
+        last = self.last.get()[0] if self.last.exists() else None
+        found = []
+        for r in rows:
+            waited = None if last is None else r[0] - last
+            if waited is None or waited > self.window_us or self.inclusive and waited == self.window_us:
+                last = r[0]
+                found.append(tuple(r[self.names.index(n)] for n in self.out.names))
+        if last is not None and passed > last + self.window_us:
+            self.last.clear()
+        elif last is not None:
+            self.last.update((int(last),))
+        return found
+
+    def due(self):
+        return self.last.get()[0] + self.window_us + 1 if self.last.exists() else None
+
+
 def stream_suppress(candidates: DataFrame, keys: list[str], window_seconds: int, inclusive: bool = False,
                     lateness: str = LATENESS) -> DataFrame:
     """Streaming twin of operators.suppress.thin; needs `us`, `id` and non-null keys."""
-    rows = candidates.withColumn("timestamp", from_us(F.col("us")))
+    names = ["us", "id", *(c for c in candidates.columns if c not in ("us", "id"))]
+    plain = candidates.select(*names)
+    row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    rows = plain.withColumn("timestamp", from_us(F.col("us")))
     return on_time(rows, lateness).groupBy(*keys).transformWithStateInPandas(
-        Suppress(window_seconds * SECOND_US, inclusive), rows.schema, "append", "eventTime")
+        Suppress(window_seconds * SECOND_US, inclusive, row, plain.schema), plain.schema, "append", "eventTime")
 
 
-SCAN_OUT = T.StructType([T.StructField(n, T.LongType()) for n in (
-    "us", "id", "session_us", "ports", "targets", "attempts", "failures")] + [
-    T.StructField("src_ip", T.StringType()), T.StructField("dst_ip", T.StringType())])
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
 
 
-class ScanWatch(StatefulProcessor):
-    """Running scan session of a source; emits the attempt that passes threshold and cooldown at once."""
+def _strings(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
+
+
+SCAN_OUT = T.StructType(_longs("us", "id", "session_us", "ports", "targets", "attempts", "failures")
+                        + _strings("src_ip", "dst_ip"))
+
+
+class ScanWatch(InOrder):
+    """Running scan session of a source; emits the attempt that passes threshold and cooldown.
+
+    Ports and targets lie in map state, and only those of the rows at hand are looked up.
+    """
+
+    row, out = "us long, id long, dst_ip string, dst_port int, failed long", SCAN_OUT
 
     def __init__(self, threshold: int, gap_us: int, cooldown_us: int):
         self.threshold, self.gap_us, self.cooldown_us = threshold, gap_us, cooldown_us
 
-    def init(self, handle):
-        self.handle = handle
-        self.totals = handle.getValueState("totals", "start long, last long, attempts long, failures long")
+    def open(self, handle):
+        self.totals = handle.getValueState(
+            "totals", "start long, last long, attempts long, failures long, ports long, targets long")
         self.fired = handle.getValueState("fired", "us long")
         self.ports = handle.getMapState("ports", "port int", "seen boolean")
         self.targets = handle.getMapState("targets", "ip string", "seen boolean")
@@ -113,57 +168,197 @@ class ScanWatch(StatefulProcessor):
         for state in (self.totals, self.ports, self.targets):
             state.clear()
 
-    def handleInputRows(self, key, rows, timerValues):
-        df = _sorted(rows)
+    def take(self, key, rows, passed):
         start = last = None
-        attempts = failures = 0
+        attempts = failures = ports = targets = 0
         if self.totals.exists():
-            start, last, attempts, failures = self.totals.get()
-        ports, targets = {k[0] for k in self.ports.keys()}, {k[0] for k in self.targets.keys()}
+            start, last, attempts, failures, ports, targets = self.totals.get()
         fired = self.fired.get()[0] if self.fired.exists() else None
-        out = []
-        for r in df.itertuples(index=False):
-            if last is None or r.us - last > self.gap_us:
+        met, found = set(), []
+        for us, id_, ip, port, failed in rows:
+            if last is None or us - last > self.gap_us:
+                self._clear()
+                start, attempts, failures, ports, targets, met = us, 0, 0, 0, 0, set()
+            last, attempts, failures = us, attempts + 1, failures + failed
+            if ("port", port) not in met:
+                met.add(("port", port))
+                if not self.ports.containsKey((int(port),)):
+                    self.ports.updateValue((int(port),), (True,))
+                    ports += 1
+            if ("ip", ip) not in met:
+                met.add(("ip", ip))
+                if not self.targets.containsKey((ip,)):
+                    self.targets.updateValue((ip,), (True,))
+                    targets += 1
+            if ports >= self.threshold and (fired is None or us - fired > self.cooldown_us):
+                fired = us
+                found.append((us, id_, start, ports, targets, attempts, failures, key[0], ip))
+        if last is not None:
+            self.totals.update(tuple(map(int, (start, last, attempts, failures, ports, targets))))
+            if passed > last + self.gap_us:
                 self._clear()
-                start, attempts, failures, ports, targets = r.us, 0, 0, set(), set()
-            last, attempts, failures = r.us, attempts + 1, failures + r.failed
-            if r.dst_port not in ports:
-                ports.add(r.dst_port)
-                self.ports.updateValue((int(r.dst_port),), (True,))
-            if r.dst_ip not in targets:
-                targets.add(r.dst_ip)
-                self.targets.updateValue((r.dst_ip,), (True,))
-            if len(ports) >= self.threshold and (fired is None or r.us - fired > self.cooldown_us):
-                fired = r.us
-                out.append((r.us, r.id, start, len(ports), len(targets), attempts, failures, key[0], r.dst_ip))
-        self.totals.update((int(start), int(last), int(attempts), int(failures)))
         if fired is not None:
-            self.fired.update((int(fired),))
-        _keep_until(self.handle, int(last) + max(self.gap_us, self.cooldown_us) + 1000)
-        yield pd.DataFrame(out, columns=[f.name for f in SCAN_OUT])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._clear()
-        self.fired.clear()
-        return iter([])
+            if passed > fired + self.cooldown_us:
+                self.fired.clear()
+            else:
+                self.fired.update((int(fired),))
+        return found
 
-    def close(self):
-        pass
+    def due(self):
+        ends = [self.totals.get()[1] + self.gap_us + 1] if self.totals.exists() else []
+        ends += [self.fired.get()[0] + self.cooldown_us + 1] if self.fired.exists() else []
+        return min(ends, default=None)
 
 
 def stream_scan_alerts(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
-    """Scan alerts as soon as the threshold is reached, after the cooldown."""
-    rows = scan_attempts(packets).filter(F.col("dst_port").isNotNull()).withColumn("timestamp", from_us(F.col("us")))
-    return on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
+    """Scan alerts when the threshold is reached, after the cooldown. A missing port is one distinct port."""
+    rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp").withColumn(
+        "dst_port", F.coalesce("dst_port", F.lit(-1)))
+    return rows.groupBy("src_ip").transformWithStateInPandas(
         ScanWatch(p.port_scan_threshold, p.scan_time_window * SECOND_US, p.alert_cooldown * SECOND_US),
         SCAN_OUT, "append", "eventTime")
 
 
+FLOOD_OUT = T.StructType(_longs("us", "id", "in_window", "packets", "bytes", "targets", "first_us")
+                         + _strings("src_ip") + [T.StructField("target_ips", T.ArrayType(T.StringType()))])
+
+
+class FloodWatch(InOrder):
+    """Rolling rate of a source; emits the packet that passes threshold and cooldown.
+
+    The totals since a source was first seen stay, as the batch operator's do; the window does not.
+    """
+
+    row, out = "us long, id long, dst_ip string, size long", FLOOD_OUT
+
+    def __init__(self, least: float, window_us: int, cooldown_us: int, shown: int):
+        self.least, self.window_us, self.cooldown_us, self.shown = least, window_us, cooldown_us, shown
+
+    def open(self, handle):
+        self.totals = handle.getValueState("totals", "packets long, bytes long, targets long, first long, fired long")
+        self.window = handle.getListState("window", "us long")
+        self.targets = handle.getMapState("targets", "ip string", "seen boolean")
+        self.first_targets = handle.getListState("first_targets", "ip string")
+
+    def take(self, key, rows, passed):
+        packets, size, targets, first, fired = self.totals.get() if self.totals.exists() else (0, 0, 0, None, None)
+        window = deque(r[0] for r in self.window.get()) if self.window.exists() else deque()
+        shown = [r[0] for r in self.first_targets.get()] if self.first_targets.exists() else []
+        met, found = set(), []
+        for us, id_, ip, n in rows:
+            packets, size, first = packets + 1, size + n, us if first is None else first
+            if ip not in met:
+                met.add(ip)
+                if not self.targets.containsKey((ip,)):
+                    self.targets.updateValue((ip,), (True,))
+                    targets += 1
+                    if len(shown) < self.shown:
+                        shown.append(ip)
+                        self.first_targets.appendValue((ip,))
+            window.append(int(us))
+            while us - window[0] > self.window_us:
+                window.popleft()
+            if len(window) > self.least and (fired is None or us - fired > self.cooldown_us):
+                fired = us
+                found.append((us, id_, len(window), packets, size, targets, first, key[0], sorted(shown)))
+        while window and passed - window[0] > self.window_us:
+            window.popleft()
+        if window:
+            self.window.put([(us,) for us in window])
+        else:
+            self.window.clear()
+        if packets:
+            self.totals.update((packets, int(size), targets, int(first), None if fired is None else int(fired)))
+        return found
+
+    def due(self):
+        times = [r[0] for r in self.window.get()] if self.window.exists() else []
+        return times[-1] + self.window_us + 1 if times else None
+
+
+def stream_flood_alerts(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of operators.flood.flood_alerts, as common alert records."""
+    c = F.col
+    rows = packets.select("timestamp", F.unix_micros("timestamp").alias("us"), "id", "src_ip", "dst_ip",
+                          c("size").cast("long").alias("size"))
+    fired = on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
+        FloodWatch(p.ddos_threshold * p.ddos_time_window, p.ddos_time_window * SECOND_US,
+                   p.alert_cooldown * SECOND_US, TARGETS_SHOWN), FLOOD_OUT, "append", "eventTime")
+    n = c("in_window") if p.rate_history_cap is None else F.least(c("in_window"), F.lit(p.rate_history_cap))
+    fired = fired.withColumn("rate", n / F.lit(float(p.ddos_time_window))).withColumn(
+        "duration", (c("us") - c("first_us")) / F.lit(1e6))
+    severity = flood_severity(c("rate"), c("targets"), ratio_guarded(c("bytes"), c("duration")))
+    details = F.struct(
+        c("rate").alias("connection_rate"), c("packets").alias("total_connections"), c("bytes").alias("bytes_sent"),
+        c("targets").alias("target_count"), "target_ips", c("duration").alias("attack_duration"))
+    text = F.format_string("Potential DDoS attack detected from %s. Connection rate: %s connections/second.",
+                           c("src_ip"), fixed(c("rate"), 1))
+    return alerts.alert_rows(fired, alerts.FLOOD, F.lit(DDOS), severity, c("src_ip"), F.lit(""), text, details)
+
+
+PAYLOAD_OUT = T.StructType(_longs("us", "id") + _strings(
+    "src_ip", "dst_ip", "protocol", "category", "severity", "pattern") + _longs("dst_port", "payload_size"))
+
+
+class PayloadWatch(InOrder):
+    """At most one alert per packet: the first matched category whose cooldown at this source has passed."""
+
+    row = "us long, id long, dst_ip string, protocol string, dst_port long, payload_size long, found string"
+    out = PAYLOAD_OUT
+
+    def __init__(self, cooldown_us: int):
+        self.cooldown_us = cooldown_us
+
+    def open(self, handle):
+        self.fired = handle.getMapState("fired", "category string", "us long")
+
+    def take(self, key, rows, passed):
+        fired = {k[0]: v[0] for k, v in self.fired.iterator()}  # one entry per category
+        found = []
+        for us, id_, ip, protocol, port, size, matched in rows:
+            for m in json.loads(matched):
+                last = fired.get(m["category"])
+                if last is None or us - last > self.cooldown_us:
+                    fired[m["category"]] = us
+                    found.append((us, id_, key[0], ip, protocol, m["category"], m["severity"], m["pattern"], port, size))
+                    break
+        for category, us in fired.items():
+            if passed > us + self.cooldown_us:
+                if self.fired.containsKey((category,)):
+                    self.fired.removeKey((category,))
+            else:
+                self.fired.updateValue((category,), (int(us),))
+        return found
+
+    def due(self):
+        return min((v[0] for _, v in self.fired.iterator()), default=None) and min(
+            v[0] for _, v in self.fired.iterator()) + self.cooldown_us + 1
+
+
+def stream_payload_alerts(packets: DataFrame, p: Thresholds = Thresholds(), patterns: dict = PATTERNS,
+                          lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of operators.payload.payload_alerts, as common alert records."""
+    c = F.col
+    timed = only(on_time(packets, lateness), is_suspicious(packets.columns, patterns))
+    rows = timed.select(*match_columns(packets.columns, patterns), "timestamp").select(
+        "timestamp", "us", "id", "src_ip", "dst_ip", "protocol", F.coalesce("dst_port", F.lit(-1)).cast("long").alias("dst_port"),
+        c("payload_size").cast("long").alias("payload_size"), F.to_json("matches").alias("found"))
+    fired = rows.groupBy("src_ip").transformWithStateInPandas(
+        PayloadWatch(p.alert_cooldown * SECOND_US), PAYLOAD_OUT, "append", "eventTime")
+    text = F.concat(F.lit("Suspicious "), words(c("category")), F.lit(" pattern detected in traffic from "),
+                    c("src_ip"), F.lit("."))
+    details = F.struct(
+        c("category").alias("pattern_category"), F.nullif(c("dst_port"), F.lit(-1)).cast("int").alias("target_port"),
+        "protocol", c("payload_size").cast("int").alias("payload_size"),
+        F.substring("pattern", 1, 100).alias("matched_pattern"))
+    return alerts.alert_rows(fired, alerts.PAYLOAD, F.lit(SUSPICIOUS_PAYLOAD), c("severity"), c("src_ip"),
+                             c("dst_ip"), text, details)
+
+
 FLOW_OUT = T.StructType(
-    [T.StructField(n, T.LongType()) for n in (
-        "first_us", "last_us", "packet_count", "bytes_sent", "bytes_received")] + [
-        T.StructField(n, T.StringType()) for n in ("src_ip", "dst_ip", "protocol", "state")] + [
-        T.StructField(n, T.IntegerType()) for n in ("src_port", "dst_port")])
+    _longs("first_us", "last_us", "packet_count", "bytes_sent", "bytes_received")
+    + _strings("src_ip", "dst_ip", "protocol", "state")
+    + [T.StructField(n, T.IntegerType()) for n in ("src_port", "dst_port")])
 
 
 def next_state(state: int, syn: bool, ack: bool, fin: bool, rst: bool) -> int:
@@ -177,18 +372,20 @@ def next_state(state: int, syn: bool, ack: bool, fin: bool, rst: bool) -> int:
     return RESET if rst else state
 
 
-class FlowStates(StatefulProcessor):
+class FlowStates(InOrder):
     """One open flow per key; emitted with its TCP state when it has been idle too long."""
 
+    row = "us long, id long, size long, fwd boolean, syn boolean, ack boolean, fin boolean, rst boolean"
+    out = FLOW_OUT
+
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
-    def init(self, handle):
-        self.handle = handle
+    def open(self, handle):
         self.flow = handle.getValueState(
             "flow", "first long, last long, packets long, fwd_bytes long, rev_bytes long, fwd boolean, state int")
 
-    def _row(self, key, f):
+    def _closed(self, key, f):
         first, last, packets, fwd_bytes, rev_bytes, fwd, state = f
         a, b = (key[0], key[1]), (key[2], key[3])
         src, dst = (a, b) if fwd else (b, a)
@@ -197,90 +394,109 @@ class FlowStates(StatefulProcessor):
         return (first, last, packets, sent, received, src[0], dst[0], key[4],
                 STATES[state] if key[4] == "TCP" else "ACTIVE", port(src[1]), port(dst[1]))
 
-    def _frame(self, out):
-        df = pd.DataFrame(out, columns=[f.name for f in FLOW_OUT])
-        return df.astype({"src_port": "Int32", "dst_port": "Int32"})
-
-    def handleInputRows(self, key, rows, timerValues):
+    def take(self, key, rows, passed):
         f = list(self.flow.get()) if self.flow.exists() else None
-        out = []
-        for r in _sorted(rows).itertuples(index=False):
-            if f is not None and r.us - f[1] > self.gap_us:
-                out.append(self._row(key, f))
+        found = []
+        for us, _, size, fwd, syn, ack, fin, rst in rows:
+            if f is not None and us - f[1] > self.gap_us:
+                found.append(self._closed(key, f))
                 f = None
             if f is None:
-                opening = (SYN_RECEIVED if r.ack else SYN_SENT) if r.syn else UNKNOWN
-                f = [r.us, r.us, 0, 0, 0, bool(r.fwd), opening]
+                opening = (SYN_RECEIVED if ack else SYN_SENT) if syn else UNKNOWN
+                f = [us, us, 0, 0, 0, bool(fwd), opening]
             else:
-                f[6] = next_state(f[6], r.syn, r.ack, r.fin, r.rst)
-            f[1] = r.us
+                f[6] = next_state(f[6], syn, ack, fin, rst)
+            f[1] = us
             f[2] += 1
-            f[3 if r.fwd else 4] += r.size
-        self.flow.update(tuple(x if isinstance(x, bool) else int(x) for x in f))
-        _keep_until(self.handle, int(f[1]) + self.gap_us + 1000)
-        yield self._frame(out)
+            f[3 if fwd else 4] += size
+        if f is not None and passed > f[1] + self.gap_us:
+            found.append(self._closed(key, f))
+            self.flow.clear()
+        elif f is not None:
+            self.flow.update(tuple(x if isinstance(x, bool) else int(x) for x in f))
+        return found
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = [self._row(key, self.flow.get())] if self.flow.exists() else []
-        self.flow.clear()
-        yield self._frame(out)
-
-    def close(self):
-        pass
+    def due(self):
+        return self.flow.get()[1] + self.gap_us + 1 if self.flow.exists() else None
 
 
 def stream_flow_states(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
     """Closed flows with the same columns and TCP state as the batch operator."""
-    rows = canonical(packets).withColumn("timestamp", from_us(F.col("us")))
+    rows = canonical(packets).withColumn("timestamp", from_us(F.col("us"))).withColumn("size", F.col("size").cast("long"))
     return on_time(rows, lateness).groupBy(*FLOW).transformWithStateInPandas(
         FlowStates(p.connection_timeout * SECOND_US), FLOW_OUT, "append", "eventTime")
 
 
-FEATURE_OUT = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("us", T.LongType()), T.StructField("src_ip", T.StringType()),
-    T.StructField("packets_per_second", T.DoubleType()), T.StructField("bytes_per_second", T.DoubleType()),
-    T.StructField("unique_ports_accessed", T.LongType())])
+FEATURE_OUT = T.StructType(
+    _longs("us", "id") + _strings("src_ip", "dst_ip", "protocol", "tcp_flags")
+    + _longs("packet_size", "payload_size", "src_port", "dst_port")
+    + [T.StructField(n, T.DoubleType()) for n in ("packets_per_second", "bytes_per_second")]
+    + _longs("unique_ports_accessed"))
 
 
-class RecentActivity(StatefulProcessor):
-    """The last 60 seconds of a source, read by each packet before it is added."""
+class RecentActivity(InOrder):
+    """The last 60 seconds of a source, read by each packet before it is added.
 
-    def init(self, handle):
-        self.handle = handle
+    How many packets a source has sent stays (it decides whether its rates count), the packets do not.
+    """
+
+    row = ("us long, id long, dst_ip string, protocol string, tcp_flags string, packet_size long, payload_size long, "
+           "src_port long, dst_port long")
+    out = FEATURE_OUT
+
+    def open(self, handle):
         self.seen = handle.getValueState("seen", "n long")
-        self.recent = handle.getListState("recent", "us long, size long, port int")
+        self.recent = handle.getListState("recent", "us long, size long, port long")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def take(self, key, rows, passed):
         seen = self.seen.get()[0] if self.seen.exists() else 0
-        recent = deque(self.recent.get()) if self.recent.exists() else deque()
+        recent = deque(tuple(r) for r in self.recent.get()) if self.recent.exists() else deque()
         ports, total, width = Counter(x[2] for x in recent), sum(x[1] for x in recent), WINDOW_S * SECOND_US
-        out = []
-        for r in _sorted(rows).itertuples(index=False):
-            while recent and r.us - recent[0][0] > width:
-                _, size, port = recent.popleft()
-                total -= size
+        found = []
+        for us, id_, ip, protocol, flags, size, payload, src_port, dst_port in rows:
+            while recent and us - recent[0][0] > width:
+                _, gone, port = recent.popleft()
+                total -= gone
                 ports[port] -= 1
                 if not ports[port]:
                     del ports[port]
             warm = seen > 1
-            out.append((r.id, r.us, key[0], len(recent) / WINDOW_S if warm else 0.0,
-                        total / WINDOW_S if warm else 0.0, len(ports) if warm else 0))
+            found.append((us, id_, key[0], ip, protocol, flags, size, payload, src_port, dst_port,
+                          len(recent) / WINDOW_S if warm else 0.0, total / WINDOW_S if warm else 0.0,
+                          len(ports) if warm else 0))
             seen += 1
-            total += r.size
-            ports[r.port] += 1
-            recent.append((int(r.us), int(r.size), int(r.port)))
+            total += size
+            ports[dst_port] += 1
+            recent.append((int(us), int(size), int(dst_port)))
+        while recent and passed - recent[0][0] > width:
+            recent.popleft()
+        if recent:
+            self.recent.put(list(recent))
+        else:
+            self.recent.clear()
         self.seen.update((seen,))
-        self.recent.put(list(recent))
-        yield pd.DataFrame(out, columns=[f.name for f in FEATURE_OUT])
+        return found
 
-    def close(self):
-        pass
+    def due(self):
+        times = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        return times[-1] + WINDOW_S * SECOND_US + 1 if times else None
 
 
 def stream_features(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Rolling features per packet; join nothing, the packet columns stay with the caller's stream."""
+    """Streaming twin of operators.features.features: every packet with all inputs of the feature vector."""
+    c = F.col
+    port = lambda name: F.coalesce(c(name), F.lit(0)).cast("long").alias(name)
     rows = packets.select(
-        "id", "timestamp", F.unix_micros("timestamp").alias("us"), "src_ip", F.col("size").cast("long").alias("size"),
-        F.coalesce("dst_port", F.lit(0)).alias("port"))
-    return on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
+        "id", "timestamp", F.unix_micros("timestamp").alias("us"), "src_ip", "dst_ip", "protocol",
+        F.coalesce("tcp_flags", F.lit("")).alias("tcp_flags"), c("size").cast("long").alias("packet_size"),
+        c("payload_size").cast("long").alias("payload_size"), port("src_port"), port("dst_port"))
+    found = on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
         RecentActivity(), FEATURE_OUT, "append", "eventTime")
+    moment: Column = from_us(c("us"))
+    return found.select("*", moment.alias("timestamp"), hour_of_day(moment).alias("hour_of_day"),
+                        is_weekend(moment).alias("is_weekend"))
+
+
+def stream_scores(packets: DataFrame, forest: Forest, lateness: str = LATENESS) -> DataFrame:
+    """Features of a stream with the anomaly score of a fitted model."""
+    return score(stream_features(packets, lateness), forest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_us
@@ -18,6 +18,12 @@ def on_time(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return packets.withWatermark("timestamp", lateness)
 
 
+def only(timed: DataFrame, condition: Column) -> DataFrame:
+    """The rows of a stream for which `condition` holds, filtered above the watermark: a filter that does not read
+    the event time would be moved below it, and then only the rows it keeps would move the watermark on."""
+    return timed.filter(F.when(F.col("timestamp").isNotNull(), condition).otherwise(F.lit(False)))
+
+
 def stream_flows(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
     """Flow sessions once they are closed, without the TCP state (see stateful.FlowStates for that).
 

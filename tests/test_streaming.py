@@ -7,7 +7,7 @@ import pytest
 from brute import S, frame, packet, rel
 from pyspark.sql import functions as F
 
-from flowsentry.operators import features, flows, scan
+from flowsentry.operators import anomaly, features, flood, flows, payload, scan
 from flowsentry.operators.suppress import thin
 from flowsentry.params import Thresholds
 from flowsentry.sources import sinks, tables
@@ -30,41 +30,95 @@ def folder(spark, tmp_path_factory):
     return str(path), ps
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """The same packets in five files, each row up to nine minutes later than its place, and then a file of a much
+    later moment, behind which everything is due."""
+    import random
+    import time
+    stateful.use_rocksdb(spark)
+    path = tmp_path_factory.mktemp("shuffled")
+    ps = brute.random_packets(400, 11, 8000, hot=0.5)
+    rng = random.Random(3)
+    arrival = {p["id"]: p["us"] + rng.randrange(540) * S for p in ps}
+    edge = (max(arrival.values()) - ps[0]["us"]) / 5
+    for i in range(5):
+        part = [p for p in ps if i * edge <= arrival[p["id"]] - ps[0]["us"] <= (i + 1) * edge]
+        rng.shuffle(part)
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1)
+    end = [{**packet(-1, 90_000 * S, dport=9999, flags="SYN"), "src": "198.51.100.1"}]
+    frame(spark, end).coalesce(1).write.mode("append").parquet(str(path))
+    return str(path), ps
+
+
 def stream(spark, folder):
     return tables.stream_packets(spark, folder, files_per_trigger=1)
 
 
-def test_suppression(spark, folder):
-    path, ps = folder
+def test_suppression(spark, shuffled):
+    path, ps = shuffled
     s = stream(spark, path).select("id", F.unix_micros("timestamp").alias("us"), "src_ip")
     got = live.run_to_end(stateful.stream_suppress(s, ["src_ip"], 120)).collect()
     b = frame(spark, ps).select("id", F.unix_micros("timestamp").alias("us"), "src_ip")
     assert sorted((r.us, r.id) for r in got) == sorted((r.us, r.id) for r in thin(b, ["src_ip"], 120).collect())
 
 
-def test_scan_alerts(spark, folder):
-    path, ps = folder
+def test_scan_alerts(spark, shuffled):
+    path, ps = shuffled
     got = live.run_to_end(stateful.stream_scan_alerts(stream(spark, path), P)).collect()
     assert sorted((r.id, r.ports, r.targets, r.attempts, r.failures) for r in got) == sorted(brute.scan(ps, 3))
 
 
-def test_features(spark, folder):
-    path, ps = folder
+def test_features(spark, shuffled):
+    path, ps = shuffled
     got = {r.id: (round(r.packets_per_second, 9), round(r.bytes_per_second, 9), r.unique_ports_accessed)
            for r in live.run_to_end(stateful.stream_features(stream(spark, path))).collect()}
     assert got == brute.features(ps)
 
 
-def test_flow_states(spark, folder):
-    path, ps = folder
+def test_flow_states(spark, shuffled):
+    path, ps = shuffled
     got = {(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.protocol, rel(r.first_us), r.packet_count, r.bytes_sent, r.state)
            for r in live.run_to_end(stateful.stream_flow_states(stream(spark, path))).collect()}
     want = {(f["src"][0], f["dst"][0], f["src"][1], f["dst"][1], f["proto"], f["first"], f["n"], f["sent"], f["state"])
             for f in brute.flows(ps)}
-    closed = {w for w, f in zip(
-        [(f["src"][0], f["dst"][0], f["src"][1], f["dst"][1], f["proto"], f["first"], f["n"], f["sent"], f["state"])
-         for f in brute.flows(ps)], brute.flows(ps)) if f["last"] < ps[-1]["us"] - 910 * S}
-    assert closed <= got <= want
+    assert got == want
+
+
+def test_flood_alerts(spark, shuffled):
+    path, ps = shuffled
+    p = Thresholds(ddos_threshold=0.05)
+    names = ["packet_id", "us", "severity", "source_ip", "description", "details"]
+    got = live.run_to_end(stateful.stream_flood_alerts(stream(spark, path), p)).select(*names).collect()
+    want = flood.flood_alerts(frame(spark, ps), p).select(*names).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_payload_alerts(spark, shuffled):
+    path, ps = shuffled
+    names = ["packet_id", "us", "severity", "source_ip", "destination_ip", "description", "details"]
+    got = live.run_to_end(stateful.stream_payload_alerts(stream(spark, path))).select(*names).collect()
+    want = payload.payload_alerts(frame(spark, ps)).select(*names).collect()
+    assert want and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_scores_equal_batch(spark, shuffled):
+    path, ps = shuffled
+    rows = features.features(frame(spark, ps))
+    forest = anomaly.fit(rows, p=Thresholds(min_baseline_samples=10))
+    got = {r.id: round(r.score, 9) for r in live.run_to_end(stateful.stream_scores(stream(spark, path), forest)).collect()}
+    assert got == {r.id: round(r.score, 9) for r in anomaly.score(rows, forest).collect()}
+
+
+def test_a_flow_out_of_order_is_one_flow(spark, tmp_path):
+    import time
+    flow = [packet(1, 100 * S, flags="ACK"), packet(2, 0, flags="SYN"), packet(3, 350 * S, flags="ACK")]
+    for part in ([flow[0]], [flow[1]], [flow[2]], [packet(4, 9000 * S, dport=7)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(1.1)
+    got = live.run_to_end(stateful.stream_flow_states(stream(spark, str(tmp_path / "s")))).collect()
+    assert [(rel(r.first_us), rel(r.last_us), r.packet_count) for r in got] == [(0, 350 * S, 3)]
 
 
 def test_windowed_flows_are_a_part_of_batch(spark, folder):
@@ -134,6 +188,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
     frame(spark, [packet(2, 10_001 * S)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     time.sleep(1.1)
     frame(spark, [packet(3, 0)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    time.sleep(1.1)
+    frame(spark, [packet(4, 20_000 * S)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     got = live.run_to_end(stateful.stream_features(stream(spark, str(tmp_path / "s"))))
     assert sorted(r.id for r in got.collect()) == [1, 2]
 
