@@ -305,6 +305,10 @@ PORT_SPELLS = """
       CASE WHEN row_number() OVER (PARTITION BY f.src_ip ORDER BY f.us, f.id) > 2 THEN r.ports ELSE 0 END
         AS unique_ports_accessed
     FROM pf f JOIN recent r ON r.id = f.id)"""
+# the scores that queries of the anomaly family are given, in place of a model's
+MARKED = "\n  marked AS (SELECT *, -((id * 37) % 100)::DOUBLE / 100 AS score FROM feat)"
+MARKED_SEVERITY = ("CASE WHEN score < -0.8 THEN 'Critical' WHEN score < -0.6 THEN 'High' "
+                   "WHEN score < -0.4 THEN 'Medium' ELSE 'Low' END")
 BASELINES = """
   bp AS (SELECT protocol, count(*) / (SELECT count(*) FROM p) AS f FROM p GROUP BY ALL),
   bd AS (SELECT dst_port, count(*) / (SELECT count(*) FROM p) AS f FROM p WHERE dst_port > 0 GROUP BY ALL
@@ -426,6 +430,11 @@ WHERE port > 0 GROUP BY port ORDER BY uses DESC, port LIMIT 20"""),
   round(total_bytes / max(total_bytes) OVER () * 100, 6) AS share,
   {human('total_bytes', 1, ('B', 'KB', 'MB', 'GB'))} AS bytes_text
 FROM (SELECT src_ip, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY ALL
+  ORDER BY packet_count DESC, src_ip LIMIT 10)"""),
+    "talkers": sql(f"""SELECT src_ip, packet_count, total_bytes,
+  round(total_bytes / max(total_bytes) OVER () * 100, 6) AS share,
+  {human('total_bytes', 1, ('B', 'KB', 'MB', 'GB'))} AS bytes_text
+FROM (SELECT src_ip, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes FROM p WHERE us >= {AS_OF} - {240 * HOUR} GROUP BY ALL
   ORDER BY packet_count DESC, src_ip LIMIT 10)"""),
     "stat_cards": sql(f"""SELECT *, {short('total_packets')} AS packets_text,
   {human('total_bytes', 2, ('B', 'KB', 'MB', 'GB', 'TB'))} AS bytes_text,
@@ -449,6 +458,13 @@ UNION ALL SELECT * FROM (SELECT 'top_source_ips', source_ip, count(*) AS n FROM
     "distinct_alert_types": sql("SELECT DISTINCT alert_type FROM a"),
     "top_threats": sql("""SELECT alert_type, severity, source_ip, count(*) AS alert_count FROM a GROUP BY ALL
 ORDER BY alert_count DESC, alert_type, severity, source_ip LIMIT 10"""),
+    "trend_analysis": sql(f"""SELECT 'traffic' AS section, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM days
+UNION ALL SELECT 'protocol', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT protocol, {bucket('day')} AS b, count(*) AS k FROM span GROUP BY 1, 2)
+UNION ALL SELECT 'alert', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT {bucket('day')} AS b, count(*) AS k FROM a
+  WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF} GROUP BY 1)
+UNION ALL SELECT 'summary', 1, max(k) FROM days""", f"""
+  span AS (SELECT * FROM p WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF}),
+  days AS (SELECT {bucket('day')} AS b, count(*) AS k FROM span GROUP BY 1)"""),
     "traffic_trend_hour": sql(f"SELECT {bucket('hour')} AS bucket_us, count(*) AS packet_count, "
                               "CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY 1"),
     "traffic_trend_day": sql(f"SELECT {bucket('day')} AS bucket_us, count(*) AS packet_count, "
@@ -549,6 +565,15 @@ UNION ALL SELECT * FROM (SELECT 'top_incident_sources', source_ip, count(*) AS n
   min(first_seen_us) AS first_seen_us, max(last_seen_us) AS last_seen_us,
   round((max(last_seen_us) - min(first_seen_us)) / 1e6, 6) AS duration
 FROM (SELECT *, least(src_ip, dst_ip) AS host_a, greatest(src_ip, dst_ip) AS host_b FROM c) GROUP BY 1, 2""", "flows"),
+    "flow_summary": sql("""SELECT host_a, host_b, CAST(sum(packet_count) AS BIGINT) AS total_packets,
+  CAST(sum(bytes_sent + bytes_received) AS BIGINT) AS total_bytes,
+  array_to_string(list_sort(list(DISTINCT protocol)), ',') AS protocols,
+  coalesce(array_to_string(list_transform(list_sort(list_distinct(list_filter(
+    list_concat(list(src_port), list(dst_port)), lambda x: x > 0))), lambda x: CAST(x AS VARCHAR)), ','), '') AS ports,
+  min(first_seen_us) AS first_seen_us, max(last_seen_us) AS last_seen_us,
+  round((max(last_seen_us) - min(first_seen_us)) / 1e6, 6) AS duration
+FROM (SELECT *, least(src_ip, dst_ip) AS host_a, greatest(src_ip, dst_ip) AS host_b FROM c)
+  WHERE host_a = '192.168.1.2' AND host_b = '203.0.113.3' GROUP BY 1, 2""", "flows"),
     "top_talkers_both_ends": sql("""SELECT ip, CAST(sum(packet_count) AS BIGINT) AS packets FROM (
   SELECT src_ip AS ip, packet_count FROM c UNION ALL SELECT dst_ip, packet_count FROM c)
 GROUP BY ip ORDER BY packets DESC, ip LIMIT 10""", "flows"),
@@ -636,6 +661,24 @@ JOIN kept g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", """
     "traffic_features": sql("SELECT * REPLACE (round(packets_per_second, 6) AS packets_per_second, "
                             "round(bytes_per_second, 6) AS bytes_per_second, CAST(unique_ports_accessed AS BIGINT) "
                             "AS unique_ports_accessed) FROM feat", PORT_SPELLS),
+    "anomaly_found": sql(f"SELECT id, us, src_ip, {MARKED_SEVERITY} AS severity FROM marked WHERE score < -0.5", PORT_SPELLS, MARKED),
+    "anomaly_marked_feed": sql(f"""SELECT us AS timestamp_us, src_ip AS source_ip, dst_ip AS destination_ip, score AS anomaly_score,
+  {MARKED_SEVERITY} AS severity, packet_size, protocol, id,
+  format('Anomalous network behavior detected from {{}}. Anomaly score: {{:.3f}}', src_ip, score) AS description
+FROM (SELECT *, id = min(id) OVER (PARTITION BY us, src_ip) AND bool_or(id % 2 = 0) OVER (PARTITION BY us, src_ip) AS hit
+  FROM marked WHERE score < -0.5) WHERE NOT hit ORDER BY us DESC, id DESC LIMIT 200""", PORT_SPELLS, MARKED),
+    "anomaly_totals": sql("""SELECT n AS packets_processed, k AS anomalies_detected, round(k / n, 6) AS detection_rate, score_count,
+  score_mean, score_std, score_min, score_max FROM (SELECT count(*) AS n, count(*) FILTER (score < -0.5) AS k FROM marked),
+  (SELECT count(score) AS score_count, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std,
+    round(min(score), 6) AS score_min, round(max(score), 6) AS score_max
+   FROM (SELECT score FROM marked ORDER BY us DESC, id DESC LIMIT 1000))""", PORT_SPELLS, MARKED),
+    "anomaly_alert_details": sql(f"""SELECT id AS packet_id, us, 'Network Anomaly' AS alert_type, {MARKED_SEVERITY} AS severity,
+  src_ip AS source_ip, dst_ip AS destination_ip,
+  format('Anomalous network behavior detected from {{}}. Anomaly score: {{:.3f}}', src_ip, score) AS description,
+  round(score, 6) AS score, CAST(packet_size AS BIGINT) AS packet_size, CAST(dst_port AS BIGINT) AS dst_port,
+  round(packets_per_second, 6) AS packets_per_second,
+  round((SELECT count(*) FROM pf q WHERE q.protocol = marked.protocol) / (SELECT count(*) FROM pf), 6) AS protocol_frequency
+FROM marked WHERE score < -0.5""", PORT_SPELLS, MARKED),
     "feature_vectors": sql("SELECT id, " + ", ".join(
         f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 3) AS {n}" for n, e in [
             *[(x, x) for x in ("packet_size", "payload_size", "src_port", "dst_port", "hour_of_day", "is_weekend",

@@ -358,6 +358,24 @@ def talker_share(spark, d):
     return traffic.talker_share(P(spark, d)).withColumns(r6("share"))
 
 
+@query
+def talkers(spark, d):
+    return dashboard.talkers(P(spark, d), AS_OF, 240).withColumns(r6("share"))
+
+
+@query
+def trend_analysis(spark, d):
+    """The bundle of trends over ten days by day: rows of each section, and the figures that add up."""
+    t = reports.trend_analysis(P(spark, d), A(spark, d), AS_OF, 10, "day")
+    n = F.count(F.lit(1)).alias("n")
+    severities = F.sum(reduce(lambda a, b: a + b, [F.col(s) for s in ("Low", "Medium", "High", "Critical")]))
+    return reduce(lambda a, b: a.unionByName(b), [
+        t["traffic_trends"].agg(n, F.sum("packet_count").alias("total")).withColumn("section", F.lit("traffic")),
+        t["protocol_trends"].agg(n, F.sum("packet_count").alias("total")).withColumn("section", F.lit("protocol")),
+        t["alert_trends"].agg(n, severities.alias("total")).withColumn("section", F.lit("alert")),
+        t["summary"].agg(n, F.sum("peak_traffic_packets").alias("total")).withColumn("section", F.lit("summary"))])
+
+
 @query
 def stat_cards(spark, d):
     return dashboard.stat_cards(P(spark, d), A(spark, d), C(spark, d), AS_OF)
@@ -526,13 +544,22 @@ def active_flows(spark, d):
     return connection_rows(flows.active_flows(flows.flow_sessions(PF(spark, d)), FAST_AS_OF))
 
 
-@query
-def host_pair_summary(spark, d):
-    t = micros(flows.host_pairs(flows.flow_sessions(PF(spark, d))), "first_seen", "last_seen")
+def _pairs_text(t):
+    t = micros(t, "first_seen", "last_seen")
     return t.withColumns({**r6("duration"), "protocols": F.array_join("protocols", ","),
                           "ports": F.array_join(F.col("ports").cast("array<string>"), ",")})
 
 
+@query
+def host_pair_summary(spark, d):
+    return _pairs_text(flows.host_pairs(flows.flow_sessions(PF(spark, d))))
+
+
+@query
+def flow_summary(spark, d):
+    return _pairs_text(flows.flow_summary(flows.flow_sessions(PF(spark, d)), "203.0.113.3", "192.168.1.2"))
+
+
 @query
 def top_talkers_both_ends(spark, d):
     return flows.top_talkers(flows.flow_sessions(PF(spark, d)))
@@ -780,6 +807,44 @@ def anomaly_statistics(spark, d):
     return anomaly.anomaly_statistics(_scored(spark, d), OPEN_GATE)
 
 
+def _marked_scores(spark, d):
+    """Features with a score that SQL can make as well: what follows the model is then exact."""
+    c = F.col
+    return features.features(PF(spark, d)).withColumn("score", -((c("id") * 37) % 100).cast("double") / 100)
+
+
+@query
+def anomaly_found(spark, d):
+    return anomaly.anomalies(_marked_scores(spark, d)).select("id", "us", "src_ip", "severity")
+
+
+@query
+def anomaly_marked_feed(spark, d):
+    found = anomaly.anomalies(_marked_scores(spark, d))
+    marks = found.filter(F.col("id") % 2 == 0).select("timestamp", F.col("src_ip").alias("source_ip"))
+    open_ = anomaly.mark_false_positives(found, marks).filter(~F.col("false_positive"))
+    return micros(anomaly.recent_anomalies(open_, 200), "timestamp")
+
+
+@query
+def anomaly_totals(spark, d):
+    return anomaly.anomaly_statistics(_marked_scores(spark, d)).withColumns(
+        r6("score_mean", "score_std", "score_min", "score_max", "detection_rate"))
+
+
+@query
+def anomaly_alert_details(spark, d):
+    """Alerts of given scores, with the figures of the packet in their details."""
+    rows = anomaly.anomaly_alerts(_marked_scores(spark, d), baseline.learn(PF(spark, d)))
+    get = lambda path: F.get_json_object("details", f"$.{path}")
+    return rows.select(
+        "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description",
+        F.round(get("anomaly_score").cast("double"), 6).alias("score"), get("packet_size").cast("long").alias("packet_size"),
+        get("dst_port").cast("long").alias("dst_port"),
+        F.round(get("packets_per_second").cast("double"), 6).alias("packets_per_second"),
+        F.round(get("baseline_comparison.protocol_frequency").cast("double"), 6).alias("protocol_frequency"))
+
+
 # ---- maintenance -----------------------------------------------------------------------------
 
 @query
