@@ -47,18 +47,16 @@ def features(packets: DataFrame) -> DataFrame:
         c("size").alias("packet_size"), "protocol", F.coalesce("src_port", F.lit(0)).alias("src_port"),
         port.alias("dst_port"), "tcp_flags", "payload_size")
 
-    # an event counts for packets after it: a packet reads the totals first, then adds itself
+    # an event counts for packets after it: what a packet adds itself is taken off again where it reads the totals
     size = c("packet_size").cast("long")
     add = F.struct(c("us").alias("at_us"), F.lit(1).alias("turn"), F.lit(1).alias("step"),
                    one.alias("seen"), one.alias("recent"), size.alias("recent_bytes"))
-    read = F.struct(c("us").alias("at_us"), F.lit(1).alias("turn"), F.lit(0).alias("step"),
-                    zero.alias("seen"), zero.alias("recent"), zero.alias("recent_bytes"))
     leave = F.struct((c("us") + width + 1).alias("at_us"), F.lit(0).alias("turn"), F.lit(2).alias("step"),
                      zero.alias("seen"), (-one).alias("recent"), (-size).alias("recent_bytes"))
     carried = ["timestamp", "us", "dst_ip", "packet_size", "protocol", "src_port", "dst_port",
                "tcp_flags", "payload_size"]
-    events = rows.select("id", "src_ip", *carried, F.explode(F.array(read, add, leave)).alias("e")).select(
-        "id", "src_ip", *[F.when(c("e.step") == 0, c(x)).alias(x) for x in carried], "e.*",
+    events = rows.select("id", "src_ip", *carried, F.explode(F.array(add, leave)).alias("e")).select(
+        "id", "src_ip", *[F.when(c("e.step") == 1, c(x)).alias(x) for x in carried], "e.*",
         zero.alias("ports"))
     # one row per spell, read twice below
     spells = cut(_port_spells(rows.select("id", "us", "src_ip", c("dst_port").alias("port"))))
@@ -72,9 +70,11 @@ def features(packets: DataFrame) -> DataFrame:
     out = running(events.unionByName(spell_events, allowMissingColumns=True), ["src_ip"],
                   ["at_us", "turn", "id", "step"],
                   {m: F.sum for m in ("seen", "recent", "recent_bytes", "ports")}, SLICE_US)
+    out = out.filter("step = 1").withColumns({
+        "seen": c("seen") - 1, "recent": c("recent") - 1, "recent_bytes": c("recent_bytes") - c("packet_size")})
     warm = c("seen") > 1
     flags = F.coalesce(c("tcp_flags"), F.lit(""))
-    return out.filter("step = 0").select(
+    return out.select(
         "id", "timestamp", "us", "src_ip", "dst_ip", "packet_size", "protocol", "src_port", "dst_port",
         flags.alias("tcp_flags"), "payload_size",
         hour_of_day(c("timestamp")).alias("hour_of_day"), is_weekend(c("timestamp")).alias("is_weekend"),

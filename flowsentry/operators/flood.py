@@ -63,9 +63,11 @@ def flood_progress(packets: DataFrame, p: Thresholds = Thresholds(), *,
             F.lit(0).alias("step"), zero.alias("in_window"), "packets", "bytes", zero.alias("targets"),
             "first_us")
 
-    # one row per host pair, read twice below
-    seen = rows if only_over is None else rows.join(hot.select("src_ip").distinct(), "src_ip", "left_semi")
-    targets = cut(first_occurrences(seen, ["src_ip"], "dst_ip", "us", "id"))
+    # one row per host pair, read twice below; packets are brought down to pairs before anything goes by source
+    targets = first_occurrences(rows, ["src_ip"], "dst_ip", "us", "id")
+    if only_over is not None:
+        targets = targets.join(hot.select("src_ip").distinct(), "src_ip", "left_semi")
+    targets = cut(targets)
     no_time = F.lit(None).cast("long")
     event = F.explode(F.array(
         F.struct(c("us").alias("us"), F.lit(1).alias("step"), one.alias("in_window"),
@@ -105,8 +107,8 @@ def flood_alerts(packets: DataFrame, p: Thresholds = Thresholds(), **kw) -> Data
     c = F.col
     fired = cut(thin(flood_candidates(packets, p), ["src_ip"], p.alert_cooldown, **kw))
     rows = packets.select("id", us(c("timestamp")).alias("us"), "src_ip", "dst_ip")
-    firsts = first_occurrences(
-        rows.join(fired.select("src_ip").distinct(), "src_ip", "left_semi"), ["src_ip"], "dst_ip", "us", "id")
+    firsts = first_occurrences(rows, ["src_ip"], "dst_ip", "us", "id").join(
+        fired.select("src_ip").distinct(), "src_ip", "left_semi")
     rank = Window.partitionBy("src_ip").orderBy("us", "id")
     shown = firsts.withColumn("rank", F.row_number().over(rank)).filter(
         c("rank") <= TARGETS_SHOWN).groupBy("src_ip").agg(
