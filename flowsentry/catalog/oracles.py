@@ -753,5 +753,7 @@ FROM flood_cand k JOIN flood_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k
   || '","payload_size":' || k.payload_size
   || ',"matched_pattern":"(?i)(\\''\\s*or\\s+\\d+\\s*=\\s*\\d+|\\''\\s*or\\s+\\''.*\\''=\\'')"}' AS details
 FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "payload", PAYLOAD_HITS, PAYLOAD_FIRED),
+    "stream_pipeline_alerts": sql("""SELECT k.packet_id, k.us, k.detector, k.alert_type, k.severity, k.source_ip, k.destination_ip,
+  k.description FROM keyed_alerts k JOIN stored_g g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", *PIPELINE),
     "stream_rule_matches": sql("SELECT id, src_ip, rule_name FROM rule_hits", "payload", RULE_HITS),
 }

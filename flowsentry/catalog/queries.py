@@ -996,6 +996,16 @@ def stream_payload_alerts(spark, d):
         "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description", "details")
 
 
+@query
+def stream_pipeline_alerts(spark, d):
+    """The live loop over packets that arrive out of order: what it has stored in the end."""
+    folder = f"{ensure_checkpoint_dir(spark)}/live/{uuid.uuid4().hex}"
+    for started in live.run_pipeline(_arriving(spark, d), folder, TEST, RULES, {"availableNow": True}).values():
+        started.awaitTermination()
+    return spark.read.parquet(f"{folder}/alerts").select(
+        "packet_id", "us", "detector", "alert_type", "severity", "source_ip", "destination_ip", "description")
+
+
 @query
 def stream_rule_matches(spark, d):
     return live.run_to_end(rules.rule_matches(_stream(spark, d), RULES)).select("id", "src_ip", "rule_name")

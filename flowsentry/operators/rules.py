@@ -90,8 +90,12 @@ def rule_matches(packets: DataFrame, rules: list[CustomRule]) -> DataFrame:
 def rule_alerts(packets: DataFrame, rules: list[CustomRule], p: Thresholds = Thresholds(),
                 **kw) -> DataFrame:
     """Rule alerts after the cooldown per rule and source; one packet may fire several rules."""
+    return as_alerts(thin(rule_matches(packets, rules), ["rule_name", "src_ip"], p.alert_cooldown, **kw))
+
+
+def as_alerts(fired: DataFrame) -> DataFrame:
+    """Rule matches that passed their cooldown as common alert records."""
     c = F.col
-    fired = thin(rule_matches(packets, rules), ["rule_name", "src_ip"], p.alert_cooldown, **kw)
     text = F.concat(F.lit("Custom rule '"), c("rule_name"), F.lit("' triggered: "), c("rule_description"))
     details = F.struct(
         "rule_name", "rule_description", "pattern_type",

@@ -5,18 +5,23 @@ from __future__ import annotations
 import logging
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..operators import alerts as al
 from ..operators import payload, rules
 from ..operators.search import alert_listing
+from ..operators.suppress import thin
 from ..operators.traffic import side_by_side, traffic_totals
+from ..params import CustomRule, Thresholds
 from ..plans.dashboard import ALERTS_SHOWN, chart_points
-from ..session import ensure_checkpoint_dir
+from ..schema import SECOND_US
+from ..session import cut, ensure_checkpoint_dir
 from ..sources.tables import read_alerts, read_packets, read_rules
+from . import stateful
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +43,49 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
             .outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
+def store_alerts(raised: DataFrame, path: str, checkpoint: str, window_seconds: int = 600,
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Store the alerts of a stream that no stored alert of the same type, source and destination precedes within
+    the window. Batches follow one another in event time (see stateful.stream_alerts), so the alerts stored
+    in the last window are all that a batch has to be compared with; a repeated batch replaces itself.
+    """
+    spark = raised.sparkSession
+    keys = ["alert_type", "source_ip", "destination_ip"]
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        new = cut(batch.select(*al.COLUMNS))
+        first = new.agg(F.min("us")).first()[0]
+        if first is None:
+            return
+        both = new.withColumn("stored", F.lit(False))
+        if _exists(spark, path):
+            before = spark.read.parquet(path).filter(
+                (F.col("batch") < batch_id) & (F.col("us") > first - window_seconds * SECOND_US))
+            both = both.unionByName(before.select(*al.COLUMNS).withColumn("stored", F.lit(True)))
+        both = both.withColumn("seq", F.struct("packet_id", "detector", "alert_type"))
+        kept = thin(both, keys, window_seconds, row_id="seq", inclusive=True).filter(~F.col("stored"))
+        kept.drop("stored").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (raised.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def run_pipeline(packets: DataFrame, folder: str, p: Thresholds = Thresholds(), custom: list[CustomRule] | None = None,
+                 trigger: dict | None = None) -> dict[str, StreamingQuery]:
+    """The live loop over a packet stream: packets by date, closed flows, and deduplicated alerts of all detectors,
+    each in its own folder below `folder`."""
+    return {
+        "packets": store_packets(packets, f"{folder}/packets", f"{folder}/state/packets", trigger),
+        "flows": write_batches(stateful.stream_flow_states(packets, p), f"{folder}/flows", f"{folder}/state/flows", trigger),
+        "alerts": store_alerts(stateful.stream_alerts(packets, p, custom), f"{folder}/alerts", f"{folder}/state/alerts",
+                               p.dedup_window, trigger)}
+
+
 def match_stream(packets: DataFrame, rules_path: str, path: str, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
     """Rule matches of a packet stream; the rules are read again for every micro-batch."""
@@ -70,7 +118,7 @@ def live_feed(packets: DataFrame, packets_path: str, alerts_path: str, out: str,
         newest = batch.agg(F.max("timestamp").alias("t")).first()["t"]
         if newest is None:
             return
-        tables = feed(read_packets(spark, packets_path, end=newest), read_alerts(spark, alerts_path), newest)
+        tables = feed(read_packets(spark, packets_path, start=newest - timedelta(hours=1), end=newest), read_alerts(spark, alerts_path), newest)
         for name, df in tables.items():
             df.coalesce(1).write.mode("overwrite").json(f"{out}/{name}/batch={batch_id}")
 
@@ -131,4 +179,6 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
+    if not _exists(spark, f"{base}/out"):  # no batch was written
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")

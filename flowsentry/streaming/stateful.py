@@ -13,6 +13,7 @@ import json
 import sys
 from bisect import bisect_right
 from collections import Counter, deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -23,16 +24,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.patterns import PATTERNS
 from ..functions.scalars import fixed, from_us, hour_of_day, is_weekend, ratio_guarded, words
-from ..operators import alerts
+from ..operators import alerts, rules
 from ..operators.anomaly import Forest, score
 from ..operators.features import WINDOW_S
 from ..operators.flood import TARGETS_SHOWN, flood_severity
 from ..operators.flows import (ESTABLISHED, FIN_WAIT, FLOW, RESET, STATES, SYN_RECEIVED, SYN_SENT, UNKNOWN,
                                canonical)
 from ..operators.payload import is_suspicious, match_columns
-from ..operators.scan import attempt_columns, is_attempt
-from ..params import Thresholds
-from ..schema import DDOS, SECOND_US, SUSPICIOUS_PAYLOAD
+from ..operators.scan import attempt_columns, is_attempt, scan_severity
+from ..params import CustomRule, Thresholds
+from ..schema import DDOS, PORT_SCAN, SECOND_US, SUSPICIOUS_PAYLOAD
 from .windows import LATENESS, on_time, only
 
 register_pickle_by_value(sys.modules[__name__])
@@ -219,6 +220,37 @@ def stream_scan_alerts(packets: DataFrame, p: Thresholds = Thresholds(), latenes
         SCAN_OUT, "append", "eventTime")
 
 
+def stream_scan_records(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of operators.scan.scan_alerts, as common alert records; the details have the figures only."""
+    c = F.col
+    fired = stream_scan_alerts(packets, p, lateness).withColumn("duration", (c("us") - c("session_us")) / F.lit(1e6))
+    fired = fired.withColumn("rate", ratio_guarded(c("attempts"), c("duration")))
+    details = F.struct(c("attempts").alias("scan_count"), c("failures").alias("failed_connections"),
+                       c("duration").alias("scan_duration"), c("rate").alias("scan_rate"))
+    text = F.format_string("Port scan detected from %s. Scanned %d ports on %d target(s).",
+                           c("src_ip"), c("ports"), c("targets"))
+    return alerts.alert_rows(fired, alerts.SCAN, F.lit(PORT_SCAN), scan_severity(c("ports"), c("targets"), c("rate")),
+                             c("src_ip"), c("dst_ip"), text, details)
+
+
+def stream_rule_alerts(packets: DataFrame, custom: list[CustomRule], p: Thresholds = Thresholds(),
+                       lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of operators.rules.rule_alerts."""
+    return rules.as_alerts(stream_suppress(
+        rules.rule_matches(packets, custom), ["rule_name", "src_ip"], p.alert_cooldown, lateness=lateness))
+
+
+def stream_alerts(packets: DataFrame, p: Thresholds = Thresholds(), custom: list[CustomRule] | None = None,
+                  lateness: str = LATENESS) -> DataFrame:
+    """Alerts of every detector as one stream, each after its own cooldown; a micro-batch holds what the
+    watermark has passed, so the batches follow one another in event time."""
+    parts = [stream_scan_records(packets, p, lateness), stream_flood_alerts(packets, p, lateness),
+             stream_payload_alerts(packets, p, lateness=lateness)]
+    if custom:
+        parts.append(stream_rule_alerts(packets, custom, p, lateness))
+    return reduce(lambda a, b: a.unionByName(b), [x.select(*alerts.COLUMNS) for x in parts])
+
+
 FLOOD_OUT = T.StructType(_longs("us", "id", "in_window", "packets", "bytes", "targets", "first_us")
                          + _strings("src_ip") + [T.StructField("target_ips", T.ArrayType(T.StringType()))])
 
