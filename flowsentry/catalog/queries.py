@@ -850,12 +850,12 @@ def anomaly_alert_details(spark, d):
 @query
 def retention(spark, d):
     cut_at = AS_OF
-    rules_by_table = {"packets": (P(spark, d), maintenance.old_packets(cut_at, 10)),
+    doomed = {"packets": (P(spark, d), maintenance.old_packets(cut_at, 10)),
               "alerts": (A(spark, d), maintenance.old_resolved_alerts(cut_at, 10)),
               "all_alerts": (A(spark, d), maintenance.old_alerts(cut_at, 10)),
               "connections": (maintenance.time_out_connections(C(spark, d), cut_at, 24),
                               maintenance.old_closed_connections(cut_at, 10))}
-    return maintenance.deletion_counts(rules_by_table)
+    return maintenance.deletion_counts(doomed)
 
 
 @query
@@ -899,10 +899,10 @@ def purge_like(spark, d):
     c = F.col
     a = A(spark, d).withColumn("description", F.when(c("id") % 4 == 0, F.concat(F.lit("demo "), c("description")))
                                .otherwise(c("description")))
-    tables = {"alerts": (a, maintenance.sample_alert()),
+    doomed = {"alerts": (a, maintenance.sample_alert()),
               "alert_hosts": (a, maintenance.sample_address("source_ip", "destination_ip")),
               "packets": (P(spark, d), maintenance.sample_address())}
-    return maintenance.deletion_counts(rules_by_table)
+    return maintenance.deletion_counts(doomed)
 
 
 @query
