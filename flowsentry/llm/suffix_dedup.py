@@ -43,8 +43,9 @@ from flowsentry.llm.common import text_bytes, whole_texts
 register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM = 100, 24
-BLOCK_BYTES = 4_000_000
-_PLACE = 28  # bits of a position in a block, below the hash
+BLOCK_BYTES = 1_500_000
+_AT_ONCE = 200_000  # bytes whose hashes are held at a time, unless one text is longer
+_PLACE = 28  # bits of a position among these, below the hash
 _NO_ID = -(1 << 63)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,24 +98,37 @@ class Block:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Position of each anchor, first and last window start it stands for, and its 48-bit hash."""
-        empty = np.empty(0, np.int64)
-        if len(self.data) < LENGTH:
-            return empty, empty, empty, empty.astype(np.uint64)
-        hashes = gram_hashes(self.data)
-        place = np.arange(len(hashes), dtype=np.uint64)
-        low = np.uint64(_PLACE)
-        least = _sliding_min(hashes >> low << low | place, LENGTH - GRAM + 1)
-        anchor = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        window = np.arange(len(anchor))
-        end = np.repeat(self.starts[1:], np.diff(self.starts))[:len(anchor)]
-        inside = window + LENGTH <= end
-        window, anchor = window[inside], anchor[inside]
-        if not len(window):
-            return empty, empty, empty, empty.astype(np.uint64)
-        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        first, last = window[new], window[np.r_[new[1:] - 1, len(window) - 1]]
-        at = anchor[new]
-        return at, first, last, hashes[at] >> np.uint64(16)
+        found = [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)]
+        begin = 0
+        for d in range(1, len(self.starts)):  # some documents at a time, which bounds the arrays in between
+            if self.starts[d] - self.starts[begin] >= _AT_ONCE or d == len(self.starts) - 1:
+                low, high = self.starts[begin], self.starts[d]
+                at, first, last, hashes = _anchors(self.data[low:high], np.diff(self.starts[begin:d + 1]))
+                found.append((at + low, first + low, last + low, hashes))
+                begin = d
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of documents that lie one after another in `data`."""
+    empty = np.empty(0, np.int64)
+    if len(data) < LENGTH:
+        return empty, empty, empty, empty.astype(np.uint64)
+    hashes = gram_hashes(data)
+    place = np.arange(len(hashes), dtype=np.uint64)
+    low = np.uint64(_PLACE)
+    least = _sliding_min(hashes >> low << low | place, LENGTH - GRAM + 1)
+    anchor = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    window = np.arange(len(anchor))
+    inside = window + LENGTH <= np.repeat(np.cumsum(sizes), sizes)[:len(anchor)]
+    window, anchor = window[inside], anchor[inside]
+    if not len(window):
+        return empty, empty, empty, empty.astype(np.uint64)
+    new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    at = anchor[new]
+    with np.errstate(over="ignore"):  # anchors have small hashes; mixed once more, these are even again
+        spread = (hashes[at] ^ (hashes[at] >> np.uint64(32))) * _MUL
+    return at, window[new], window[np.r_[new[1:] - 1, len(window) - 1]], (spread ^ (spread >> np.uint64(29))) >> np.uint64(16)
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -159,9 +173,9 @@ def _hash_rows(parts: int):
 def _repeated(table: pa.Table) -> pa.Table:
     """From each block's hashes of one range those that occur twice, in one block or in two."""
     lists = [_unpack(h) for h in table.column("hashes").to_pylist()]
-    every, counts = np.unique(np.concatenate(lists), return_counts=True)
-    again = every[counts > 1]
-    kept = [np.unique(h[np.isin(h, again)]) for h in lists]
+    _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    again = np.split(counts[where] > 1, np.cumsum([len(h) for h in lists])[:-1])
+    kept = [np.unique(h[a]) for h, a in zip(lists, again)]
     some = [i for i, h in enumerate(kept) if len(h)]
     return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())).combine_chunks(),
                      "hashes": pa.array([_pack(kept[i]) for i in some], pa.binary())})
@@ -384,7 +398,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(texts)
     blocks = max(several, -(-size // BLOCK_BYTES))
-    parts = max(several, -(-size // (8 * BLOCK_BYTES)))
+    parts = max(several, -(-size // (4 * BLOCK_BYTES)))
     keyed = texts.withColumn("hash", F.xxhash64("text"))
     docs = keyed.select(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(blocks)).alias("block"), "doc_id", "hash", "text")
     hashes = docs.groupBy("block").applyInArrow(_hash_rows(parts), "part long, block long, hashes binary")
