@@ -22,6 +22,8 @@ from __future__ import annotations
 import base64
 import sys
 from collections import Counter
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,9 @@ from flowsentry.llm.common import Shipped, whole_texts
 register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of text in a block, unless one text is longer.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Documents in the sample whose words are folded first, and how many of its words are remembered.
-SAMPLE_DOCS, KNOWN_WORDS = 24_000, 400_000
+SAMPLE_DOCS, KNOWN_WORDS = 20_000, 300_000
 _BITS = 17  # of an id
 _ID = (1 << _BITS) - 1
 _ALL = 2**30  # more parts than a string can have words or bytes in one block
@@ -115,16 +117,16 @@ def fold_word(word: Column, shift: Column, table: Column) -> Column:
 
     def step(state, _):
         def merge(p):
-            best = F.get(state, p - 1)
-            new = F.shiftright(best, _BITS)
+            new = F.shiftright(F.get(state, p - 1), _BITS)
             # flatten puts arrays together faster than concat does
-            return _either(best >= _NONE, state, F.flatten(F.array(
+            return F.flatten(F.array(
                 F.slice(state, F.lit(1), p - 2),
                 F.array(joined(F.get(state, p - 2).bitwiseAND(_ID), new),
                         joined(new, F.get(state, p + 1).bitwiseAND(_ID))),
-                F.slice(state, p + 2, F.lit(_ALL)))))
+                F.slice(state, p + 2, F.lit(_ALL))))
 
-        return _once(F.array_position(state, F.array_min(state)).cast("int"), merge)
+        least = F.array_min(state)
+        return _either(least >= _NONE, state, _once(F.array_position(state, least).cast("int"), merge))
 
     folded = _either(F.size(word) < 3, word, F.aggregate(F.sequence(F.lit(3), F.size(word)), word, step))
     return F.transform(F.slice(folded, F.lit(2), F.lit(_ALL)), lambda x: x.bitwiseAND(_ID))
@@ -158,14 +160,16 @@ class Packer:
     def pack(self, ids: list, texts: list[str]) -> pa.RecordBatch:
         rows = [cutting.pieces(t) for t in texts]
         flat = pa.array([p for r in rows for p in r], pa.string()).dictionary_encode()
-        known = self.known.value if self.known else {}
-        words, seen, spans = {}, {}, []
-        for p in flat.dictionary.to_pylist():  # each distinct piece: the numbers of its words, known ones below 0
-            spans.append([-1 - seen.setdefault(w, len(seen)) if w in known else words.setdefault(w, len(words))
-                          for w in self.pattern.findall(p)])
+        known = self.known.value.ids if self.known else {}
+        spans = [self.split(p) for p in flat.dictionary.to_pylist()]  # the words of each distinct piece
         length = np.fromiter(map(len, spans), np.int64, len(spans))
-        numbers = np.fromiter((w for s in spans for w in s), np.int32, int(length.sum()))
-        numbers = np.where(numbers < 0, -1 - numbers, numbers + len(seen)).astype(np.int32)
+        used = pa.array(list(chain.from_iterable(spans)), pa.string()).dictionary_encode()
+        words = used.dictionary.to_pylist()
+        folded = np.fromiter((w in known for w in words), bool, len(words))
+        # known words come first, then the others
+        number = np.where(folded, np.cumsum(folded) - 1, folded.sum() + np.cumsum(~folded) - 1).astype(np.int32)
+        numbers = number[used.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int32)
+        seen, words = [w for w, k in zip(words, folded) if k], [w for w, k in zip(words, folded) if not k]
         first = np.cumsum(length) - length
         piece = flat.indices.to_numpy(zero_copy_only=False)
         count = length[piece] if len(piece) else np.empty(0, np.int64)
@@ -183,12 +187,22 @@ class Packer:
             [one(_lists([known[w] for w in seen])),
              one(pa.ListArray.from_arrays(starts, pa.array(state))), one(docs)], names=["known", "words", "docs"])
 
+    def split(self, piece: str) -> list[str]:
+        """The pattern's matches in a piece: letters with at most a space in front are one, punctuation after
+        letters is another; the pattern itself cuts everything else."""
+        if piece[piece[0] == " ":].isalpha():
+            return [piece]
+        stem = piece.rstrip(punctuation)
+        if stem and len(stem) < len(piece) and stem[stem[0] == " ":].isalpha():
+            return [stem, piece[len(stem):]]
+        return self.pattern.findall(piece)
+
     def counted(self, batches):
         """word, n of a batch."""
         for batch in batches:
             found = Counter()
             for text in batch.column("text").to_pylist():
-                found.update(self.pattern.findall(text))
+                found.update(w for p in cutting.pieces(text) for w in self.split(p))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
                                              names=["word", "n"])
 
@@ -216,9 +230,17 @@ class Packer:
         return starts, state
 
 
+#: What can be put together for a text from its words: the ids, the ids as little-endian unsigned 32-bit
+#: integers, and the bytes that the ids decode to.
+FORMS = ("ids", "packed", "bytes")
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id and ids (array of long) of every row."""
+           forms: tuple[str, ...] = ("ids",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id and the `forms` of every row: ids (array of long), packed and bytes (binary).
+
+    The binary forms are made once for each distinct word from its ids and then concatenated.
+    """
     texts = whole_texts(df, id_col, text_col)
     shift, table = displaced(merges(ranks), max(ranks.values()) + 1)
     folded = _once(_numbers(shift), lambda shifts: _once(_numbers(table), lambda entries: F.transform(
@@ -229,27 +251,55 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     blocks = texts.mapInArrow(
         lambda batches: packer.blocks(batches), "known array<array<bigint>>, words array<array<bigint>>, "
                                                 "docs array<struct<doc_id: bigint, at: array<int>>>")
-    return blocks.select(F.inline(_once(F.concat("known", folded), lambda ids: F.transform("docs", lambda d: F.struct(
-        d["doc_id"].alias("doc_id"),
-        F.flatten(F.transform(d["at"], lambda i: F.get(ids, i))).alias("ids"))))))
+    made = {"ids": lambda w: w, "packed": lambda w: little_endian(w, max(ranks.values()) + 1).cast("string"),
+            "bytes": lambda w: decoded(w, ranks).cast("string")}
+
+    def together(ids: Column, form: str, at: Column) -> Column:
+        parts = F.transform(at, lambda i: F.get(ids, i))
+        return F.flatten(parts) if form == "ids" else F.array_join(parts, "").cast("binary")
 
+    def rows(ids: Column, left: tuple[str, ...], have: dict[str, Column]) -> Column:
+        if left:  # bind the words' next form, then go on
+            return _once(F.transform(ids, made[left[0]]), lambda x: rows(ids, left[1:], have | {left[0]: x}))
+        return F.transform("docs", lambda d: F.struct(
+            d["doc_id"].alias("doc_id"), *[together(have[f], f, d["at"]).alias(f) for f in forms]))
 
-def _known_words(texts: DataFrame, packer: Packer, folded: Column) -> dict[str, bytes]:
-    """The ids of the most frequent words in the sample, packed: `KNOWN_WORDS` at most."""
+    return blocks.select(F.inline(_once(F.concat("known", folded), lambda ids: rows(ids, tuple(forms), {}))))
+
+
+def _known_words(texts: DataFrame, packer: Packer, folded: Column) -> KnownWords:
+    """The ids of the most frequent words in the sample, packed: `KNOWN_WORDS` at most. Their number is bounded
+    by that alone; the sample's size is what it is expected to be, by the hashes of the ids."""
     share = max(1, texts.count() // SAMPLE_DOCS)
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * SAMPLE_DOCS)
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     top = (sample.mapInArrow(lambda batches: packer.counted(batches), "word string, n long")
-           .groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS))
-    found = (top.select("word").repartition("word")
-             .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
-             .select("names", folded.alias("ids")).toArrow())
-    known = {}
-    for names, ids in zip(found.column("names"), found.column("ids")):
-        ends = ids.values.offsets.to_numpy()
-        flat = ids.values.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        for i, name in enumerate(names.values.to_pylist()):
-            known[name] = flat[4 * ends[i]:4 * ends[i + 1]]
-    return known
+           .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS))
+    return KnownWords(top.select("word").repartition("word")
+                      .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
+                      .select("names", folded.alias("ids")).toArrow())
+
+
+class KnownWords:
+    """Words and their ids. What travels is the table; the look-up is made where it is used."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.made = table, None
+
+    def __getstate__(self):
+        return {"table": self.table, "made": None}
+
+    @property
+    def ids(self) -> dict[str, bytes]:
+        """Little-endian 32-bit ids by word."""
+        if self.made is None:
+            self.made = {}
+            for names, ids in zip(self.table.column("names"), self.table.column("ids")):
+                ends = ids.values.offsets.to_numpy()
+                flat = ids.values.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+                for i, name in enumerate(names.values.to_pylist()):
+                    self.made[name] = flat[4 * ends[i]:4 * ends[i + 1]]
+            self.table = None
+        return self.made
 
 
 def _lists(packed: list[bytes]) -> pa.ListArray:
@@ -265,9 +315,8 @@ def _pieces_of(ids: Column, every: bytes, start, size) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.substr(whole, start(i), size(i)).cast("string")), "").cast("binary")
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
-    """`df` with a binary column: the ids' pieces one after another. An id outside the vocabulary gives no
-    bytes; null ids give null."""
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids' pieces one after another. An id outside the vocabulary gives no bytes; null ids give null."""
     by_rank = {r: t for t, r in ranks.items()}
     tokens = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
     starts = _numbers([1, *(1 + np.cumsum([len(t) for t in tokens])).tolist()])
@@ -275,18 +324,15 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: st
     def start(i):
         return F.get(starts, i.cast("int")).cast("int")
 
-    return df.withColumn(out, _pieces_of(F.col(ids_col), b"".join(tokens), start, lambda i: start(i + 1) - start(i)))
+    return _pieces_of(ids, b"".join(tokens), start, lambda i: start(i + 1) - start(i))
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
+    """`df` with the bytes that its ids decode to."""
+    return df.withColumn(out, decoded(F.col(ids_col), ranks))
 
 
 def little_endian(ids: Column, width: int) -> Column:
     """Ids below `width` as little-endian unsigned 32-bit integers."""
     every = np.arange(width, dtype="<u4").tobytes()
     return _pieces_of(ids, every, lambda i: (i * 4 + 1).cast("int"), lambda i: F.lit(4))
-
-
-def digests(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 of encoded and
-    decoded rows."""
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                     F.sha2(little_endian(F.col("ids"), max(ranks.values()) + 1), 256).alias("ids_sha256"),
-                     F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -22,8 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, ranks), ranks)
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN,
+                            forms=("packed", "bytes"))
+    return found.select(
+        "doc_id", F.expr("octet_length(packed) div 4").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
