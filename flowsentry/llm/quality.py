@@ -159,7 +159,7 @@ def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 25, bat
             starts = np.cumsum(sizes[docs]) - sizes[docs]
             step += 1
             pace = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
-            for p, g, m, v in zip(model.parameters(), _gradients(model, x[rows], starts, y[docs]), first, second):
+            for p, g, m, v in zip(model.parameters(), _gradients(model, x[rows].astype(np.float32), starts, y[docs]), first, second):
                 g = g + 1e-4 * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -195,7 +195,7 @@ def fit(df: DataFrame, labels: DataFrame, may_learn: Column | None = None, train
     if not rows:
         return None
     bags = [np.frombuffer(r[2], np.float16).reshape(-1, _WIDTH) for r in rows]
-    return train(np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]),
+    return train(np.concatenate(bags), np.array([len(b) for b in bags]),
                  np.array([r[1] for r in rows], np.float32))
 
 
