@@ -1,0 +1,207 @@
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, a fingerprint of any width in about 15 %
+of its bits, so that pigeonhole blocks for all of them have only about six bits each and select nothing. Hence two
+steps, and each pair that either proposes is verified on the shingles:
+
+1. fingerprints that agree or differ in at most `distance` bits, with the blocks of `simhash`;
+2. of what is left, prefixes: the shingles of a set are put in one order for all, and two sets of n shingles or
+   fewer that are similar share one of the first n - ceil(similarity * n) + 1. This misses no pair.
+
+The order is by hash, with the shingles last that many documents hold. Those are told from a share of the
+documents; the order decides how many pairs are proposed, not which are found.
+
+Members of one shingle, up to `CROWDED`, are compared in pairs. Where more meet, the smallest is compared with all
+others; those similar to it are out, it is done there, and so on, after `ROUNDS` rounds in pairs. A document that
+has a similar smaller one is not compared further, as it does not stay.
+
+Defined results: of the connected components of the similar pairs that were met one document stays, that with the
+smallest id (null last), of rows with that id the smallest text hash. No two documents that stay are similar, and
+each that goes is joined by a chain of similar ones to one that stays. A text with fewer words than a shingle is
+one shingle of all its words, texts without words are equal, and rows that repeat id and text are one document.
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowsentry.llm import common as parts
+from flowsentry.llm import simhash
+from flowsentry.llm.common import Shipped
+
+register_pickle_by_value(sys.modules[__name__])
+
+#: Members of a shingle that are still compared in pairs; rounds after which all are.
+CROWDED, ROUNDS = 64, 6
+#: Documents looked at for the order, how many of them make a shingle common, and how many common ones are put last.
+LOOKED_AT, COMMON_FROM, LAST = 50_000, 5, 300_000
+#: A null id is put last.
+NO_ID = (1 << 63) - 1
+NODE = ["id", "hash"]
+#: Frees the shuffles of a query when it ends; the driver's garbage collection would come much later.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written and read back; its shuffles are freed."""
+    conf = df.sparkSession.conf
+    was = conf.get(FREES)
+    conf.set(FREES, "true")
+    try:
+        return parts.written(df, name)
+    finally:
+        conf.set(FREES, was)
+
+
+def shingle_set(text: str, words_in_shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; a text without words has one."""
+    hashes = simhash.shingle_hashes(text, words_in_shingle)
+    return np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _arrays(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.empty(0, np.int64)]), pa.int64()))
+
+
+def _printer(words_in_shingle: int, similarity: float, common: Shipped):
+    def run(batches):
+        last = common.value
+        for batch in batches:
+            prints, sizes, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = simhash.shingle_hashes(text, words_in_shingle)
+                prints.append(simhash.majority(hashes))
+                own = np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
+                sizes.append(len(own))
+                if len(last):
+                    is_last = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                    own = np.concatenate([own[~is_last], own[is_last]])
+                keys.append(own[:prefix_length(len(own), similarity)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("hash"), pa.array(sizes, pa.int32()),
+                 pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()), _arrays(keys)],
+                names=["id", "hash", "n", "fingerprint", "keys"])
+
+    return run
+
+
+def _sets(words_in_shingle: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words_in_shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), _arrays(sets)],
+                                             names=["id", "hash", "shingles"])
+
+    return run
+
+
+def _common(texts: DataFrame, words_in_shingle: int) -> np.ndarray:
+    """Shingles that many documents hold, sorted."""
+    share = max(1, texts.count() // LOOKED_AT)
+    looked_at = texts.filter(F.pmod("hash", F.lit(share)) == 0)
+    found = (looked_at.mapInArrow(_sets(words_in_shingle), "id long, hash long, shingles array<long>")
+             .select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+             .filter(F.col("c") >= COMMON_FROM).orderBy(F.desc("c")).limit(LAST).select("s").toArrow())
+    return np.sort(found.column("s").to_numpy())
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(side + c) if c in (*NODE, "n") else F.col(c) for c in df.columns])
+
+
+def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of two nodes whose sizes allow the similarity, the smaller node as a."""
+    a, b = (F.struct(s + "id", s + "hash") for s in "ab")
+    fits = (F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9) & (a != b)
+    swap = a > b
+    return pairs.filter(fits).select(*[F.when(swap, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c)
+                                       for x, y in ("ab", "ba") for c in NODE])
+
+
+def _by_prints(prints: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs proposed by equal and close fingerprints: each with the smallest of its own, and those with one another."""
+    smallest = prints.groupBy("fingerprint").agg(F.min(F.struct("id", "hash", "n")).alias("s"))
+    smallest = written(smallest.select("fingerprint", "s.*"), "smallest")
+    equal = _named(smallest, "a").join(_named(prints.drop("keys"), "b"), "fingerprint")
+    edges = simhash.links(smallest.select("fingerprint"), distance)
+    close = (edges.join(_named(smallest, "a").withColumnRenamed("fingerprint", "a"), "a")
+             .join(_named(smallest, "b").withColumnRenamed("fingerprint", "b"), "b"))
+    columns = [s + c for s in "ab" for c in (*NODE, "n")]
+    return _ordered(equal.select(*columns).unionByName(close.select(*columns)), similarity)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
+    """The pairs that are similar indeed."""
+    pairs = written(pairs.distinct(), "proposed")
+    ends = written(pairs.select(F.col("aid").alias("id"), F.col("ahash").alias("hash")).union(
+        pairs.select("bid", "bhash")).distinct(), "ends")  # so that its size is known, and texts stay where few are wanted
+    sets = written(texts.join(ends, NODE, "left_semi").mapInArrow(
+        _sets(words_in_shingle), "id long, hash long, shingles array<long>").dropDuplicates(NODE), "shingle-sets")
+    both = pairs
+    for side in "ab":
+        both = both.join(sets.select(*[F.col(c).alias(side + c) for c in (*NODE, "shingles")]), [side + "id", side + "hash"])
+    shared = F.size(F.array_intersect("ashingles", "bshingles"))
+    whole = F.size("ashingles") + F.size("bshingles")
+    return written(both.filter(shared * (1 + similarity) >= similarity * whole - 1e-9)
+                   .select("aid", "ahash", "bid", "bhash"), "similar")
+
+
+def _out(similar: DataFrame) -> DataFrame:
+    return similar.select(F.col("bid").alias("id"), F.col("bhash").alias("hash")).distinct()
+
+
+def similar_pairs(texts: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """aid, ahash, bid, bhash: similar documents of `texts` (id, hash, text), the smaller one as a, as far as it takes
+    to know which have no similar smaller one."""
+    spark = texts.sparkSession
+    common = Shipped(spark, _common(texts, words_in_shingle))
+    prints = written(texts.mapInArrow(
+        _printer(words_in_shingle, similarity, common),
+        "id long, hash long, n int, fingerprint long, keys array<long>"), "prints")
+    found = _similar(_by_prints(prints, distance, similarity), texts, words_in_shingle, similarity)
+    keyed = prints.join(_out(found), NODE, "left_anti").select(F.explode("keys").alias("key"), "id", "hash", "n")
+    met = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    live = written(keyed.join(met, "key"), "met")
+    for turn in range(ROUNDS + 1):
+        first = live.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash", "n")).alias("s")).filter("c > 1")
+        first = written(first.select("key", "c", "s.*"), "first")
+        crowded = first.filter(F.lit(turn < ROUNDS) & (F.col("c") > CROWDED))
+        few = first.filter(F.lit(turn == ROUNDS) | (F.col("c") <= CROWDED)).select("key")
+        members = live.join(few, "key")
+        columns = [s + c for s in "ab" for c in (*NODE, "n")]
+        pairs = (_named(members, "a").join(_named(members, "b"), "key")
+                 .filter(F.struct("aid", "ahash") < F.struct("bid", "bhash")).select(*columns)
+                 .unionByName(_named(crowded.drop("c"), "a").join(_named(live, "b"), "key").select(*columns)))
+        new = _similar(_ordered(pairs, similarity), texts, words_in_shingle, similarity)
+        found = found.unionByName(new)
+        if crowded.isEmpty():
+            break
+        left = live.join(crowded.select("key"), "key").join(crowded.select("key", *NODE), ["key", *NODE], "left_anti")
+        live = written(left.join(_out(new), NODE, "left_anti"), "met")
+    return found
+
+
+def keep_one(df: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, distance: int = 2,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` that stay, with all their columns."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                      F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
+                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = similar_pairs(keyed.select("id", "hash", "text"), words_in_shingle, similarity, distance)
+    # whoever has a similar smaller one is not the smallest of its component; a smallest of a part of it may be
+    edges = found.select(F.struct(F.col("aid").alias("id"), F.col("ahash").alias("hash")).alias("a"),
+                         F.struct(F.col("bid").alias("id"), F.col("bhash").alias("hash")).alias("b"))
+    gone = simhash.components(edges).filter("root < node").select("node.id", "node.hash")
+    return keyed.join(written(gone, "gone"), NODE, "left_anti").select("row.*")

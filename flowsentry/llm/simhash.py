@@ -40,19 +40,23 @@ CROWDED = 64
 SEED = 42
 
 
-def fingerprint(text: str, words_in_shingle: int) -> int:
-    """The 64-bit SimHash of one text; words are the runs outside [\\x20\\x09-\\x0D]."""
+def shingle_hashes(text: str, words_in_shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles; words are the runs outside [\\x20\\x09-\\x0D]."""
     words = text.encode().lower().split()  # bytes: only A-Z fold, only these six characters split
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     k = min(words_in_shingle, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1:].tolist())], np.uint64)
-    return majority(hashes)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1:].tolist())], np.uint64)
+
+
+def fingerprint(text: str, words_in_shingle: int) -> int:
+    """The 64-bit SimHash of one text; zero if it has no words."""
+    return majority(shingle_hashes(text, words_in_shingle))
 
 
 def majority(hashes: np.ndarray) -> int:
