@@ -32,3 +32,12 @@ def test_runs(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "severity" in df.columns
+
+
+def test_many_rules_do_not_hang_on_the_ids_of_a_table(spark, tmp_path):
+    for name in ("events", "customer", "supplier", "part", "benchmark", "documents"):
+        df = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        if name == "events":
+            df = df.withColumn("event_id", df["event_id"] + 1_000_000)
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["custom_rules_many"](spark, str(tmp_path)).count() > 0
