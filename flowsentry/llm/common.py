@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
+from pyarrow import fs
 from pyspark.broadcast import Broadcast
 from pyspark.cloudpickle import dumps, loads, register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's address, and its path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back; cuts its lineage."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, suffix_tree_lm, token_files
+from flowsentry.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, suffix_tree_lm, token_files, warc
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -77,6 +77,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "cost", "audit", "repaired_sha256")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, pages = shared_folder(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder)
+    found = warc.read_records(warc.find(spark, folder, pages), folder, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_warc": op13_warc,
 }
 
 def _repair_sql() -> str:
@@ -160,4 +168,14 @@ ORACLES = {
                      count(*) OVER (PARTITION BY content) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM w""",
     "op11_conversation_repair": _repair_sql(),
+    "op13_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex,
+                     row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM p
+              WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS LAST))
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - (i % 4) * 5)) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN first_id END AS refers_to FROM d""",
 }
