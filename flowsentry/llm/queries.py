@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import byte_bpe, conversation_repair, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup, suffix_tree_lm, token_files, warc
+from flowsentry.llm import (
+    byte_bpe, conversation_repair, decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, suffix_dedup,
+    suffix_tree_lm, token_files, warc, whitening)
 from flowsentry.llm.common import shared_folder, table
 
 
@@ -77,6 +79,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "cost", "audit", "repaired_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, pages = shared_folder(spark, "warc"), table(spark, sf_dir, "pages")
     warc.write_archives(pages, folder)
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
     "op13_warc": op13_warc,
 }
 
