@@ -973,7 +973,7 @@ def stream_scan_alerts(spark, d):
 
 @query
 def stream_dedup(spark, d):
-    matches = payload.payload_matches(_arriving(spark, d)).select("us", "id", "src_ip")
+    matches = stateful.stream_payload_matches(_arriving(spark, d)).select("us", "id", "src_ip", "timestamp")
     return live.run_to_end(stateful.stream_suppress(matches, ["src_ip"], 600, inclusive=True))
 
 

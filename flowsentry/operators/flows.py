@@ -18,14 +18,16 @@ KEEP = -1
 
 FLOW = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 FLOW_SLICE_US = SLICE_US
+HOUR_US = 3600 * SECOND_US
+DAY_US = 24 * HOUR_US
 
 
 def _has(flag: str) -> Column:
     return F.coalesce(F.col("tcp_flags"), F.lit("")).contains(flag)
 
 
-def canonical(packets: DataFrame) -> DataFrame:
-    """Both directions under one key: (ip_a, port_a) is the smaller endpoint, `fwd` the direction.
+def canonical(packets: DataFrame, *more: str) -> DataFrame:
+    """Both directions under one key: (ip_a, port_a) is the smaller endpoint, `fwd` the direction; with the columns `more`.
 
     A null port stays null and compares as port -1.
     """
@@ -37,7 +39,7 @@ def canonical(packets: DataFrame) -> DataFrame:
         b["ip"].alias("ip_b"), b["port"].alias("port_b"), "protocol",
         (src <= dst).alias("fwd"), us(F.col("timestamp")).alias("us"), "id", "size",
         _has("SYN").alias("syn"), _has("ACK").alias("ack"),
-        _has("FIN").alias("fin"), _has("RST").alias("rst"))
+        _has("FIN").alias("fin"), _has("RST").alias("rst"), *more)
 
 
 def _slice_summaries(packets: DataFrame) -> DataFrame:
@@ -108,18 +110,61 @@ def _with_effects(s: DataFrame) -> DataFrame:
         F.when(settled, after(set_state, set_pos)).otherwise(other).cast("int").alias("mid_other"))
 
 
-def _folded_state() -> Column:
-    """State after all slices of a session, from the collected (slice, begin, mid…) rows.
+def _moved(state: Column, effect: Column) -> Column:
+    """The state, or the effect on it so far, after one more effect (`mid_handshake`, `mid_other`)."""
+    to = F.when(state.isin(SYN_SENT, SYN_RECEIVED), effect["mid_handshake"]).otherwise(effect["mid_other"])
+    return F.when(to == KEEP, state).otherwise(to)
 
-    The array holds one small entry per slice of the session, never per packet.
-    """
-    steps = F.array_sort(F.collect_list(F.struct("slice", "begin", "mid_handshake", "mid_other")))
 
-    def step(state, s):
-        moved = F.when(state.isin(SYN_SENT, SYN_RECEIVED), s["mid_handshake"]).otherwise(s["mid_other"])
-        return F.when(moved == KEEP, state).otherwise(moved)
+def _composed(first: Column, then: Column) -> Column:
+    """The effect of two stretches of packets, one after the other. An effect is a map from state to state that
+    tells handshakes from all other states, and so is what two of them do."""
+    def part(name):
+        return F.when(first[name] == KEEP, then[name]).otherwise(_moved(first[name], then)).alias(name)
+
+    return F.struct(_moved(first["begin"], then).alias("begin"), part("mid_handshake"), part("mid_other"))
+
+
+def slice_effect(rows: Column) -> Column:
+    """Totals and effect of a slice from its packets in order: an array of (us, size, fwd, syn, ack, fin, rst)."""
+    number = lambda n: F.lit(n).cast("int")
+
+    def effect(r):
+        opened = F.when(r["ack"], number(SYN_RECEIVED)).otherwise(number(SYN_SENT))
+        ends = F.when(r["fin"], number(FIN_WAIT)).when(r["rst"], number(RESET)).otherwise(number(KEEP))
+        return F.struct(
+            F.when(r["syn"], opened).otherwise(number(UNKNOWN)).alias("begin"),
+            F.when(r["syn"], opened).when(r["ack"], number(ESTABLISHED)).otherwise(ends).alias("mid_handshake"),
+            F.when(r["syn"], opened).otherwise(ends).alias("mid_other"))
+
+    steps = F.transform(rows, effect)
+    whole = F.aggregate(F.slice(steps, 2, F.size(steps)), F.element_at(steps, 1), _composed)
+    zero = F.lit(0).cast("long")
+    sent = lambda fwd: F.aggregate(rows, zero, lambda n, r: n + F.when(r["fwd"] == fwd, r["size"]).otherwise(0))
+    first, last = F.element_at(rows, 1), F.element_at(rows, -1)
+    return F.struct(
+        first["us"].alias("first_us"), last["us"].alias("last_us"), F.size(rows).cast("long").alias("packets"),
+        sent(True).alias("bytes_fwd"), sent(False).alias("bytes_rev"), first["fwd"].alias("first_fwd"),
+        *[whole[n].alias(n) for n in ("begin", "mid_handshake", "mid_other")])
 
-    return F.aggregate(F.slice(steps, 2, F.size(steps)), F.element_at(steps, 1)["begin"], step)
+
+def _merged(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches of packets merged to one per key: totals, and the effect of one after the other.
+
+    The array that is folded holds one small entry per stretch.
+    """
+    c = F.col
+    steps = F.array_sort(F.collect_list(F.struct("first_us", "begin", "mid_handshake", "mid_other")))
+    found = stretches.groupBy(*keys).agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("packets").alias("packets"),
+        F.sum("bytes_fwd").alias("bytes_fwd"), F.sum("bytes_rev").alias("bytes_rev"),
+        F.min_by("first_fwd", "first_us").alias("first_fwd"), steps.alias("steps"))
+    start = F.element_at("steps", 1)
+    effect = F.aggregate(
+        F.slice("steps", 2, F.size("steps")), F.struct(start["begin"], start["mid_handshake"], start["mid_other"]), _composed)
+    return found.withColumn("effect", effect).select(
+        *keys, "first_us", "last_us", "packets", "bytes_fwd", "bytes_rev", "first_fwd",
+        *[c("effect")[n].alias(n) for n in ("begin", "mid_handshake", "mid_other")])
 
 
 def flow_sessions(packets: DataFrame, idle_seconds: int = 300) -> DataFrame:
@@ -134,12 +179,14 @@ def flow_sessions(packets: DataFrame, idle_seconds: int = 300) -> DataFrame:
     slices = number_sessions(_with_effects(_slice_summaries(packets)), FLOW, gap)
     names = F.array(*[F.lit(s) for s in STATES])
     c = F.col
-    s = slices.groupBy(*FLOW, "session_us").agg(
-        F.max("last_us").alias("last_us"),
-        F.max(F.when(c("first_us") == c("session_us"), c("first_fwd"))).alias("fwd"),
-        F.sum("packets").alias("packet_count"),
-        F.sum("bytes_fwd").alias("bytes_fwd"), F.sum("bytes_rev").alias("bytes_rev"),
-        _folded_state().alias("state_no"))
+    # slices to hours, hours to days, days to sessions: no array is longer than the parts of the next larger stretch.
+    # All go by the flow, as the slices are dealt already
+    key = [*FLOW, "session_us"]
+    hours = _merged(slices.withColumn("hour", slice_start("slice", HOUR_US)), [*key, "hour"])
+    days = _merged(hours.withColumn("day", slice_start("hour", DAY_US)), [*key, "day"])
+    s = _merged(days, key).select(
+        *key, "last_us", c("first_fwd").alias("fwd"), c("packets").alias("packet_count"), "bytes_fwd", "bytes_rev",
+        c("begin").alias("state_no"))
 
     def port(x, y):
         p = F.when(c("fwd"), c(x)).otherwise(c(y))

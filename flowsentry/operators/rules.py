@@ -66,6 +66,12 @@ def rule_matches(packets: DataFrame, rules: list[CustomRule]) -> DataFrame:
     nor shuffled, and read once for any number of rules. A rule whose regex does not compile matches nothing
     (`rule_errors` reports it); other faults are refused.
     """
+    return timed_matches(packets, rules).drop("timestamp")
+
+
+def timed_matches(packets: DataFrame, rules: list[CustomRule]) -> DataFrame:
+    """`rule_matches` with the packets' `timestamp`. The conditions name it, so that in a stream they stay above the
+    watermark, and packets that match no rule move it on too."""
     spark = packets.sparkSession
     bad = validate_rules(rules)
     if bad:
@@ -73,12 +79,13 @@ def rule_matches(packets: DataFrame, rules: list[CustomRule]) -> DataFrame:
     usable = [(i, r) for i, r in enumerate(rules) if r.enabled and (
         r.pattern_type != "regex" or compiles(spark, r.pattern))]
     text = payload_text(packets.columns)
-    rows = packets.withColumn("_text", text).filter(F.col("_text").isNotNull() & (F.col("_text") != "")).select(
-        "id", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port", "protocol",
+    timed = F.col("timestamp").isNotNull()
+    rows = packets.withColumn("_text", text).filter(F.when(timed, F.col("_text") != "").otherwise(F.lit(False))).select(
+        "id", "timestamp", us(F.col("timestamp")).alias("us"), "src_ip", "dst_ip", "dst_port", "protocol",
         "payload_size", "_text")
     hits = [F.when(_applies(r, F.col("_text")), F.lit(i)) for i, r in usable] or [F.lit(None).cast("int")]
     fired = rows.select(*[c for c in rows.columns if c != "_text"],
-                        F.explode(F.array_compact(F.array(*hits))).alias("rule_no"))
+                        F.explode(F.when(timed, F.array_compact(F.array(*hits)))).alias("rule_no"))
     # as many rows as there are rules in the list
     named = spark.createDataFrame(
         [(i, r.name, r.description, r.pattern_type, r.pattern, r.severity) for i, r in usable],

@@ -24,6 +24,8 @@ class Thresholds:
     anomaly_threshold: float = -0.5
     min_baseline_samples: int = 1000
     baseline_window_hours: int = 24
+    #: Streams forget the totals of a source so long after its last packet; None keeps them for good.
+    forget_source_after: int | None = None
 
 
 @dataclass(frozen=True)

@@ -1,20 +1,25 @@
 """Keyed state for what windows cannot express: suppression, early alerts, TCP state, features.
 
-Rows may arrive in any order within the lateness. Each processor therefore holds the rows of its key until the
-watermark has passed them (later ones are dropped by then) and takes them in the order of (us, id), as the
-batch operators do. So results come one lateness after the event and do not depend on how the rows were split
-into micro-batches. An event-time timer takes rows that no later row of the key pushes on, and drops
-what can no longer matter.
+Two levels. First the rows of a key are gathered by slices of ten seconds with Spark's own windowed aggregation,
+keyed by (key, slice): a source that sends a third of all traffic is spread over its slices, rows are combined
+before the shuffle, and state is dropped with each slice. A slice is handed on, sorted by (us, id), when the
+watermark has passed it, so a micro-batch gives the second level all slices up to a moment and none later. There
+a small state per key (totals, the open session, the last alert) takes the slices in order; it holds no rows. So
+results come one lateness and at most one slice after the event, do not depend on how rows were split into
+micro-batches, and equal those of the batch operators.
+
+The watermark is set once, on the packets, before any filter: a query's watermark is the least of all it has, so one
+below a filter would stand still while nothing passes the filter. `stream_suppress` refuses candidates without one.
 """
 
 from __future__ import annotations
 
 import json
 import sys
-from bisect import bisect_right
 from collections import Counter, deque
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
@@ -28,13 +33,14 @@ from ..operators import alerts, rules
 from ..operators.anomaly import Forest, score
 from ..operators.features import WINDOW_S
 from ..operators.flood import TARGETS_SHOWN, flood_severity
-from ..operators.flows import (ESTABLISHED, FIN_WAIT, FLOW, RESET, STATES, SYN_RECEIVED, SYN_SENT, UNKNOWN,
-                               canonical)
+from ..operators.flows import FLOW, KEEP, STATES, SYN_RECEIVED, SYN_SENT, canonical, slice_effect
+from ..operators.ordered import SLICE_US
 from ..operators.payload import is_suspicious, match_columns
-from ..operators.scan import attempt_columns, is_attempt, scan_severity
+from ..operators.scan import PORTS_SHOWN, attempt_columns, is_attempt, scan_severity
+from ..operators.scan import TARGETS_SHOWN as SCAN_TARGETS_SHOWN
 from ..params import CustomRule, Thresholds
 from ..schema import DDOS, PORT_SCAN, SECOND_US, SUSPICIOUS_PAYLOAD
-from .windows import LATENESS, on_time, only
+from .windows import LATENESS, on_time, only, watermarked
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -45,53 +51,80 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def in_slices(timed: DataFrame, keys: list[str], width_us: int = SLICE_US) -> DataFrame:
+    """One row per key and slice of time that the watermark has passed, with the columns `us`, `id` and the others as
+    arrays in the order of (us, id); `timestamp` is the slice's last moment and carries the watermark on."""
+    names = ["us", "id", *(c for c in timed.columns if c not in ("us", "id", "timestamp", *keys))]
+    slices = timed.groupBy(*keys, F.window("timestamp", f"{width_us} microseconds").alias("_slice")).agg(
+        F.sort_array(F.collect_list(F.struct(*names))).alias("_rows"))
+    return slices.select(*keys, F.window_time("_slice").alias("timestamp"), *[F.col("_rows")[n].alias(n) for n in names])
+
+
 class InOrder(StatefulProcessor):
-    """Holds the rows of a key until the watermark has passed them and hands them to `take` in (us, id) order."""
+    """Takes the slices of a key in their order.
+
+    `load` reads the key's state, `take` is called slice by slice, `store` writes the state back or drops what can no
+    longer matter, and a timer calls `store` again at `due`.
+    """
 
-    row: str          # schema of a held row, beginning with `us long, id long`
+    names: list[str]  # columns of a slice: arrays, the first of which is `us`
     out: T.StructType
+    width_us = SLICE_US
 
     def init(self, handle):
         self.handle = handle
-        self.names = [c.split()[0] for c in self.row.split(", ")]
-        self.held = handle.getListState("held", self.row)
         self.open(handle)
 
     def open(self, handle):
         """Declare the processor's own state."""
 
-    def take(self, key, rows: list[tuple], passed: int) -> list[tuple]:
-        """Rows to emit after `rows`; no row up to the moment `passed` will follow."""
+    def load(self) -> None:
+        raise NotImplementedError
+
+    def take(self, key, *columns: list) -> list[tuple]:
+        """Rows to emit for one slice."""
+        raise NotImplementedError
+
+    def store(self, passed: int) -> None:
+        """Write the state; no row up to the moment `passed` will follow."""
         raise NotImplementedError
 
     def due(self) -> int | None:
-        """The moment at which `take` wants to be called again, rows or not."""
+        """The moment at which `store` has something to drop, as of the last `store`."""
         return None
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for df in rows for r in df[self.names].itertuples(index=False, name=None)]
-        yield self._advance(key, new, timerValues)
+        slices = [r for df in rows for r in df[self.names].itertuples(index=False, name=None)]
+        slices.sort(key=lambda r: -r[0][0])
+        self.load()
+        found = []
+        while slices:
+            found += self.take(key, *[c.tolist() if isinstance(c, np.ndarray) else list(c) for c in slices.pop()])
+            if len(found) >= 10_000:
+                yield self._frame(found)
+                found = []
+        self._settle(timerValues)
+        yield self._frame(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._advance(key, [], timerValues)
-
-    def _advance(self, key, new, timerValues) -> pd.DataFrame:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        old = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        rows = sorted(old + new, key=lambda r: r[:2])
-        cut = bisect_right(rows, passed, key=lambda r: r[0])
-        if rows[cut:]:
-            self.held.put(rows[cut:])
-        elif old:
-            self.held.clear()
-        found = self.take(key, rows[:cut], passed)
+        self.load()
+        self._settle(timerValues)
+        yield self._frame([])
+
+    def _settle(self, timerValues) -> None:
+        width = self.width_us
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        self.store(watermark // width * width - 1)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        wanted = [us for us in (rows[cut][0] if rows[cut:] else None, self.due()) if us is not None]
-        if wanted:
-            self.handle.registerTimer(max(-(-min(wanted) // 1000), passed // 1000 + 1))
-        frame = pd.DataFrame(found, columns=self.out.names)
-        return frame.astype({f.name: "Int32" for f in self.out if f.dataType == T.IntegerType()})
+        due = self.due()
+        if due is not None:  # the end of the slice in which it falls
+            self.handle.registerTimer(max((due // width + 1) * width, watermark) // 1000 + 1)
+
+    def _frame(self, found: list[tuple]) -> pd.DataFrame:
+        kinds = {T.IntegerType(): "Int32", T.LongType(): "Int64"}
+        return pd.DataFrame(found, columns=self.out.names).astype(
+            {f.name: kinds[f.dataType] for f in self.out if f.dataType in kinds})
 
     def close(self):
         pass
@@ -100,39 +133,46 @@ class InOrder(StatefulProcessor):
 class Suppress(InOrder):
     """Cooldown or deduplication per key."""
 
-    def __init__(self, window_us: int, inclusive: bool, row: str, out: T.StructType):
-        self.window_us, self.inclusive, self.row, self.out = window_us, inclusive, row, out
+    def __init__(self, window_us: int, inclusive: bool, names: list[str], out: T.StructType):
+        self.window_us, self.inclusive, self.names, self.out = window_us, inclusive, names, out
 
     def open(self, handle):
-        self.last = handle.getValueState("last", "us long")
+        self.kept = handle.getValueState("last", "us long")
 
-    def take(self, key, rows, passed):
-        last = self.last.get()[0] if self.last.exists() else None
-        found = []
-        for r in rows:
-            waited = None if last is None else r[0] - last
+    def load(self):
+        self.last = self.kept.get()[0] if self.kept.exists() else None
+
+    def take(self, key, *columns):
+        fields, found = dict(zip(self.names, columns)), []
+        for i, us in enumerate(columns[0]):
+            waited = None if self.last is None else us - self.last
             if waited is None or waited > self.window_us or self.inclusive and waited == self.window_us:
-                last = r[0]
-                found.append(tuple(r[self.names.index(n)] for n in self.out.names))
-        if last is not None and passed > last + self.window_us:
-            self.last.clear()
-        elif last is not None:
-            self.last.update((int(last),))
+                self.last = us
+                row = dict(zip(self.keys, key)) | {n: c[i] for n, c in fields.items()}
+                found.append(tuple(row[n] for n in self.out.names))
         return found
 
+    def store(self, passed):
+        if self.last is not None and passed > self.last + self.window_us:
+            self.last = None
+        if self.last is None:
+            self.kept.clear()
+        else:
+            self.kept.update((self.last,))
+
     def due(self):
-        return self.last.get()[0] + self.window_us + 1 if self.last.exists() else None
+        return None if self.last is None else self.last + self.window_us + 1
 
 
-def stream_suppress(candidates: DataFrame, keys: list[str], window_seconds: int, inclusive: bool = False,
-                    lateness: str = LATENESS) -> DataFrame:
-    """Streaming twin of operators.suppress.thin; needs `us`, `id` and non-null keys."""
-    names = ["us", "id", *(c for c in candidates.columns if c not in ("us", "id"))]
-    plain = candidates.select(*names)
-    row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    rows = plain.withColumn("timestamp", from_us(F.col("us")))
-    return on_time(rows, lateness).groupBy(*keys).transformWithStateInPandas(
-        Suppress(window_seconds * SECOND_US, inclusive, row, plain.schema), plain.schema, "append", "eventTime")
+def stream_suppress(candidates: DataFrame, keys: list[str], window_seconds: int, inclusive: bool = False) -> DataFrame:
+    """Streaming twin of operators.suppress.thin; needs `us`, `id`, non-null keys, and `timestamp` with a watermark."""
+    if not watermarked(candidates):
+        raise ValueError("set the watermark on the packets, before they are filtered (windows.on_time)")
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in candidates.schema if f.name != "timestamp"])
+    names = ["us", "id", *(f.name for f in out if f.name not in ("us", "id", *keys))]
+    watch = Suppress(window_seconds * SECOND_US, inclusive, names, out)
+    watch.keys = list(keys)
+    return in_slices(candidates, keys).groupBy(*keys).transformWithStateInPandas(watch, out, "append", "eventTime")
 
 
 def _longs(*names: str) -> list[T.StructField]:
@@ -144,70 +184,91 @@ def _strings(*names: str) -> list[T.StructField]:
 
 
 SCAN_OUT = T.StructType(_longs("us", "id", "session_us", "ports", "targets", "attempts", "failures")
-                        + _strings("src_ip", "dst_ip"))
+                        + _strings("src_ip", "dst_ip") + [
+                            T.StructField("scanned_ports", T.ArrayType(T.IntegerType())),
+                            T.StructField("target_ips", T.ArrayType(T.StringType()))])
 
 
 class ScanWatch(InOrder):
     """Running scan session of a source; emits the attempt that passes threshold and cooldown.
 
-    Ports and targets lie in map state, and only those of the rows at hand are looked up.
+    All ports and targets lie in map state, and only those of the slice at hand are looked up; the first few, which
+    an alert lists, lie in the totals.
     """
 
-    row, out = "us long, id long, dst_ip string, dst_port int, failed long", SCAN_OUT
+    names, out = ["us", "id", "dst_ip", "dst_port", "failed"], SCAN_OUT
 
     def __init__(self, threshold: int, gap_us: int, cooldown_us: int):
         self.threshold, self.gap_us, self.cooldown_us = threshold, gap_us, cooldown_us
 
     def open(self, handle):
         self.totals = handle.getValueState(
-            "totals", "start long, last long, attempts long, failures long, ports long, targets long")
-        self.fired = handle.getValueState("fired", "us long")
-        self.ports = handle.getMapState("ports", "port int", "seen boolean")
-        self.targets = handle.getMapState("targets", "ip string", "seen boolean")
+            "totals", "start long, last long, attempts long, failures long, ports long, targets long, "
+                      "first_ports array<int>, first_targets array<string>")
+        self.cooled = handle.getValueState("fired", "us long")
+        self.seen = {"ports": handle.getMapState("ports", "port int", "seen boolean"),
+                     "targets": handle.getMapState("targets", "ip string", "seen boolean")}
+
+    def load(self):
+        if self.totals.exists():
+            *numbers, ports, targets = self.totals.get()
+            self.start, self.last, self.attempts, self.failures, *counts = numbers
+            self.count = dict(zip(("ports", "targets"), counts))
+            self.shown = {"ports": list(ports), "targets": list(targets)}
+        else:
+            self.start = self.last = None
+        self.fired = self.cooled.get()[0] if self.cooled.exists() else None
+        self.met = set()
 
     def _clear(self):
-        for state in (self.totals, self.ports, self.targets):
+        self.totals.clear()
+        for state in self.seen.values():
             state.clear()
-
-    def take(self, key, rows, passed):
-        start = last = None
-        attempts = failures = ports = targets = 0
-        if self.totals.exists():
-            start, last, attempts, failures, ports, targets = self.totals.get()
-        fired = self.fired.get()[0] if self.fired.exists() else None
-        met, found = set(), []
-        for us, id_, ip, port, failed in rows:
-            if last is None or us - last > self.gap_us:
-                self._clear()
-                start, attempts, failures, ports, targets, met = us, 0, 0, 0, 0, set()
-            last, attempts, failures = us, attempts + 1, failures + failed
-            if ("port", port) not in met:
-                met.add(("port", port))
-                if not self.ports.containsKey((int(port),)):
-                    self.ports.updateValue((int(port),), (True,))
-                    ports += 1
-            if ("ip", ip) not in met:
-                met.add(("ip", ip))
-                if not self.targets.containsKey((ip,)):
-                    self.targets.updateValue((ip,), (True,))
-                    targets += 1
-            if ports >= self.threshold and (fired is None or us - fired > self.cooldown_us):
-                fired = us
-                found.append((us, id_, start, ports, targets, attempts, failures, key[0], ip))
-        if last is not None:
-            self.totals.update(tuple(map(int, (start, last, attempts, failures, ports, targets))))
-            if passed > last + self.gap_us:
+        self.met = set()
+
+    def _meet(self, kind, value, most):
+        if (kind, value) in self.met:
+            return
+        self.met.add((kind, value))
+        if not self.seen[kind].containsKey((value,)):
+            self.seen[kind].updateValue((value,), (True,))
+            self.count[kind] += 1
+            if len(self.shown[kind]) < most:
+                self.shown[kind].append(value)
+
+    def take(self, key, *columns):
+        found = []
+        for us, id_, ip, port, failed in zip(*columns):
+            if self.last is None or us - self.last > self.gap_us:
                 self._clear()
-        if fired is not None:
-            if passed > fired + self.cooldown_us:
-                self.fired.clear()
-            else:
-                self.fired.update((int(fired),))
+                self.start, self.attempts, self.failures = us, 0, 0
+                self.count, self.shown = {"ports": 0, "targets": 0}, {"ports": [], "targets": []}
+            self.last, self.attempts, self.failures = us, self.attempts + 1, self.failures + failed
+            self._meet("ports", port, PORTS_SHOWN)
+            self._meet("targets", ip, SCAN_TARGETS_SHOWN)
+            if self.count["ports"] >= self.threshold and (self.fired is None or us - self.fired > self.cooldown_us):
+                self.fired = us
+                found.append((us, id_, self.start, self.count["ports"], self.count["targets"], self.attempts,
+                              self.failures, key[0], ip, sorted(self.shown["ports"]), sorted(self.shown["targets"])))
         return found
 
+    def store(self, passed):
+        if self.last is not None and passed > self.last + self.gap_us:
+            self._clear()
+            self.last = None
+        elif self.last is not None:
+            self.totals.update((self.start, self.last, self.attempts, self.failures, self.count["ports"],
+                                self.count["targets"], self.shown["ports"], self.shown["targets"]))
+        if self.fired is not None and passed > self.fired + self.cooldown_us:
+            self.fired = None
+        if self.fired is None:
+            self.cooled.clear()
+        else:
+            self.cooled.update((self.fired,))
+
     def due(self):
-        ends = [self.totals.get()[1] + self.gap_us + 1] if self.totals.exists() else []
-        ends += [self.fired.get()[0] + self.cooldown_us + 1] if self.fired.exists() else []
+        ends = [] if self.last is None else [self.last + self.gap_us + 1]
+        ends += [] if self.fired is None else [self.fired + self.cooldown_us + 1]
         return min(ends, default=None)
 
 
@@ -215,18 +276,21 @@ def stream_scan_alerts(packets: DataFrame, p: Thresholds = Thresholds(), latenes
     """Scan alerts when the threshold is reached, after the cooldown. A missing port is one distinct port."""
     rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp").withColumn(
         "dst_port", F.coalesce("dst_port", F.lit(-1)))
-    return rows.groupBy("src_ip").transformWithStateInPandas(
+    found = in_slices(rows, ["src_ip"]).groupBy("src_ip").transformWithStateInPandas(
         ScanWatch(p.port_scan_threshold, p.scan_time_window * SECOND_US, p.alert_cooldown * SECOND_US),
         SCAN_OUT, "append", "eventTime")
+    ports = F.array_sort(F.transform("scanned_ports", lambda x: F.nullif(x, F.lit(-1))))
+    return found.withColumn("scanned_ports", ports)
 
 
 def stream_scan_records(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
-    """Streaming twin of operators.scan.scan_alerts, as common alert records; the details have the figures only."""
+    """Streaming twin of operators.scan.scan_alerts, as common alert records."""
     c = F.col
     fired = stream_scan_alerts(packets, p, lateness).withColumn("duration", (c("us") - c("session_us")) / F.lit(1e6))
     fired = fired.withColumn("rate", ratio_guarded(c("attempts"), c("duration")))
-    details = F.struct(c("attempts").alias("scan_count"), c("failures").alias("failed_connections"),
-                       c("duration").alias("scan_duration"), c("rate").alias("scan_rate"))
+    details = F.struct("scanned_ports", "target_ips", c("attempts").alias("scan_count"),
+                       c("failures").alias("failed_connections"), c("duration").alias("scan_duration"),
+                       c("rate").alias("scan_rate"))
     text = F.format_string("Port scan detected from %s. Scanned %d ports on %d target(s).",
                            c("src_ip"), c("ports"), c("targets"))
     return alerts.alert_rows(fired, alerts.SCAN, F.lit(PORT_SCAN), scan_severity(c("ports"), c("targets"), c("rate")),
@@ -237,13 +301,14 @@ def stream_rule_alerts(packets: DataFrame, custom: list[CustomRule], p: Threshol
                        lateness: str = LATENESS) -> DataFrame:
     """Streaming twin of operators.rules.rule_alerts."""
     return rules.as_alerts(stream_suppress(
-        rules.rule_matches(packets, custom), ["rule_name", "src_ip"], p.alert_cooldown, lateness=lateness))
+        rules.timed_matches(on_time(packets, lateness), custom), ["rule_name", "src_ip"], p.alert_cooldown))
 
 
 def stream_alerts(packets: DataFrame, p: Thresholds = Thresholds(), custom: list[CustomRule] | None = None,
                   lateness: str = LATENESS) -> DataFrame:
     """Alerts of every detector as one stream, each after its own cooldown; a micro-batch holds what the
     watermark has passed, so the batches follow one another in event time."""
+    packets = on_time(packets, lateness)
     parts = [stream_scan_records(packets, p, lateness), stream_flood_alerts(packets, p, lateness),
              stream_payload_alerts(packets, p, lateness=lateness)]
     if custom:
@@ -258,64 +323,101 @@ FLOOD_OUT = T.StructType(_longs("us", "id", "in_window", "packets", "bytes", "ta
 class FloodWatch(InOrder):
     """Rolling rate of a source; emits the packet that passes threshold and cooldown.
 
-    The totals since a source was first seen stay, as the batch operator's do; the window does not.
+    A slice is taken as arrays, and its rows are looked at one by one only where the rolling count is over the
+    threshold. The totals since a source was first seen stay, as the batch operator's do, unless `forget_us` ends
+    them that long after its last packet; the window does not.
     """
 
-    row, out = "us long, id long, dst_ip string, size long", FLOOD_OUT
+    names, out = ["us", "id", "dst_ip", "size"], FLOOD_OUT
 
-    def __init__(self, least: float, window_us: int, cooldown_us: int, shown: int):
-        self.least, self.window_us, self.cooldown_us, self.shown = least, window_us, cooldown_us, shown
+    def __init__(self, least: float, window_us: int, cooldown_us: int, shown: int, forget_us: int | None = None):
+        self.least, self.window_us, self.cooldown_us, self.most, self.forget_us = (
+            least, window_us, cooldown_us, shown, forget_us)
 
     def open(self, handle):
-        self.totals = handle.getValueState("totals", "packets long, bytes long, targets long, first long, fired long")
-        self.window = handle.getListState("window", "us long")
-        self.targets = handle.getMapState("targets", "ip string", "seen boolean")
-        self.first_targets = handle.getListState("first_targets", "ip string")
-
-    def take(self, key, rows, passed):
-        packets, size, targets, first, fired = self.totals.get() if self.totals.exists() else (0, 0, 0, None, None)
-        window = deque(r[0] for r in self.window.get()) if self.window.exists() else deque()
-        shown = [r[0] for r in self.first_targets.get()] if self.first_targets.exists() else []
-        met, found = set(), []
-        for us, id_, ip, n in rows:
-            packets, size, first = packets + 1, size + n, us if first is None else first
-            if ip not in met:
-                met.add(ip)
-                if not self.targets.containsKey((ip,)):
-                    self.targets.updateValue((ip,), (True,))
-                    targets += 1
-                    if len(shown) < self.shown:
-                        shown.append(ip)
-                        self.first_targets.appendValue((ip,))
-            window.append(int(us))
-            while us - window[0] > self.window_us:
-                window.popleft()
-            if len(window) > self.least and (fired is None or us - fired > self.cooldown_us):
-                fired = us
-                found.append((us, id_, len(window), packets, size, targets, first, key[0], sorted(shown)))
-        while window and passed - window[0] > self.window_us:
-            window.popleft()
-        if window:
-            self.window.put([(us,) for us in window])
-        else:
-            self.window.clear()
-        if packets:
-            self.totals.update((packets, int(size), targets, int(first), None if fired is None else int(fired)))
+        self.totals = handle.getValueState(
+            "totals", "packets long, bytes long, targets long, first long, last long, fired long, shown array<string>")
+        self.recent = handle.getValueState("window", "us binary")
+        self.seen = handle.getMapState("targets", "ip string", "seen boolean")
+
+    def load(self):
+        self.packets, self.bytes, self.targets, self.first, self.last, self.fired, self.shown = (
+            self.totals.get() if self.totals.exists() else (0, 0, 0, None, None, None, []))
+        self.shown = list(self.shown)
+        self.window = np.frombuffer(self.recent.get()[0], np.int64) if self.recent.exists() else np.empty(0, np.int64)
+        self.met = set()
+
+    def take(self, key, us, ids, ips, sizes):
+        if self.forget_us is not None and self.last is not None and us[0] - self.last > self.forget_us:
+            self._forget()
+        new = []  # places in the slice at which a target is met first
+        for i, ip in enumerate(ips):
+            if ip not in self.met:
+                self.met.add(ip)
+                if not self.seen.containsKey((ip,)):
+                    self.seen.updateValue((ip,), (True,))
+                    new.append(i)
+        at = np.array(us)
+        times = np.concatenate([self.window, at])
+        in_window = len(self.window) + 1 + np.arange(len(at)) - np.searchsorted(times, at - self.window_us)
+        first = us[0] if self.first is None else self.first
+        found, shown, over = [], 0, np.flatnonzero(in_window > self.least)
+        if len(over):
+            total = np.cumsum(sizes)
+        while len(over):
+            if self.fired is not None:
+                over = over[np.searchsorted(at[over], self.fired + self.cooldown_us, "right"):]
+                if not len(over):
+                    break
+            i = int(over[0])
+            self.fired = us[i]
+            shown = sum(x <= i for x in new)
+            listed = (self.shown + [ips[x] for x in new[:shown]])[:self.most]
+            found.append((us[i], ids[i], int(in_window[i]), self.packets + i + 1, self.bytes + int(total[i]),
+                          self.targets + shown, first, key[0], sorted(listed)))
+        self.packets, self.bytes, self.targets = self.packets + len(us), self.bytes + sum(sizes), self.targets + len(new)
+        self.shown = (self.shown + [ips[x] for x in new[:self.most]])[:self.most]
+        self.first, self.last = first, us[-1]
+        self.window = times[np.searchsorted(times, us[-1] - self.window_us):]
         return found
 
+    def _forget(self):
+        for state in (self.totals, self.recent, self.seen):
+            state.clear()
+        self.load()
+
+    def store(self, passed):
+        if self.last is not None and self.forget_us is not None and passed > self.last + self.forget_us:
+            self._forget()
+        if self.last is None:
+            return
+        self.window = self.window[np.searchsorted(self.window, passed - self.window_us):]
+        if len(self.window):
+            self.recent.update((self.window.tobytes(),))
+        else:
+            self.recent.clear()
+        self.totals.update((self.packets, self.bytes, self.targets, self.first, self.last, self.fired, self.shown))
+
     def due(self):
-        times = [r[0] for r in self.window.get()] if self.window.exists() else []
-        return times[-1] + self.window_us + 1 if times else None
+        if len(self.window):
+            return int(self.window[-1]) + self.window_us + 1
+        return None if self.last is None or self.forget_us is None else self.last + self.forget_us + 1
+
+
+def _microseconds(seconds: int | None) -> int | None:
+    return None if seconds is None else seconds * SECOND_US
 
 
 def stream_flood_alerts(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
-    """Streaming twin of operators.flood.flood_alerts, as common alert records."""
+    """Streaming twin of operators.flood.flood_alerts, as common alert records. `p.forget_source_after` bounds the
+    state: a source that comes back after so long a silence begins anew."""
     c = F.col
     rows = packets.select("timestamp", F.unix_micros("timestamp").alias("us"), "id", "src_ip", "dst_ip",
                           c("size").cast("long").alias("size"))
-    fired = on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
+    fired = in_slices(on_time(rows, lateness), ["src_ip"]).groupBy("src_ip").transformWithStateInPandas(
         FloodWatch(p.ddos_threshold * p.ddos_time_window, p.ddos_time_window * SECOND_US,
-                   p.alert_cooldown * SECOND_US, TARGETS_SHOWN), FLOOD_OUT, "append", "eventTime")
+                   p.alert_cooldown * SECOND_US, TARGETS_SHOWN, _microseconds(p.forget_source_after)),
+        FLOOD_OUT, "append", "eventTime")
     n = c("in_window") if p.rate_history_cap is None else F.least(c("in_window"), F.lit(p.rate_history_cap))
     fired = fired.withColumn("rate", n / F.lit(float(p.ddos_time_window))).withColumn(
         "duration", (c("us") - c("first_us")) / F.lit(1e6))
@@ -335,47 +437,53 @@ PAYLOAD_OUT = T.StructType(_longs("us", "id") + _strings(
 class PayloadWatch(InOrder):
     """At most one alert per packet: the first matched category whose cooldown at this source has passed."""
 
-    row = "us long, id long, dst_ip string, protocol string, dst_port long, payload_size long, found string"
-    out = PAYLOAD_OUT
+    names, out = ["us", "id", "dst_ip", "protocol", "dst_port", "payload_size", "found"], PAYLOAD_OUT
 
     def __init__(self, cooldown_us: int):
         self.cooldown_us = cooldown_us
 
     def open(self, handle):
-        self.fired = handle.getMapState("fired", "category string", "us long")
+        self.cooled = handle.getValueState("fired", "categories map<string, long>")
 
-    def take(self, key, rows, passed):
-        fired = {k[0]: v[0] for k, v in self.fired.iterator()}  # one entry per category
+    def load(self):
+        self.fired = dict(self.cooled.get()[0]) if self.cooled.exists() else {}  # one entry per category
+
+    def take(self, key, *columns):
         found = []
-        for us, id_, ip, protocol, port, size, matched in rows:
+        for us, id_, ip, protocol, port, size, matched in zip(*columns):
             for m in json.loads(matched):
-                last = fired.get(m["category"])
+                last = self.fired.get(m["category"])
                 if last is None or us - last > self.cooldown_us:
-                    fired[m["category"]] = us
+                    self.fired[m["category"]] = us
                     found.append((us, id_, key[0], ip, protocol, m["category"], m["severity"], m["pattern"], port, size))
                     break
-        for category, us in fired.items():
-            if passed > us + self.cooldown_us:
-                if self.fired.containsKey((category,)):
-                    self.fired.removeKey((category,))
-            else:
-                self.fired.updateValue((category,), (int(us),))
         return found
 
+    def store(self, passed):
+        self.fired = {k: us for k, us in self.fired.items() if passed <= us + self.cooldown_us}
+        if self.fired:
+            self.cooled.update((self.fired,))
+        else:
+            self.cooled.clear()
+
     def due(self):
-        return min((v[0] for _, v in self.fired.iterator()), default=None) and min(
-            v[0] for _, v in self.fired.iterator()) + self.cooldown_us + 1
+        return min(self.fired.values()) + self.cooldown_us + 1 if self.fired else None
+
+
+def stream_payload_matches(packets: DataFrame, patterns: dict = PATTERNS, lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of operators.payload.payload_matches, with `timestamp` and its watermark."""
+    timed = only(on_time(packets, lateness), is_suspicious(packets.columns, patterns))
+    return timed.select(*match_columns(packets.columns, patterns), "timestamp")
 
 
 def stream_payload_alerts(packets: DataFrame, p: Thresholds = Thresholds(), patterns: dict = PATTERNS,
                           lateness: str = LATENESS) -> DataFrame:
     """Streaming twin of operators.payload.payload_alerts, as common alert records."""
     c = F.col
-    timed = only(on_time(packets, lateness), is_suspicious(packets.columns, patterns))
-    rows = timed.select(*match_columns(packets.columns, patterns), "timestamp").select(
+    rows = stream_payload_matches(packets, patterns, lateness).select(
         "timestamp", "us", "id", "src_ip", "dst_ip", "protocol", F.coalesce("dst_port", F.lit(-1)).cast("long").alias("dst_port"),
         c("payload_size").cast("long").alias("payload_size"), F.to_json("matches").alias("found"))
-    fired = rows.groupBy("src_ip").transformWithStateInPandas(
+    fired = in_slices(rows, ["src_ip"]).groupBy("src_ip").transformWithStateInPandas(
         PayloadWatch(p.alert_cooldown * SECOND_US), PAYLOAD_OUT, "append", "eventTime")
     text = F.concat(F.lit("Suspicious "), words(c("category")), F.lit(" pattern detected in traffic from "),
                     c("src_ip"), F.lit("."))
@@ -393,21 +501,13 @@ FLOW_OUT = T.StructType(
     + [T.StructField(n, T.IntegerType()) for n in ("src_port", "dst_port")])
 
 
-def next_state(state: int, syn: bool, ack: bool, fin: bool, rst: bool) -> int:
-    """TCP state after one more packet."""
-    if syn:
-        return SYN_RECEIVED if ack else SYN_SENT
-    if ack and state in (SYN_SENT, SYN_RECEIVED):
-        return ESTABLISHED
-    if fin:
-        return FIN_WAIT
-    return RESET if rst else state
-
-
 class FlowStates(InOrder):
-    """One open flow per key; emitted with its TCP state when it has been idle too long."""
+    """One open flow per key; emitted with its TCP state when it has been idle too long.
 
-    row = "us long, id long, size long, fwd boolean, syn boolean, ack boolean, fin boolean, rst boolean"
+    A slice comes as its totals and its effect on the state (see operators.flows), not as packets.
+    """
+
+    names = ["first_us", "last_us", "packets", "bytes_fwd", "bytes_rev", "first_fwd", "begin", "mid_handshake", "mid_other"]
     out = FLOW_OUT
 
     def __init__(self, gap_us: int):
@@ -426,36 +526,58 @@ class FlowStates(InOrder):
         return (first, last, packets, sent, received, src[0], dst[0], key[4],
                 STATES[state] if key[4] == "TCP" else "ACTIVE", port(src[1]), port(dst[1]))
 
-    def take(self, key, rows, passed):
-        f = list(self.flow.get()) if self.flow.exists() else None
+    def handleInputRows(self, key, rows, timerValues):
+        slices = sorted(r for df in rows for r in df[self.names].itertuples(index=False, name=None))
+        self.load()
         found = []
-        for us, _, size, fwd, syn, ack, fin, rst in rows:
-            if f is not None and us - f[1] > self.gap_us:
+        for first, last, packets, fwd_bytes, rev_bytes, fwd, begin, shaking, other in slices:
+            f = self.open_flow
+            if f is not None and first - f[1] > self.gap_us:
                 found.append(self._closed(key, f))
                 f = None
             if f is None:
-                opening = (SYN_RECEIVED if ack else SYN_SENT) if syn else UNKNOWN
-                f = [us, us, 0, 0, 0, bool(fwd), opening]
+                f = [first, last, 0, 0, 0, bool(fwd), begin]
             else:
-                f[6] = next_state(f[6], syn, ack, fin, rst)
-            f[1] = us
-            f[2] += 1
-            f[3 if fwd else 4] += size
+                moved = shaking if f[6] in (SYN_SENT, SYN_RECEIVED) else other
+                f[6] = f[6] if moved == KEEP else moved
+            f[1], f[2], f[3], f[4] = last, f[2] + packets, f[3] + fwd_bytes, f[4] + rev_bytes
+            self.open_flow = f
+        self.ended = lambda: found.append(self._closed(key, self.open_flow))
+        self._settle(timerValues)
+        yield self._frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        found = []
+        self.load()
+        self.ended = lambda: found.append(self._closed(key, self.open_flow))
+        self._settle(timerValues)
+        yield self._frame(found)
+
+    def load(self):
+        self.open_flow = list(self.flow.get()) if self.flow.exists() else None
+
+    def store(self, passed):
+        f = self.open_flow
         if f is not None and passed > f[1] + self.gap_us:
-            found.append(self._closed(key, f))
+            self.ended()
+            self.open_flow = None
+        if self.open_flow is None:
             self.flow.clear()
-        elif f is not None:
+        else:
             self.flow.update(tuple(x if isinstance(x, bool) else int(x) for x in f))
-        return found
 
     def due(self):
-        return self.flow.get()[1] + self.gap_us + 1 if self.flow.exists() else None
+        return None if self.open_flow is None else self.open_flow[1] + self.gap_us + 1
 
 
 def stream_flow_states(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
     """Closed flows with the same columns and TCP state as the batch operator."""
-    rows = canonical(packets).withColumn("timestamp", from_us(F.col("us"))).withColumn("size", F.col("size").cast("long"))
-    return on_time(rows, lateness).groupBy(*FLOW).transformWithStateInPandas(
+    timed = on_time(packets, lateness)
+    rows = canonical(timed, "timestamp").withColumn("size", F.col("size").cast("long"))
+    slices = in_slices(rows, FLOW)
+    entry = slice_effect(F.arrays_zip("us", "size", "fwd", "syn", "ack", "fin", "rst"))
+    slices = slices.select(*FLOW, "timestamp", entry.alias("e")).select(*FLOW, "timestamp", "e.*")
+    return slices.groupBy(*FLOW).transformWithStateInPandas(
         FlowStates(p.connection_timeout * SECOND_US), FLOW_OUT, "append", "eventTime")
 
 
@@ -469,52 +591,70 @@ FEATURE_OUT = T.StructType(
 class RecentActivity(InOrder):
     """The last 60 seconds of a source, read by each packet before it is added.
 
-    How many packets a source has sent stays (it decides whether its rates count), the packets do not.
+    How many packets a source has sent stays (it decides whether its rates count) until `forget_us` after its last
+    one, the packets do not.
     """
 
-    row = ("us long, id long, dst_ip string, protocol string, tcp_flags string, packet_size long, payload_size long, "
-           "src_port long, dst_port long")
+    names = ["us", "id", "dst_ip", "protocol", "tcp_flags", "packet_size", "payload_size", "src_port", "dst_port"]
     out = FEATURE_OUT
 
-    def open(self, handle):
-        self.seen = handle.getValueState("seen", "n long")
-        self.recent = handle.getListState("recent", "us long, size long, port long")
+    def __init__(self, forget_us: int | None = None):
+        self.forget_us = forget_us
 
-    def take(self, key, rows, passed):
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        recent = deque(tuple(r) for r in self.recent.get()) if self.recent.exists() else deque()
-        ports, total, width = Counter(x[2] for x in recent), sum(x[1] for x in recent), WINDOW_S * SECOND_US
-        found = []
-        for us, id_, ip, protocol, flags, size, payload, src_port, dst_port in rows:
+    def open(self, handle):
+        self.counted = handle.getValueState("seen", "n long, last long")
+        self.window = handle.getValueState("recent", "us binary, size binary, port binary")
+
+    def load(self):
+        self.seen, self.last = self.counted.get() if self.counted.exists() else (0, None)
+        parts = self.window.get() if self.window.exists() else (b"", b"", b"")
+        self.recent = deque(zip(*[np.frombuffer(x, np.int64).tolist() for x in parts]))
+        self.ports = Counter(x[2] for x in self.recent)
+        self.total = sum(x[1] for x in self.recent)
+
+    def take(self, key, *columns):
+        width, recent, ports, found = WINDOW_S * SECOND_US, self.recent, self.ports, []
+        if self.forget_us is not None and self.last is not None and columns[0][0] - self.last > self.forget_us:
+            self.seen = 0
+        for us, id_, ip, protocol, flags, size, payload, src_port, dst_port in zip(*columns):
             while recent and us - recent[0][0] > width:
                 _, gone, port = recent.popleft()
-                total -= gone
+                self.total -= gone
                 ports[port] -= 1
                 if not ports[port]:
                     del ports[port]
-            warm = seen > 1
+            warm = self.seen > 1
             found.append((us, id_, key[0], ip, protocol, flags, size, payload, src_port, dst_port,
-                          len(recent) / WINDOW_S if warm else 0.0, total / WINDOW_S if warm else 0.0,
+                          len(recent) / WINDOW_S if warm else 0.0, self.total / WINDOW_S if warm else 0.0,
                           len(ports) if warm else 0))
-            seen += 1
-            total += size
+            self.seen += 1
+            self.total += size
             ports[dst_port] += 1
-            recent.append((int(us), int(size), int(dst_port)))
-        while recent and passed - recent[0][0] > width:
-            recent.popleft()
-        if recent:
-            self.recent.put(list(recent))
-        else:
-            self.recent.clear()
-        self.seen.update((seen,))
+            recent.append((us, size, dst_port))
+        self.last = columns[0][-1]
         return found
 
+    def store(self, passed):
+        while self.recent and passed - self.recent[0][0] > WINDOW_S * SECOND_US:
+            self.recent.popleft()
+        if self.recent:
+            self.window.update(tuple(np.array(x, np.int64).tobytes() for x in zip(*self.recent)))
+        else:
+            self.window.clear()
+        if self.last is not None and self.forget_us is not None and passed > self.last + self.forget_us:
+            self.seen, self.last = 0, None
+        if self.last is None:
+            self.counted.clear()
+        else:
+            self.counted.update((self.seen, self.last))
+
     def due(self):
-        times = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        return times[-1] + WINDOW_S * SECOND_US + 1 if times else None
+        if self.recent:
+            return self.recent[-1][0] + WINDOW_S * SECOND_US + 1
+        return None if self.last is None or self.forget_us is None else self.last + self.forget_us + 1
 
 
-def stream_features(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def stream_features(packets: DataFrame, lateness: str = LATENESS, forget_source_after: int | None = None) -> DataFrame:
     """Streaming twin of operators.features.features: every packet with all inputs of the feature vector."""
     c = F.col
     port = lambda name: F.coalesce(c(name), F.lit(0)).cast("long").alias(name)
@@ -522,8 +662,8 @@ def stream_features(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
         "id", "timestamp", F.unix_micros("timestamp").alias("us"), "src_ip", "dst_ip", "protocol",
         F.coalesce("tcp_flags", F.lit("")).alias("tcp_flags"), c("size").cast("long").alias("packet_size"),
         c("payload_size").cast("long").alias("payload_size"), port("src_port"), port("dst_port"))
-    found = on_time(rows, lateness).groupBy("src_ip").transformWithStateInPandas(
-        RecentActivity(), FEATURE_OUT, "append", "eventTime")
+    found = in_slices(on_time(rows, lateness), ["src_ip"]).groupBy("src_ip").transformWithStateInPandas(
+        RecentActivity(_microseconds(forget_source_after)), FEATURE_OUT, "append", "eventTime")
     moment: Column = from_us(c("us"))
     return found.select("*", moment.alias("timestamp"), hour_of_day(moment).alias("hour_of_day"),
                         is_weekend(moment).alias("is_weekend"))

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_us
 from ..operators.flows import FLOW, canonical
-from ..operators.scan import scan_attempts
+from ..operators.scan import attempt_columns, is_attempt
 from ..params import Thresholds
 
 LATENESS = "10 minutes"
 
 
 def on_time(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Packets with the event-time watermark; rows later than `lateness` are dropped and counted."""
-    return packets.withWatermark("timestamp", lateness)
+    """Packets with the event-time watermark; rows later than `lateness` are dropped and counted. A stream that has
+    its watermark keeps it, so that all that is made of one stream goes by one watermark."""
+    return packets if watermarked(packets) else packets.withWatermark("timestamp", lateness)
+
+
+def watermarked(df: DataFrame) -> bool:
+    """Whether `timestamp` carries a watermark."""
+    return any(f.name == "timestamp" and "spark.watermarkDelayMs" in f.metadata for f in df.schema)
 
 
 def only(timed: DataFrame, condition: Column) -> DataFrame:
@@ -30,9 +36,9 @@ def stream_flows(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str
     Sessions are merged per task before the shuffle, so a long flow arrives pre-aggregated.
     """
     c = F.col
-    rows = canonical(packets).withColumn("timestamp", from_us(c("us")))
+    rows = canonical(on_time(packets, lateness), "timestamp")
     order = F.struct("us", "id")
-    s = on_time(rows, lateness).groupBy(
+    s = rows.groupBy(
         *FLOW, F.session_window("timestamp", f"{p.connection_timeout} seconds").alias("w")).agg(
         F.min_by("fwd", order).alias("fwd"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.count(F.lit(1)).alias("packet_count"),
@@ -53,8 +59,8 @@ def stream_scan_sessions(packets: DataFrame, p: Thresholds = Thresholds(), laten
 
     A session holds at most 65,536 ports, so the port set is bounded; targets are not, hence the sketch.
     """
-    rows = scan_attempts(packets).withColumn("timestamp", from_us(F.col("us")))
-    return on_time(rows, lateness).groupBy(
+    rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp")
+    return rows.groupBy(
         "src_ip", F.session_window("timestamp", f"{p.scan_time_window} seconds").alias("w")).agg(
         F.size(F.collect_set("dst_port")).cast("long").alias("ports"),
         F.approx_count_distinct("dst_ip").alias("targets_estimate"),

@@ -1,6 +1,7 @@
 """Streams over several micro-batches give what the batch operators give."""
 
 import json
+from dataclasses import replace
 
 import brute
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import anomaly, features, flood, flows, payload, scan
 from flowsentry.operators.suppress import thin
-from flowsentry.params import Thresholds
+from flowsentry.params import CustomRule, Thresholds
 from flowsentry.sources import sinks, tables
 from flowsentry.streaming import live, stateful, windows
 
@@ -58,7 +59,9 @@ def stream(spark, folder):
 
 def test_suppression(spark, shuffled):
     path, ps = shuffled
-    s = stream(spark, path).select("id", F.unix_micros("timestamp").alias("us"), "src_ip")
+    s = windows.on_time(stream(spark, path)).select("id", "timestamp", F.unix_micros("timestamp").alias("us"), "src_ip")
+    with pytest.raises(ValueError, match="watermark"):
+        stateful.stream_suppress(stream(spark, path).select("id", "src_ip"), ["src_ip"], 120)
     got = live.run_to_end(stateful.stream_suppress(s, ["src_ip"], 120)).collect()
     b = frame(spark, ps).select("id", F.unix_micros("timestamp").alias("us"), "src_ip")
     assert sorted((r.us, r.id) for r in got) == sorted((r.us, r.id) for r in thin(b, ["src_ip"], 120).collect())
@@ -70,6 +73,15 @@ def test_scan_alerts(spark, shuffled):
     assert sorted((r.id, r.ports, r.targets, r.attempts, r.failures) for r in got) == sorted(brute.scan(ps, 3))
 
 
+def test_scan_records_equal_batch_with_ports_and_targets(spark, shuffled):
+    path, ps = shuffled
+    names = ["packet_id", "us", "severity", "source_ip", "destination_ip", "description", "details"]
+    got = live.run_to_end(stateful.stream_scan_records(stream(spark, path), P)).select(*names).collect()
+    want = scan.scan_alerts(frame(spark, ps), P).select(*names).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert all(json.loads(r.details)["scanned_ports"] for r in got)
+
+
 def test_features(spark, shuffled):
     path, ps = shuffled
     got = {r.id: (round(r.packets_per_second, 9), round(r.bytes_per_second, 9), r.unique_ports_accessed)
@@ -103,6 +115,40 @@ def test_payload_alerts(spark, shuffled):
     assert want and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def probe(spark, folder):
+    """40 SYN packets of one source, 20 more two hours later, and one packet of two days later that no rule matches."""
+    import time
+    packets = [packet(i, i * S, dport=8000 + i, flags="SYN") for i in range(40)]
+    packets += [packet(100 + i, 7200 * S + i * S, dport=8000 + i, flags="SYN") for i in range(20)]
+    for part in (packets[:40], packets[40:], [{**packet(999, 172_800 * S, dport=443, flags="ACK"), "src": "198.51.100.1"}]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    return packets
+
+
+def test_a_rule_that_does_not_match_delays_no_alert(spark, tmp_path):
+    probe(spark, str(tmp_path / "s"))
+    p = Thresholds(port_scan_threshold=3, ddos_threshold=0.2)
+    idle = [CustomRule("idle", "matches nothing", "no such text", "string", "High")]
+    found = []
+    for rules in (None, idle):
+        raised = stateful.stream_alerts(stream(spark, str(tmp_path / "s")), p, rules)
+        found.append(sorted((r.packet_id, r.alert_type) for r in live.run_to_end(raised).collect()))
+    assert [t for _, t in found[0]].count("Port Scan") == 2 and [t for _, t in found[0]].count("DDoS Attack") == 2
+    assert found[1] == found[0]
+
+
+def test_a_silent_source_is_forgotten_when_asked(spark, tmp_path):
+    probe(spark, str(tmp_path / "s"))
+    p = Thresholds(ddos_threshold=0.2)
+    totals = []
+    for after in (None, 3600):
+        got = live.run_to_end(stateful.stream_flood_alerts(
+            stream(spark, str(tmp_path / "s")), replace(p, forget_source_after=after))).collect()
+        totals.append([json.loads(r.details)["total_connections"] for r in sorted(got, key=lambda r: r.us)])
+    assert totals == [[13, 53], [13, 13]]
+
+
 def test_scores_equal_batch(spark, shuffled):
     path, ps = shuffled
     rows = features.features(frame(spark, ps))
