@@ -224,6 +224,10 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return parts.sparkSession.read.parquet(f"{folder}/manifest")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class _IndexFile:
     """The directory of an index file and the last block that was read."""
 
@@ -287,8 +291,9 @@ def find(spark: SparkSession, folder: str, urls: DataFrame, url_col: str = "url"
 
     wanted = urls.select(F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url")).distinct()
     dealt = wanted.mapInArrow(deal, "index string, key string").distinct()
-    return (dealt.repartition("index").sortWithinPartitions("index", "key").select("index", "key")
-            .mapInArrow(search, CAPTURE))
+    # a key stands for blocks to read, so tasks go by their number and not by the keys' size
+    return (dealt.repartitionByRange(_tasks(spark), "index", "key").sortWithinPartitions("index", "key")
+            .select("index", "key").mapInArrow(search, CAPTURE))
 
 
 def read_records(captures: DataFrame, folder: str, payload: bool = True) -> DataFrame:
@@ -323,5 +328,6 @@ def read_records(captures: DataFrame, folder: str, payload: bool = True) -> Data
                 begin += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    dealt = captures.repartition("file").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    dealt = (captures.repartition(_tasks(captures.sparkSession), F.col("file"), F.floor(F.col("offset") / READ_BYTES))
+             .sortWithinPartitions("file", "offset").select("file", "offset", "length"))
     return dealt.mapInArrow(load, RECORD)
