@@ -9,7 +9,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 
 register_pickle_by_value(sys.modules[__name__])
 
-_TWO_SPACES = re.compile(r"\s\s")
+TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -21,7 +21,7 @@ def pieces(text: str) -> list[str]:
     never beyond such a place, so encoding the pieces one by one gives the ids of the whole text. A line end
     between two other characters is a match by itself.
     """
-    if _TWO_SPACES.search(text):
+    if TWO_SPACES.search(text):
         return _CUT.split(text)
     out = []
     for line in text.split("\n"):

@@ -25,7 +25,6 @@ import os
 import re
 import sys
 from array import array
-from itertools import chain
 from string import punctuation
 
 import numpy as np
@@ -75,6 +74,17 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+class _Known(dict):
+    """Ids of words behind a fixed prefix, learned when they are first asked for."""
+
+    def __init__(self, learn, prefix: str):
+        self.learn, self.prefix = learn, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.learn(self.prefix + word)
+        return found
+
+
 class Encoder:
     """Ids of texts as bytes; every distinct word goes to the tokenizers library once.
 
@@ -82,7 +92,8 @@ class Encoder:
 
     A piece that ends in punctuation after a letter is cut once more, since no match goes on from a letter to
     something else. What is then letters with at most a space in front is one match of the pattern and goes
-    straight to the library's BPE model; all else goes through its whole pipeline.
+    straight to the library's BPE model; all else goes through its whole pipeline. So does a text that holds one of
+    the tokenizer's added tokens, which the library looks for before its pattern cuts.
     """
 
     def __init__(self, tokenizer: str, dtype: str):
@@ -90,41 +101,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype, self.known = {2: "H", 4: "I"}[np.dtype(dtype).itemsize], {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [cutting.pieces(t) for t in texts]
-        known = self.known
-        stems, tails = {}, {}
-        for p in set(chain.from_iterable(cut)).difference(known):
-            stem = p.rstrip(punctuation)
-            if len(stem) < len(p) and stem and stem[-1].isalpha():
-                tails[p] = stem
-                for part in (stem, p[len(stem):]):
-                    if part not in known:
-                        stems[part] = None
-            else:
-                stems[p] = None
-        self._learn(list(stems))
-        for p, stem in tails.items():
-            known[p] = known[stem] + known[p[len(stem):]]
-        out = [b"".join(map(known.__getitem__, row)) for row in cut]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        mixed, known, dtype, tokenize = [], self.known, self.dtype, self.model.model.tokenize
-        for p in new:
-            word = p[1:] if p[0] == " " else p
-            if word.isalpha():  # one match of the pattern: the library's model takes it as it is
-                text = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)
-                known[p] = array(dtype, [t.id for t in tokenize(text)]).tobytes()
-            else:
-                mixed.append(p)
-        for p, e in zip(mixed, self.model.encode_batch(mixed, add_special_tokens=False)):
-            known[p] = array(dtype, e.ids).tobytes()
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.dtype = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.first, self.spaced = _Known(self._learn, ""), _Known(self._learn, " ")
+
+    def __call__(self, text: str) -> bytes:
+        if len(self.first) + len(self.spaced) > REMEMBERED:
+            self.first.clear()
+            self.spaced.clear()
+        if self.added.search(text):
+            return self._whole(text)
+        if cutting.TWO_SPACES.search(text):
+            return b"".join(map(self.first.__getitem__, cutting.pieces(text)))
+        # the same pieces, without putting the space before each word
+        spaced, lines = self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            lines.append(self.first[head] + b"".join(map(spaced, rest)))
+        return self.first["\n"].join(lines)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.dtype, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        stem = piece.rstrip(punctuation)
+        if len(stem) < len(piece) and stem and stem[-1].isalpha():
+            known = self.spaced[stem[1:]] if stem[0] == " " else self.first[stem]
+            return known + self.first[piece[len(stem):]]
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():  # one match of the pattern: the library's model takes it as it is
+            text = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+            return array(self.dtype, [t.id for t in self.model.model.tokenize(text)]).tobytes()
+        return self._whole(piece)
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
@@ -147,7 +156,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, i
                 nulls += ids.null_count
                 docs.append(ids.fill_null(0).to_numpy(zero_copy_only=False))
                 for at in range(0, len(texts), 500):
-                    for row in encode(texts.slice(at, 500).to_pylist()):
+                    for row in map(encode, texts.slice(at, 500).to_pylist()):
                         lengths.append(len(row) // width + 1)
                         yield row + end
 

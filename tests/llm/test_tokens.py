@@ -44,14 +44,17 @@ def test_words_outside_the_sample_are_folded_too(docs, monkeypatch):
 
 def test_token_files(spark, docs, none):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
+    marks = [(6000, "x<|endoftext|>y"), (6001, "<|endoftext|>"), (6002, "a  <|endoftext|> b\n"), (6003, "a |endoftext|> ")]
+    assert model.encode(marks[0][1], add_special_tokens=False).ids == [87, 50256, 88]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(marks, "doc_id long, text string"))
+    corpus_and_marks = corpus() + marks
     folder = shared_folder(spark, "files")
     manifest = token_files.write_token_files(docs, folder, P.path("byte_bpe_50k.json"), end_id=2)
     got = token_files.read_token_files(spark, folder).orderBy("start").collect()
-    assert [r.doc_id for r in got] == sorted((i for i, _ in corpus()), key=lambda i: (i is not None, i))
+    assert [r.doc_id for r in got] == sorted((i for i, _ in corpus_and_marks), key=lambda i: (i is not None, i))
     place = 0
     texts = {}
-    for i, t in corpus():
+    for i, t in corpus_and_marks:
         texts.setdefault(i, []).append(model.encode(t or "", add_special_tokens=False).ids + [2])
     for r in got:
         ids = np.frombuffer(r.ids, "<u4").tolist()
