@@ -588,6 +588,11 @@ FEATURE_OUT = T.StructType(
     + _longs("unique_ports_accessed"))
 
 
+#: Columns of `stream_features`.
+FEATURES = T.StructType([*FEATURE_OUT, T.StructField("timestamp", T.TimestampType()),
+                         T.StructField("hour_of_day", T.IntegerType()), T.StructField("is_weekend", T.BooleanType())])
+
+
 class RecentActivity(InOrder):
     """The last 60 seconds of a source, read by each packet before it is added.
 

@@ -8,10 +8,12 @@ import pytest
 from brute import S, frame, packet, rel
 from pyspark.sql import functions as F
 
-from flowsentry.operators import anomaly, features, flood, flows, payload, scan
+from flowsentry.operators import alerts as al
+from flowsentry.operators import anomaly, baseline, features, flood, flows, payload, scan
 from flowsentry.operators.suppress import thin
 from flowsentry.params import CustomRule, Thresholds
-from flowsentry.sources import sinks, tables
+from flowsentry.plans import pipeline
+from flowsentry.sources import tables
 from flowsentry.streaming import live, stateful, windows
 
 P = Thresholds(port_scan_threshold=3)
@@ -183,21 +185,86 @@ def test_trend_and_rate(spark, folder):
     assert r.agg(F.sum("packets")).first()[0] == 400 * 6
 
 
-def test_tables_and_feed(spark, folder, tmp_path):
+def test_tables(spark, folder, tmp_path):
     path, ps = folder
     now = {"availableNow": True}
     q = live.store_packets(stream(spark, path), f"{tmp_path}/p", f"{tmp_path}/c1", now)
     q.awaitTermination()
     assert tables.read_packets(spark, f"{tmp_path}/p").count() == 400
-    from datetime import datetime
-    a = spark.createDataFrame([(1, datetime(2024, 1, 1), "Port Scan", "Critical", "x", None, "d", None, False, None, None)],
-                              sinks.ALERTS)
-    sinks.append_alerts(a, f"{tmp_path}/a")
-    q = live.live_feed(stream(spark, path), f"{tmp_path}/p", f"{tmp_path}/a", f"{tmp_path}/feed", f"{tmp_path}/c2", now)
+    assert {r.date.isoformat() for r in spark.read.parquet(f"{tmp_path}/p").select("date").distinct().collect()}
+
+
+def test_live_loop_with_model_and_view(spark, shuffled, tmp_path):
+    """Anomaly alerts of the published model equal the batch's; the view's figures equal what is stored."""
+    path, ps = shuffled
+    p = Thresholds(port_scan_threshold=3, ddos_threshold=0.05, min_baseline_samples=10, anomaly_threshold=0.0)
+    rows = features.features(frame(spark, ps))
+    forest, learned = anomaly.fit(rows, p=p), baseline.learn(frame(spark, ps))
+    models, folder, now = str(tmp_path / "models"), str(tmp_path / "live"), {"availableNow": True}
+    assert live.newest_model(spark, models) is None and live.publish_model(spark, models, forest, learned) == 1
+    for q in live.run_pipeline(stream(spark, path), folder, p, None, now, models).values():
+        q.awaitTermination()
+    stored = spark.read.parquet(f"{folder}/alerts")
+    raised = al.union_alerts(anomaly.anomaly_alerts(anomaly.score(rows, forest), learned, p))
+    want = al.deduplicate(raised, p.dedup_window).select(*al.COLUMNS).collect()
+    got = stored.filter("stream = 'anomalies'").select(*al.COLUMNS).collect()
+    assert want and sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    others = pipeline.run(frame(spark, ps), p).stored.select("packet_id", "us", "alert_type").collect()
+    assert sorted(map(tuple, others)) == sorted(map(tuple, stored.filter("stream = 'detectors'").select(
+        "packet_id", "us", "alert_type").collect()))
+
+    # the open alerts
+    counts, latest = live.open_alerts(spark, f"{folder}/view")
+    assert {r.severity: r.n for r in counts.collect()} == {r.severity: r["count"] for r in stored.groupBy("severity").count().collect()}
+    newest = stored.orderBy(F.desc("us"), F.desc("packet_id"), "alert_type").limit(100).select("us", "packet_id").collect()
+    assert sorted(map(tuple, latest.select("us", "packet_id").collect())) == sorted(map(tuple, newest))
+    for _ in range(2):  # a repeated run counts once
+        live.note_resolved(spark, f"{folder}/view", stored.limit(2), "first")
+    assert live.open_alerts(spark, f"{folder}/view")[0].agg(F.sum("n")).first()[0] == stored.count() - 2
+
+    # training again from what the stream gathered, as of its last packet
+    from datetime import datetime, timedelta
+    last = datetime(1970, 1, 1) + timedelta(microseconds=rows.agg(F.max("us")).first()[0])
+    again = replace(p, baseline_window_hours=1)
+    assert live.retrain(spark, f"{folder}/training", models, last, again) == 2
+    since = F.lit(last - timedelta(hours=1)).cast("timestamp")
+    recent = anomaly.fit(rows.filter(F.col("timestamp") >= since), again)
+    newer, baseline_again = live.Models(spark, models).current()
+    assert newer.nodes.equals(recent.nodes) and newer.offset == recent.offset
+    assert baseline_again.scalars.first()["samples"] == rows.filter(F.col("timestamp") >= since).count()
+    assert live.retrain(spark, f"{folder}/none", models, last, again) is None
+
+
+def test_a_running_stream_takes_up_a_new_model(spark, tmp_path):
+    ps = brute.random_packets(300, 4, 4000)
+    p = Thresholds(min_baseline_samples=10)
+    rows = features.features(frame(spark, ps))
+    learned, models = baseline.learn(frame(spark, ps)), live.Models(spark, str(tmp_path / "m"))
+    assert models.current() is None
+    for version, seed in ((1, 1), (2, 2)):
+        forest = anomaly.fit(rows, p=p, seed=seed)
+        assert live.publish_model(spark, str(tmp_path / "m"), forest, learned) == version
+        assert models.current()[0].nodes.equals(forest.nodes) and models.version == version
+    (tmp_path / "m" / "version=000000003").mkdir()  # not ready
+    assert models.current() and models.version == 2
+
+
+def test_live_feed_reads_grains_and_deltas(spark, folder, tmp_path):
+    path, ps = folder
+    view = str(tmp_path / "view")
+    q = live.live_feed(stream(spark, path), view, f"{tmp_path}/feed", f"{tmp_path}/c2", {"availableNow": True})
     q.awaitTermination()
-    last = spark.read.json(f"{tmp_path}/feed/traffic/batch=3").first()
-    cutoff = ps[-1]["us"] - 3600 * S
-    assert last.total_packets == sum(p["us"] >= cutoff for p in ps) and last.critical_count == 1
+    got = spark.read.json(f"{tmp_path}/feed/traffic/batch=3").first()
+    grain = live.GRAIN_SECONDS * S
+    from datetime import timezone
+    base = int(brute.T0.replace(tzinfo=timezone.utc).timestamp()) * S
+    first = (base + ps[-1]["us"]) // grain * grain - 3600 * S + grain
+    hour = [p for p in ps if base + p["us"] >= first]
+    assert (got.total_packets, got.total_bytes) == (len(hour), sum(p["size"] for p in hour))
+    assert (got.unique_sources, got.unique_destinations) == (len({p["src"] for p in hour}), len({p["dst"] for p in hour}))
+    assert (got.unresolved_count, got.critical_count) == (0, 0)
+    chart = spark.read.json(f"{tmp_path}/feed/chart/batch=3")
+    assert chart.agg(F.sum("packets")).first()[0] == len(hour)
 
 
 def test_rules_are_read_again(spark, folder, tmp_path):
