@@ -305,6 +305,65 @@ PORT_SPELLS = """
       CASE WHEN row_number() OVER (PARTITION BY f.src_ip ORDER BY f.us, f.id) > 2 THEN r.ports ELSE 0 END
         AS unique_ports_accessed
     FROM pf f JOIN recent r ON r.id = f.id)"""
+#: The numbers of a feature vector, in order.
+VECTOR = [*("packet_size payload_size src_port dst_port hour_of_day is_weekend packets_per_second bytes_per_second "
+            "unique_ports_accessed").split(), *[f"(protocol = '{x}')" for x in ("TCP", "UDP", "ICMP")],
+          *[f"contains(tcp_flags, '{x}')" for x in ("SYN", "ACK", "FIN", "RST")]]
+
+
+def forest(trees: int = 100, sample: int = 256, seed: int = 42, contamination: float = 0.1) -> str:
+    """An isolation forest grown level by level and walked, down to `scored`: features with their score.
+
+    Every choice is the digest of what it is made for, so the trees are the ones the engine grows."""
+    depth = (sample - 1).bit_length()
+
+    def chance(what, *names):
+        text = " || ':' || ".join([str(seed), *names, f"'{what}'"])
+        return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+    path = ("CASE WHEN n > 2 THEN 2.0 * (ln(n - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0 * (n - 1.0::DOUBLE) / n "
+            "WHEN n = 2 THEN 1.0 ELSE 0.0 END")
+    digits = "format('{{:.12g}}', {})::DOUBLE"
+    each = range(1, len(VECTOR) + 1)
+    parts = [
+        "vec AS (SELECT id, [" + ", ".join(f"CAST(CAST({x} AS FLOAT) AS DOUBLE)" for x in VECTOR) + "] AS v FROM feat)",
+        "scaling AS (SELECT count(*) AS total, [" + ", ".join(digits.format(f"avg(v[{i}])") for i in each) + "] AS m, ["
+        + ", ".join(f"CASE WHEN {digits.format(f'stddev_pop(v[{i}])')} = 0 THEN 1.0 ELSE {digits.format(f'stddev_pop(v[{i}])')} END"
+                    for i in each) + "] AS s FROM vec)",
+        "scaled AS MATERIALIZED (SELECT id, [" + ", ".join(f"(v[{i}] - m[{i}]) / s[{i}]" for i in each) + "] AS x FROM vec, scaling)",
+        f"pool AS (SELECT * FROM scaled ORDER BY substr(md5('{seed}:' || id), 1, 8), id LIMIT {trees * sample})",
+        f"trees AS (SELECT unnest(range(0, {trees})) AS tree)",
+        "g0 AS (SELECT tree, 1::BIGINT AS node, id, x FROM (SELECT tree, id, x, row_number() OVER (PARTITION BY tree ORDER BY "
+        f"substr(md5('{seed}:' || tree || ':' || id), 1, 8), id) AS place FROM pool, trees) WHERE place <= {sample})",
+    ]
+    for k in range(depth + 1):
+        parts += [
+            f"h{k} AS (SELECT *, count(*) OVER w AS n, [" + ", ".join(f"min(x[{i}]) OVER w" for i in each) + "] AS lo, ["
+            + ", ".join(f"max(x[{i}]) OVER w" for i in each) + f"] AS hi FROM g{k} WINDOW w AS (PARTITION BY tree, node))",
+            f"i{k} AS (SELECT *, list_filter({list(each)}, lambda i: hi[i] > lo[i]) AS usable FROM h{k})",
+            f"j{k} AS (SELECT *, CASE WHEN {k} < (SELECT ceil(log2(greatest(least({sample}, total), 2))) FROM scaling) AND n > 1 "
+            f"AND len(usable) > 0 THEN usable[1 + floor({chance('feature', 'tree', 'node')} * len(usable))::INT] END AS f FROM i{k})",
+            f"s{k} AS MATERIALIZED (SELECT *, lo[f] + {chance('threshold', 'tree', 'node')} * (hi[f] - lo[f]) AS cut FROM j{k})",
+            f"g{k + 1} AS (SELECT tree, CASE WHEN x[f] <= cut THEN 2 * node ELSE 2 * node + 1 END AS node, id, x "
+            f"FROM s{k} WHERE f IS NOT NULL)"]
+    parts.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT DISTINCT tree, node, f, cut, {k} + {path} AS path FROM s{k}" for k in range(depth + 1)) + ")")
+    parts.append("w0 AS (SELECT id, x, tree, 1::BIGINT AS node FROM scaled, trees)")
+    for k in range(depth):
+        parts.append(f"w{k + 1} AS (SELECT id, x, tree, CASE WHEN n.f IS NULL THEN node WHEN x[n.f] <= n.cut THEN 2 * node "
+                     f"ELSE 2 * node + 1 END AS node FROM w{k} JOIN nodes n USING (tree, node))")
+    parts += [
+        f"raw AS MATERIALIZED (SELECT id, round(-pow(2.0, -sum(path) / {trees} / (SELECT {path} FROM (SELECT least({sample}, total) AS n "
+        f"FROM scaling))), 12) AS score FROM w{depth} JOIN nodes USING (tree, node) GROUP BY id)",
+        "ranked AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS place FROM raw)",
+        f"spot AS (SELECT {contamination}::DOUBLE * (total - 1) AS pos FROM scaling)",
+        "ends AS (SELECT any_value(pos) AS pos, min(score) AS a, max(score) AS b FROM ranked, spot WHERE place IN (floor(pos), ceil(pos)))",
+        "scored AS MATERIALIZED (SELECT feat.*, raw.score - (SELECT a + (b - a) * (pos - floor(pos)) FROM ends) AS score "
+        "FROM feat JOIN raw USING (id))"]
+    return ",\n  ".join(["", *parts])[1:]
+
+
+FOREST = forest()
 # the scores that queries of the anomaly family are given, in place of a model's
 MARKED = "\n  marked AS (SELECT *, -((id * 37) % 100)::DOUBLE / 100 AS score FROM feat)"
 MARKED_SEVERITY = ("CASE WHEN score < -0.8 THEN 'Critical' WHEN score < -0.6 THEN 'High' "
@@ -661,6 +720,27 @@ JOIN kept g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", """
     "traffic_features": sql("SELECT * REPLACE (round(packets_per_second, 6) AS packets_per_second, "
                             "round(bytes_per_second, 6) AS bytes_per_second, CAST(unique_ports_accessed AS BIGINT) "
                             "AS unique_ports_accessed) FROM feat", PORT_SPELLS),
+    "anomaly_scores": sql("SELECT id, us, src_ip, round(score, 6) AS score FROM scored", PORT_SPELLS, FOREST),
+    "anomaly_alerts": sql(f"""SELECT id AS packet_id, us, 'Network Anomaly' AS alert_type, {MARKED_SEVERITY} AS severity,
+  src_ip AS source_ip, dst_ip AS destination_ip, round(score, 6) AS score, CAST(packet_size AS BIGINT) AS packet_size,
+  CAST(dst_port AS BIGINT) AS dst_port, round(packets_per_second, 6) AS packets_per_second,
+  round((SELECT count(*) FROM pf q WHERE q.protocol = scored.protocol) / (SELECT count(*) FROM pf), 6) AS protocol_frequency
+FROM scored WHERE score < 0""", PORT_SPELLS, FOREST),
+    "anomaly_feed": sql(f"""SELECT us AS timestamp_us, src_ip AS source_ip, dst_ip AS destination_ip,
+  round(score, 6) AS anomaly_score, {MARKED_SEVERITY} AS severity, packet_size, protocol, id
+FROM (SELECT *, id = min(id) OVER (PARTITION BY us, src_ip) AND bool_or(id % 2 = 0) OVER (PARTITION BY us, src_ip) AS hit
+  FROM scored WHERE score < 0) WHERE NOT hit ORDER BY us DESC, id DESC LIMIT 10""", PORT_SPELLS, FOREST),
+    "anomaly_statistics": sql("""SELECT n AS packets_processed, k AS anomalies_detected, round(k / n, 6) AS detection_rate, score_count,
+  score_mean, score_std, score_min, score_max FROM (SELECT count(*) AS n, count(*) FILTER (score < 0) AS k FROM scored),
+  (SELECT count(score) AS score_count, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std,
+    round(min(score), 6) AS score_min, round(max(score), 6) AS score_max
+   FROM (SELECT score FROM scored ORDER BY us DESC, id DESC LIMIT 1000))""", PORT_SPELLS, FOREST),
+    "score_quantiles": sql("""SELECT q AS share, round(a + (b - a) * (pos - floor(pos)), 9) AS value FROM (
+  SELECT q, any_value(pos) AS pos, min(s) AS a, max(s) AS b FROM (
+    SELECT packets_per_second * 1000 + packet_size / 7.0::DOUBLE AS s,
+      row_number() OVER (ORDER BY packets_per_second * 1000 + packet_size / 7.0::DOUBLE) - 1 AS place FROM feat),
+  (SELECT q, q * (SELECT count(*) - 1 FROM feat) AS pos FROM (SELECT unnest([0.0, 0.1, 0.37, 0.5, 0.9, 1.0])::DOUBLE AS q))
+  WHERE place IN (floor(pos), ceil(pos)) GROUP BY q)""", PORT_SPELLS),
     "anomaly_found": sql(f"SELECT id, us, src_ip, {MARKED_SEVERITY} AS severity FROM marked WHERE score < -0.5", PORT_SPELLS, MARKED),
     "anomaly_marked_feed": sql(f"""SELECT us AS timestamp_us, src_ip AS source_ip, dst_ip AS destination_ip, score AS anomaly_score,
   {MARKED_SEVERITY} AS severity, packet_size, protocol, id,

@@ -20,7 +20,7 @@ from ..operators import (alerts as al, anomaly, baseline, features, flood, flows
 from ..params import (AlertCriteria, CaptureFilter, ConnectionCriteria, CustomRule, PacketCriteria, Thresholds)
 from ..plans import dashboard, pipeline, reports
 from ..schema import PACKETS
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..sources import mapping, sinks, tables
 from ..streaming import live, stateful, windows
 
@@ -786,12 +786,24 @@ def _scored(spark, d):
 
 @query
 def anomaly_scores(spark, d):
-    return _scored(spark, d).select("id", "us", "src_ip", "score")
+    return _scored(spark, d).select("id", "us", "src_ip", "score").withColumns(r6("score"))
+
+
+def _alert_figures(rows):
+    """Anomaly alerts with the figures of the packet in their details."""
+    get = lambda path: F.get_json_object("details", f"$.{path}")
+    return rows.select(
+        "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description",
+        F.round(get("anomaly_score").cast("double"), 6).alias("score"), get("packet_size").cast("long").alias("packet_size"),
+        get("dst_port").cast("long").alias("dst_port"),
+        F.round(get("packets_per_second").cast("double"), 6).alias("packets_per_second"),
+        F.round(get("baseline_comparison.protocol_frequency").cast("double"), 6).alias("protocol_frequency"))
 
 
 @query
 def anomaly_alerts(spark, d):
-    return anomaly.anomaly_alerts(_scored(spark, d), baseline.learn(PF(spark, d)), OPEN_GATE)
+    rows = anomaly.anomaly_alerts(_scored(spark, d), baseline.learn(PF(spark, d)), OPEN_GATE)
+    return _alert_figures(rows).drop("description")
 
 
 @query
@@ -799,12 +811,24 @@ def anomaly_feed(spark, d):
     found = anomaly.anomalies(_scored(spark, d), OPEN_GATE)
     marks = found.filter(F.col("id") % 2 == 0).select("timestamp", F.col("src_ip").alias("source_ip"))
     marked = anomaly.mark_false_positives(found, marks)
-    return micros(anomaly.recent_anomalies(marked.filter(~F.col("false_positive"))), "timestamp")
+    newest = micros(anomaly.recent_anomalies(marked.filter(~F.col("false_positive"))), "timestamp")
+    return newest.drop("description").withColumns(r6("anomaly_score"))
 
 
 @query
 def anomaly_statistics(spark, d):
-    return anomaly.anomaly_statistics(_scored(spark, d), OPEN_GATE)
+    return anomaly.anomaly_statistics(_scored(spark, d), OPEN_GATE).withColumns(
+        r6("score_mean", "score_std", "score_min", "score_max", "detection_rate"))
+
+
+@query
+def score_quantiles(spark, d):
+    """Exact quantiles of given scores, as the offset is taken."""
+    c = F.col
+    rows = cut(features.features(PF(spark, d)).select(
+        (c("packets_per_second") * 1000 + c("packet_size") / F.lit(7.0)).alias("s")))
+    shares = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    return spark.createDataFrame([(q, round(anomaly.quantile(rows, "s", q), 9)) for q in shares], "share double, value double")
 
 
 def _marked_scores(spark, d):
@@ -835,14 +859,7 @@ def anomaly_totals(spark, d):
 @query
 def anomaly_alert_details(spark, d):
     """Alerts of given scores, with the figures of the packet in their details."""
-    rows = anomaly.anomaly_alerts(_marked_scores(spark, d), baseline.learn(PF(spark, d)))
-    get = lambda path: F.get_json_object("details", f"$.{path}")
-    return rows.select(
-        "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description",
-        F.round(get("anomaly_score").cast("double"), 6).alias("score"), get("packet_size").cast("long").alias("packet_size"),
-        get("dst_port").cast("long").alias("dst_port"),
-        F.round(get("packets_per_second").cast("double"), 6).alias("packets_per_second"),
-        F.round(get("baseline_comparison.protocol_frequency").cast("double"), 6).alias("protocol_frequency"))
+    return _alert_figures(anomaly.anomaly_alerts(_marked_scores(spark, d), baseline.learn(PF(spark, d))))
 
 
 # ---- maintenance -----------------------------------------------------------------------------

@@ -3,6 +3,10 @@
 Trees are grown in parallel tasks from one small sample, and rows are scored over Arrow batches.
 The model is two tables (tree nodes, scaling) and a few numbers; its size is fixed by the number of
 trees, so it travels with the scoring tasks.
+
+All random choices are digests of what they are made for (seed, tree, node, row), so a forest depends on the
+training rows alone, not on where they lie, and any engine can grow it again. Scores are kept to twelve
+digits, below which the order of additions would show. The offset is the exact quantile of the training scores.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -33,12 +38,15 @@ TREES = 100
 SAMPLE = 256
 SEED = 42
 RECENT_SCORES = 1000
-QUANTILE_ACCURACY = 100_000
+#: Intervals into which scores are counted at a time, and how many of them are sorted in the end.
+BINS, SORTED = 4096, 20_000
+DIGITS = 12
 
 # workers get the functions below by value, so this package need not be installed on them
 register_pickle_by_value(sys.modules[__name__])
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+NODE_COLUMNS = ("feature", "threshold", "left", "right", "path")
 
 
 @dataclass(frozen=True)
@@ -60,13 +68,23 @@ def _expected_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, tree: int, sample: int, seed: int) -> list[tuple]:
-    """One isolation tree over `sample` rows drawn from the pool; leaves hold the mean path length."""
-    rng = np.random.default_rng([seed, tree])
-    x = x[rng.choice(len(x), size=min(sample, len(x)), replace=False)]
+def _chance(*what) -> float:
+    """A number in [0, 1) that the digest of `what` gives."""
+    return int(md5(":".join(map(str, what)).encode()).hexdigest()[:8], 16) / 2.0 ** 32
+
+
+def _drawn(ids: np.ndarray, tree: int, sample: int, seed: int) -> np.ndarray:
+    """Places of the rows that a tree draws without replacement: those with the smallest digests."""
+    digests = np.array([int(md5(f"{seed}:{tree}:{i}".encode()).hexdigest()[:8], 16) for i in ids.tolist()])
+    return np.lexsort((ids, digests))[:sample]
+
+
+def _grow(x: np.ndarray, ids: np.ndarray, tree: int, sample: int, seed: int) -> list[tuple]:
+    """One isolation tree over `sample` rows drawn from the pool; leaves hold the mean path length. Node n has the
+    children 2n and 2n + 1."""
+    x = x[_drawn(ids, tree, sample, seed)]
     limit = math.ceil(math.log2(max(len(x), 2)))
-    rows, todo = [], [(np.arange(len(x)), 0, 0)]
-    next_node = 1
+    rows, todo = [], [(np.arange(len(x)), 1, 0)]
     while todo:
         members, node, depth = todo.pop()
         part = x[members]
@@ -75,14 +93,12 @@ def _grow(x: np.ndarray, tree: int, sample: int, seed: int) -> list[tuple]:
         if depth >= limit or len(members) <= 1 or len(usable) == 0:
             rows.append((tree, node, -1, 0.0, -1, -1, depth + float(_expected_path(len(members)))))
             continue
-        feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        feature = int(usable[int(_chance(seed, tree, node, "feature") * len(usable))])
+        threshold = float(low[feature] + _chance(seed, tree, node, "threshold") * (high[feature] - low[feature]))
         below = part[:, feature] <= threshold
-        left, right = next_node, next_node + 1
-        next_node += 2
-        rows.append((tree, node, feature, threshold, left, right, 0.0))
-        todo.append((members[below], left, depth + 1))
-        todo.append((members[~below], right, depth + 1))
+        rows.append((tree, node, feature, threshold, 2 * node, 2 * node + 1, 0.0))
+        todo.append((members[below], 2 * node, depth + 1))
+        todo.append((members[~below], 2 * node + 1, depth + 1))
     return rows
 
 
@@ -111,10 +127,10 @@ def sample_pool(rows: DataFrame, total: int, size: int, seed: int = SEED) -> Dat
     A threshold on the hash leaves half as many again as are needed, wherever the rows lie, so that
     the final ordering sees a fixed number of rows and not `size` of every task.
     """
-    buckets = 1 << 40
     share = min(1.0, (1.5 * size + 1000) / max(total, 1))
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets))
-    return rows.filter(hashed < int(share * buckets)).orderBy(hashed, "id").limit(size)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return rows.filter(hashed < int(share * (1 << 32))).orderBy(hashed, "id").limit(size)
 
 
 def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
@@ -127,12 +143,13 @@ def fit(features: DataFrame, p: Thresholds = Thresholds(), trees: int = TREES,
     mean = tuple(_stable(s[f"m_{v}"]) for v in VECTOR)
     scale = tuple(_stable(s[f"s_{v}"]) or 1.0 for v in VECTOR)
     # trees × sample rows at most, whatever the number of training rows; every tree draws from them
-    pool = np.stack(sample_pool(training, s["n"], trees * sample, seed).select("v").toPandas()["v"].to_numpy())
-    scaled = training.sparkSession.sparkContext.broadcast((pool.astype(float) - mean) / scale)
+    pool = sample_pool(training, s["n"], trees * sample, seed).select("id", "v").toPandas()
+    scaled = training.sparkSession.sparkContext.broadcast(
+        ((np.stack(pool["v"].to_numpy()).astype(float) - mean) / scale, pool["id"].to_numpy()))
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for tree in batch["id"] for r in _grow(scaled.value, int(tree), sample, seed)]
+            rows = [r for tree in batch["id"] for r in _grow(*scaled.value, int(tree), sample, seed)]
             yield pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
     # at most 2 × sample − 1 nodes per tree
@@ -147,16 +164,57 @@ def recontaminate(forest: Forest, features: DataFrame, contamination: float) ->
 
 
 def _with_offset(forest: Forest, training: DataFrame, contamination: float) -> Forest:
-    # a sketch of fixed size: its rank is off by at most rows / QUANTILE_ACCURACY
-    raw = training.select(_score_udf(replace(forest, offset=0.0))("v").alias("score"))
-    offset = raw.agg(F.percentile_approx("score", contamination, QUANTILE_ACCURACY).alias("q")).first()["q"]
-    return replace(forest, offset=float(offset), contamination=contamination)
+    scores = cut(training.select(_score_udf(replace(forest, offset=0.0))("v").alias("score")))
+    return replace(forest, offset=quantile(scores, "score", contamination), contamination=contamination)
+
+
+def quantile(rows: DataFrame, column: str, share: float) -> float:
+    """The exact quantile with linear interpolation between neighbours, as a sort of all rows would give it."""
+    n = rows.count()
+    at = share * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    found = order_statistics(rows, column, [low, high])
+    return found[low] + (found[high] - found[low]) * (at - low)
+
+
+def order_statistics(rows: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values at some ranks (from 0) of the sorted column.
+
+    Rows are counted in `BINS` equal intervals of the range that holds a rank, then in those of the interval that
+    holds it, until few rows are left or all are equal; only these are sorted. A pass reads the column once and
+    returns one small row per interval.
+    """
+    c = F.col(column)
+    rows = rows.filter(c.isNotNull())
+    low, high = rows.agg(F.min(c), F.max(c)).first()
+    todo, found = [(low, high, 0, rows.count(), sorted(set(ranks)))], {}
+    while todo:
+        low, high, before, n, wanted = todo.pop()
+        part = rows.filter(c.between(low, high))
+        width = (high - low) / BINS
+        if low == high or low + width == low:
+            found |= dict.fromkeys(wanted, low)
+        elif n <= SORTED:
+            values = sorted(r[0] for r in part.select(c).collect())
+            found |= {r: values[r - before] for r in wanted}
+        else:
+            place = F.least(F.floor((c - low) / width), F.lit(BINS - 1))
+            bins = part.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"))
+            for b in sorted(bins.collect()):
+                inside = [r for r in wanted if before <= r < before + b["n"]]
+                if inside:
+                    todo.append((b["low"], b["high"], before, b["n"], inside))
+                before += b["n"]
+    return found
 
 
 def _scorer(forest: Forest):
-    by_tree = [t.sort_values("node") for _, t in forest.nodes.groupby("tree")]
-    arrays = [(t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(),
-               t["right"].to_numpy(), t["path"].to_numpy()) for t in by_tree]
+    arrays = []
+    for _, t in forest.nodes.groupby("tree"):
+        columns = [np.full(int(t["node"].max()) + 1, -1, dtype=t[n].dtype) for n in NODE_COLUMNS]
+        for column, name in zip(columns, NODE_COLUMNS):
+            column[t["node"].to_numpy()] = t[name].to_numpy()
+        arrays.append(columns)
     mean, scale = np.array(forest.mean), np.array(forest.scale)
     norm, offset = float(_expected_path(forest.sample)), forest.offset
     depth = math.ceil(math.log2(max(forest.sample, 2)))
@@ -165,13 +223,13 @@ def _scorer(forest: Forest):
         x = (np.stack(vectors.to_numpy()).astype(float) - mean) / scale
         rows, total = np.arange(len(x)), np.zeros(len(x))
         for feature, threshold, left, right, path in arrays:
-            at = np.zeros(len(x), dtype=np.int64)
+            at = np.ones(len(x), dtype=np.int64)
             for _ in range(depth):
                 f = feature[at]
                 down = np.where(x[rows, f] <= threshold[at], left[at], right[at])
                 at = np.where(f >= 0, down, at)
             total += path[at]
-        return -np.exp2(-total / len(arrays) / norm) - offset
+        return np.round(-np.exp2(-total / len(arrays) / norm), DIGITS) - offset
 
     return batch_scores
 

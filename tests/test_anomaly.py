@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import S, frame, packet
 from pyspark.sql import functions as F
@@ -39,7 +40,26 @@ def test_fit_does_not_depend_on_row_order(spark, fitted):
     again = anomaly.fit(f.repartition(7, F.rand(3)), OPEN, trees=50)
     order = lambda m: m.nodes.sort_values(["tree", "node"]).reset_index(drop=True)
     assert order(again).equals(order(forest))
-    assert abs(again.offset - forest.offset) < 1e-9
+    assert again.offset == forest.offset
+
+
+def test_offset_is_the_quantile_of_the_sorted_scores(fitted):
+    f, forest = fitted
+    raw = sorted(r.score + forest.offset for r in anomaly.score(f, forest).collect())
+    assert forest.offset == pytest.approx(np.percentile(raw, 10), abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["spread", "equal", "ties", "tiny"])
+def test_quantiles_are_exact(spark, monkeypatch, kind):
+    monkeypatch.setattr(anomaly, "SORTED", 10)
+    monkeypatch.setattr(anomaly, "BINS", 7)
+    rng = random.Random(5)
+    values = {"spread": [rng.lognormvariate(0, 3) for _ in range(2000)], "equal": [0.25] * 500,
+              "ties": [float(rng.randint(0, 3)) for _ in range(900)] + [1e9], "tiny": [1 + i * 2.0 ** -52 for i in range(300)]}[kind]
+    rows = spark.createDataFrame([(v,) for v in values], "s double").repartition(5).cache()
+    for q in (0.0, 0.1, 0.5, 0.777, 1.0):
+        assert anomaly.quantile(rows, "s", q) == pytest.approx(np.percentile(values, 100 * q), rel=1e-15)
+    assert anomaly.order_statistics(rows, "s", [0, 5, 77]) == {k: sorted(values)[k] for k in (0, 5, 77)}
 
 
 def test_too_few_rows(fitted):
