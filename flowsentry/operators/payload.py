@@ -51,8 +51,10 @@ def payload_alerts(packets: DataFrame, p: Thresholds = Thresholds(), patterns: d
     """
     c = F.col
     matches = cut(payload_matches(packets, patterns))
+    # at most one row per category; those that no packet matches have nothing to cool down
+    met = {r["category"] for r in matches.select(F.explode("matches.category").alias("category")).distinct().collect()}
     fired = None
-    for category in patterns:
+    for category in [x for x in patterns if x in met] or list(patterns)[:1]:
         offered = matches.withColumn("m", F.get(F.filter(
             "matches", lambda m: m["category"] == category), F.lit(0))).filter(c("m").isNotNull())
         if fired is not None:

@@ -11,7 +11,7 @@ silent is spread over all tasks like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import SECOND_US
@@ -59,12 +59,12 @@ def _jump(placed, names, window_us, inclusive):
     """Mark the chain of every island by doubling pointers; marks and pointers of a round are one table."""
     nxt = _next_pointers(placed, names, window_us, inclusive)
     first = F.col("_us") == F.col("session_us")
-    state = cut(nxt.select(*names, "session_us", "_us", "_id", "next_us", "next_id", first.alias("marked")))
+    state, left = _counted(nxt.select(*names, "session_us", "_us", "_id", "next_us", "next_id", first.alias("marked")))
     while True:
         marked = state.filter("marked").select(*names, "session_us", "_us", "_id")
-        jump = state.filter("next_us is not null")
-        if jump.isEmpty():
+        if not left:
             return marked.select(*names, "_us", "_id")
+        jump = state.filter("next_us is not null")
         hop = _renamed(jump, names)
         on = [marked[n].eqNullSafe(hop[f"h{n}"]) for n in names] + [marked["_us"] == hop["h_us"]]
         reached = marked.join(hop, on).select(*names, F.col("h_next_us").alias("r_us"))
@@ -74,11 +74,17 @@ def _jump(placed, names, window_us, inclusive):
             *names, "session_us", "_us", "_id", F.col("h_next_us").alias("next_us"),
             F.col("h_next_id").alias("next_id"), "marked")
         on = [doubled[n].eqNullSafe(reached[f"r{n}"]) for n in names] + [doubled["_us"] == reached["r_us"]]
-        state = cut(doubled.join(reached, on, "left").select(
+        state, left = _counted(doubled.join(reached, on, "left").select(
             *names, "session_us", "_us", "_id", "next_us", "next_id",
             (F.col("marked") | F.col("r_us").isNotNull()).alias("marked")))
 
 
+def _counted(state):
+    """The table cut off from its lineage, and how many pointers it holds, counted while it is written."""
+    seen = Observation()
+    return cut(state.observe(seen, F.count("next_us").alias("left"))), seen.get["left"]
+
+
 def _renamed(jump, names):
     return jump.select(*[F.col(n).alias(f"h{n}") for n in names], F.col("_us").alias("h_us"),
                        F.col("next_us").alias("h_next_us"), F.col("next_id").alias("h_next_id"))
