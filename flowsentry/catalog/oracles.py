@@ -172,11 +172,13 @@ COOL = "> g.us + 300000000"
 RULE_HITS = """
   rule_hits AS (
     SELECT id, us, src_ip, dst_ip, dst_port, 'sql probe' AS rule_name, 'High' AS severity, 0 AS rule_no,
-      'classic injection' AS about FROM texts
+      'classic injection' AS about, 'regex' AS pattern_type, 'or\\\\s+1=1' AS pattern, protocol, payload_size FROM texts
       WHERE protocol = 'TCP' AND dst_port IN (80, 8080) AND regexp_matches(body, '(?i)or\\s+1=1')
-    UNION ALL SELECT id, us, src_ip, dst_ip, dst_port, 'ssh login', 'Medium', 1, 'plain password' FROM texts
+    UNION ALL SELECT id, us, src_ip, dst_ip, dst_port, 'ssh login', 'Medium', 1, 'plain password',
+      'string', 'ADMIN:', protocol, payload_size FROM texts
       WHERE contains(lower(body), 'admin:')
-    UNION ALL SELECT id, us, src_ip, dst_ip, dst_port, 'get bytes', 'Low', 2, 'request line' FROM texts
+    UNION ALL SELECT id, us, src_ip, dst_ip, dst_port, 'get bytes', 'Low', 2, 'request line',
+      'bytes', '47 45 54', protocol, payload_size FROM texts
       WHERE protocol = 'TCP' AND contains(body, 'GET'))""".replace("\\\\", "\\")
 
 SCAN_FIRED = greedy("scan_g", "scan_cand", "src_ip", COOL)
@@ -217,6 +219,43 @@ def sql(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE" + ",".join(texts) + "\n" + body
 
 
+ALERT_HEAD = "k.id AS packet_id, k.us, {} AS alert_type, k.severity, k.src_ip AS source_ip, {} AS destination_ip, {} AS description"
+
+
+def shown(marks: str, mark: str, value: str, most: int, *keys: str) -> str:
+    """The first `most` distinct values that the alert k's group has met so far, sorted, as text."""
+    same = " AND ".join(f"f.{x} = k.{x}" for x in keys)
+    return (f"(SELECT array_to_string(list_sort(list(f.{value})), ',') FROM (SELECT *, row_number() OVER (PARTITION BY "
+            f"{', '.join(keys)} ORDER BY us, id) AS place FROM {marks} WHERE {mark} = 1) f WHERE {same} AND f.place <= {most} "
+            "AND (f.us < k.us OR (f.us = k.us AND f.id <= k.id)))")
+
+
+SCAN_ALERTS = (
+    "SELECT " + ALERT_HEAD.format("'Port Scan'", "k.dst_ip", """format('Port scan detected from {}. Scanned {} ports on {} target(s).',
+    k.src_ip, k.ports, k.targets)""") + f""", {shown('scan_marks', 'np', 'dst_port', 20, 'src_ip', 'session_us')} AS scanned_ports,
+  {shown('scan_marks', 'nt', 'dst_ip', 10, 'src_ip', 'session_us')} AS target_ips, k.attempts AS scan_count,
+  k.failures AS failed_connections, round(k.duration, 6) AS scan_duration, round(k.rate, 6) AS scan_rate
+FROM scan_cand k JOIN scan_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""")
+FLOOD_ALERTS = (
+    "SELECT " + ALERT_HEAD.format("'DDoS Attack'", "NULL::VARCHAR", """format(
+    'Potential DDoS attack detected from {}. Connection rate: {:.1f} connections/second.', k.src_ip, k.rate)""") + f""",
+  round(k.rate, 6) AS connection_rate, k.packets AS total_connections, k.bytes AS bytes_sent, k.targets AS target_count,
+  {shown('flood_marks', 'nt', 'dst_ip', 10, 'src_ip')} AS target_ips, round(k.duration, 6) AS attack_duration
+FROM flood_cand k JOIN flood_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""")
+RULE_ALERTS = (
+    "SELECT " + ALERT_HEAD.format("'Custom Rule: ' || k.rule_name", "k.dst_ip",
+                                  "'Custom rule \'\'' || k.rule_name || '\'\' triggered: ' || k.about") + """,
+  k.rule_name, k.about AS rule_description, k.pattern_type, k.pattern AS matched_pattern, CAST(k.dst_port AS BIGINT) AS target_port,
+  k.protocol, CAST(k.payload_size AS BIGINT) AS payload_size
+FROM rule_hits k JOIN rule_g g ON g.gk = k.rule_name || '|' || k.src_ip AND g.us = k.us AND g.id = k.id""")
+PAYLOAD_ALERTS = r"""SELECT k.id AS packet_id, k.us, 'Suspicious Payload' AS alert_type, 'High' AS severity, k.src_ip AS source_ip,
+  k.dst_ip AS destination_ip, 'Suspicious sql injection pattern detected in traffic from ' || k.src_ip || '.' AS description,
+  'sql_injection' AS pattern_category, CAST(k.dst_port AS BIGINT) AS target_port, k.protocol,
+  CAST(k.payload_size AS BIGINT) AS payload_size,
+  '(?i)(\''\s*or\s+\d+\s*=\s*\d+|\''\s*or\s+\''.*\''=\'')' AS matched_pattern
+FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id"""
+
+
 PACKET = "id, us AS timestamp_us, src_ip, dst_ip, src_port, dst_port, protocol, size, tcp_flags, payload_size"
 CONNECTION = ("src_ip, dst_ip, src_port, dst_port, protocol, first_seen_us, last_seen_us, packet_count, bytes_sent, "
               "bytes_received, state, round(connection_duration, 6) AS connection_duration")
@@ -645,19 +684,12 @@ FROM (SELECT src_ip, min(us) AS session_us, count(DISTINCT dst_port) AS ports, c
   round(count(*) / greatest(1.0, (max(us) - min(us)) / 1e6), 6) AS rate
 FROM scan_rows GROUP BY src_ip, sid)""".replace("SELECT *, CASE", "SELECT * EXCLUDE (rate0), CASE", 1), "scan"),
     "scan_candidates": sql("SELECT * REPLACE (round(duration, 6) AS duration, round(rate, 6) AS rate) FROM scan_cand", "scan"),
-    "scan_alerts": sql("""SELECT k.id AS packet_id, k.us, 'Port Scan' AS alert_type, k.severity, k.src_ip AS source_ip,
-  k.dst_ip AS destination_ip, format('Port scan detected from {}. Scanned {} ports on {} target(s).',
-    k.src_ip, k.ports, k.targets) AS description, k.attempts AS scan_count, k.failures AS failed_connections,
-  round(k.duration, 6) AS scan_duration
-FROM scan_cand k JOIN scan_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "scan", SCAN_FIRED),
+    "scan_alerts": sql(SCAN_ALERTS, "scan", SCAN_FIRED),
     "flood_rate": sql("SELECT * REPLACE (round(duration, 6) AS duration, round(rate, 6) AS rate, "
                       "round(bytes_per_second, 6) AS bytes_per_second) FROM flood_all", "flood"),
     "flood_candidates": sql("SELECT id, us, src_ip, in_window, packets, bytes, targets, severity, round(rate, 6) AS rate "
                             "FROM flood_cand", "flood", FLOOD_CAND),
-    "flood_alerts": sql("""SELECT k.id AS packet_id, k.us, 'DDoS Attack' AS alert_type, k.severity, k.src_ip AS source_ip,
-  NULL::VARCHAR AS destination_ip,
-  format('Potential DDoS attack detected from {}. Connection rate: {:.1f} connections/second.', k.src_ip, k.rate) AS description
-FROM flood_cand k JOIN flood_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "flood", FLOOD_CAND, FLOOD_FIRED),
+    "flood_alerts": sql(FLOOD_ALERTS, "flood", FLOOD_CAND, FLOOD_FIRED),
     "active_threats": sql(f"""SELECT 'scan' AS kind, src_ip AS source_ip, count(DISTINCT dst_port) AS ports,
   count(DISTINCT dst_ip) AS targets, count(*) AS packets, 0::BIGINT AS bytes, 0.0::DOUBLE AS rate,
   round((max(us) - min(us)) / 1e6, 6) AS duration
@@ -665,12 +697,12 @@ FROM scan_rows WHERE us <= {FAST_AS_OF} GROUP BY src_ip, sid HAVING {FAST_AS_OF}
 UNION ALL SELECT 'flood', src_ip, 0, count(DISTINCT dst_ip), count(*), CAST(sum(size) AS BIGINT),
   round(count(*) FILTER (us >= {FAST_AS_OF} - {MINUTE}) / 60.0::DOUBLE, 6), round(({FAST_AS_OF} - min(us)) / 1e6, 6)
 FROM pf WHERE us <= {FAST_AS_OF} GROUP BY src_ip""", "scan"),
-    "payload_matches": sql("SELECT id, us, src_ip, dst_ip, dst_port, protocol, payload_size, c AS categories FROM (SELECT *, "
-                           "concat_ws(',', " + ", ".join(f"CASE WHEN {found('body', n)} THEN '{n}' END" for n in CATEGORY)
-                           + ") AS c FROM texts WHERE payload_size >= 10) WHERE c <> ''", "payload"),
-    "payload_alerts": sql("""SELECT k.id AS packet_id, k.us, 'High' AS severity, k.src_ip AS source_ip, k.dst_ip AS destination_ip,
-  'Suspicious sql injection pattern detected in traffic from ' || k.src_ip || '.' AS description
-FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "payload", PAYLOAD_HITS, PAYLOAD_FIRED),
+    "payload_matches": sql("SELECT id, us, src_ip, dst_ip, dst_port, protocol, payload_size, c AS categories, s AS severities, "
+                           "len(string_split(c, ',')) AS patterns FROM (SELECT *, concat_ws(',', "
+                           + ", ".join(f"CASE WHEN {found('body', n)} THEN '{n}' END" for n in CATEGORY) + ") AS c, concat_ws(',', "
+                           + ", ".join(f"CASE WHEN {found('body', n)} THEN '{s}' END" for n, (s, _) in CATEGORY.items())
+                           + ") AS s FROM texts WHERE payload_size >= 10) WHERE c <> ''", "payload"),
+    "payload_alerts": sql(PAYLOAD_ALERTS, "payload", PAYLOAD_HITS, PAYLOAD_FIRED),
     "alert_log": sql(r"""SELECT 'ALERT: {"timestamp":"' || strftime(make_timestamp(k.us), '%Y-%m-%dT%H:%M:%S.%f')
   || '","type":"Suspicious Payload","severity":"High","source_ip":"' || k.src_ip || '","destination_ip":"' || k.dst_ip
   || '","description":"Suspicious sql injection pattern detected in traffic from ' || k.src_ip
@@ -682,14 +714,12 @@ FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id
         f"SELECT page_id, '{n}' AS category, '{s}' AS severity FROM pages WHERE {found('html', n)}"
         for n, (s, _) in CATEGORY.items()),
     "document_pattern_scan": " UNION ALL ".join(
-        f"SELECT doc_id, '{n}' AS category FROM documents WHERE {found('text', n)}"
-        for n in ("sql_injection", "malware_communication")),
+        f"SELECT '{t}' AS searched, '{n}' AS category, count(*) FILTER ({found(column, n)}) AS found, "
+        f"coalesce(CAST(sum({key}) FILTER ({found(column, n)}) AS BIGINT), 0) AS ids FROM {t}"
+        for t, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")) for n in CATEGORY),
     "custom_rule_matches": sql("SELECT id, us, src_ip, dst_ip, dst_port, rule_name, severity FROM rule_hits",
                                "payload", RULE_HITS),
-    "custom_rule_alerts": sql("""SELECT k.id AS packet_id, k.us, 'Custom Rule: ' || k.rule_name AS alert_type, k.severity,
-  k.src_ip AS source_ip, k.dst_ip AS destination_ip, 'Custom rule ''' || k.rule_name || ''' triggered: ' || k.about AS description
-FROM rule_hits k JOIN rule_g g ON g.gk = k.rule_name || '|' || k.src_ip AND g.us = k.us AND g.id = k.id""",
-                              "payload", RULE_HITS, RULE_FIRED),
+    "custom_rule_alerts": sql(RULE_ALERTS, "payload", RULE_HITS, RULE_FIRED),
     "rule_errors": """WITH t AS (SELECT *, count(*) OVER (PARTITION BY name) AS copies FROM (
   SELECT CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'twin' ELSE 'rule ' || item_id END AS name, text AS description,
     CASE WHEN item_id % 8 = 0 THEN '(?P<x>a)' WHEN item_id % 7 <> 0 THEN text END AS pattern, item_id FROM benchmark))
@@ -818,14 +848,11 @@ WHERE last_seen_us + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FRO
   connection_duration, closed) FROM c""", "flows"),
     "stream_dedup": sql("SELECT us, id, gk AS src_ip FROM kept", "payload", PAYLOAD_HITS,
                         greedy("kept", "payload_hits", "src_ip", ">= g.us + 600000000")),
-    "stream_scan_alerts": sql("""SELECT k.us, k.id, k.session_us, k.ports, k.targets, k.attempts, k.failures, k.src_ip, k.dst_ip
-FROM scan_cand k JOIN scan_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "scan", SCAN_FIRED),
+    "stream_scan_alerts": sql(SCAN_ALERTS, "scan", SCAN_FIRED),
     "stream_features": sql("SELECT * EXCLUDE (timestamp_us) REPLACE (round(packets_per_second, 6) AS packets_per_second, "
                            "round(bytes_per_second, 6) AS bytes_per_second, CAST(unique_ports_accessed AS BIGINT) "
                            "AS unique_ports_accessed) FROM (SELECT *, 0 AS timestamp_us FROM feat)", PORT_SPELLS),
-    "stream_flood_alerts": sql("""SELECT k.id AS packet_id, k.us, k.severity, k.src_ip AS source_ip,
-  format('Potential DDoS attack detected from {}. Connection rate: {:.1f} connections/second.', k.src_ip, k.rate) AS description
-FROM flood_cand k JOIN flood_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "flood", FLOOD_CAND, FLOOD_FIRED),
+    "stream_flood_alerts": sql(FLOOD_ALERTS, "flood", FLOOD_CAND, FLOOD_FIRED),
     "stream_payload_alerts": sql(r"""SELECT k.id AS packet_id, k.us, 'Suspicious Payload' AS alert_type, 'High' AS severity,
   k.src_ip AS source_ip, k.dst_ip AS destination_ip,
   'Suspicious sql injection pattern detected in traffic from ' || k.src_ip || '.' AS description,

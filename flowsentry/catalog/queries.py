@@ -577,13 +577,32 @@ def scan_candidates(spark, d):
     return scan.scan_candidates(PF(spark, d), TEST).withColumns(r6("duration", "rate"))
 
 
+DETAILS = {
+    "scan": "scanned_ports array<int>, target_ips array<string>, scan_count long, failed_connections long, "
+            "scan_duration double, scan_rate double",
+    "flood": "connection_rate double, total_connections long, bytes_sent long, target_count long, "
+             "target_ips array<string>, attack_duration double",
+    "rule": "rule_name string, rule_description string, pattern_type string, matched_pattern string, target_port long, "
+            "protocol string, payload_size long",
+    "payload": "pattern_category string, target_port long, protocol string, payload_size long, matched_pattern string"}
+
+
+def _with_details(t, kind):
+    """Alerts with all their details as columns: lists as text, doubles rounded."""
+    found = []
+    for field in DETAILS[kind].split(", "):
+        name, of = field.split(" ")
+        value = F.col("j")[name]
+        if of.startswith("array"):
+            value = F.array_join(value.cast("array<string>"), ",")
+        found.append((F.round(value, 6) if of == "double" else value).alias(name))
+    return t.withColumn("j", F.from_json("details", DETAILS[kind])).select(
+        "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description", *found)
+
+
 @query
 def scan_alerts(spark, d):
-    t = scan.scan_alerts(PF(spark, d), TEST)
-    j = F.from_json("details", "scan_count long, failed_connections long, scan_duration double")
-    return t.select("packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description",
-                    j["scan_count"].alias("scan_count"), j["failed_connections"].alias("failed_connections"),
-                    F.round(j["scan_duration"], 6).alias("scan_duration"))
+    return _with_details(scan.scan_alerts(PF(spark, d), TEST), "scan")
 
 
 @query
@@ -600,7 +619,7 @@ def flood_candidates(spark, d):
 
 @query
 def flood_alerts(spark, d):
-    return flood.flood_alerts(PF(spark, d), TEST).drop("detector", "details")
+    return _with_details(flood.flood_alerts(PF(spark, d), TEST), "flood")
 
 
 @query
@@ -621,13 +640,13 @@ def active_threats(spark, d):
 def payload_matches(spark, d):
     return payload.payload_matches(PF(spark, d)).select(
         "id", "us", "src_ip", "dst_ip", "dst_port", "protocol", "payload_size",
-        F.array_join("matches.category", ",").alias("categories"))
+        F.array_join("matches.category", ",").alias("categories"), F.array_join("matches.severity", ",").alias("severities"),
+        F.size("matches.pattern").alias("patterns"))
 
 
 @query
 def payload_alerts(spark, d):
-    return payload.payload_alerts(PF(spark, d), TEST).select(
-        "packet_id", "us", "severity", "source_ip", "destination_ip", "description")
+    return _with_details(payload.payload_alerts(PF(spark, d), TEST), "payload")
 
 
 @query
@@ -638,9 +657,16 @@ def html_pattern_scan(spark, d):
 
 @query
 def document_pattern_scan(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet")
-    return payload.text_matches(t, "doc_id", "text", {k: PATTERNS[k] for k in (
-        "sql_injection", "malware_communication")}).select("doc_id", "category")
+    """Rows of documents and pages by category, categories without any included."""
+    def scanned(name, key, text):
+        found = payload.text_matches(spark.read.parquet(f"{d}/{name}.parquet"), key, text)
+        counts = found.groupBy("category").agg(F.count(F.lit(1)).alias("found"), F.sum(key).alias("ids"))
+        every = spark.createDataFrame([(x,) for x in PATTERNS], "category string")
+        return every.join(counts, "category", "left").select(
+            F.lit(name).alias("searched"), "category", F.coalesce("found", F.lit(0)).alias("found"),
+            F.coalesce("ids", F.lit(0)).alias("ids"))
+
+    return scanned("documents", "doc_id", "text").unionByName(scanned("pages", "page_id", "html"))
 
 
 @query
@@ -651,8 +677,7 @@ def custom_rule_matches(spark, d):
 
 @query
 def custom_rule_alerts(spark, d):
-    return rules.rule_alerts(PF(spark, d), RULES, TEST).select(
-        "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description")
+    return _with_details(rules.rule_alerts(PF(spark, d), RULES, TEST), "rule")
 
 
 @query
@@ -935,11 +960,12 @@ def _stream(spark, d):
 
 
 _ARRIVALS: dict[tuple[str, str], str] = {}
+ARRIVAL_FILES = 4
 
 
 def _arriving(spark, d):
-    """The squeezed packets as they may arrive: four files, rows up to nine minutes out of order, and a fifth file
-    with packets of two days later, behind which everything is due."""
+    """The squeezed packets as they may arrive: four parts of `ARRIVAL_FILES` files, rows up to nine minutes out of order,
+    and last two packets of two days later, behind which everything is due. No detector and no rule looks at these."""
     stateful.use_rocksdb(spark)
     at = (spark.sparkContext.applicationId, d)
     if at not in _ARRIVALS:
@@ -949,12 +975,12 @@ def _arriving(spark, d):
             (arrival - mapping.T0_US) / (2 * 3600 * 1_000_000))))
         late = sinks.conform(PF(spark, d).orderBy("id").limit(2).withColumns({
             "timestamp": F.lit(FAST_AS_OF) + F.expr("INTERVAL 2 DAYS"), "src_ip": F.lit("198.51.100.1"),
-            "protocol": F.lit("TCP"), "tcp_flags": F.lit("SYN"), "payload_size": F.lit(200),
-            "dst_port": F.when(F.col("id") % 2 == 0, 80).otherwise(9999)}), PACKETS)
+            "protocol": F.lit("UDP"), "tcp_flags": F.lit(None).cast("string"), "payload_size": F.lit(0),
+            "dst_port": F.lit(9)}), PACKETS)
         for part in [rows.filter(F.col("part") == i).drop("part") for i in range(4)] + [late]:
-            part.coalesce(1).write.mode("append").parquet(path)
+            part.repartition(ARRIVAL_FILES).write.mode("append").parquet(path)
         _ARRIVALS[at] = path
-    return tables.stream_packets(spark, _ARRIVALS[at], files_per_trigger=1)
+    return tables.stream_packets(spark, _ARRIVALS[at], files_per_trigger=ARRIVAL_FILES)
 
 
 @query
@@ -985,7 +1011,7 @@ def stream_scan_sessions(spark, d):
 
 @query
 def stream_scan_alerts(spark, d):
-    return live.run_to_end(stateful.stream_scan_alerts(_arriving(spark, d), TEST))
+    return _with_details(live.run_to_end(stateful.stream_scan_records(_arriving(spark, d), TEST)), "scan")
 
 
 @query
@@ -1003,8 +1029,7 @@ def stream_features(spark, d):
 
 @query
 def stream_flood_alerts(spark, d):
-    return live.run_to_end(stateful.stream_flood_alerts(_arriving(spark, d), TEST)).select(
-        "packet_id", "us", "severity", "source_ip", "description")
+    return _with_details(live.run_to_end(stateful.stream_flood_alerts(_arriving(spark, d), TEST)), "flood")
 
 
 @query
