@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import severity_rank
 from ..params import AlertCriteria, ConnectionCriteria, PacketCriteria
-from .traffic import last_hours, since
+from .traffic import in_range, last_hours, since
 
 SORT_FIELDS = ("severity", "alert_type", "source_ip", "timestamp")
 
@@ -27,12 +28,30 @@ def _ranged(df: DataFrame, criteria, ts: str) -> DataFrame:
     """The time range counts only when both ends are given."""
     if criteria.start_time is None or criteria.end_time is None:
         return df
-    return df.filter(F.col(ts).between(F.lit(criteria.start_time).cast("timestamp"),
-                                       F.lit(criteria.end_time).cast("timestamp")))
+    return in_range(df, criteria.start_time, criteria.end_time, ts)
+
+
+def _last_days(df: DataFrame, limit: int, ts: str) -> DataFrame:
+    """The newest date partitions that hold at least `limit` rows of `df`, where it has such partitions.
+
+    Walks back from the newest day by 1, 2, 4, … days, so that the days read are less than twice those needed; the days
+    there are come from the names of the files. Rows without a day count only where all days do not suffice.
+    """
+    if "date" not in df.columns or ts != "timestamp":
+        return df
+    days = sorted({m[1] for m in map(re.compile(r"/date=(\d{4}-\d\d-\d\d)/").search, df.inputFiles()) if m}, reverse=True)
+    back = 1
+    while back < len(days):
+        part = df.filter(F.col("date") >= F.lit(days[back - 1]).cast("date"))
+        if part.limit(limit).count() >= limit:
+            return part
+        back *= 2
+    return df
 
 
 def _edge(df: DataFrame, limit: int, ts: str) -> tuple[Column, Column]:
-    """The minute in which the newest `limit` rows begin, and whether rows without a time are among them.
+    """The minute in which the newest `limit` rows begin, and whether rows without a time are among them: both from one
+    pass, beside the one that takes the rows.
 
     Taken from the number of rows per minute: one small row per minute of the time span, whatever the traffic.
     Without it every task would hand `limit` rows to the one that merges them.
@@ -41,7 +60,8 @@ def _edge(df: DataFrame, limit: int, ts: str) -> tuple[Column, Column]:
     newer = Window.orderBy(F.desc_nulls_last("m")).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(newer), F.lit(0))
     within = minutes.select("m", before.alias("before")).filter(F.col("before") < limit)
-    return within.agg(F.min("m")).scalar(), within.agg(F.max(F.col("m").isNull())).scalar()
+    edge = within.agg(F.struct(F.min("m").alias("begin"), F.max(F.col("m").isNull()).alias("timeless"))).scalar()
+    return edge["begin"], edge["timeless"]
 
 
 def newest(df: DataFrame, limit: int | None, ts: str = "timestamp") -> DataFrame:
@@ -49,6 +69,7 @@ def newest(df: DataFrame, limit: int | None, ts: str = "timestamp") -> DataFrame
     order = [F.desc_nulls_last(ts), F.desc("id")]
     if limit is None:
         return df.orderBy(*order)
+    df = _last_days(df, limit, ts)
     begin, timeless = _edge(df, limit, ts)
     return df.filter((F.col(ts) >= begin) | (F.col(ts).isNull() & timeless)).orderBy(*order).limit(limit)
 

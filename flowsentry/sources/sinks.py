@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,8 @@ def append_connections(df: DataFrame, path: str) -> None:
 
 
 def rewrite_kept(kept: DataFrame, dropped_days: DataFrame, path: str) -> None:
-    """Rewrite only the date partitions a retention rule touched, and delete those that keep no row.
+    """Rewrite only the date partitions a retention rule touched, and delete those that keep no row, these first: a crash in
+    between leaves expired rows in days that keep some, and the same call again removes them.
 
     `kept` must not read `path` lazily while it is overwritten, so it is cut first.
     """
@@ -63,9 +65,10 @@ def rewrite_kept(kept: DataFrame, dropped_days: DataFrame, path: str) -> None:
     rows = cut(kept.drop("date").withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi"))
     # a dynamic overwrite leaves partitions alone that get no row; one small row per day
     empty = [r["date"] for r in touched.join(rows, "date", "left_anti").collect()]
+    _drop_days(kept.sparkSession, path, empty)
     (rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(path))
-    _drop_days(kept.sparkSession, path, empty)
+    kept.sparkSession.catalog.refreshByPath(path)
 
 
 def _drop_days(spark: SparkSession, path: str, days: list) -> None:
@@ -85,26 +88,45 @@ def _check(file_format: str) -> None:
         raise ValueError(f"Unsupported export format: {file_format}")
 
 
-def report_document(sections: dict[str, DataFrame]) -> DataFrame:
-    """The sections of a report as one JSON document: one-row sections as objects, others as lists.
+def report_lines(sections: dict[str, DataFrame]) -> DataFrame:
+    """The lines of a report as one JSON document, in the order of (section, part, id); each section is a list of its rows.
 
-    Sections are aggregates or top lists; rows go in as an array per section.
+    A line holds one row at most. Rows keep their section's order: their numbers rise with partition and place.
     """
-    parts = None
-    for name, df in sections.items():
-        row = df.agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select(
-            F.lit(name).alias("section"), F.to_json("rows").alias("body"))
-        parts = row if parts is None else parts.unionByName(row)
-    entry = F.concat(F.lit('"'), F.col("section"), F.lit('":'), F.col("body"))
-    return parts.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","),
-                              F.lit("}")).alias("value"))
+    c = F.col
+    lines = None
+    for i, (name, df) in enumerate(sorted(sections.items())):
+        # numbers are needed twice, for the first row and for the order
+        rows = cut(df.select(F.to_json(F.struct(*df.columns)).alias("row"), F.monotonically_increasing_id().alias("id")))
+        first = rows.agg(F.min("id")).scalar()
+        body = rows.select(F.lit(i).alias("section"), F.lit(1).alias("part"), "id",
+                           F.concat(F.when(c("id") == first, "").otherwise(","), "row").alias("value"))
+        start = f'{"," if i else "{"}{json.dumps(name)}:['
+        frame = df.sparkSession.createDataFrame([(i, 0, 0, start), (i, 2, 0, "]")], body.schema)
+        lines = body.unionByName(frame) if lines is None else lines.unionByName(body).unionByName(frame)
+    end = lines.sparkSession.createDataFrame([(len(sections), 0, 0, "}")], lines.schema)
+    return lines.unionByName(end)
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """The report in part files written side by side; put one after another by name they are the document."""
+    order = ["section", "part", "id"]
+    (report_lines(sections).repartitionByRange(*order).sortWithinPartitions(*order).select("value")
+     .write.mode("overwrite").text(path))
+
+
+def report_parts(spark: SparkSession, path: str) -> list[str]:
+    """The part files of a written report, in the order in which they make the document."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
 
 
 def export_report(sections: dict[str, DataFrame], path: str, file_format: str = "json") -> None:
-    """A report as one JSON document, or a security summary as flat CSV rows."""
+    """A report as one JSON document in parts, or a security summary as flat CSV rows."""
     _check(file_format)
     if file_format == "json":
-        report_document(sections).write.mode("overwrite").text(path)
+        write_report(sections, path)
     else:
         flat_summary(sections).write.mode("overwrite").option("header", True).csv(path)
 

@@ -140,6 +140,37 @@ def test_capture_filter(spark):
     assert ids(included_ips=("z",)) == [2] and ids(excluded_ips=("z",)) == [1, 3]
 
 
+def document(spark, path):
+    return "".join(open(x.removeprefix("file:")).read() for x in sinks.report_parts(spark, path))
+
+
+def test_a_report_of_many_rows_is_written_in_parts(spark, tmp_path):
+    rows = spark.range(30_000).withColumn("text", F.concat(F.lit('a "quoted" name '), F.col("id").cast("string")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_report({"rows": rows.orderBy(F.desc("id")), "none": rows.limit(0), "a": rows.limit(1)}, f"{tmp_path}/r")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sinks.report_parts(spark, f"{tmp_path}/r")) > 1
+    doc = json.loads(document(spark, f"{tmp_path}/r"))
+    assert list(doc) == ["a", "none", "rows"] and doc["none"] == [] and doc["a"][0]["text"].endswith(" 0")
+    assert [r["id"] for r in doc["rows"]] == list(range(29_999, -1, -1))
+
+
+def test_newest_rows_are_sought_from_the_newest_day_back(spark, tmp_path):
+    ps = [packet(i, i * 4 * 3600 * S, "h1" if i < 12 else "h2") for i in range(60)]  # ten days
+    sinks.append_packets(frame(spark, ps), f"{tmp_path}/p")
+    table = tables.read_packets(spark, f"{tmp_path}/p")
+    for limit, days in ((1, 1), (6, 1), (7, 2), (13, 4), (60, 10), (99, 10)):
+        assert search._last_days(table, limit, "timestamp").select("date").distinct().count() == days
+        assert [r.id for r in search.newest(table, limit).collect()] == list(range(59, max(-1, 59 - limit), -1))
+    # the rows sought lie in the oldest two days
+    found = search.packet_search(table, PacketCriteria(src_ip="h1"), 5)
+    assert [r.id for r in found.collect()] == [11, 10, 9, 8, 7]
+    inside = search.packet_search(table, PacketCriteria(start_time=datetime(2024, 1, 2), end_time=datetime(2024, 1, 3)), None)
+    assert "date" in str(inside._jdf.queryExecution().optimizedPlan()) and inside.count() == 7
+
+
 def test_exports_round_trip(spark, tmp_path):
     p = frame(spark, brute.random_packets(50, 1, 100))
     sinks.append_packets(p, f"{tmp_path}/p")
@@ -152,7 +183,8 @@ def test_exports_round_trip(spark, tmp_path):
     k = connections(spark, (1, AS_OF, "ACTIVE"))
     s = reports.security_summary(p, a, k, datetime(2024, 1, 1), AS_OF)
     sinks.export_report(s, f"{tmp_path}/r", "json")
-    doc = json.loads(spark.read.text(f"{tmp_path}/r").first().value)
+    doc = json.loads(document(spark, f"{tmp_path}/r"))
+    assert set(doc) == set(s) and all(len(doc[n]) == df.count() for n, df in s.items())
     assert doc["summary"][0]["total_packets"] == 50 and doc["summary"][0]["anomaly_count"] == 1
     sinks.export_report(s, f"{tmp_path}/c", "csv")
     flat = spark.read.option("header", True).csv(f"{tmp_path}/c")
