@@ -556,13 +556,24 @@ UNION ALL SELECT * FROM (SELECT 'top_source_ips', source_ip, count(*) AS n FROM
     "distinct_alert_types": sql("SELECT DISTINCT alert_type FROM a"),
     "top_threats": sql("""SELECT alert_type, severity, source_ip, count(*) AS alert_count FROM a GROUP BY ALL
 ORDER BY alert_count DESC, alert_type, severity, source_ip LIMIT 10"""),
-    "trend_analysis": sql(f"""SELECT 'traffic' AS section, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM days
-UNION ALL SELECT 'protocol', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT protocol, {bucket('day')} AS b, count(*) AS k FROM span GROUP BY 1, 2)
-UNION ALL SELECT 'alert', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT {bucket('day')} AS b, count(*) AS k FROM a
-  WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF} GROUP BY 1)
-UNION ALL SELECT 'summary', 1, max(k) FROM days""", f"""
-  span AS (SELECT * FROM p WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF}),
-  days AS (SELECT {bucket('day')} AS b, count(*) AS k FROM span GROUP BY 1)"""),
+    "trend_analysis": sql(f"""SELECT 'traffic_trends' AS section, b AS at_us, unnest(['packet_count', 'total_bytes']) AS item,
+  unnest([k::DOUBLE, bytes::DOUBLE]) AS value FROM days
+UNION ALL SELECT 'protocol_trends', b, protocol, count(*) FROM span GROUP BY 2, 3
+UNION ALL SELECT 'alert_trends', b, unnest(['Low', 'Medium', 'High', 'Critical']), unnest([count(*) FILTER (severity = 'Low'),
+  count(*) FILTER (severity = 'Medium'), count(*) FILTER (severity = 'High'), count(*) FILTER (severity = 'Critical')]::DOUBLE[])
+  FROM alarms GROUP BY b
+UNION ALL SELECT 'threat_evolution', b, alert_type, count(*) FROM alarms GROUP BY 2, 3
+UNION ALL SELECT 'top_talkers_trends', {AS_OF} - {10 * DAY} + period * {10 * HOUR},
+  unnest([rank || ' ' || src_ip || ' packet_count', rank || ' ' || src_ip || ' total_bytes']), unnest([k::DOUBLE, bytes::DOUBLE])
+  FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY k DESC, src_ip) AS rank FROM (
+    SELECT (us - ({AS_OF} - {10 * DAY})) // {10 * HOUR} AS period, src_ip, count(*) AS k, sum(size) AS bytes FROM span GROUP BY 1, 2))
+  WHERE rank <= 5
+UNION ALL SELECT 'summary', 0, unnest(['average_packets_per_period', 'peak_traffic_packets', 'average_alerts_per_period', 'peak_alerts']),
+  unnest([floor(tm), tx, round(am, 2), ax]::DOUBLE[]) FROM (SELECT avg(k) AS tm, max(k) AS tx FROM days),
+  (SELECT avg(k) AS am, max(k) AS ax FROM (SELECT count(*) AS k FROM alarms GROUP BY b))""", f"""
+  span AS (SELECT *, {bucket('day')} AS b FROM p WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF}),
+  days AS (SELECT b, count(*) AS k, sum(size) AS bytes FROM span GROUP BY 1),
+  alarms AS (SELECT *, {bucket('day')} AS b FROM a WHERE us BETWEEN {AS_OF} - {10 * DAY} AND {AS_OF})"""),
     "traffic_trend_hour": sql(f"SELECT {bucket('hour')} AS bucket_us, count(*) AS packet_count, "
                               "CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY 1"),
     "traffic_trend_day": sql(f"SELECT {bucket('day')} AS bucket_us, count(*) AS packet_count, "
@@ -862,5 +873,22 @@ WHERE last_seen_us + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FRO
 FROM payload_hits k JOIN payload_g g ON g.gk = k.src_ip AND g.us = k.us AND g.id = k.id""", "payload", PAYLOAD_HITS, PAYLOAD_FIRED),
     "stream_pipeline_alerts": sql("""SELECT k.packet_id, k.us, k.detector, k.alert_type, k.severity, k.source_ip, k.destination_ip,
   k.description FROM keyed_alerts k JOIN stored_g g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id""", *PIPELINE),
+    "stream_anomaly_alerts": sql(f"""SELECT k.id AS packet_id, k.us, 'Network Anomaly' AS alert_type, {MARKED_SEVERITY} AS severity,
+  src_ip AS source_ip, dst_ip AS destination_ip, round(score, 6) AS score, CAST(packet_size AS BIGINT) AS packet_size,
+  CAST(dst_port AS BIGINT) AS dst_port, round(packets_per_second, 6) AS packets_per_second,
+  round((SELECT count(*) FROM pf q WHERE q.protocol = k.protocol) / (SELECT count(*) FROM pf), 6) AS protocol_frequency
+FROM odd k JOIN odd_g g ON g.gk = k.src_ip || '|' || k.dst_ip AND g.us = k.us AND g.id = k.id""", PORT_SPELLS, FOREST,
+                                 "\n  odd AS MATERIALIZED (SELECT * FROM scored WHERE score < 0)",
+                                 greedy("odd_g", "odd", "src_ip || '|' || dst_ip", ">= g.us + 600000000")),
+    "live_feed_figures": sql("""SELECT count(*) AS total_packets, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes,
+  count(DISTINCT src_ip) AS unique_sources, count(DISTINCT dst_ip) AS unique_destinations,
+  any_value(n) AS unresolved_count, any_value(critical) AS critical_count
+FROM pf, (SELECT max(us) // 30000000 * 30000000 - 3570000000 AS first FROM pf),
+  (SELECT count(*) + (SELECT count(*) FROM odd_g) AS n,
+    count(*) FILTER (k.severity = 'Critical') + (SELECT count(*) FROM odd k JOIN odd_g g ON g.gk = k.src_ip || '|' || k.dst_ip
+      AND g.us = k.us AND g.id = k.id WHERE k.score < -0.8) AS critical
+   FROM keyed_alerts k JOIN stored_g g ON g.gk = k.ak AND g.us = k.us AND g.id = k.id) WHERE us >= first""",
+                             *PIPELINE, PORT_SPELLS, FOREST, "\n  odd AS MATERIALIZED (SELECT * FROM scored WHERE score < 0)",
+                             greedy("odd_g", "odd", "src_ip || '|' || dst_ip", ">= g.us + 600000000")),
     "stream_rule_matches": sql("SELECT id, src_ip, rule_name FROM rule_hits", "payload", RULE_HITS),
 }

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -157,13 +158,22 @@ def resolved_alerts_large(spark, d):
 @query
 def alert_view_all(spark, d):
     """Every sort in both directions without a limit; `n` is the place in it."""
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
     return reduce(lambda a, b: a.unionByName(b), [
-        search.alert_view(A(spark, d), sort=sort, descending=down).select("id").withColumn("n", place).select(
+        _placed(search.alert_view(A(spark, d), sort=sort, descending=down).select("id")).select(
             F.lit(sort).alias("sort"), F.lit(down).alias("descending"), "id", "n")
         for sort in search.SORT_FIELDS for down in (True, False)])
 
 
+def _placed(rows):
+    """Ordered rows with their place `n`: the place in the partition behind the sizes of all partitions before it."""
+    found = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    sizes = found.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).select(
+        "part", F.coalesce(before, F.lit(0)).alias("before"))
+    return found.join(F.broadcast(sizes), part == sizes["part"]).withColumn("n", (F.col("before") + place + 1).cast("int"))
+
+
 @query
 def raw_export_packets(spark, d):
     return micros(sinks.raw_export("packets", P(spark, d), AS_OF, 120), "timestamp").select(*PACKET_COLUMNS)
@@ -365,15 +375,26 @@ def talkers(spark, d):
 
 @query
 def trend_analysis(spark, d):
-    """The bundle of trends over ten days by day: rows of each section, and the figures that add up."""
+    """The bundle of trends over ten days by day: every figure of all sections as (section, moment, item, value)."""
+    c = F.col
     t = reports.trend_analysis(P(spark, d), A(spark, d), AS_OF, 10, "day")
-    n = F.count(F.lit(1)).alias("n")
-    severities = F.sum(reduce(lambda a, b: a + b, [F.col(s) for s in ("Low", "Medium", "High", "Critical")]))
+
+    def figures(section, at, *items):
+        return t[section].select(F.lit(section).alias("section"), F.unix_micros(at).alias("at_us"), F.explode(F.array(*[
+            F.struct(item.alias("item"), value.cast("double").alias("value")) for item, value in items])).alias("x")).select(
+            "section", "at_us", "x.*")
+
+    at, none = c("bucket"), F.lit(0).cast("timestamp")
+    each = lambda *names: [(F.lit(n), c(n)) for n in names]
     return reduce(lambda a, b: a.unionByName(b), [
-        t["traffic_trends"].agg(n, F.sum("packet_count").alias("total")).withColumn("section", F.lit("traffic")),
-        t["protocol_trends"].agg(n, F.sum("packet_count").alias("total")).withColumn("section", F.lit("protocol")),
-        t["alert_trends"].agg(n, severities.alias("total")).withColumn("section", F.lit("alert")),
-        t["summary"].agg(n, F.sum("peak_traffic_packets").alias("total")).withColumn("section", F.lit("summary"))])
+        figures("traffic_trends", at, *each("packet_count", "total_bytes")),
+        figures("protocol_trends", at, (c("protocol"), c("packet_count"))),
+        figures("alert_trends", at, *each("Low", "Medium", "High", "Critical")),
+        figures("threat_evolution", at, (c("alert_type"), c("threat_count"))),
+        figures("top_talkers_trends", c("period_start"), *[
+            (F.concat_ws(" ", c("rank").cast("string"), c("src_ip"), F.lit(n)), c(n)) for n in ("packet_count", "total_bytes")]),
+        figures("summary", none, *each("average_packets_per_period", "peak_traffic_packets", "average_alerts_per_period",
+                                       "peak_alerts"))])
 
 
 @query
@@ -1038,16 +1059,47 @@ def stream_payload_alerts(spark, d):
         "packet_id", "us", "alert_type", "severity", "source_ip", "destination_ip", "description", "details")
 
 
+_LIVE: dict[tuple[str, str], str] = {}
+
+
+def _live(spark, d):
+    """The folder of a live loop that has taken all packets, out of order: stored packets, flows and alerts, with a
+    published model and the live feed."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _LIVE:
+        folder = f"{ensure_checkpoint_dir(spark)}/live/{uuid.uuid4().hex}"
+        now, rows = {"availableNow": True}, features.features(PF(spark, d))
+        live.publish_model(spark, f"{folder}/models", anomaly.fit(rows, OPEN_GATE), baseline.learn(PF(spark, d)))
+        arriving = _arriving(spark, d)
+        started = live.run_pipeline(arriving, folder, replace(TEST, anomaly_threshold=0.0), RULES, now, f"{folder}/models")
+        started["feed"] = live.live_feed(arriving, f"{folder}/view", f"{folder}/feed", f"{folder}/state/feed", now)
+        for query_ in started.values():
+            query_.awaitTermination()
+        _LIVE[at] = folder
+    return _LIVE[at]
+
+
 @query
 def stream_pipeline_alerts(spark, d):
-    """The live loop over packets that arrive out of order: what it has stored in the end."""
-    folder = f"{ensure_checkpoint_dir(spark)}/live/{uuid.uuid4().hex}"
-    for started in live.run_pipeline(_arriving(spark, d), folder, TEST, RULES, {"availableNow": True}).values():
-        started.awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts").select(
+    """What the live loop has stored of all detectors in the end."""
+    return spark.read.parquet(f"{_live(spark, d)}/alerts").filter("stream = 'detectors'").select(
         "packet_id", "us", "detector", "alert_type", "severity", "source_ip", "destination_ip", "description")
 
 
+@query
+def stream_anomaly_alerts(spark, d):
+    """What the live loop has stored of the published model's anomalies."""
+    stored = spark.read.parquet(f"{_live(spark, d)}/alerts").filter("stream = 'anomalies'")
+    return _alert_figures(stored).drop("description")
+
+
+@query
+def live_feed_figures(spark, d):
+    """One refresh of the live feed as of the newest packet of the table."""
+    newest = PF(spark, d).agg(F.max(F.unix_micros("timestamp"))).first()[0]
+    return live.live_view(spark, f"{_live(spark, d)}/view", newest)["traffic"]
+
+
 @query
 def stream_rule_matches(spark, d):
     return live.run_to_end(rules.rule_matches(_stream(spark, d), RULES)).select("id", "src_ip", "rule_name")
