@@ -850,9 +850,9 @@ UNION ALL SELECT 'connections', count(*) FROM c""", "flows"),
     "stream_rate": sql("""SELECT src_ip, s AS window_start_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
   round(count(*) / 60.0::DOUBLE, 6) AS rate
 FROM (SELECT src_ip, size, (us // 10000000 - j) * 10000000 AS s FROM pf, unnest([0, 1, 2, 3, 4, 5]) AS u(j)) GROUP BY 1, 2"""),
-    "stream_scan_sessions": sql("""SELECT src_ip, count(DISTINCT dst_port) AS ports, count(*) AS attempts,
-  CAST(sum(failed) AS BIGINT) AS failed, min(us) AS first_us, max(us) AS last_us FROM scan_rows GROUP BY src_ip, sid
-HAVING max(us) + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM syn)""", "scan"),
+    "stream_scan_sessions": sql("""SELECT src_ip, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS targets,
+  count(*) AS attempts, CAST(sum(failed) AS BIGINT) AS failed, min(us) AS first_us, max(us) AS last_us
+FROM scan_rows GROUP BY src_ip, sid""", "scan"),
     "stream_flows": sql("""SELECT * EXCLUDE (state, connection_duration, closed) FROM c
 WHERE last_seen_us + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM pf)""", "flows"),
     "stream_flow_states": sql("""SELECT first_seen_us AS first_us, last_seen_us AS last_us, * EXCLUDE (first_seen_us, last_seen_us,

@@ -1027,7 +1027,7 @@ def stream_flow_states(spark, d):
 
 @query
 def stream_scan_sessions(spark, d):
-    return live.run_to_end(windows.stream_scan_sessions(_stream(spark, d), TEST)).drop("targets_estimate")
+    return live.run_to_end(stateful.stream_scan_sessions(_arriving(spark, d), TEST))
 
 
 @query

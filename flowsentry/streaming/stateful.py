@@ -103,23 +103,28 @@ class InOrder(StatefulProcessor):
             if len(found) >= 10_000:
                 yield self._frame(found)
                 found = []
-        self._settle(timerValues)
-        yield self._frame(found)
+        yield self._frame(found + self._settle(key, timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.load()
-        self._settle(timerValues)
-        yield self._frame([])
+        yield self._frame(self._settle(key, timerValues))
 
-    def _settle(self, timerValues) -> None:
+    def ended(self, key, passed: int) -> list[tuple]:
+        """Rows to emit for what no row after the moment `passed` can belong to any more; called before `store`."""
+        return []
+
+    def _settle(self, key, timerValues) -> list[tuple]:
         width = self.width_us
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        self.store(watermark // width * width - 1)
+        passed = watermark // width * width - 1
+        found = self.ended(key, passed)
+        self.store(passed)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         due = self.due()
         if due is not None:  # the end of the slice in which it falls
             self.handle.registerTimer(max((due // width + 1) * width, watermark) // 1000 + 1)
+        return found
 
     def _frame(self, found: list[tuple]) -> pd.DataFrame:
         kinds = {T.IntegerType(): "Int32", T.LongType(): "Int64"}
@@ -272,11 +277,46 @@ class ScanWatch(InOrder):
         return min(ends, default=None)
 
 
+SESSION_OUT = T.StructType(_longs("ports", "targets", "attempts", "failed", "first_us", "last_us") + _strings("src_ip"))
+
+
+class ScanSessions(ScanWatch):
+    """Emits the scan sessions of a source once they are over."""
+
+    out = SESSION_OUT
+
+    def __init__(self, gap_us: int):
+        super().__init__(0, gap_us, 0)
+
+    def _session(self, key):
+        return (self.count["ports"], self.count["targets"], self.attempts, self.failures, self.start, self.last, key[0])
+
+    def take(self, key, *columns):
+        found = []
+        for row in zip(*columns):
+            if self.last is not None and row[0] - self.last > self.gap_us:
+                found.append(self._session(key))
+            super().take(key, *[[x] for x in row])
+        return found
+
+    def ended(self, key, passed):
+        return [self._session(key)] if self.last is not None and passed > self.last + self.gap_us else []
+
+
+def _attempts(packets: DataFrame, lateness: str) -> DataFrame:
+    rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp")
+    return in_slices(rows.withColumn("dst_port", F.coalesce("dst_port", F.lit(-1))), ["src_ip"]).groupBy("src_ip")
+
+
+def stream_scan_sessions(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
+    """Closed scan sessions per source with exact distinct ports and targets."""
+    return _attempts(packets, lateness).transformWithStateInPandas(
+        ScanSessions(p.scan_time_window * SECOND_US), SESSION_OUT, "append", "eventTime")
+
+
 def stream_scan_alerts(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
     """Scan alerts when the threshold is reached, after the cooldown. A missing port is one distinct port."""
-    rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp").withColumn(
-        "dst_port", F.coalesce("dst_port", F.lit(-1)))
-    found = in_slices(rows, ["src_ip"]).groupBy("src_ip").transformWithStateInPandas(
+    found = _attempts(packets, lateness).transformWithStateInPandas(
         ScanWatch(p.port_scan_threshold, p.scan_time_window * SECOND_US, p.alert_cooldown * SECOND_US),
         SCAN_OUT, "append", "eventTime")
     ports = F.array_sort(F.transform("scanned_ports", lambda x: F.nullif(x, F.lit(-1))))
@@ -542,16 +582,11 @@ class FlowStates(InOrder):
                 f[6] = f[6] if moved == KEEP else moved
             f[1], f[2], f[3], f[4] = last, f[2] + packets, f[3] + fwd_bytes, f[4] + rev_bytes
             self.open_flow = f
-        self.ended = lambda: found.append(self._closed(key, self.open_flow))
-        self._settle(timerValues)
-        yield self._frame(found)
+        yield self._frame(found + self._settle(key, timerValues))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        found = []
-        self.load()
-        self.ended = lambda: found.append(self._closed(key, self.open_flow))
-        self._settle(timerValues)
-        yield self._frame(found)
+    def ended(self, key, passed):
+        f = self.open_flow
+        return [self._closed(key, f)] if f is not None and passed > f[1] + self.gap_us else []
 
     def load(self):
         self.open_flow = list(self.flow.get()) if self.flow.exists() else None
@@ -559,7 +594,6 @@ class FlowStates(InOrder):
     def store(self, passed):
         f = self.open_flow
         if f is not None and passed > f[1] + self.gap_us:
-            self.ended()
             self.open_flow = None
         if self.open_flow is None:
             self.flow.clear()

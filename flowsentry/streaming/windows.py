@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_us
 from ..operators.flows import FLOW, canonical
-from ..operators.scan import attempt_columns, is_attempt
 from ..params import Thresholds
 
 LATENESS = "10 minutes"
@@ -54,20 +53,6 @@ def stream_flows(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str
         F.when(c("fwd"), c("bytes_rev")).otherwise(c("bytes_fwd")).alias("bytes_received"))
 
 
-def stream_scan_sessions(packets: DataFrame, p: Thresholds = Thresholds(), lateness: str = LATENESS) -> DataFrame:
-    """Closed scan sessions per source with approximate distinct targets and exact ports.
-
-    A session holds at most 65,536 ports, so the port set is bounded; targets are not, hence the sketch.
-    """
-    rows = only(on_time(packets, lateness), is_attempt()).select(*attempt_columns(), "timestamp")
-    return rows.groupBy(
-        "src_ip", F.session_window("timestamp", f"{p.scan_time_window} seconds").alias("w")).agg(
-        F.size(F.collect_set("dst_port")).cast("long").alias("ports"),
-        F.approx_count_distinct("dst_ip").alias("targets_estimate"),
-        F.count(F.lit(1)).alias("attempts"), F.sum("failed").alias("failed"),
-        F.min("us").alias("first_us"), F.max("us").alias("last_us")).drop("w")
-
-
 def stream_rate(packets: DataFrame, p: Thresholds = Thresholds(), slide_seconds: int = 10,
                 lateness: str = LATENESS) -> DataFrame:
     """Packets per source over sliding windows; counts are combined before the shuffle."""

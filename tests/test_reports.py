@@ -181,6 +181,12 @@ def test_exports_round_trip(spark, tmp_path):
     sinks.append_alerts(a, f"{tmp_path}/a")
     assert tables.read_alerts(spark, f"{tmp_path}/a").count() == 2
     k = connections(spark, (1, AS_OF, "ACTIVE"))
+    sinks.append_connections(k, f"{tmp_path}/k")
+    assert tables.read_connections(spark, f"{tmp_path}/k").count() == 1
+    logged = a.withColumn("us", F.unix_micros("timestamp"))
+    sinks.write_alert_log(logged, f"{tmp_path}/log")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/log").collect()]
+    assert len(lines) == 2 and all(json.loads(x.removeprefix("ALERT: "))["severity"] for x in lines)
     s = reports.security_summary(p, a, k, datetime(2024, 1, 1), AS_OF)
     sinks.export_report(s, f"{tmp_path}/r", "json")
     doc = json.loads(document(spark, f"{tmp_path}/r"))

@@ -267,6 +267,15 @@ def test_live_feed_reads_grains_and_deltas(spark, folder, tmp_path):
     assert chart.agg(F.sum("packets")).first()[0] == len(hour)
 
 
+def test_alert_trend_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+    a = [(datetime(2024, 1, 1) + timedelta(minutes=7 * i), ("High", "Low")[i % 2]) for i in range(40)]
+    spark.createDataFrame(a, "timestamp timestamp, severity string").coalesce(1).write.parquet(f"{tmp_path}/a")
+    rows = spark.readStream.schema("timestamp timestamp, severity string").parquet(f"{tmp_path}/a")
+    got = live.run_to_end(windows.stream_alert_trend(rows), "complete").collect()
+    assert sum(r.alert_count for r in got) == 40 and {r.severity for r in got} == {"High", "Low"} and len(got) == 10
+
+
 def test_rules_are_read_again(spark, folder, tmp_path):
     path, ps = folder
     rule = dict(name="n", description="d", pattern="get", pattern_type="string", severity="High", enabled=True,
