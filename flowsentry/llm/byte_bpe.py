@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm import pieces as cutting
-from flowsentry.llm.common import Shipped, whole_texts
+from flowsentry.llm.common import Shipped, release, whole_texts
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -241,6 +241,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
 
     The binary forms are made once for each distinct word from its ids and then concatenated.
     """
+    _short_plans(df.sparkSession)
+    release(df.sparkSession)
     texts = whole_texts(df, id_col, text_col)
     shift, table = displaced(merges(ranks), max(ranks.values()) + 1)
     folded = _once(_numbers(shift), lambda shifts: _once(_numbers(table), lambda entries: F.transform(
@@ -267,6 +269,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     return blocks.select(F.inline(_once(F.concat("known", folded), lambda ids: rows(ids, tuple(forms), {}))))
 
 
+def _short_plans(spark) -> None:
+    """The literal rank map is in every text of a plan that holds it, and the driver keeps these texts; they are cut
+    where the session has set no length of its own."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
+
+
 def _known_words(texts: DataFrame, packer: Packer, folded: Column) -> KnownWords:
     """The ids of the most frequent words in the sample, packed: `KNOWN_WORDS` at most. Their number is bounded
     by that alone; the sample's size is what it is expected to be, by the hashes of the ids."""
@@ -274,9 +283,11 @@ def _known_words(texts: DataFrame, packer: Packer, folded: Column) -> KnownWords
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     top = (sample.mapInArrow(lambda batches: packer.counted(batches), "word string, n long")
            .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS))
-    return KnownWords(top.select("word").repartition("word")
-                      .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
-                      .select("names", folded.alias("ids")).toArrow())
+    found = KnownWords(top.select("word").repartition("word")
+                       .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
+                       .select("names", folded.cast("array<array<int>>").alias("ids")).toArrow())
+    release(texts.sparkSession)
+    return found
 
 
 class KnownWords:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import uuid
@@ -58,6 +59,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver go of what earlier work has left: its shuffles, broadcasts, plans, and the memory they took."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

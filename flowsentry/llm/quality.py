@@ -26,7 +26,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import crc_of_id, whole_texts
+from flowsentry.llm.common import crc_of_id, release, whole_texts
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -191,6 +191,7 @@ def fit(df: DataFrame, labels: DataFrame, may_learn: Column | None = None, train
 
     found = (whole_texts(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
              .mapInArrow(encoded, "doc_id long, quality double, passages binary"))
+    release(df.sparkSession)
     rows = sorted(found.collect())  # bounded by training_docs
     if not rows:
         return None
