@@ -26,6 +26,7 @@ import re
 import sys
 from array import array
 from string import punctuation
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from flowsentry.llm.common import whole_texts, written
 
 register_pickle_by_value(sys.modules[__name__])
 
-#: Distinct pieces a task remembers before it starts anew.
+#: Distinct pieces a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 #: How byte-level vocabularies show bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -136,6 +137,15 @@ class Encoder:
         return self._whole(piece)
 
 
+def _encoder(tokenizer: str, dtype: str) -> Encoder:
+    """The encoder of this worker process: the words that one task has learned serve those after it."""
+    kept = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders")).__dict__
+    key = f"{tokenizer} {dtype}"
+    if key not in kept:
+        kept[key] = Encoder(tokenizer, dtype)
+    return kept[key]
+
+
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Write the folder; returns its manifest."""
@@ -146,7 +156,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, i
 
     def save(batches):
         part = TaskContext.get().partitionId()
-        encode, lengths, docs, nulls = Encoder(tokenizer, dtype), [], [], 0
+        encode, lengths, docs, nulls = _encoder(tokenizer, dtype), [], [], 0
         end = np.array([end_id], dtype).tobytes()
 
         def blocks():
