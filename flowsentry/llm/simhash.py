@@ -128,9 +128,10 @@ def _crowd_links(crowd: DataFrame, distance: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fingerprint").bitwiseXOR(_bit(i))))
     met = crowd.select("fingerprint", F.explode(near).alias("at"))
     first = met.groupBy("at").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return (met.join(first, "at").filter(F.col("fingerprint") != F.col("a"))
-            .select("a", F.col("fingerprint").alias("b"))
-            .filter(_distance("a", "b") <= distance))
+    if distance == 1:  # those that meet at a value within one bit of both need not be within one bit of each other
+        return (met.join(crowd.withColumnRenamed("fingerprint", "a"), F.col("at") == F.col("a"))
+                .select("a", F.col("fingerprint").alias("b")).filter("a < b"))
+    return met.join(first, "at").filter(F.col("fingerprint") != F.col("a")).select("a", F.col("fingerprint").alias("b"))
 
 
 def _bit(i):

@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 from conftest import corpus, prose
 
-from flowsentry.llm import exact_dedup, near_copies, queries, simhash, suffix_dedup
+from flowsentry.llm import exact_dedup, queries, simhash, suffix_dedup
 
 
 def spaceless(t):
@@ -112,69 +112,16 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
-def word_sets(text, k=5):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))}
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
-def changed(rng, text, n):
-    w = text.split()
-    for i in rng.sample(range(len(w)), n):
-        w[i] = f"new{rng.randrange(1000)}"
-    return " ".join(w)
-
-
-def similar_components(rows):
-    """Smallest id of the component of each id, by all pairs of 0.8 or more."""
-    sets, root = {i: word_sets(t) for i, t in rows}, {i: i for i, _ in rows}
-
-    def find(p):
-        while root[p] != p:
-            p = root[p]
-        return p
-
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if jaccard(sets[a], sets[b]) >= 0.8:
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-    return {i: find(i) for i in root}, sets
-
-
-def test_near_copies_of_every_similarity_go_and_no_others(spark):
-    """Recall on copies from 0.8 to 1, against all pairs."""
-    rng = random.Random(21)
-    line = prose(rng, 14)
-    rows = [(i, f"{prose(rng, rng.randint(3, 200))} {line}") for i in range(60)]
-    for i in range(60):
-        for n in (1, 2, 3, 5):
-            if len(rows[i][1].split()) > 8 * n:
-                rows.append((1000 + i * 10 + n, changed(rng, rows[i][1], n)))
-    rows += [(5000 + i, t) for i, t in enumerate(["", " ", None, "a b", "A  b", "a b c"])]
-    root, sets = similar_components(rows)
-    similar = [jaccard(sets[a], sets[b]) for a, b in itertools.combinations(sorted(sets), 2)]
-    assert sum(0.8 <= s < 0.85 for s in similar) >= 5 and sum(0.85 <= s < 1 for s in similar) >= 50
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = near_copies.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
-    assert near_copies.keep_one(df.limit(0)).count() == 0
-
-
-def test_near_copies_where_many_share_a_shingle(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "CROWDED", 4)
-    monkeypatch.setattr(near_copies, "ROUNDS", 2)
-    rng = random.Random(22)
-    base = [prose(rng, 60) for _ in range(4)]
-    rows = [(i, changed(rng, base[i % 4], rng.randint(0, 2))) for i in range(100)]
-    rows += [(200 + i, prose(rng, 4) + " " + base[0][:120]) for i in range(20)]
-    root, sets = similar_components(rows)
-    kept = [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert all(jaccard(sets[a], sets[b]) < 0.8 for a, b in itertools.combinations(kept, 2))
-    assert {root[i] for i in kept} == set(root.values()) and len(kept) < len(rows)
+def test_links_within_one_bit_on_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    x = 15 << 40
+    rng = random.Random(6)
+    values = [x, x ^ 1 << 40, x ^ 1 << 43, x ^ 1 << 40 ^ 1 << 42] + [
+        x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(60)]
+    signed = {int(np.uint64(v).astype(np.int64)) for v in values}
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), 1).collect()
+    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") == 1}
+    assert {(r.a, r.b) for r in edges} == want
 
 
 def brute_removed(rows):
