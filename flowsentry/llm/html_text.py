@@ -14,11 +14,12 @@ at the end is closed there. `render` emits every visible text once, in order:
 * list items begin with `- ` or their number, indented by two spaces for each list around them;
 * rows of a table are lines whose cells are padded to their columns' widths and joined by ` | `; a cell that
   spans columns takes their places; a cell's inner lines are joined by a space, so that no text is lost. A
-  table inside a cell is joined in the same way. Tables wider than `ALIGNED` are joined without padding.
+  table inside a cell is joined in the same way; a cell that spans rows keeps its place in them. In tables wider than
+  `ALIGNED` cells are wrapped between words to `CELL` characters, so that every table is aligned.
 
 Defined results: null and empty pages give an empty text; text outside any element is shown; repeated rows are
-rendered alike; null ids and other columns do not matter; an empty table gives an empty result. Nesting below
-`DEPTH` elements goes on at that depth, so that no page is too deep.
+rendered alike; null ids and other columns do not matter; an empty table gives an empty result. Elements may be nested
+to any depth.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from __future__ import annotations
 import html
 import re
 import sys
+import textwrap
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -60,8 +63,9 @@ SCOPE = frozenset("table td th caption html".split())
 TABLE_PARTS = frozenset("table caption tbody thead tfoot tr td th".split())
 TABLE_SCOPE = frozenset("table html".split())
 
-DEPTH = 400
-ALIGNED = 200
+ALIGNED, CELL = 200, 40
+#: Input elements whose value is not shown as text.
+NO_VALUE = frozenset("hidden checkbox radio range color file image password".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
                     re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -83,16 +87,20 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def tree(page: str) -> Node:
+def tree(page: str) -> tuple[Node, int]:
+    """The root of the element tree, and how deep it is."""
     root = Node("", {})
-    stack = [root]
+    stack, opened, deepest = [root], Counter(), 1
     at, size = 0, len(page)
 
     def close(index: int) -> None:
+        opened.subtract(n.name for n in stack[index:])
         del stack[index:]
 
     def last(names, barrier) -> int:
         """The innermost open element among `names` with none of `barrier` inside it, 0 if there is none."""
+        if not any(opened[n] for n in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 return i
@@ -106,7 +114,7 @@ def tree(page: str) -> Node:
         if name in _IMPLIED:
             ends, barrier = _IMPLIED[name]
             outer = 0
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[n] for n in ends) else ():
                 if stack[i].name in barrier:
                     break
                 if stack[i].name in ends:
@@ -115,8 +123,9 @@ def tree(page: str) -> Node:
                 close(outer)
         node = Node(name, attributes)
         stack[-1].children.append(node)
-        if name not in VOID and len(stack) < DEPTH:
+        if name not in VOID:
             stack.append(node)
+            opened[name] += 1
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -143,8 +152,9 @@ def tree(page: str) -> Node:
             inner = page[at:end.start() if end else size]
             stack[-1].children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             at = end.end() if end else size
-            stack.pop()
-    return root
+            close(len(stack) - 1)
+        deepest = max(deepest, len(stack))
+    return root, deepest
 
 
 def _style(node: Node) -> str:
@@ -224,7 +234,7 @@ def _walk(node: Node, page: _Page, shown: bool, exact: bool, lists: list) -> Non
             if visible and child.attributes.get("alt"):
                 page.text(child.attributes["alt"])
         elif name == "input":
-            if visible and child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            if visible and child.attributes.get("type", "text").lower() not in NO_VALUE:
                 page.text(child.attributes.get("value", ""))
         elif name == "table":
             page.end_line(1)
@@ -272,39 +282,63 @@ def _lines(node: Node, shown: bool) -> list[str]:
     return page.lines
 
 
+def _span(node: Node, name: str) -> int:
+    value = node.attributes.get(name, "")
+    return int(value) if re.fullmatch(r"[1-9]\d{0,2}", value) else 1
+
+
+def _in_columns(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Cells with their widths in columns; an empty cell stands where one from a row above reaches down."""
+    out, below = [], {}  # rows that a column's cell still reaches into
+    for row in rows:
+        cells, column = [], 0
+        for text, span, down in row:
+            while span and below.get(column):
+                below[column] -= 1
+                cells.append(("", 1))
+                column += 1
+            cells.append((text, span))
+            for i in range(column, column + span):
+                below[i] = down - 1
+            column += span
+        if any(span for _, span, _ in row):
+            for i in [i for i, left in below.items() if i >= column and left]:
+                below[i] -= 1
+        out.append(cells)
+    return out
+
+
 def _table(table: Node, shown: bool) -> list[str]:
     """The caption, then the rows; text that stands between rows or cells becomes a line or a cell of its own."""
     before: list[str] = []
-    rows: list[list[tuple[str, int]]] = []
+    rows: list[list[tuple[str, int, int]]] = []
 
     def visible(node: Node, shown: bool) -> bool:
         style = _style(node) if node.attributes else ""
         return "visibility:visible" in style or shown and "visibility:hidden" not in style \
             and "visibility:collapse" not in style
 
-    def cells(row: Node, shown: bool) -> list[tuple[str, int]]:
+    def cells(row: Node, shown: bool) -> list[tuple[str, int, int]]:
         out = []
         for c in row.children:
             if isinstance(c, str):
                 if shown and c.strip():
-                    out.append((_WHITE.sub(" ", c).strip(" "), 1))
+                    out.append((_WHITE.sub(" ", c).strip(" "), 1, 1))
             elif not _gone(c):
                 holder = c
                 if c.name not in ("td", "th"):
                     holder = Node("td", {})
                     holder.children = [c]
                 text = " ".join(x for x in (line.strip() for line in _lines(holder, visible(c, shown))) if x)
-                span = c.attributes.get("colspan", "")
-                span = int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1
                 if text or c.name in ("td", "th"):
-                    out.append((text, span))
+                    out.append((text, _span(c, "colspan"), _span(c, "rowspan")))
         return out
 
     def collect(node: Node, shown: bool) -> None:
         for c in node.children:
             if isinstance(c, str):
                 if shown and c.strip():
-                    rows.append([(_WHITE.sub(" ", c).strip(" "), 0)])
+                    rows.append([(_WHITE.sub(" ", c).strip(" "), 0, 1)])
             elif _gone(c):
                 continue
             elif c.name in ("tbody", "thead", "tfoot"):
@@ -320,37 +354,52 @@ def _table(table: Node, shown: bool) -> list[str]:
             else:
                 holder = Node("div", {})
                 holder.children = [c]
-                rows.extend([(x.strip(), 0)] for x in _lines(holder, shown) if x.strip())
+                rows.extend([(x.strip(), 0, 1)] for x in _lines(holder, shown) if x.strip())
 
     collect(table, shown)
+    placed = _in_columns(rows)
+    widths = _widths(placed, None)
+    most = None if sum(widths.values()) + 3 * len(widths) <= ALIGNED else CELL
+    if most:
+        widths = _widths(placed, most)
+    lines = []
+    for row in placed:
+        column, columns = 0, []
+        for text, span in row:
+            width = sum(widths.get(i, 0) for i in range(column, column + span)) + 3 * max(0, span - 1)
+            columns.append((_wrapped(text, max(width, most)) if most and span else [text], min(width, ALIGNED)))
+            column += span
+        if any(text for text, _ in row):
+            for i in range(max(len(parts) for parts, _ in columns)):
+                lines.append(" | ".join((parts[i] if i < len(parts) else "").ljust(width) for parts, width in columns).rstrip())
+    return before + lines
+
+
+def _wrapped(text: str, width: int) -> list[str]:
+    return textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False) or [""]
+
+
+def _widths(rows: list[list[tuple[str, int]]], most: int | None) -> dict[int, int]:
+    """The width of each column: its longest cell, or the longest line of one that is wrapped."""
     widths: dict[int, int] = {}
     for row in rows:
         column = 0
         for text, span in row:
             if span == 1:
-                widths[column] = max(widths.get(column, 0), len(text))
-            column += span
-    padded = sum(widths.values()) + 3 * len(widths) <= ALIGNED
-    lines = []
-    for row in rows:
-        column, parts = 0, []
-        for text, span in row:
-            width = sum(widths.get(i, 0) for i in range(column, column + span)) + 3 * max(0, span - 1)
-            parts.append(text.ljust(width) if padded else text)
+                length = max(map(len, _wrapped(text, most))) if most else len(text)
+                widths[column] = max(widths.get(column, 0), length)
             column += span
-        line = " | ".join(parts).rstrip()
-        if line.strip("| "):
-            lines.append(line)
-    return before + lines
+    return widths
 
 
 def render(page: str) -> str:
     if not page:
         return ""
+    root, depth = tree(page)
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 12 * DEPTH))
+    sys.setrecursionlimit(max(limit, 8 * depth + 1000))  # the walk is plain Python, which takes no machine stack
     try:
-        return "\n".join(x.rstrip() for x in _lines(tree(page), True))
+        return "\n".join(x.rstrip() for x in _lines(root, True))
     finally:
         sys.setrecursionlimit(limit)
 

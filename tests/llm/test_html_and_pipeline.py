@@ -5,10 +5,11 @@ import os
 import subprocess
 import sys
 
+import random
+
 import corpus_pipeline
 import pytest
 from conftest import corpus, prose
-import random
 
 import __spark_entry__
 from flowsentry.llm.html_text import extract, render
@@ -34,6 +35,34 @@ PAGES = [
 ]
 
 
+def test_pages_of_any_depth_keep_their_visibility():
+    deep = "<div>" * 20_000
+    page = f"{deep}in<script>alert(1)</script><div style='display:none'>hid</div><p>end" + "</div>" * 20_000 + "out"
+    assert render(page) == "in\n\nend\n\nout"
+    assert render("<table><tr><td>" * 300 + "x" + "</td></tr></table>" * 300) == "x"
+
+
+def test_wide_tables_are_aligned_by_wrapping():
+    words = " ".join(f"word{i}" for i in range(60))
+    got = render(f"<table><tr><td>a<td>{words}<td>z<tr><td>longer<td>b<td>y</table>").split("\n")
+    assert " ".join(" ".join(line.split("|")[1].split()) for line in got[:-1]) == words
+    assert {line.index("|") for line in got} == {7} and all(len(line) <= 60 for line in got)
+    assert got[0].startswith("a      | word0") and got[0].endswith("| z") and got[-1].startswith("longer | b ")
+    link = "http://a.org/" + "x" * 300
+    assert link in render(f"<table><tr><td>{link}<td>b<tr><td>c<td>d</table>")
+
+
+def test_cells_that_span_rows_keep_their_column():
+    assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a | b\n  | c\nd | e"
+    assert render("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == (
+        "a | b | c\nd |   | e\nf |   | g")
+
+
+def test_bars_and_text_inputs_are_text():
+    assert render("<table><tr><td>|<tr><td>x</table>") == "|\nx"
+    assert render("<input type=search value=s><input type=email value=e><input type=password value=p><input value=t>") == "set"
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_render(page, text):
     assert render(page) == text
@@ -83,7 +112,7 @@ def test_entry_loads_without_a_session_and_without_the_subpackage():
     names = json.loads(subprocess.run([sys.executable, "-c", (
         "import json, __spark_entry__ as e; print(json.dumps(sorted(e.queries())))")],
         cwd=ROOT, capture_output=True, text=True, check=True).stdout)
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
     blocked = ("import sys\nclass No:\n def find_spec(self, name, path=None, target=None):\n"
@@ -93,9 +122,10 @@ def test_entry_loads_without_a_session_and_without_the_subpackage():
                           check=True).stdout.strip() == "False"
 
 
-def test_the_exact_dedup_query_equals_its_sql(spark):
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op11_conversation_repair", "op13_warc"])
+def test_queries_equal_their_sql(spark, name):
     from compare import compare, duck
 
     folder = "/root/testdata/sf0.001"
-    assert compare(__spark_entry__.queries()["op2_exact_dedup"](spark, folder), duck(folder),
-                   __spark_entry__.oracle_sql()["op2_exact_dedup"]) is None
+    assert compare(__spark_entry__.queries()[name](spark, folder), duck(folder),
+                   __spark_entry__.oracle_sql()[name]) is None
