@@ -9,7 +9,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from conftest import corpus, prose
+from conftest import prose
 
 import __spark_entry__
 from flowsentry.llm.html_text import extract, render
