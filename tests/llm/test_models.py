@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import corpus, prose
 from pyspark.sql import functions as F
 
-from flowsentry.llm import decontaminate, quality, secret_scan, suffix_tree_lm
+from flowsentry.llm import decontaminate, quality, secret_scan, suffix_tree_lm, token_contexts
 
 
 def test_scores(docs, none):
@@ -62,6 +63,87 @@ def test_chances_of_a_state_sum_to_one_and_contexts_help(spark):
         assert chance.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_score_is_that_of_a_model_counted_in_one_place(spark, monkeypatch):
+    """Words told by the one or two before them, each context far below 0.2 % of the tokens, against dictionaries."""
+    rng = random.Random(8)
+    pairs = {f"k{i}": f"v{rng.randrange(40)}" for i in range(900)}
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(25):
+            key, sign = rng.choice(list(pairs)), rng.choice("xyz")
+            words += [sign, f"m{rng.randrange(3)}", f"{sign}{rng.randrange(2)}", key, pairs[key]]
+        rows.append((i, " ".join(words)))
+    rows += [(400, ""), (401, "k1"), (402, "never seen k1 v1 k2")]
+    df, learns = spark.createDataFrame(rows, "doc_id long, text string"), 300
+    trees, train = [], suffix_tree_lm.train_tokens
+    monkeypatch.setattr(suffix_tree_lm, "train_tokens", lambda *a: trees.append((train(*a), a[3])) or trees[-1][0])
+    monkeypatch.setattr(suffix_tree_lm, "COMMON_SHARE", 1e-3)  # most words are rare ones, joined as rows
+    found = {}
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(token_contexts, "TRAVEL_MOST", most)
+        found[most] = {r.doc_id: r for r in suffix_tree_lm.score_texts(df, F.col("doc_id") < learns).collect()}
+    (tree, known), texts = trees[0], {i: t.encode().lower().split() + [b""] for i, t in rows}
+    count = Counter(w for i in range(learns) for w in texts[i])
+    total, once = sum(count.values()), max(1, sum(n == 1 for n in count.values()))
+    common = [w for w, n in count.items() if n >= math.ceil(1e-3 * total)]
+    paired = sorted(w for w in common if count[w] >= suffix_tree_lm.PAIR_SHARE * total)
+    assert len(paired) == len(common) < len(count) / 2
+    others = total - sum(count[w] for w in common) + once
+    symbols = {w.encode(): s for w, s in zip(known.words.to_pylist(), tree.symbol.tolist())}
+
+    def byte_chance(context, token):
+        state = tree.states.after(pa.array([context.decode()]))
+        if token in common:
+            symbol, alone = symbols[token], count[token] / (total + once)
+        else:
+            symbol, alone = tree.width - 2, others / (total + once)
+        chance = 10 ** tree.score(state, np.array([symbol]), np.log10([alone]))[0]
+        return chance if token in common else chance * (count.get(token, 0) or once) / others
+
+    seen = {1: Counter(), 2: Counter()}
+    for i in range(learns):
+        t = [b"", *texts[i]]
+        seen[1].update(((t[j - 1],), t[j]) for j in range(1, len(t)))
+        seen[2].update(((t[j - 2], t[j - 1]), t[j]) for j in range(2, len(t)))
+    states = {}
+
+    def chance(context, token):
+        below = byte_chance(context[0], token) if len(context) == 1 else chance(context[1:], token)
+        if context not in states:
+            return below
+        own, rest = states[context]
+        return own[token] if token in own else below * rest
+
+    for depth in (1, 2):
+        by, made = {}, {}
+        for (context, token), n in seen[depth].items():
+            by.setdefault(context, {})[token] = n
+        for context, after in by.items():
+            whole, own = sum(after.values()), {}
+            for token, n in after.items():
+                below = byte_chance(context[0], token) if depth == 1 else chance(context[1:], token)
+                if n >= 4 and abs(n - whole * below) > 3 * math.sqrt(whole * below + 1):
+                    own[token] = (n + 20 * below) / (whole + 20), below
+            left, left_below = (max(1e-9, 1 - sum(c[k] for c in own.values())) for k in (0, 1))
+            nats = sum(c * math.log(c / b) for c, b in own.values()) + left * math.log(left / left_below)
+            if own and nats >= 0.01 and nats > (len(own) + 3 * math.sqrt(2 * len(own))) / 2 / whole:
+                made[context] = {t: c for t, (c, _) in own.items()}, left / left_below
+        states.update(made)
+    assert sum(len(c) == 1 for c in states) > 300 and sum(len(c) == 2 for c in states) >= 9
+    unknown = b"never"
+    for context in list(states)[:40] + list(states)[-40:]:
+        assert sum(chance(context, w) for w in [*count, unknown]) == pytest.approx(1, abs=1e-6)
+    for i, _ in rows:
+        t = [b"", *texts[i]]
+        want = sum(math.log10(chance(tuple(t[max(0, j - 2):j]), t[j])) for j in range(1, len(t)))
+        assert found[1_000_000][i].score == pytest.approx(want, abs=1e-6)
+        assert found[20][i].score == pytest.approx(want, abs=1e-6)
+    held = [found[20][i] for i in range(learns, 400)]
+    # of five words one follows from the word before it; of nine hundred keys nothing else tells the value
+    assert sum(r.score - r.base_score for r in held) > 100 * 25 * 1.2
+
+
 def test_quality(spark):
     rng = random.Random(4)
 
