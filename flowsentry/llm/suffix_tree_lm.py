@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import token_contexts
 from flowsentry.llm.common import Shipped, crc_of_id, release, whole_texts, written
-from flowsentry.llm.token_contexts import before, hashes, parts, raw
+from flowsentry.llm.token_contexts import Found, before, hashes, parts, raw
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -98,10 +98,24 @@ class Common:
 
     def __init__(self, words: pa.Array, n: np.ndarray):
         self.words, self.n = words, n
+        self.by_hash = Found(hashes(words), np.arange(len(words)))
+        self.clash = len(np.unique(self.by_hash.spread)) < len(words)
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The number of each word, -1 for others."""
-        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        if self.clash:
+            return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        at, there = self.by_hash.at(hashes(words))
+        number, there = np.full(len(words), -1), np.flatnonzero(there)
+        found = self.by_hash.columns[0][at[there]]
+        same = pc.equal(words.take(pa.array(there)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+        number[there[same]] = found[same]
+        return number
+
+    def keys(self, words: pa.Array) -> np.ndarray:
+        """What sequences know words by: numbers from 1 on of those that travel, hashes of others."""
+        number = self.find(words)
+        return np.where(number >= 0, (number + 1).astype(np.uint64), hashes(words))
 
     def counts(self, number: np.ndarray) -> np.ndarray:
         return np.r_[self.n, 0][number]
@@ -156,7 +170,7 @@ class TokenTree:
         self.symbol = np.r_[symbol, width - 2]       # of each common word, -1 if it is in no pair; then of others
         self.rest = np.zeros(len(states.parent))     # log10 of what the suffix state's chances are multiplied by
         self.parent = states.parent.copy()
-        self.keys, self.chances = np.empty(0, np.int64), np.empty(0)
+        self.pairs = Found(np.empty(0, np.uint64), np.empty(0))
 
     def fit(self, root: np.ndarray, state: np.ndarray, symbol: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
         """`root` has the chances of the paired words and of the class; the pairs are of all candidate states."""
@@ -194,8 +208,12 @@ class TokenTree:
             if not retained[s]:
                 self.home[s] = self.parent[s]
         if kept:
-            self.keys = np.concatenate([k for k, _ in kept.values()])
-            self.chances = np.log10(np.concatenate([c for _, c in kept.values()]))
+            self.pairs = Found(np.concatenate([k for k, _ in kept.values()]).view(np.uint64),
+                               np.log10(np.concatenate([c for _, c in kept.values()])))
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.pairs.spread
 
     def score(self, state: np.ndarray, symbol: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """log10 chance of each token after its context; `alone` is the one without context, and symbol -1 is in no
@@ -209,10 +227,9 @@ class TokenTree:
             waiting, s, x = waiting[~done], s[~done], x[~done]
             if not len(waiting):
                 break
-            key = s * self.width + x
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = (self.keys[at] == key) & (x >= 0)
-            out[waiting[found]] += self.chances[at[found]]
+            chances, found = self.pairs.values((s * self.width + x).view(np.uint64))
+            found &= x >= 0
+            out[waiting[found]] += chances[found]
             out[waiting[~found]] += self.rest[s[~found]]
             state[waiting[~found]] = self.parent[s[~found]]
             waiting = waiting[~found]
@@ -291,9 +308,9 @@ def _hashed(shipped):
     """key, n, state of words."""
     def run(batches):
         for batch in batches:
-            words = batch.column("word")
+            words, (tree, common) = batch.column("word"), shipped.value
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes(words).view(np.int64)), batch.column("n"), pa.array(shipped.value.states.after(words))],
+                [pa.array(common.keys(words).view(np.int64)), batch.column("n"), pa.array(tree.states.after(words))],
                 names=["key", "n", "state"])
 
     return run
@@ -313,13 +330,13 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     tree = train_tokens(texts.filter(learns), vocabulary, total, common, others, unknown)
     # what is known of common words: alone is their chance without a context
     alone = np.log10(common.n / (total + unknown))
-    by_hash = token_contexts.Found(hashes(common.words), common.n, tree.states.after(common.words), tree.symbol[:-1], alone)
-    known = token_contexts.Known(tree, by_hash, math.log10((others + unknown) / (total + unknown)), others + unknown)
+    of_common = common.n, tree.states.after(common.words), tree.symbol[:-1], alone
+    known = token_contexts.Known(tree, of_common, math.log10((others + unknown) / (total + unknown)), others + unknown)
     release(df.sparkSession)
     words = vocabulary.filter(F.col("n") >= token_contexts.LEAST).mapInArrow(
-        _hashed(Shipped(df.sparkSession, tree)), "key long, n long, state long")
+        _hashed(Shipped(df.sparkSession, (tree, common))), "key long, n long, state long")
     values, travelling, may, travels = token_contexts.learn(
-        texts.filter(learns), words, floor, known, PSEUDO, LEAST_DIVERGENCE)
+        texts.filter(learns), words, floor, known, common, PSEUDO, LEAST_DIVERGENCE)
     shipped = Shipped(df.sparkSession, (tree, common, alone, known.class_log, travelling, may))
     scored = written(texts.mapInArrow(
         _scoring(shipped), "row long, doc_id long, n_tokens long, n_common long, base double, score double, "
@@ -353,7 +370,7 @@ def _scoring(shipped):
                 is_common, gain = number >= 0, np.log10(common.counts(number) + 1.0)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 log = tree.score(tree.states.after(words)[before(ids, sizes)], tree.symbol[number][ids], alone_of[number][ids])
-                added, at, deep = token_contexts.score(hashes(words), ids, sizes, travelling, may)
+                added, at, deep = token_contexts.score(common.keys(words), ids, sizes, travelling, may)
                 order = np.argsort(at, kind="stable")
                 deep_ends = np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(sizes)))].astype(np.int32)
                 rare = ~is_common[ids]

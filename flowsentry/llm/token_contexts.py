@@ -7,8 +7,9 @@ looked at from `LEAST` sightings on, as fewer are never further above what its s
 context, log10 of what its suffix's chances are multiplied by, and one for each kept next token, log10 of what is
 left to its own chance. So a text's score is that of the byte contexts plus the values of the sequences in it.
 
-Counts, tests and values are rows that are joined by 64-bit keys of the sequences; keys of different sequences
-are taken as different. The `TRAVEL_MOST` values of the most frequent sequences, at most, travel to the executors, and the
+Counts, tests and values are rows that are joined by 64-bit keys of the sequences. Common words have numbers, and
+a sequence of them only has these side by side as its key, which takes little room in a shuffle; other keys are
+hashes. Keys of different sequences are taken as different. The `TRAVEL_MOST` values of the most frequent sequences, at most, travel to the executors, and the
 others are joined as rows. A filter of 2 ** `FILTER_BITS` bits tells which sequences can be known at all. Both
 only save rows: whatever does not travel and may be known is joined by key.
 """
@@ -33,8 +34,11 @@ LEAST = 4
 TRAVEL_MOST = 1_000_000
 FILTER_BITS = 27
 #: Rows of texts that are cut at a time, sequences that a task gathers before it hands their counts on, and rows handed on at a time.
-PART_ROWS, GATHERED, _HANDED = 1_000, 1_500_000, 100_000
+PART_ROWS, GATHERED, _HANDED = 500, 1_500_000, 100_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a common word's number, from 1 on; numbers side by side are below every hash, as these have `_HASHED` set.
+WORD_BITS = np.uint64(20)
+_WORDS, _HASHED = np.uint64(1) << WORD_BITS, np.uint64(1 << 62)
 
 
 def parts(batch: pa.RecordBatch):
@@ -78,19 +82,26 @@ def hashes(words: pa.Array) -> np.ndarray:
     sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * mixed((place.astype(np.uint64) + np.uint64(1)) * _FACTOR),
                      dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), sums])[ends - ends[0]]
-    return mixed(sums[1:] - sums[:-1] + _FACTOR)
+    return mixed(sums[1:] - sums[:-1] + _FACTOR) | _HASHED
 
 
 def joined(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """The key of a context's sequence with one more token."""
-    return mixed(context * _FACTOR + token)
+    return np.where((context < _WORDS * _WORDS) & (token < _WORDS), context << WORD_BITS | token,
+                    mixed(context * _FACTOR + token) | _HASHED)
+
+
+def is_common(words: np.ndarray) -> np.ndarray:
+    """Whether keys of words are common words' numbers."""
+    return words < _WORDS
 
 
 class Filter:
     """Bits of the keys of a table; `has` may be true of others, never false of these."""
 
     def __init__(self, keys: DataFrame):
-        slot = keys.select((F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1).alias("slot"))
+        folded = F.expr("key ^ shiftleft(key, 7) ^ shiftrightunsigned(key, 17) ^ shiftrightunsigned(key, 34)")
+        slot = keys.select((folded.bitwiseAND((1 << FILTER_BITS) - 1) + 1).alias("slot"))
         rows = (slot.select("slot", F.expr("bitmap_bucket_number(slot)").alias("bucket")).repartition("bucket")
                 .groupBy("bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).toArrow())
         self.bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
@@ -98,28 +109,57 @@ class Filter:
             self.bits[(bucket - 1) * 4096:][:4096] = np.frombuffer(bits, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys >> np.uint64(64 - FILTER_BITS)
+        slot = (keys ^ keys << np.uint64(7) ^ keys >> np.uint64(17) ^ keys >> np.uint64(34)) & np.uint64((1 << FILTER_BITS) - 1)
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _spread(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ keys >> np.uint64(32)) * _FACTOR  # different keys stay different
+
+
 class Found:
-    """Columns by key, in order of the keys."""
+    """Columns by key. The keys are in order of spread numbers, whose first bits tell where to look."""
 
     def __init__(self, keys: np.ndarray, *columns: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.columns = keys[order], [c[order] for c in columns]
+        spread = _spread(keys)
+        order = np.argsort(spread)
+        self.spread, self.columns = spread[order], [c[order] for c in columns]
+
+    def __len__(self):
+        return len(self.spread)
+
+    def __getstate__(self):
+        return {"spread": self.spread, "columns": self.columns}
+
+    def _places(self) -> tuple[np.uint64, np.ndarray]:
+        """How far a spread number is shifted, and where the numbers begin that have so many first bits."""
+        if "places" not in self.__dict__:
+            bits = max(1, len(self).bit_length())
+            shift = np.uint64(64 - bits)
+            count = np.bincount((self.spread >> shift).astype(np.int64), minlength=1 << bits)
+            self.places = shift, np.minimum(np.cumsum(count) - count, len(self) - 1).astype(np.int32)
+        return self.places
 
     def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key stands, and whether it is there."""
-        if not len(self.keys):
+        if not len(self):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        shift, first = self._places()
+        spread = _spread(keys)
+        at = first[spread >> shift]
+        met = self.spread[at]
+        there, waiting = met == spread, np.flatnonzero((met < spread) & (at < len(self) - 1))
+        while len(waiting):
+            at[waiting] += 1
+            met, sought = self.spread[at[waiting]], spread[waiting]
+            there[waiting] = met == sought
+            waiting = waiting[(met < sought) & (at[waiting] < len(self) - 1)]
+        return at, there
 
     def values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first column's values, 0 where a key is not there, and whether it is there."""
         at, there = self.at(keys)
-        return np.where(there, self.columns[0][at], 0.0) if len(self.keys) else np.zeros(len(keys)), there
+        return np.where(there, self.columns[0][at], 0.0) if len(self) else np.zeros(len(keys)), there
 
 
 def _long(keys: np.ndarray) -> pa.Array:
@@ -130,23 +170,39 @@ def _keys(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy().view(np.uint64)
 
 
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]):
+    """Rows of context, token, n of sequences; `held` is emptied."""
+    numbers, others = [], []
+    while held:
+        context, token = held.pop()
+        key = joined(context, token)
+        common = key < _HASHED
+        numbers.append(key[common])
+        others.append((context[~common], token[~common], key[~common]))
+    numbers = np.concatenate(numbers)
+    numbers.sort()
+    context, token, key = (np.concatenate(x) for x in zip(*others))
+    del others
+    order = np.argsort(key)
+    key = key[order]
+    for sequences in (numbers, key):
+        first = np.flatnonzero(np.r_[True, sequences[1:] != sequences[:-1]][:len(sequences)])
+        n = np.diff(np.r_[first, len(sequences)])
+        for at in range(0, len(first), _HANDED):
+            some = first[at:at + _HANDED]
+            two = (context[order[some]], token[order[some]]) if sequences is key else (
+                numbers[some] >> WORD_BITS, numbers[some] & (_WORDS - np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([_long(two[0]), _long(two[1]), pa.array(n[at:at + _HANDED])],
+                                             names=["context", "token", "n"])
+
+
 def _sequences(shipped, depth: int):
     """Counts of (context of `depth` tokens, next token) over texts, where both ends of the sequence can be known."""
     def run(batches):
-        known, held, size = shipped.value, [], 0
-
-        def counted():
-            context, token = (np.concatenate(x) for x in zip(*held))
-            _, first, n = np.unique(joined(context, token), return_index=True, return_counts=True)
-            for at in range(0, len(first), _HANDED):
-                some = first[at:at + _HANDED]
-                yield pa.RecordBatch.from_arrays(
-                    [_long(context[some]), _long(token[some]), pa.array(n[at:at + _HANDED].astype(np.int64))],
-                    names=["context", "token", "n"])
-
+        (known, common), held, size = shipped.value, [], 0
         for batch in batches:
             for _, words, ids, sizes in parts(batch):
-                h, prev = hashes(words), before(ids, sizes)
+                h, prev = common.keys(words), before(ids, sizes)
                 if depth == 1:
                     here = known.has(h)
                     use = here[ids] & here[prev]
@@ -159,23 +215,22 @@ def _sequences(shipped, depth: int):
                 held.append((context[use], token[use]))
                 size += int(use.sum())
                 if size > GATHERED:
-                    yield from counted()
-                    held, size = [], 0
+                    yield from _counted(held)
+                    size = 0
         if held:
-            yield from counted()
+            yield from _counted(held)
 
     return run
 
 
-def _looked_up(shipped, depth: int):
+def _looked_up(depth: int):
     """What rows of words are to be joined with: a common word's row is given any other key, so that no key has many."""
     def run(batches):
-        common = shipped.value.words
         for batch in batches:
             context, token = _keys(batch, "context"), _keys(batch, "token")
             key = joined(context, token)
-            token_look = np.where(common.at(token)[1], key, token)
-            context_look = np.where(common.at(context)[1], key, context) if depth == 1 else context
+            token_look = np.where(is_common(token), key, token)
+            context_look = np.where(is_common(context), key, context) if depth == 1 else context
             yield pa.RecordBatch.from_arrays(
                 [_long(key), *(batch.column(c) for c in ("context", "token", "n")), _long(token_look), _long(context_look)],
                 names=["key", "context", "token", "n", "token_look", "context_look"])
@@ -188,23 +243,23 @@ def _expected(shipped, depth: int):
     shorter context's values have, and those values that travel."""
     def run(batches):
         known = shipped.value
-        tree, common = known.tree, known.words
-        n_of, state_of, kind_of, alone_of = common.columns
+        tree = known.tree
+        n_of, state_of, kind_of, alone_of = known.words
         for batch in batches:
             token, last = _keys(batch, "token"), _keys(batch, "last")
 
             def chosen(keys, column, own):
-                at, there = common.at(keys)
-                other = batch.column(column).fill_null(1).to_numpy()
-                return np.where(there, own[at], other) if len(own) else other
+                there, out = is_common(keys), batch.column(column).fill_null(1).to_numpy().copy()
+                out[there] = own[keys[there].astype(np.int64) - 1]
+                return out
 
-            _, is_common = common.at(token)
-            at = common.at(token)[0]
+            common = is_common(token)
+            at = token[common].astype(np.int64) - 1
             n = chosen(token, "token_n", n_of)
             kind, alone = np.full(len(token), tree.width - 2), np.full(len(token), known.class_log)
-            kind[is_common], alone[is_common] = kind_of[at[is_common]], alone_of[at[is_common]]
+            kind[common], alone[common] = kind_of[at], alone_of[at]
             below = tree.score(chosen(last, "last_state", state_of).astype(np.int64), kind, alone)
-            below[~is_common] += np.log10(n[~is_common] / known.others)
+            below[~common] += np.log10(n[~common] / known.others)
             total = chosen(last, "total", n_of) if depth == 1 else batch.column("total").to_numpy()
             state = chosen(token, "token_state", state_of).astype(np.int64)
             names = ["key", "context", "token", "n", "total", "state", "below"]
@@ -246,9 +301,10 @@ def fitted(rows: DataFrame, pseudo: float, least_divergence: float) -> DataFrame
 
 
 class Known:
-    """What travels: the byte contexts, the common words, and the values that are common."""
+    """What travels: the byte contexts, what is known of the common words by their numbers (count, state, symbol,
+    chance), and the values that are common."""
 
-    def __init__(self, tree, words: Found, class_log: float, others: float):
+    def __init__(self, tree, words: tuple[np.ndarray, ...], class_log: float, others: float):
         self.tree, self.words, self.class_log, self.others = tree, words, class_log, others
         self.values = Found(np.empty(0, np.uint64), np.empty(0))
 
@@ -266,20 +322,20 @@ def _travelling(values: DataFrame) -> tuple[Found, int]:
     return Found(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()), floor
 
 
-def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, pseudo: float,
+def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, common, pseudo: float,
           least_divergence: float) -> tuple[DataFrame, Found, Filter, int]:
     """The values as rows (key, value, n), those that travel, a filter of all keys, and the count from which values travel.
-    `words` has key, n, state of the training words."""
+    `words` has key, n, state of the training words; `common` gives words their keys."""
     spark, floor = texts.sparkSession, 0
     rare = words.filter(F.col("n") < rare_below)
     known_before, ones, values = words, None, None
     for depth in (1, 2):
-        may = Shipped(spark, Filter(known_before.select("key")))
+        may = Shipped(spark, (Filter(known_before.select("key")), common))
         shipped = Shipped(spark, known)
         counts = (texts.mapInArrow(_sequences(may, depth), "context long, token long, n long")
                   .repartition("context", "token").groupBy("context", "token").agg(F.sum("n").alias("n"))
                   .filter(F.col("n") >= LEAST))
-        rows = counts.mapInArrow(_looked_up(shipped, depth), "key long, context long, token long, n long, "
+        rows = counts.mapInArrow(_looked_up(depth), "key long, context long, token long, n long, "
                                                              "token_look long, context_look long")
         rows = rows.join(rare.select(F.col("key").alias("token_look"), F.col("n").alias("token_n"),
                                      F.col("state").alias("token_state")), "token_look", "left")

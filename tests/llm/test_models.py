@@ -14,6 +14,7 @@ from conftest import corpus, prose
 from pyspark.sql import functions as F
 
 from flowsentry.llm import decontaminate, quality, secret_scan, suffix_tree_lm, token_contexts
+from flowsentry.llm.common import Shipped
 
 
 def test_scores(docs, none):
@@ -144,6 +145,46 @@ def test_score_is_that_of_a_model_counted_in_one_place(spark, monkeypatch):
     assert sum(r.score - r.base_score for r in held) > 100 * 25 * 1.2
 
 
+def test_what_travels_is_made_once_and_its_packed_form_let_go(spark):
+    shipped = Shipped(spark, {"a": 1})
+
+    def run(batches):
+        for _ in batches:
+            first = shipped.value
+            packed = any(isinstance(x, bytes) for x in (shipped.sent.value, *shipped.sent.value))
+            yield pa.RecordBatch.from_pydict({"once": [first is shipped.sent.value[0]], "packed": [packed]})
+
+    got = spark.range(40).repartition(4).mapInArrow(run, "once boolean, packed boolean").collect()
+    assert {(r.once, r.packed) for r in got} == {(True, False)}
+
+
+def test_sequences_of_common_words_are_numbers_and_all_keys_are_found(spark):
+    rng = np.random.default_rng(5)
+    words = pa.array([f"w{i}" for i in range(3000)] + [""])
+    common = suffix_tree_lm.Common(words.slice(0, 2000), np.ones(2000, np.int64))
+    keys = common.keys(words)
+    assert keys[:2000].tolist() == list(range(1, 2001)) and (keys[2000:] >> np.uint64(62)).all()
+    assert common.find(words).tolist() == [*range(2000), *[-1] * 1001]
+    common.clash = True  # words of one hash are told apart by the words
+    assert common.find(words).tolist() == [*range(2000), *[-1] * 1001]
+    context, token = keys[rng.integers(1900, 2100, 4000)], keys[rng.integers(1900, 2100, 4000)]
+    want = Counter(zip(context.tolist(), token.tolist()))
+    rows = pa.Table.from_batches(token_contexts._counted([(context[:900], token[:900]), (context[900:], token[900:])]))
+    as_keys = [rows.column(c).to_numpy().view(np.uint64).tolist() for c in ("context", "token")]
+    assert Counter(dict(zip(zip(*as_keys), rows.column("n").to_pylist()))) == want and rows.num_rows == len(want)
+    both = (context < 2001) & (token < 2001)
+    pair = token_contexts.joined(context, token)
+    assert (pair[both] < 1 << 40).all() and (pair[~both] >= 1 << 62).all()
+    held = np.unique(np.r_[pair, ~context, keys])
+    found = token_contexts.Found(held, np.arange(len(held)))
+    at, there = found.at(np.r_[held, held + np.uint64(1 << 61)])
+    assert there[:len(held)].all() and (found.columns[0][at[:len(held)]] == np.arange(len(held))).all()
+    assert there[len(held):].tolist() == np.isin(held + np.uint64(1 << 61), held).tolist()
+    table = spark.createDataFrame([(int(k),) for k in held.view(np.int64)], "key long")
+    may = token_contexts.Filter(table)
+    assert may.has(held).all() and may.has(rng.integers(0, 1 << 63, 10_000).astype(np.uint64)).mean() < 0.01
+
+
 def test_quality(spark):
     rng = random.Random(4)
 
