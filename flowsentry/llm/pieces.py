@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import sys
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 
 register_pickle_by_value(sys.modules[__name__])
 
 TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Characters that can mark the cuts of texts that do not hold them.
+MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\ue000\uf8ff"
 
 
 def pieces(text: str) -> list[str]:
@@ -32,3 +36,13 @@ def pieces(text: str) -> list[str]:
         out.append("\n")
     out.pop()
     return out
+
+
+def lists(texts: list[str]) -> pa.ListArray:
+    """The pieces of each text. There may be empty ones among them, which are to be left out."""
+    mark = next((m for m in MARKS if not any(m in t for t in texts)), None)
+    if mark is None:
+        return pa.array([pieces(t) for t in texts], pa.list_(pa.string()))
+    return pc.split_pattern(pa.array(
+        [mark.join(pieces(t)) if TWO_SPACES.search(t) else
+         t.replace("\n", f"{mark}\n{mark}").replace(" ", mark + " ") for t in texts], pa.string()), mark)

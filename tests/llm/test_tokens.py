@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from flowsentry.llm import byte_bpe, token_files
 from flowsentry.llm.common import shared_folder
-from flowsentry.llm.pieces import pieces
+from flowsentry.llm.pieces import MARKS, lists, pieces
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
 ODD = [" \n a", "a \n b  c\n\nd ", "it's  it'S 'll\n\n\nx", " a  b　", "12 345,6 7\t8 ", "\n", " ", "a\n", "\nb",
@@ -24,6 +24,30 @@ def test_pieces_put_the_text_together_again():
         assert "".join(pieces(t)) == t
 
 
+def test_pieces_and_words_of_a_block_are_those_of_one_text():
+    latin = [" word'\n x..", "naïve×2 b÷", "ªb Ünï.), ſ", "\x01a b\x02"]
+    for texts in (ODD + latin + [t or "" for _, t in corpus()], [MARKS + " a\nb", "c"], [""], []):
+        cut = lists(texts)
+        assert [[p for p in row if p] for row in cut.to_pylist()] == [pieces(t) for t in texts]
+        packer = byte_bpe.Packer(P.PATTERN, RANKS, 1000)
+        distinct = cut.flatten().unique()
+        words, length = packer.words_of(distinct)
+        want = [packer.split(p) if p else [] for p in distinct.to_pylist()]
+        assert words.to_pylist() == [w for ws in want for w in ws] and length.tolist() == [len(ws) for ws in want]
+
+
+def test_known_words_come_with_their_forms(docs, monkeypatch):
+    seen, made = [], byte_bpe.KnownWords
+    monkeypatch.setattr(byte_bpe, "KnownWords", lambda table: seen.append(made(table)) or seen[-1])
+    byte_bpe.encode(docs, RANKS, P.PATTERN, forms=("ids", "packed", "bytes"))
+    (known,) = seen
+    names, forms = known.names.to_pylist(), {f: c.to_pylist() for f, c in known.forms.items()}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert len(names) > 50 and forms["bytes"] == [w.encode() for w in names]
+    assert all(i == own.encode_ordinary(w) and p == np.array(i, "<u4").tobytes()
+               for w, i, p in zip(names, forms["ids"], forms["packed"]))
+
+
 def test_encode_and_decode(spark, docs, none):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     rows = corpus() + list(enumerate(ODD, 5000))
