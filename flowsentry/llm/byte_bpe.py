@@ -10,7 +10,8 @@ Words that are frequent in a bounded sample of the documents are folded first, o
 The rank map is a literal: the pairs of each left id as a row, and all rows laid over one another in one
 array, built from the vocabulary alone, so that a lookup is two positions and not a search. A pair is in the
 map if joining it is how its token is built from the lower ranks; as all merges of lower rank come first, no
-other split of a token's bytes is ever the best.
+other split of a token's bytes is ever the best. The map and the tokens' bytes are one literal row that is
+broadcast to the blocks, not expressions of the plan: the driver makes texts of a plan again and again.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; null ids, repeated rows and other
 columns do not matter to a text's ids; a text longer than a block is a block by itself; an empty table gives
@@ -265,21 +266,24 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     _short_plans(df.sparkSession)
     release(df.sparkSession)
     texts = whole_texts(df, id_col, text_col)
-    shift, table = displaced(merges(ranks), max(ranks.values()) + 1)
-    folded = _once(_numbers(shift), lambda shifts: _once(_numbers(table), lambda entries: F.transform(
+    maps = F.broadcast(_map_row(df.sparkSession, ranks))
+    folded = _once(F.col("shifts"), lambda shifts: _once(F.col("entries"), lambda entries: F.transform(
         "words", lambda w: fold_word(w, shifts, entries))))
-    made = {"ids": lambda w: w, "packed": lambda w: little_endian(w, max(ranks.values()) + 1).cast("string"),
-            "bytes": lambda w: decoded(w, ranks).cast("string")}
+    made = {"ids": lambda ids: ids,
+            "packed": lambda ids: _once(F.col("numbers"), lambda every: F.transform(
+                ids, lambda w: _packed(w, every).cast("string"))),
+            "bytes": lambda ids: _once(F.col("starts"), lambda starts: _once(F.col("tokens"), lambda every: F.transform(
+                ids, lambda w: _unpacked(w, starts, every).cast("string"))))}
 
     def of_words(ids: Column, left: tuple[str, ...], have: dict[str, Column], then) -> Column:
         if left:  # bind the words' next form, then go on
-            form = F.transform(ids, made[left[0]])
+            form = made[left[0]](ids)
             return _once(F.concat(before[left[0]], form) if before else form,
                          lambda x: of_words(ids, left[1:], have | {left[0]: x}, then))
         return then(have)
 
     before = {}
-    known = Shipped(df.sparkSession, _known_words(texts, Packer(pattern, ranks, block_chars), forms, lambda then: _once(
+    known = Shipped(df.sparkSession, _known_words(texts, Packer(pattern, ranks, block_chars), forms, maps, lambda then: _once(
         folded, lambda ids: of_words(ids, tuple(forms), {}, then))))
     packer = Packer(pattern, ranks, block_chars, known, tuple(forms))
     kinds = {"ids": "array<array<bigint>>", "packed": "array<binary>", "bytes": "array<binary>"}
@@ -296,17 +300,26 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         return F.transform("docs", lambda d: F.struct(
             d["doc_id"].alias("doc_id"), *[together(have[f], f, d["at"]).alias(f) for f in forms]))
 
-    return blocks.select(F.inline(_once(folded, lambda ids: of_words(ids, tuple(forms), {}, rows))))
+    return blocks.crossJoin(maps).select(F.inline(_once(folded, lambda ids: of_words(ids, tuple(forms), {}, rows))))
+
+
+def _map_row(spark, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: the rank map, and what the ids' forms are made of."""
+    width = max(ranks.values()) + 1
+    shifts, entries = displaced(merges(ranks), width)
+    starts, tokens = _token_bytes(ranks)
+    lists = {k: pa.array([v], pa.list_(pa.int64())) for k, v in (("shifts", shifts), ("entries", entries), ("starts", starts))}
+    return spark.createDataFrame(pa.table(lists | {"tokens": pa.array([tokens]), "numbers": pa.array([_every_id(width)])}))
 
 
 def _short_plans(spark) -> None:
-    """The literal rank map is in every text of a plan that holds it, and the driver keeps these texts; they are cut
-    where the session has set no length of its own."""
+    """The driver keeps the texts of plans; they are cut where the session has set no length of its own."""
     if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 30:
         spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
 
 
-def _known_words(texts: DataFrame, packer: Packer, forms: tuple[str, ...], with_forms) -> KnownWords:
+def _known_words(texts: DataFrame, packer: Packer, forms: tuple[str, ...], maps: DataFrame,
+                 with_forms) -> KnownWords:
     """The forms of the most frequent words in the sample: `KNOWN_WORDS` at most. Their number is bounded
     by that alone; the sample's size is what it is expected to be, by the hashes of the ids."""
     share = max(1, texts.count() // SAMPLE_DOCS)
@@ -320,7 +333,7 @@ def _known_words(texts: DataFrame, packer: Packer, forms: tuple[str, ...], with_
 
     found = KnownWords(top.select("word").repartition("word")
                        .mapInArrow(lambda batches: packer.stated(batches), "names array<string>, words array<array<bigint>>")
-                       .select(F.inline(F.array(with_forms(one_row)))).toArrow())
+                       .crossJoin(maps).select(F.inline(F.array(with_forms(one_row)))).toArrow())
     release(texts.sparkSession)
     return found
 
@@ -347,23 +360,30 @@ class KnownWords:
         return self.made
 
 
-def _pieces_of(ids: Column, every: bytes, start, size) -> Column:
+def _pieces_of(ids: Column, every: Column, start, size) -> Column:
     """The pieces of one long binary for each id, one after another."""
-    whole = F.lit(bytearray(every))
     # the string type only carries the bytes: neither this cast nor the join looks at them
-    return F.array_join(F.transform(ids, lambda i: F.substr(whole, start(i), size(i)).cast("string")), "").cast("binary")
+    return F.array_join(F.transform(ids, lambda i: F.substr(every, start(i), size(i)).cast("string")), "").cast("binary")
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids' pieces one after another. An id outside the vocabulary gives no bytes; null ids give null."""
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[list[int], bytes]:
+    """Where each id's bytes start, from 1 on, and all of them."""
     by_rank = {r: t for t, r in ranks.items()}
     tokens = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
-    starts = _numbers([1, *(1 + np.cumsum([len(t) for t in tokens])).tolist()])
+    return [1, *(1 + np.cumsum([len(t) for t in tokens])).tolist()], b"".join(tokens)
 
+
+def _unpacked(ids: Column, starts: Column, tokens: Column) -> Column:
     def start(i):
         return F.get(starts, i.cast("int")).cast("int")
 
-    return _pieces_of(ids, b"".join(tokens), start, lambda i: start(i + 1) - start(i))
+    return _pieces_of(ids, tokens, start, lambda i: start(i + 1) - start(i))
+
+
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids' pieces one after another. An id outside the vocabulary gives no bytes; null ids give null."""
+    starts, tokens = _token_bytes(ranks)
+    return _unpacked(ids, _numbers(starts), F.lit(bytearray(tokens)))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
@@ -371,7 +391,15 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: st
     return df.withColumn(out, decoded(F.col(ids_col), ranks))
 
 
+def _every_id(width: int) -> bytes:
+    """Ids below `width` as little-endian unsigned 32-bit integers, one after another."""
+    return np.arange(width, dtype="<u4").tobytes()
+
+
+def _packed(ids: Column, every: Column) -> Column:
+    return _pieces_of(ids, every, lambda i: (i * 4 + 1).cast("int"), lambda i: F.lit(4))
+
+
 def little_endian(ids: Column, width: int) -> Column:
     """Ids below `width` as little-endian unsigned 32-bit integers."""
-    every = np.arange(width, dtype="<u4").tobytes()
-    return _pieces_of(ids, every, lambda i: (i * 4 + 1).cast("int"), lambda i: F.lit(4))
+    return _packed(ids, F.lit(bytearray(_every_id(width))))

@@ -60,6 +60,15 @@ def test_encode_and_decode(spark, docs, none):
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_the_rank_map_is_in_no_plan(spark, docs):
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 29)
+    try:
+        plan = byte_bpe.encode(docs, RANKS, P.PATTERN, forms=("ids", "packed", "bytes"))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert "BroadcastNestedLoopJoin" in plan and len(plan) < 100_000
+
+
 def test_words_outside_the_sample_are_folded_too(docs, monkeypatch):
     whole = {tuple(r.ids) for r in byte_bpe.encode(docs, RANKS, P.PATTERN).collect()}
     monkeypatch.setattr(byte_bpe, "KNOWN_WORDS", 3)
