@@ -335,9 +335,9 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     release(df.sparkSession)
     words = vocabulary.filter(F.col("n") >= token_contexts.LEAST).mapInArrow(
         _hashed(Shipped(df.sparkSession, (tree, common))), "key long, n long, state long")
-    values, travelling, may, travels = token_contexts.learn(
+    seldom, travelling, may = token_contexts.learn(
         texts.filter(learns), words, floor, known, common, PSEUDO, LEAST_DIVERGENCE)
-    shipped = Shipped(df.sparkSession, (tree, common, alone, known.class_log, travelling, may))
+    shipped = Shipped(df.sparkSession, (tree, common, alone, known.class_log, travelling, may, seldom is None))
     scored = written(texts.mapInArrow(
         _scoring(shipped), "row long, doc_id long, n_tokens long, n_common long, base double, score double, "
                            "rare array<struct<word: string, n: long>>, deep array<long>"), "scored")
@@ -345,12 +345,15 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     counted = (scored.select("row", F.inline("rare")).join(rare_words, "word").groupBy("row")
                .agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"),
                     F.sum(F.col("n") * F.log10("c")).alias("within")))
-    deeper = (scored.select("row", F.explode("deep").alias("key"))
-              .join(values.filter(F.col("n") < travels).select("key", "value"), "key")
-              .groupBy("row").agg(F.sum("value").alias("deeper")))
+    if seldom is not None:
+        deeper = (scored.select("row", F.explode("deep").alias("key")).join(seldom, "key")
+                  .groupBy("row").agg(F.sum("value").alias("deeper")))
+        scored = scored.join(deeper, "row", "left")
+    else:
+        scored = scored.withColumn("deeper", F.lit(0.0))
     n_rare, gain, within, deep = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_rare", "gain", "within", "deeper"))
     strange = F.col("n_tokens") - F.col("n_common") - n_rare
-    return scored.drop("rare", "deep").join(counted, "row", "left").join(deeper, "row", "left").select(
+    return scored.join(counted, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_common") + n_rare).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + gain - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
@@ -361,7 +364,7 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
 
 def _scoring(shipped):
     def run(batches):
-        tree, common, alone_of, class_log, travelling, may = shipped.value
+        tree, common, alone_of, class_log, travelling, may, complete = shipped.value
         row = TaskContext.get().partitionId() << 40
         alone_of = np.r_[alone_of, class_log]
         for batch in batches:
@@ -370,7 +373,7 @@ def _scoring(shipped):
                 is_common, gain = number >= 0, np.log10(common.counts(number) + 1.0)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 log = tree.score(tree.states.after(words)[before(ids, sizes)], tree.symbol[number][ids], alone_of[number][ids])
-                added, at, deep = token_contexts.score(common.keys(words), ids, sizes, travelling, may)
+                added, at, deep = token_contexts.score(common.keys(words), ids, sizes, travelling, may, complete)
                 order = np.argsort(at, kind="stable")
                 deep_ends = np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(sizes)))].astype(np.int32)
                 rare = ~is_common[ids]

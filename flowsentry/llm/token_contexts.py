@@ -9,9 +9,10 @@ left to its own chance. So a text's score is that of the byte contexts plus the
 
 Counts, tests and values are rows that are joined by 64-bit keys of the sequences. Common words have numbers, and
 a sequence of them only has these side by side as its key, which takes little room in a shuffle; other keys are
-hashes. Keys of different sequences are taken as different. The `TRAVEL_MOST` values of the most frequent sequences, at most, travel to the executors, and the
-others are joined as rows. A filter of 2 ** `FILTER_BITS` bits tells which sequences can be known at all. Both
-only save rows: whatever does not travel and may be known is joined by key.
+hashes. Keys of different sequences are taken as different. The `TRAVEL_MOST` values of the most frequent sequences, at most, travel to the executors as
+files that their workers map, and the others are joined as rows: up to four for a token, none where all values travel. A
+filter of 2 ** `FILTER_BITS` bits tells which sequences can be known at all. Both only save rows: whatever does not
+travel and may be known is joined by key.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import Shipped, release, written
+from flowsentry.llm.common import Mapped, Shipped, release, written
 
 register_pickle_by_value(sys.modules[__name__])
 
 LEAST = 4
-TRAVEL_MOST = 1_000_000
+TRAVEL_MOST = 4_000_000
 FILTER_BITS = 27
 #: Rows of texts that are cut at a time, sequences that a task gathers before it hands their counts on, and rows handed on at a time.
 PART_ROWS, GATHERED, _HANDED = 500, 1_500_000, 100_000
@@ -123,13 +124,28 @@ class Found:
     def __init__(self, keys: np.ndarray, *columns: np.ndarray):
         spread = _spread(keys)
         order = np.argsort(spread)
-        self.spread, self.columns = spread[order], [c[order] for c in columns]
+        self.spread, self.columns, self.files = spread[order], [c[order] for c in columns], None
 
     def __len__(self):
         return len(self.spread)
 
+    def travel_mapped(self, spark) -> Found:
+        """From now on the columns and places travel as files."""
+        if len(self):
+            shift, first = self._places()
+            self.files = shift, [Mapped(spark, x) for x in (first, self.spread, *self.columns)]
+            self.__setstate__({"files": self.files})  # the driver lets its own go
+        return self
+
     def __getstate__(self):
-        return {"spread": self.spread, "columns": self.columns}
+        return {"files": self.files} if self.files else {"spread": self.spread, "columns": self.columns, "files": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.files:
+            shift, files = self.files
+            first, self.spread, *self.columns = (f.array for f in files)
+            self.places = shift, first
 
     def _places(self) -> tuple[np.uint64, np.ndarray]:
         """How far a spread number is shifted, and where the numbers begin that have so many first bits."""
@@ -309,8 +325,8 @@ class Known:
         self.values = Found(np.empty(0, np.uint64), np.empty(0))
 
 
-def _travelling(values: DataFrame) -> tuple[Found, int]:
-    """The values that travel, and the count from which they do."""
+def _travelling(values: DataFrame, mapped: bool) -> tuple[Found, int, bool]:
+    """The values that travel, the count from which they do, and whether these are all."""
     bins = values.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
     floor, room = 1 << 62, TRAVEL_MOST
     for r in sorted(bins, key=lambda r: -r["bin"]):
@@ -319,14 +335,17 @@ def _travelling(values: DataFrame) -> tuple[Found, int]:
             break
         floor = r["least"]
     rows = values.filter(F.col("n") >= floor).select("key", "value").toArrow()
-    return Found(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()), floor
+    key, value = rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+    del rows
+    found = Found(key, value)
+    return found.travel_mapped(values.sparkSession) if mapped else found, floor, room >= 0
 
 
 def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, common, pseudo: float,
-          least_divergence: float) -> tuple[DataFrame, Found, Filter, int]:
-    """The values as rows (key, value, n), those that travel, a filter of all keys, and the count from which values travel.
+          least_divergence: float) -> tuple[DataFrame | None, Found, Filter]:
+    """The values that do not travel as rows (key, value), if there are any, those that travel, and a filter of all keys.
     `words` has key, n, state of the training words; `common` gives words their keys."""
-    spark, floor = texts.sparkSession, 0
+    spark, seldom = texts.sparkSession, None
     rare = words.filter(F.col("n") < rare_below)
     known_before, ones, values = words, None, None
     for depth in (1, 2):
@@ -352,20 +371,21 @@ def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, com
         if depth == 1:
             placed = ones = known_before = written(placed, "sequences")
         else:
-            seldom = values.filter(F.col("n") < floor)
-            for look in ("rest_look", "pair_look"):
+            for look in ("rest_look", "pair_look") if seldom is not None else ():
                 placed = placed.join(seldom.select(F.col("key").alias(look), F.col("value").alias(f"{look}_value")), look, "left")
-            placed = written(placed.withColumn("below", F.col("below") + F.coalesce("rest_look_value", F.lit(0.0))
-                                               + F.coalesce("pair_look_value", F.lit(0.0))), "sequences")
+                placed = placed.withColumn("below", F.col("below") + F.coalesce(f"{look}_value", F.lit(0.0)))
+            placed = written(placed, "sequences")
         found = written(fitted(placed, pseudo, least_divergence), "values")
         values = found if values is None else values.unionByName(found)
-        known.values, floor = _travelling(values)
+        known.values, floor, complete = _travelling(values, mapped=depth == 2)
+        seldom = None if complete else values.filter(F.col("n") < floor).select("key", "value")
         release(spark)
-    return values, known.values, Filter(values.select("key")), floor
+    return seldom, known.values, Filter(values.select("key"))
 
 
-def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may: Filter):
-    """The travelling values of each token's contexts, added up, and the places and keys of those that may be rows."""
+def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may: Filter, complete: bool):
+    """The travelling values of each token's contexts, added up, and the places and keys of those that may be rows: none
+    if `complete`, when all values travel."""
     prev = before(ids, sizes)
     one = joined(h[prev], h[ids])
     two_context, inner = np.r_[one[:1], one[:-1]], np.ones(len(ids), bool)
@@ -376,6 +396,9 @@ def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may:
             at = at[may.has(key[at])]
             value, there = values.values(key[at])
             added[at] += value
-            places.append(at[~there])
-            keys.append(key[at[~there]])
-    return added, np.concatenate(places), np.concatenate(keys)
+            if complete:
+                at = at[there]
+            else:
+                places.append(at[~there])
+                keys.append(key[at[~there]])
+    return added, np.concatenate([np.empty(0, np.int64), *places]), np.concatenate([np.empty(0, np.uint64), *keys])

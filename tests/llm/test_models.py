@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -185,6 +186,18 @@ def test_sequences_of_common_words_are_numbers_and_all_keys_are_found(spark):
     assert may.has(held).all() and may.has(rng.integers(0, 1 << 63, 10_000).astype(np.uint64)).mean() < 0.01
 
 
+def test_values_that_all_travel_are_mapped_and_make_no_rows(spark, docs):
+    plan = suffix_tree_lm.score_texts(docs, F.lit(True))._jdf.queryExecution().toString()
+    assert "inline" in plan and "explode" not in plan
+    keys = np.arange(9000, dtype=np.uint64) * np.uint64(977)
+    found = token_contexts.Found(keys, np.arange(9000.0)).travel_mapped(spark)
+    packed = pickle.dumps(found)
+    again = pickle.loads(packed)
+    assert len(packed) < 2000 and isinstance(again.spread.base, np.memmap)
+    value, there = again.values(np.r_[keys, keys + np.uint64(1)])
+    assert (value[:9000] == np.arange(9000)).all() and there.tolist() == [True] * 9000 + [False] * 9000
+
+
 def test_quality(spark):
     rng = random.Random(4)
 
