@@ -88,8 +88,10 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 def joined(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """The key of a context's sequence with one more token."""
-    return np.where((context < _WORDS * _WORDS) & (token < _WORDS), context << WORD_BITS | token,
-                    mixed(context * _FACTOR + token) | _HASHED)
+    key = context << WORD_BITS | token
+    hashed = np.flatnonzero((context >= _WORDS * _WORDS) | (token >= _WORDS))
+    key[hashed] = mixed(context[hashed] * _FACTOR + token[hashed]) | _HASHED
+    return key
 
 
 def is_common(words: np.ndarray) -> np.ndarray:
@@ -391,10 +393,15 @@ def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may:
     two_context, inner = np.r_[one[:1], one[:-1]], np.ones(len(ids), bool)
     inner[np.cumsum(sizes) - sizes] = False
     added, places, keys = np.zeros(len(ids)), [], []
-    for context, pair, at in ((h[prev], one, np.arange(len(ids))), (two_context, joined(two_context, h[ids]), np.flatnonzero(inner))):
+    of_word, word_there = values.values(~h)  # a word is looked up once, not wherever it stands
+    for context, pair, at in ((h[prev], one, np.flatnonzero(may.has(~h)[prev])),
+                              (two_context, joined(two_context, h[ids]), np.flatnonzero(inner))):
         for key in (~context, pair):  # a pair is known only if its context is
-            at = at[may.has(key[at])]
-            value, there = values.values(key[at])
+            if context is not two_context and key is not pair:
+                value, there = of_word[prev[at]], word_there[prev[at]]
+            else:
+                at = at[may.has(key[at])]
+                value, there = values.values(key[at])
             added[at] += value
             if complete:
                 at = at[there]
