@@ -31,7 +31,6 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import token_contexts
 from flowsentry.llm.common import Shipped, crc_of_id, release, whole_texts, written
-from flowsentry.llm.token_contexts import Found, before, hashes, parts, raw
+from flowsentry.llm.token_contexts import Found, Numbered, before, hashes, parts, raw
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -93,24 +92,12 @@ def tails(words: pa.Array):
         yield d, value, d <= sizes + 1 + empty
 
 
-class Common:
+class Common(Numbered):
     """The words that travel, and how often each occurs."""
 
     def __init__(self, words: pa.Array, n: np.ndarray):
-        self.words, self.n = words, n
-        self.by_hash = Found(hashes(words), np.arange(len(words)))
-        self.clash = len(np.unique(self.by_hash.spread)) < len(words)
-
-    def find(self, words: pa.Array) -> np.ndarray:
-        """The number of each word, -1 for others."""
-        if self.clash:
-            return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
-        at, there = self.by_hash.at(hashes(words))
-        number, there = np.full(len(words), -1), np.flatnonzero(there)
-        found = self.by_hash.columns[0][at[there]]
-        same = pc.equal(words.take(pa.array(there)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
-        number[there[same]] = found[same]
-        return number
+        super().__init__(words)
+        self.n = n
 
     def keys(self, words: pa.Array) -> np.ndarray:
         """What sequences know words by: numbers from 1 on of those that travel, hashes of others."""

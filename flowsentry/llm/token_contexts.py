@@ -36,6 +36,8 @@ TRAVEL_MOST = 4_000_000
 FILTER_BITS = 27
 #: Rows of texts that are cut at a time, sequences that a task gathers before it hands their counts on, and rows handed on at a time.
 PART_ROWS, GATHERED, _HANDED = 500, 1_500_000, 100_000
+#: Words that are hashed at a time.
+HASHED_WORDS = 50_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a common word's number, from 1 on; numbers side by side are below every hash, as these have `_HASHED` set.
 WORD_BITS = np.uint64(20)
@@ -64,6 +66,8 @@ def before(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all words, and where each begins and ends in them."""
+    if not len(words):
+        return np.zeros(1, np.uint8), np.zeros(1, np.int64)
     _, ends, data = words.buffers()
     ends = np.frombuffer(ends, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8), ends
@@ -77,6 +81,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def hashes(words: pa.Array) -> np.ndarray:
     """Keys of words: sums of their bytes, each times a number for its place."""
+    if len(words) > HASHED_WORDS:  # a number for every byte takes many times the words' room
+        return np.concatenate([hashes(words.slice(i, HASHED_WORDS)) for i in range(0, len(words), HASHED_WORDS)])
     data, ends = raw(words)
     sizes, data = np.diff(ends), data[ends[0]:ends[-1]]
     place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)
@@ -180,6 +186,26 @@ class Found:
         return np.where(there, self.columns[0][at], 0.0) if len(self) else np.zeros(len(keys)), there
 
 
+class Numbered:
+    """Distinct words, and the number of each."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+        self.by_hash = Found(hashes(words), np.arange(len(words), dtype=np.int32))
+        self.clash = bool((self.by_hash.spread[1:] == self.by_hash.spread[:-1]).any())
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        if self.clash:
+            return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        at, there = self.by_hash.at(hashes(words))
+        number, there = np.full(len(words), -1), np.flatnonzero(there)
+        found = self.by_hash.columns[0][at[there]]
+        same = pc.equal(words.take(pa.array(there)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+        number[there[same]] = found[same]
+        return number
+
+
 def _long(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 

@@ -1,16 +1,21 @@
 """Byte-level BPE and token files against the tokenizer libraries."""
 
 import base64
+import pickle
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import regex
 import tiktoken
 from conftest import corpus
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowsentry.llm import byte_bpe, token_files
+from flowsentry.llm import byte_bpe, token_contexts, token_files
 from flowsentry.llm.common import shared_folder
 from flowsentry.llm.pieces import MARKS, lists, pieces
 
@@ -75,6 +80,42 @@ def test_words_outside_the_sample_are_folded_too(docs, monkeypatch):
     assert {tuple(r.ids) for r in byte_bpe.encode(docs, RANKS, P.PATTERN).collect()} == whole
 
 
+def test_the_most_frequent_words_are_known_up_to_a_bound(docs, monkeypatch):
+    seen, made = [], byte_bpe.KnownWords
+    monkeypatch.setattr(byte_bpe, "KnownWords", lambda folder: seen.append(made(folder)) or seen[-1])
+    count = Counter()
+    for _, t in corpus():
+        count.update(regex.findall(P.PATTERN, t or ""))
+    for most in (0, 20, 1_000_000):
+        monkeypatch.setattr(byte_bpe, "KNOWN_WORDS", most)
+        byte_bpe.encode(docs, RANKS, P.PATTERN, forms=("packed",))
+        known = set(seen[-1].names.to_pylist())
+        assert known <= set(count) and len(known) <= 2 * most and (most < 1000 or len(known) == len(count))
+        others = max((n for w, n in count.items() if w not in known), default=0)
+        assert min(map(count.get, known), default=others) * 2 ** (1 / 8) >= others
+
+
+def test_what_travels_of_the_known_words_does_not_grow_with_them(docs, monkeypatch):
+    seen, made = [], byte_bpe.KnownWords
+    monkeypatch.setattr(byte_bpe, "KnownWords", lambda folder: seen.append(made(folder)) or seen[-1])
+    byte_bpe.encode(docs, RANKS, P.PATTERN, forms=("packed", "bytes"))
+    assert len(seen[-1].names) > 50 and len(pickle.dumps(seen[-1].__getstate__())) < 1000
+    odd = pa.array(["\x00", "none of these", *seen[-1].names.to_pylist()[::-1]])
+    assert seen[-1].find(odd).tolist() == [-1, -1, *range(len(seen[-1].names))[::-1]]
+
+
+def test_hashing_many_words_takes_little_more_room_than_the_words(monkeypatch):
+    words = pa.array(["", *(f"some word {i}" for i in range(300_000))])
+    tracemalloc.start()
+    try:
+        found = token_contexts.hashes(words)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(token_contexts, "HASHED_WORDS", len(words))
+    assert (token_contexts.hashes(words) == found).all()
+
+
 def test_token_files(spark, docs, none):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     marks = [(6000, "x<|endoftext|>y"), (6001, "<|endoftext|>"), (6002, "a  <|endoftext|> b\n"), (6003, "a |endoftext|> ")]
