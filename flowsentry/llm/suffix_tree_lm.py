@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm import token_contexts
-from flowsentry.llm.common import Shipped, crc_of_id, release, whole_texts, written
+from flowsentry.llm.common import Shipped, crc_of_id, release, small_batches, whole_texts, written
 from flowsentry.llm.token_contexts import Found, Numbered, before, hashes, parts, raw
 
 register_pickle_by_value(sys.modules[__name__])
@@ -59,7 +59,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def rows():
-            found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
             return pa.table({"word": found.column("word"), "n": found.column("n_sum")})
 
         for batch in batches:
@@ -305,6 +305,7 @@ def _hashed(shipped):
 
 def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; `learns` is a condition on doc_id."""
+    small_batches(df.sparkSession)
     texts = whole_texts(df, id_col, text_col)
     vocabulary = written(count_tokens(texts.filter(learns)), "vocabulary")
     total, distinct, once = vocabulary.agg(

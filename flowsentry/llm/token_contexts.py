@@ -9,8 +9,8 @@ left to its own chance. So a text's score is that of the byte contexts plus the
 
 Counts, tests and values are rows that are joined by 64-bit keys of the sequences. Common words have numbers, and
 a sequence of them only has these side by side as its key, which takes little room in a shuffle; other keys are
-hashes. Keys of different sequences are taken as different. The `TRAVEL_MOST` values of the most frequent sequences, at most, travel to the executors as
-files that their workers map, and the others are joined as rows: up to four for a token, none where all values travel. A
+hashes. Keys of different sequences are taken as different. For contexts of one token and of two, the `TRAVEL_MOST` values of
+the most frequent sequences, at most, travel to the executors, once each, as files that their workers map, and the others are joined as rows: up to four for a token, none where all values travel. A
 filter of 2 ** `FILTER_BITS` bits tells which sequences can be known at all. Both only save rows: whatever does not
 travel and may be known is joined by key.
 """
@@ -353,7 +353,7 @@ class Known:
         self.values = Found(np.empty(0, np.uint64), np.empty(0))
 
 
-def _travelling(values: DataFrame, mapped: bool) -> tuple[Found, int, bool]:
+def _travelling(values: DataFrame) -> tuple[Found, int, bool]:
     """The values that travel, the count from which they do, and whether these are all."""
     bins = values.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
     floor, room = 1 << 62, TRAVEL_MOST
@@ -366,16 +366,16 @@ def _travelling(values: DataFrame, mapped: bool) -> tuple[Found, int, bool]:
     key, value = rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()
     del rows
     found = Found(key, value)
-    return found.travel_mapped(values.sparkSession) if mapped else found, floor, room >= 0
+    return found.travel_mapped(values.sparkSession), floor, room >= 0
 
 
 def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, common, pseudo: float,
-          least_divergence: float) -> tuple[DataFrame | None, Found, Filter]:
-    """The values that do not travel as rows (key, value), if there are any, those that travel, and a filter of all keys.
-    `words` has key, n, state of the training words; `common` gives words their keys."""
+          least_divergence: float) -> tuple[DataFrame | None, list[Found], Filter]:
+    """The values that do not travel as rows (key, value), if there are any, those that travel of contexts of one and of two
+    tokens, and a filter of all keys. `words` has key, n, state of the training words; `common` gives words their keys."""
     spark, seldom = texts.sparkSession, None
     rare = words.filter(F.col("n") < rare_below)
-    known_before, ones, values = words, None, None
+    known_before, ones, values, travelling = words, None, None, []
     for depth in (1, 2):
         may = Shipped(spark, (Filter(known_before.select("key")), common))
         shipped = Shipped(spark, known)
@@ -405,13 +405,16 @@ def learn(texts: DataFrame, words: DataFrame, rare_below: int, known: Known, com
             placed = written(placed, "sequences")
         found = written(fitted(placed, pseudo, least_divergence), "values")
         values = found if values is None else values.unionByName(found)
-        known.values, floor, complete = _travelling(values, mapped=depth == 2)
-        seldom = None if complete else values.filter(F.col("n") < floor).select("key", "value")
+        known.values, floor, complete = _travelling(found)
+        travelling.append(known.values)
+        if not complete:
+            left = found.filter(F.col("n") < floor).select("key", "value")
+            seldom = left if seldom is None else seldom.unionByName(left)
         release(spark)
-    return seldom, known.values, Filter(values.select("key"))
+    return seldom, travelling, Filter(values.select("key"))
 
 
-def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may: Filter, complete: bool):
+def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, travelling: list[Found], may: Filter, complete: bool):
     """The travelling values of each token's contexts, added up, and the places and keys of those that may be rows: none
     if `complete`, when all values travel."""
     prev = before(ids, sizes)
@@ -419,9 +422,10 @@ def score(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: Found, may:
     two_context, inner = np.r_[one[:1], one[:-1]], np.ones(len(ids), bool)
     inner[np.cumsum(sizes) - sizes] = False
     added, places, keys = np.zeros(len(ids)), [], []
-    of_word, word_there = values.values(~h)  # a word is looked up once, not wherever it stands
-    for context, pair, at in ((h[prev], one, np.flatnonzero(may.has(~h)[prev])),
-                              (two_context, joined(two_context, h[ids]), np.flatnonzero(inner))):
+    of_word, word_there = travelling[0].values(~h)  # a word is looked up once, not wherever it stands
+    for values, context, pair, at in (
+            (travelling[0], h[prev], one, np.flatnonzero(may.has(~h)[prev])),
+            (travelling[1], two_context, joined(two_context, h[ids]), np.flatnonzero(inner))):
         for key in (~context, pair):  # a pair is known only if its context is
             if context is not two_context and key is not pair:
                 value, there = of_word[prev[at]], word_there[prev[at]]

@@ -346,3 +346,16 @@ def test_wand_returns_all_above_the_threshold(spark):
             want = {i for i, s in scores.items() if s >= threshold + 1e-9}
             assert want <= {i for i, _ in index.above(query, threshold, live)} <= {
                 i for i, s in scores.items() if s >= threshold - 1e-9}
+
+
+def test_values_of_both_depths_travel_once_as_files_and_batches_are_small(spark, docs, monkeypatch):
+    learn, seen, files = token_contexts.learn, [], []
+    made = token_contexts.Mapped
+    monkeypatch.setattr(token_contexts, "learn", lambda *a: seen.append((a[3], learn(*a))) or seen[-1][1])
+    monkeypatch.setattr(token_contexts, "Mapped", lambda session, array: files.append(array) or made(session, array))
+    suffix_tree_lm.score_texts(docs, F.lit(True))
+    ((_, (seldom, travelling, _)),) = seen
+    assert seldom is None and len(travelling) == 2 and all(x.files for x in travelling if len(x))
+    assert len(files) == 3 * sum(len(x) > 0 for x in travelling)  # where to look, keys and values: nothing travels twice
+    assert len(pickle.dumps(travelling)) < 4000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) < 1 << 23
