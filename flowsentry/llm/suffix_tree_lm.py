@@ -101,8 +101,12 @@ class Common(Numbered):
 
     def keys(self, words: pa.Array) -> np.ndarray:
         """What sequences know words by: numbers from 1 on of those that travel, hashes of others."""
-        number = self.find(words)
-        return np.where(number >= 0, (number + 1).astype(np.uint64), hashes(words))
+        return self.numbers_and_keys(words)[1]
+
+    def numbers_and_keys(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        hashed = hashes(words)
+        number = self.find(words, hashed)
+        return number, np.where(number >= 0, (number + 1).astype(np.uint64), hashed)
 
     def counts(self, number: np.ndarray) -> np.ndarray:
         return np.r_[self.n, 0][number]
@@ -357,11 +361,11 @@ def _scoring(shipped):
         alone_of = np.r_[alone_of, class_log]
         for batch in batches:
             for part, words, ids, sizes in parts(batch):
-                number = common.find(words)
+                number, keys = common.numbers_and_keys(words)
                 is_common, gain = number >= 0, np.log10(common.counts(number) + 1.0)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 log = tree.score(tree.states.after(words)[before(ids, sizes)], tree.symbol[number][ids], alone_of[number][ids])
-                added, at, deep = token_contexts.score(common.keys(words), ids, sizes, travelling, may, complete)
+                added, at, deep = token_contexts.score(keys, ids, sizes, travelling, may, complete)
                 order = np.argsort(at, kind="stable")
                 deep_ends = np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(sizes)))].astype(np.int32)
                 rare = ~is_common[ids]

@@ -86,8 +86,8 @@ def hashes(words: pa.Array) -> np.ndarray:
     data, ends = raw(words)
     sizes, data = np.diff(ends), data[ends[0]:ends[-1]]
     place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * mixed((place.astype(np.uint64) + np.uint64(1)) * _FACTOR),
-                     dtype=np.uint64)
+    of_place = mixed(np.arange(1, sizes.max(initial=0) + 1, dtype=np.uint64) * _FACTOR)
+    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * of_place[place], dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), sums])[ends - ends[0]]
     return mixed(sums[1:] - sums[:-1] + _FACTOR) | _HASHED
 
@@ -194,11 +194,11 @@ class Numbered:
         self.by_hash = Found(hashes(words), np.arange(len(words), dtype=np.int32))
         self.clash = bool((self.by_hash.spread[1:] == self.by_hash.spread[:-1]).any())
 
-    def find(self, words: pa.Array) -> np.ndarray:
-        """The number of each word, -1 for others."""
+    def find(self, words: pa.Array, hashed: np.ndarray | None = None) -> np.ndarray:
+        """The number of each word, -1 for others; `hashed` are the words' hashes where they are there already."""
         if self.clash:
             return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
-        at, there = self.by_hash.at(hashes(words))
+        at, there = self.by_hash.at(hashes(words) if hashed is None else hashed)
         number, there = np.full(len(words), -1), np.flatnonzero(there)
         found = self.by_hash.columns[0][at[there]]
         same = pc.equal(words.take(pa.array(there)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)

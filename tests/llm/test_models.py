@@ -359,3 +359,13 @@ def test_values_of_both_depths_travel_once_as_files_and_batches_are_small(spark,
     assert len(files) == 3 * sum(len(x) > 0 for x in travelling)  # where to look, keys and values: nothing travels twice
     assert len(pickle.dumps(travelling)) < 4000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) < 1 << 23
+
+
+def test_words_are_hashed_once_for_their_numbers_and_keys(monkeypatch):
+    words, calls, hashes = pa.array(["", "a", "bc", "é" * 70, "none"]), [], token_contexts.hashes
+    common = suffix_tree_lm.Common(words.slice(0, 4), np.ones(4, np.int64))
+    for module in (token_contexts, suffix_tree_lm):
+        monkeypatch.setattr(module, "hashes", lambda x: calls.append(x) or hashes(x))
+    keys = common.keys(words)
+    assert len(calls) == 1 and keys[:4].tolist() == [1, 2, 3, 4] and keys[4] == hashes(words)[4]
+    assert [hashes(words.slice(i, 1))[0] for i in range(5)] == hashes(words).tolist()
