@@ -51,3 +51,12 @@ def test_all_detectors_share_one_state(spark, folder, tmp_path):
     want = [r for x in apart for r in live.run_to_end(x).select(*al.COLUMNS).collect()]
     assert {r.detector for r in want} == {al.SCAN, al.FLOOD, al.PAYLOAD, al.RULE}
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_the_features_of_an_hour_are_one_file_a_batch(spark, folder, tmp_path):
+    found = stateful.stream_features(stream(spark, folder))
+    ended(live.store_anomalies(found, f"{tmp_path}/models", f"{tmp_path}/alerts", f"{tmp_path}/training", f"{tmp_path}/state",
+                               trigger=NOW))
+    written = [os.path.dirname(f) for f in glob.glob(f"{tmp_path}/training/hour=*/stream=features/batch=*/*.parquet")]
+    assert written and len(written) == len(set(written))  # there was one for each partition of the state
+    assert spark.read.parquet(f"{tmp_path}/training").count() == 300
