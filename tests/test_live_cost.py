@@ -60,3 +60,19 @@ def test_the_features_of_an_hour_are_one_file_a_batch(spark, folder, tmp_path):
     written = [os.path.dirname(f) for f in glob.glob(f"{tmp_path}/training/hour=*/stream=features/batch=*/*.parquet")]
     assert written and len(written) == len(set(written))  # there was one for each partition of the state
     assert spark.read.parquet(f"{tmp_path}/training").count() == 300
+
+
+def test_the_feed_reads_a_batch_once(spark, folder, tmp_path):
+    progress = ended(live.live_feed(stream(spark, folder), f"{tmp_path}/view", f"{tmp_path}/feed", f"{tmp_path}/state", NOW))
+    assert [p.numInputRows for p in progress if p.numInputRows] == [300, 1]
+    assert spark.read.json(f"{tmp_path}/feed/traffic/batch=1").first().total_packets == 1
+
+
+def test_the_feed_takes_a_file_without_packets(spark, tmp_path):
+    import time
+    path = str(tmp_path / "s")
+    frame(spark, [packet(1, 0), packet(2, 5 * S)]).coalesce(1).write.mode("append").parquet(path)
+    time.sleep(1.1)
+    frame(spark, [packet(3, 0)]).filter("id < 0").coalesce(1).write.mode("append").parquet(path)
+    ended(live.live_feed(stream(spark, path), f"{tmp_path}/view", f"{tmp_path}/feed", f"{tmp_path}/state", NOW))
+    assert [spark.read.json(f"{tmp_path}/feed/traffic/batch={b}").first().total_packets for b in (0, 1)] == [2, 2]
